@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from framewright.llm.lookalike import same_looking_pairs, with_form
 from framewright.llm.mixing import mix_report, mix_sources
 from framewright.llm.tokens import token_ids
+from framewright.llm.topn import top_n_per_group
 from framewright.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    best = top_n_per_group(table(spark, d, "predictions"), ("image_id", "category_id"), "confidence", "id", 3, "ingested_at")
+    return best.select("image_id", "category_id", F.col("id").alias("prediction_id"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -22,5 +30,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(mix_sources(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_mix, p8_shares)}
-SQL: dict[str, str] = {}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_looking_pairs(table(spark, d, "documents"))
+
+
+def p9_forms(spark: SparkSession, d: str) -> DataFrame:
+    return with_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+SQL: dict[str, str] = {
+    "p1_found": """
+        with last as (select * from predictions where id is not null qualify row_number() over (partition by id order by ingested_at desc) = 1)
+        select image_id, category_id, id as prediction_id from last
+        where image_id is not null and category_id is not null and confidence is not null and not isnan(confidence)
+        qualify row_number() over (partition by image_id, category_id order by confidence desc, id) <= 3""",
+}
