@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from framewright.llm.lookalike import same_looking_pairs, with_form
 from framewright.llm.mixing import mix_report, mix_sources
+from framewright.llm.picture_names import person_key, recording_key
+from framewright.llm.splits import grouped_split, split_report
 from framewright.llm.tokens import token_ids
 from framewright.llm.topn import top_n_per_group
 from framewright.session import table
@@ -17,6 +19,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("image_id", "category_id", F.col("id").alias("prediction_id"))
 
 
+SHARES = {"train": 0.8, "valid": 0.1, "eval": 0.1}
+
+
+def _split_images(spark: SparkSession, d: str) -> DataFrame:
+    links = {"recording": recording_key(F.col("file_name")), "person": person_key(F.col("uploader"))}
+    return grouped_split(table(spark, d, "images"), "id", links, F.lower(F.trim("source")), SHARES)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _split_images(spark, d).filter("group_size > 1").select(F.col("id").alias("image_id"), "group_id")
+
+
+def p2_split(spark: SparkSession, d: str) -> DataFrame:
+    return _split_images(spark, d).select(F.col("id").alias("image_id"), "group_id", "split")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return split_report(_split_images(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -38,7 +60,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return with_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
 SQL: dict[str, str] = {
     "p1_found": """
         with last as (select * from predictions where id is not null qualify row_number() over (partition by id order by ingested_at desc) = 1)
