@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.lookalike import same_looking_pairs, with_form
 from framewright.llm.mixing import mix_report, mix_sources
+from framewright.llm.overlap import cross_split_pairs, cross_split_report, picture_classes
 from framewright.llm.picture_names import person_key, recording_key
 from framewright.llm.splits import grouped_split, split_report
 from framewright.llm.tokens import token_ids
@@ -39,6 +40,18 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return split_report(_split_images(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split_pairs(picture_classes(table(spark, d, "images"), table(spark, d, "annotations")))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return picture_classes(table(spark, d, "images"), table(spark, d, "annotations"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split_report(picture_classes(table(spark, d, "images"), table(spark, d, "annotations")))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -60,7 +73,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return with_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p3_found, p3_classes, p3_report, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
 SQL: dict[str, str] = {
     "p1_found": """
         with last as (select * from predictions where id is not null qualify row_number() over (partition by id order by ingested_at desc) = 1)
