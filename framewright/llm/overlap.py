@@ -124,12 +124,23 @@ def _chunk_rows(grid: float, probe: bool) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 # ---------------------------------------------------------------- exact comparison
-def greatest_matching(edges: list[list[int]]) -> int:
-    """Size of a greatest one-to-one matching; augmenting paths by depth-first search, without recursion."""
+def greatest_matching(edges: list[list[int]], need: int | None = None) -> int:
+    """Size of a greatest one-to-one matching, or a number on the right side of ``need`` as soon as it is known.
+
+    A greedy matching is improved along augmenting paths, found by depth-first search without recursion.
+    """
     mate: dict[int, int] = {}
     right: list[int | None] = [None] * len(edges)
-    size = 0
-    for root in range(len(edges)):
+    for i in sorted(range(len(edges)), key=lambda i: len(edges[i])):
+        for j in edges[i]:
+            if j not in mate:
+                mate[j], right[i] = i, j
+                break
+    size = len(mate)
+    free = [i for i in range(len(edges)) if right[i] is None and edges[i]]
+    for done, root in enumerate(free):
+        if need is not None and (size >= need or size + len(free) - done < need):
+            return size
         came: dict[int, int] = {}
         stack, end = [(root, iter(edges[root]))], None
         while stack and end is None:
@@ -249,25 +260,40 @@ def _single_rows(grid: float, probe: bool) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def long_list_links(objects: DataFrame) -> DataFrame | None:
-    """Links between images of more than LONG_LIST objects, by chunks of single objects; None where there are no two such images.
+def long_list_mates(objects: DataFrame) -> DataFrame:
+    """Pairs ``(a, b, na, nb)`` of images of more than LONG_LIST objects whose lengths allow a match."""
+    sizes = objects.filter(F.col("n") > LONG_LIST).select("image", "n").distinct()
+    base = sizes.withColumn("bucket", F.floor(F.log("n") / math.log(1 / SHARE)))
+    near = base.select(F.col("image").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    mates = near.join(base.select(F.col("image").alias("b"), F.col("n").alias("nb"), "bucket"), "bucket").filter(F.col("a") < F.col("b"))
+    return mates.filter(_ratio_ok("na", "nb")).drop("bucket")
+
+
+def mates_that_matter(mates: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the ``mates`` those that could bring a train and a held-out image together.
+
+    All mates are taken for links between the classes found so far; where a class so joined has
+    no train image, or no valid or eval image, no outcome of the comparison changes a result.
+    """
+    at = classes.select("image_id", "class_id")
+    named = mates.join(at.select(F.col("image_id").alias("a"), F.col("class_id").alias("ca")), "a").join(at.select(F.col("image_id").alias("b"), F.col("class_id").alias("cb")), "b")
+    parts = connected_components(named, "ca", "cb")
+    flags = classes.join(parts, F.col("class_id") == F.col("node")).groupBy("component").agg(F.bool_or(F.col("split") == "train").alias("t"), F.bool_or(F.col("split").isin("valid", "eval")).alias("h")).filter("t and h")
+    wanted = parts.join(flags, "component").select(F.col("node").alias("ca"))
+    return named.join(wanted, "ca", "left_semi").select("a", "b", "na", "nb")
+
+
+def long_list_links(objects: DataFrame, mates: DataFrame) -> DataFrame | None:
+    """Links between the ``mates``, images of more than LONG_LIST objects, by chunks of single objects; None where there is none.
 
     Of a list of n objects at most a quarter may lack a partner, so among any 30 % of them a
-    twentieth of n has one. Only pairs of images whose lengths allow a match meet; of these, the
-    objects of the list's rarest categories probe all objects of the other. Images that pass are
-    compared by all their objects: the pairs within NEAR are counted from both sides (an upper
-    bound) and as pairs without rivals (a lower bound); only where these leave it open are the
-    pairs of the two images matched in one task.
+    twentieth of n has one. The objects of the list's rarest categories probe all objects of the
+    other. Images that pass are compared by all their objects: the pairs within NEAR are counted
+    from both sides (an upper bound) and as pairs without rivals (a lower bound); only where these
+    leave it open are the pairs of the two images matched in one task.
     """
     spark = objects.sparkSession
     long = objects.filter(F.col("n") > LONG_LIST)
-    sizes = long.select("image", "n").distinct()
-    bucket = lambda c: F.floor(F.log(F.col(c)) / math.log(1 / SHARE))
-    base = sizes.withColumn("bucket", bucket("n"))
-    near = base.select(F.col("image").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    mates = near.join(base.select(F.col("image").alias("b"), F.col("n").alias("nb"), "bucket"), "bucket").filter(F.col("a") < F.col("b")).filter(_ratio_ok("na", "nb"))
-    if mates.isEmpty():
-        return None
     involved = mates.select(F.explode(F.array("a", "b")).alias("image")).distinct()
     long = long.join(involved, "image", "left_semi")
     schema = "image bigint, n int, id bigint, digest bigint, cat int, fx double, fy double, fw double, fh double"
@@ -312,7 +338,8 @@ def long_list_links(objects: DataFrame) -> DataFrame | None:
         edges: dict[int, list[int]] = {}
         for i, j in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True):
             edges.setdefault(i, []).append(j)
-        ok = greatest_matching(list(edges.values())) >= int(pdf["need"].iloc[0])
+        need = int(pdf["need"].iloc[0])
+        ok = greatest_matching(list(edges.values()), need) >= need
         return pdf[["a", "b"]].head(1 if ok else 0).rename(columns={"a": "src", "b": "dst"})
 
     settled = close.join(F.broadcast(open_), ["a", "b"]).groupBy("a", "b").applyInPandas(settle, "src bigint, dst bigint")
@@ -348,19 +375,30 @@ def picture_classes(images: DataFrame, annotations: DataFrame) -> DataFrame:
     Same names, same object lists, and both together through any third image. One row per image id
     (its latest row); images without an id are left out. Images without objects, names that tell
     nothing, null splits and sizes, and empty tables are fine; other columns play no part. Every
-    link is found (see the link functions), none is capped.
+    link is found (see the link functions), none is capped; only lists of more than LONG_LIST
+    objects are left uncompared where no outcome could bring a train and a held-out image together.
     """
     now = latest_rows(images, "id", "ingested_at", ["id", "file_name", "split", "source", "width", "height"])
-    path = scratch_path(images.sparkSession, "images")
+    spark = images.sparkSession
+    path = scratch_path(spark, "images")
     now.write.parquet(path)
-    now = images.sparkSession.read.parquet(path)
+    now = spark.read.parquet(path)
     objects, total = object_lists(annotations, now)
-    edges = name_links(now).unionByName(short_list_links(objects, total))
-    long = long_list_links(objects)
-    if long is not None:
-        edges = edges.unionByName(long)
-    parts = connected_components(edges.distinct())
-    return now.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").cast("bigint").alias("image_id"), F.coalesce("component", "id").cast("bigint").alias("class_id"), split_name(F.col("split")).alias("split"), F.lower(F.trim("source")).alias("source"))
+    path = scratch_path(spark, "links")
+    name_links(now).unionByName(short_list_links(objects, total)).distinct().write.parquet(path)
+    edges = spark.read.parquet(path)
+    classes = _classes(now, edges)
+    mates = long_list_mates(objects)
+    if not mates.isEmpty() and not (mates := mates_that_matter(mates, classes)).isEmpty():
+        long = long_list_links(objects, mates)
+        if long is not None:
+            classes = _classes(now, edges.unionByName(long))
+    return classes
+
+
+def _classes(images: DataFrame, edges: DataFrame) -> DataFrame:
+    parts = connected_components(edges)
+    return images.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").cast("bigint").alias("image_id"), F.coalesce("component", "id").cast("bigint").alias("class_id"), split_name(F.col("split")).alias("split"), F.lower(F.trim("source")).alias("source"))
 
 
 def cross_split_pairs(classes: DataFrame) -> DataFrame:
