@@ -346,18 +346,23 @@ def long_list_links(objects: DataFrame, mates: DataFrame) -> DataFrame | None:
     return sure.unionByName(settled)
 
 
-def name_links(images: DataFrame, name: str = "file_name") -> DataFrame:
-    """Links between images whose names give the same frame, or the same place and serial and captions one letter apart.
+def name_keys(images: DataFrame, name: str = "file_name") -> DataFrame:
+    """``(id, frame, place, caption)``: what a name says, null where it says nothing."""
+    base = images.select("id", frame_key(F.col(name)).alias("frame"), caption_parts(F.col(name)).alias("cap"))
+    return base.select("id", "frame", F.col("cap.place").alias("place"), F.col("cap.caption").alias("caption"))
+
+
+def name_links(keys: DataFrame) -> DataFrame:
+    """Links between images whose names (``name_keys``) give the same frame, or the same place and serial and captions one letter apart.
 
     Equal frames are linked to the smallest image that has the frame. Captions are compared once
     per distinct (place, caption): the chunks are the caption itself and the caption less one
     letter, so two captions one letter apart share a chunk; what shares one is measured exactly.
     At most 26 times its length plus one captions can share a chunk, however many images do.
     """
-    base = images.select(F.col("id").alias("id"), frame_key(F.col(name)).alias("frame"), caption_parts(F.col(name)).alias("cap"))
-    frames = base.filter("frame is not null").select("id", "frame")
+    frames = keys.filter("frame is not null").select("id", "frame")
     by_frame = frames.join(frames.groupBy("frame").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "frame").select(F.col("id").alias("src"), F.col("least").alias("dst"))
-    captions = base.filter("cap is not null").select("id", F.col("cap.place").alias("place"), F.col("cap.caption").alias("caption"))
+    captions = keys.filter("place is not null").select("id", "place", "caption")
     classes = captions.groupBy("place", "caption").agg(F.min("id").alias("least"))
     equal = captions.join(classes, ["place", "caption"]).select(F.col("id").alias("src"), F.col("least").alias("dst"))
     less_one = F.transform(F.sequence(F.lit(1), F.length("caption")), lambda i: F.concat(F.substring(F.col("caption"), F.lit(1), i - 1), F.substring(F.col("caption"), i + 1, F.length("caption"))))
@@ -384,8 +389,10 @@ def picture_classes(images: DataFrame, annotations: DataFrame) -> DataFrame:
     now.write.parquet(path)
     now = spark.read.parquet(path)
     objects, total = object_lists(annotations, now)
+    names = scratch_path(spark, "names")
+    name_keys(now).write.parquet(names)
     path = scratch_path(spark, "links")
-    name_links(now).unionByName(short_list_links(objects, total)).distinct().write.parquet(path)
+    name_links(spark.read.parquet(names)).unionByName(short_list_links(objects, total)).distinct().write.parquet(path)
     edges = spark.read.parquet(path)
     classes = _classes(now, edges)
     mates = long_list_mates(objects)
