@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import scratch_path
+
 #: Letters of one shape. First the Latin letter, then the Cyrillic and the Greek ones of that shape.
 LOOK_ALIKE = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІӀΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ",
@@ -259,6 +261,9 @@ def same_looking_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -
     formed = with_form(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter("k is not null and t is not null"), "t", "form")
     seen = formed.filter(F.col("form").rlike(r"[^\s\p{Z}\p{C}⠀]"))
     marks = seen.select("k", F.sha2("form", 256).alias("form"), F.xxhash64("t").alias("w"), F.crc32(F.col("t").cast("binary")).alias("w2"))
+    path = scratch_path(df.sparkSession, "forms")
+    marks.write.parquet(path)  # the forms are read twice below, and must be made once
+    marks = df.sparkSession.read.parquet(path)
     many = marks.groupBy("form").agg(F.min("w").alias("a"), F.max("w").alias("b"), F.min("w2").alias("c"), F.max("w2").alias("d")).filter("a <> b or c <> d").select("form")
     left = marks.join(many, "form", "left_semi")
     a, b = left.alias("a"), left.alias("b")
