@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.functions.flow import Flow
 from framewright.operators.components import connected_components
+from framewright.operators.numbering import hashed_rank
 from framewright.session import cut
 
 #: Components up to this size are bundled by their exact size, larger ones by STEPS classes per doubling.
 EXACT_SIZE, STEPS = 32, 8
 #: Labels told apart in a profile; rarer ones share one class. Together they bound the bundles, whatever the input.
 MAX_LABELS = 64
-#: Hash cells per bundle when its members are dealt out.
-CELLS = 1024
 #: Cost of a row beyond the quota of its label in a split, and beyond the quota of the split.
 LABEL_COST, SPLIT_COST = 1, 8
 
@@ -43,55 +42,6 @@ def linked_groups(records: DataFrame, key: str, links: dict[str, Column]) -> Dat
     return ids.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(key), F.coalesce("component", "id").alias("group_id"))
 
 
-class Flow:
-    """Min-cost flow by successive shortest paths with potentials, on a small graph."""
-
-    def __init__(self, nodes: int) -> None:
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[float] = []
-        self.price: list[int] = []
-
-    def arc(self, a: int, b: int, room: float, price: int) -> int:
-        for x, y, r, p in ((a, b, room, price), (b, a, 0.0, -price)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.price.append(p)
-        return len(self.to) - 2
-
-    def run(self, s: int, t: int, amount: float) -> None:
-        height = [0] * len(self.out)
-        while amount > 1e-6:
-            far = [math.inf] * len(self.out)
-            via = [-1] * len(self.out)
-            far[s] = 0
-            heap = [(0, s)]
-            while heap:
-                d, x = heapq.heappop(heap)
-                if d > far[x]:
-                    continue
-                for e in self.out[x]:
-                    if self.room[e] > 1e-9:
-                        y, nd = self.to[e], d + self.price[e] + height[x] - height[self.to[e]]
-                        if nd < far[y]:
-                            far[y], via[y] = nd, e
-                            heapq.heappush(heap, (nd, y))
-            if far[t] == math.inf:
-                return
-            height = [h + (f if f < math.inf else 0) for h, f in zip(height, far, strict=True)]
-            x, step = t, amount
-            while x != s:
-                step = min(step, self.room[via[x]])
-                x = self.to[via[x] ^ 1]
-            x = t
-            while x != s:
-                self.room[via[x]] -= step
-                self.room[via[x] ^ 1] += step
-                x = self.to[via[x] ^ 1]
-            amount -= step
-
-
 def solve_quotas(bundles: list[tuple[str, int, int]], shares: list[float]) -> list[list[int]]:
     """How many components of every bundle go to every split.
 
@@ -119,7 +69,7 @@ def solve_quotas(bundles: list[tuple[str, int, int]], shares: list[float]) -> li
             flow.arc(2 + n + n * k + j, 1, total * share, 0)
             flow.arc(2 + n + n * k + j, 1, total, SPLIT_COST)
         flow.run(0, 1, total)
-        want = {x: [flow.room[arcs[x, j] ^ 1] for j in range(k)] for x in labels}
+        want = {x: [flow.sent(arcs[x, j]) for j in range(k)] for x in labels}
     out: list[list[int]] = [[0] * k for _ in bundles]
     left = {x: list(w) for x, w in want.items()}
     overall = [sum(want[x][j] for x in labels) for j in range(k)]
@@ -165,12 +115,7 @@ def grouped_split(records: DataFrame, key: str, links: dict[str, Column], label:
     cells = groups.groupBy("group_id", known.alias("label")).agg(F.count(F.lit(1)).alias("n"))
     top = cells.groupBy("group_id").agg(F.sum("n").alias("group_size"), F.max(F.struct("n", "label")).alias("top"))
     size_class = F.when(F.col("group_size") <= EXACT_SIZE, F.col("group_size")).otherwise(EXACT_SIZE + F.floor(STEPS * (F.log2("group_size") - math.log2(EXACT_SIZE))) + 1).cast("int")
-    sized = cut(
-        top.select(
-            "group_id", "group_size", F.col("top.label").alias("label"), size_class.alias("size_class"), F.floor(F.col("top.n") * 8 / F.col("group_size")).cast("int").alias("eighths"),
-            F.xxhash64("group_id", F.lit(seed)).alias("h"),
-        ).withColumn("cell", F.pmod("h", F.lit(CELLS)).cast("int"))
-    )
+    sized = cut(top.select("group_id", "group_size", F.col("top.label").alias("label"), size_class.alias("size_class"), F.floor(F.col("top.n") * 8 / F.col("group_size")).cast("int").alias("eighths")))
     bundle = ["label", "size_class", "eighths"]
     found = sized.groupBy(*bundle).agg(F.count(F.lit(1)).alias("n"), F.sum("group_size").alias("rows")).orderBy(*bundle).collect()
     quotas = solve_quotas([(r["label"], r["n"], r["rows"]) for r in found], [shares[s] for s in names])
@@ -182,13 +127,8 @@ def grouped_split(records: DataFrame, key: str, links: dict[str, Column], label:
             ends.append(at)
         rows.append((r["label"], r["size_class"], r["eighths"], ends))
     plan = spark.createDataFrame(rows, "label string, size_class int, eighths int, ends array<bigint>")
-    # rank of a member in its bundle: members of the cells before its own, and its rank within the cell
-    per_cell = sized.groupBy(*bundle, "cell").agg(F.count(F.lit(1)).alias("m"))
-    before = F.sum("m").over(Window.partitionBy(*bundle).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    starts = per_cell.withColumn("start", F.coalesce(before, F.lit(0))).drop("m")
-    inside = F.row_number().over(Window.partitionBy(*bundle, "cell").orderBy("h", "group_id"))
-    ranked = sized.withColumn("inside", inside).join(starts, [*bundle, "cell"]).join(F.broadcast(plan), bundle)
-    place = F.col("start") + F.col("inside")
+    ranked = hashed_rank(sized, bundle, "group_id", seed, "place").join(F.broadcast(plan), bundle)
+    place = F.col("place")
     pick = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
         pick = F.when(place <= F.col("ends")[i], F.lit(names[i])).otherwise(pick)
