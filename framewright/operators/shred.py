@@ -222,7 +222,7 @@ def _elements(node: Any, name: str, rep: int, defn: int, list_level: int) -> lis
     items = _as_list(items)
     if not items:
         return [(rep, defn + (items is not None), None)]
-    return [(rep if i == 0 else list_level + 1, defn + 2, x if isinstance(x, dict) else None) for i, x in enumerate(items)]
+    return [(rep if i == 0 else list_level + 1, defn + 1 + isinstance(x, dict), x if isinstance(x, dict) else None) for i, x in enumerate(items)]
 
 
 # ---------------------------------------------------------------- reconstruction
