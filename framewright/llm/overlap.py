@@ -261,12 +261,12 @@ def _single_rows(grid: float, probe: bool) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def long_list_mates(objects: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, na, nb)`` of images of more than LONG_LIST objects whose lengths allow a match."""
-    sizes = objects.filter(F.col("n") > LONG_LIST).select("image", "n").distinct()
+    """Pairs ``(a, b, na, nb)`` of images, one at least of more than LONG_LIST objects, whose lengths allow a match."""
+    sizes = objects.filter(F.col("n") >= SHARE * LONG_LIST).select("image", "n").distinct()
     base = sizes.withColumn("bucket", F.floor(F.log("n") / math.log(1 / SHARE)))
     near = base.select(F.col("image").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     mates = near.join(base.select(F.col("image").alias("b"), F.col("n").alias("nb"), "bucket"), "bucket").filter(F.col("a") < F.col("b"))
-    return mates.filter(_ratio_ok("na", "nb")).drop("bucket")
+    return mates.filter(_ratio_ok("na", "nb") & (F.greatest("na", "nb") > LONG_LIST)).drop("bucket")
 
 
 def mates_that_matter(mates: DataFrame, classes: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def mates_that_matter(mates: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def long_list_links(objects: DataFrame, mates: DataFrame) -> DataFrame | None:
-    """Links between the ``mates``, images of more than LONG_LIST objects, by chunks of single objects; None where there is none.
+    """Links between the ``mates``, by chunks of single objects; None where there is none.
 
     Of a list of n objects at most a quarter may lack a partner, so among any 30 % of them a
     twentieth of n has one. The objects of the list's rarest categories probe all objects of the
@@ -293,7 +293,7 @@ def long_list_links(objects: DataFrame, mates: DataFrame) -> DataFrame | None:
     leave it open are the pairs of the two images matched in one task.
     """
     spark = objects.sparkSession
-    long = objects.filter(F.col("n") > LONG_LIST)
+    long = objects.filter(F.col("n") >= SHARE * LONG_LIST)
     involved = mates.select(F.explode(F.array("a", "b")).alias("image")).distinct()
     long = long.join(involved, "image", "left_semi")
     schema = "image bigint, n int, id bigint, digest bigint, cat int, fx double, fy double, fw double, fh double"
@@ -308,7 +308,7 @@ def long_list_links(objects: DataFrame, mates: DataFrame) -> DataFrame | None:
     def meetings(of: DataFrame, among: DataFrame) -> DataFrame:
         p = of.select(*columns).mapInArrow(_single_rows(grid, True), schema).alias("p")
         close = [F.abs(F.col(f"p.{c}") - F.col(f"b.{c}")) <= NEAR + _SLACK for c in _BOX]
-        on = (F.col("p.digest") == F.col("b.digest")) & (F.col("p.cat") == F.col("b.cat")) & (F.col("p.image") < F.col("b.image")) & _ratio_ok("p.n", "b.n") & close[0] & close[1] & close[2] & close[3]
+        on = (F.col("p.digest") == F.col("b.digest")) & (F.col("p.cat") == F.col("b.cat")) & (F.col("p.image") < F.col("b.image")) & _ratio_ok("p.n", "b.n") & (F.greatest("p.n", "b.n") > LONG_LIST) & close[0] & close[1] & close[2] & close[3]
         return p.join(among.alias("b"), on).select(F.col("p.image").alias("a"), F.col("b.image").alias("b"), F.col("p.n").alias("na"), F.col("b.n").alias("nb"), F.col("p.id").alias("x"), F.col("b.id").alias("y"))
 
     tried = rare.groupBy("image").agg(F.sum("k").alias("probes"))
