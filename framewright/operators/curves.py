@@ -38,30 +38,29 @@ def precision_recall(rows: DataFrame, by: list[str], ious: list[float], betas: l
     run = g.orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
     recall = F.coalesce(F.try_divide(F.sum("tp").over(run), F.sum("gt").over(g)), F.lit(0.0))
     curve = points.select(*keys, F.col("confidence").alias("c"), (F.sum("tp").over(run) / F.sum("k").over(run)).alias("p"), recall.alias("r"), F.row_number().over(g.orderBy(F.col("confidence").desc())).alias("pos"))
-    ends = curve.groupBy(*keys).agg(F.min_by("p", "pos").alias("p0"), F.max_by("r", "pos").alias("r1"), F.max("pos").alias("last"))
     one, zero = F.lit(1.0), F.lit(0.0)
     pt = lambda p, r, c, pos: F.struct(p.alias("p"), r.alias("r"), c.alias("c"), pos.cast("int").alias("pos"))
-    anchors = ends.select(*keys, F.inline(F.array(pt(one, zero, one, F.lit(-2)), pt(F.col("p0"), zero, one, F.lit(-1)), pt(zero, F.col("r1"), zero, F.col("last") + 1), pt(zero, one, zero, F.col("last") + 2))))
-    all_ = curve.unionByName(anchors)
+    # the end points hang on the first and last point, so that the curve is made in one pass over it
+    p, r, pos = F.col("p"), F.col("r"), F.col("pos")
+    front = F.when(pos == 1, F.array(pt(one, zero, one, F.lit(-2)), pt(p, zero, one, F.lit(-1)))).otherwise(F.array().cast("array<struct<p:double,r:double,c:double,pos:int>>"))
+    back = F.when(pos == F.col("points"), F.array(pt(zero, r, zero, pos + 1), pt(zero, one, zero, pos + 2))).otherwise(F.array().cast("array<struct<p:double,r:double,c:double,pos:int>>"))
+    all_ = curve.withColumn("points", F.count(F.lit(1)).over(g)).select(*keys, F.inline(F.concat(front, F.array(pt(p, r, F.col("c"), pos)), back)))
     ordered = g.orderBy("pos")
-    env = all_.withColumn("p", F.max("p").over(ordered.rowsBetween(0, Window.unboundedFollowing)))
+    # from the far end: a frame that grows is linear, one that shrinks towards its end is quadratic
+    env = all_.withColumn("p", F.max("p").over(g.orderBy(pos.desc()).rowsBetween(Window.unboundedPreceding, 0)))
     inside = lambda c: F.coalesce((F.lag(c).over(ordered) == F.col(c)) & (F.lead(c).over(ordered) == F.col(c)), F.lit(False))
     thin = env.withColumn("drop", inside("p")).filter("not drop").withColumn("drop", inside("r")).filter("not drop").drop("drop")
     score = lambda b: F.try_divide((1 + b * b) * F.col("p") * F.col("r"), b * b * F.col("p") + F.col("r") + _EPS)
     full = thin.select(*keys, F.col("pos").alias("position"), F.col("p").alias("precision"), F.col("r").alias("recall"), F.col("c").alias("confidence_threshold"), *(score(b).alias(f"f{b}_score") for b in betas))
     if index_column is None:
         return full
-    values = grid if grid is not None else [i / 100 for i in range(101)]
-    x = F.col(index_column)
-    rest = [c for c in full.columns if c not in (*keys, index_column, "position")]
-    # of equal values the last point counts; every grid value takes the nearest point on its side by an as-of window over grid and points
-    last = full.groupBy(*keys, index_column).agg(F.max_by(F.struct("position", *rest), "position").alias("pt"))
-    marks = full.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.lit(float(v)) for v in values))).alias(index_column), F.lit(None).cast(last.schema["pt"].dataType).alias("pt"), F.lit(1).alias("is_mark"))
-    both = last.select(*keys, index_column, "pt", F.lit(0).alias("is_mark")).unionByName(marks)
-    way = x.asc() if index_column == "recall" else x.desc()
-    seen = F.last("pt", ignorenulls=True).over(g.orderBy(way, "is_mark").rowsBetween(Window.unboundedPreceding, 0))
-    filled = both.withColumn("pt", seen).filter("is_mark = 1")
-    return filled.select(*keys, F.col("pt.position").alias("position"), *(F.col(index_column) if c == index_column else F.col(f"pt.`{c}`").alias(c) for c in full.columns if c not in (*keys, "position")))
+    # along the curve recall only rises and precision and confidence only fall, so a point stands for the grid values from its own up to the next point's
+    values = F.array(*(F.lit(float(v)) for v in (grid if grid is not None else [i / 100 for i in range(101)])))
+    x, after = F.col(index_column), F.lead(index_column).over(g.orderBy("position"))
+    rising = index_column == "recall"
+    spans = full.withColumn("__next", after).filter(F.col("__next").isNull() | (F.col("__next") != x))
+    mine = F.filter(values, lambda v: ((v >= x) if rising else (v <= x)) & (F.col("__next").isNull() | ((v < F.col("__next")) if rising else (v > F.col("__next")))))
+    return spans.withColumn("__v", F.explode(mine)).select(*(F.col("__v").alias(c) if c == index_column else F.col(f"`{c}`") for c in full.columns))
 
 
 def average_precision(curve: DataFrame, by: list[str]) -> DataFrame:

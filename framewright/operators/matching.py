@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.boxes import BOX, iou, overlaps
 from framewright.operators.components import connected_components
+from framewright.session import scratch_path
 
 #: Pairs (boxes of one side times the other) of an image and class beyond which a grid is laid over it.
 GRID_PAIRS = 50_000
@@ -85,7 +86,9 @@ def greedy_match(groundtruth: DataFrame, predictions: DataFrame, min_iou: float
     """
     keys = ["image_id"] if category_agnostic else ["image_id", "category_id"]
     pairs = iou_pairs(groundtruth, predictions, min_iou, category_agnostic)
-    pairs = pairs.withColumn("grp", F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))
+    spark, path = groundtruth.sparkSession, scratch_path(groundtruth.sparkSession, "pairs")
+    pairs.select(F.concat_ws("/", *(F.col(k).cast("string") for k in keys)).alias("grp"), "confidence", "prediction_id", "iou", "groundtruth_id").write.parquet(path)
+    pairs = spark.read.parquet(path)
     big = [r[0] for r in pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SPLIT_PAIRS).select("grp").limit(10_000).collect()]
     if big:
         crowd = pairs.filter(F.col("grp").isin(big))

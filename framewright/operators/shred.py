@@ -292,13 +292,27 @@ _TABLES: dict[str, list[tuple[str, str]]] = {
 }
 
 
-def _readable(batch: pa.RecordBatch, key: str, payload: str) -> tuple[list, list]:
-    keys, records = [], []
-    for k, text in zip(batch.column(key).to_pylist(), batch.column(payload).to_pylist(), strict=True):
-        if (record := read_payload(text)) is not None:
-            keys.append(k)
+#: Characters of payload that are shredded at once: parsed JSON takes many times its text.
+SLICE_CHARS = 4_000_000
+
+
+def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(keys, parsed records) of the readable payloads, in slices of bounded size."""
+    for batch in batches:
+        keys, records, size = [], [], 0
+        for k, text in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_py()
+            record = read_payload(text)
+            if record is None:
+                continue
+            keys.append(k.as_py())
             records.append(record)
-    return keys, records
+            size += len(text)
+            if size >= SLICE_CHARS:
+                yield keys, records
+                keys, records, size = [], [], 0
+        if keys:
+            yield keys, records
 
 
 def nested_table(raw: DataFrame, name: str, key: str = "record_id", payload: str = "payload") -> DataFrame:
@@ -318,10 +332,7 @@ def nested_table(raw: DataFrame, name: str, key: str = "record_id", payload: str
     schema = pa.schema([(c, pa.string() if t not in ("int", "bigint") or c not in ("record_id", "depth", "pos") else pa.int64() if t == "bigint" else pa.int32()) for c, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, records = _readable(batch, "k", "p")
-            if not keys:
-                continue
+        for keys, records in _readable(batches):
             rows = rebuild(*shred(records), keys)[name]
             if rows:
                 columns = zip(*rows, strict=True)
@@ -339,10 +350,7 @@ def leaf_levels(raw: DataFrame, key: str = "record_id", payload: str = "payload"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, records = _readable(batch, "k", "p")
-            if not keys:
-                continue
+        for keys, records in _readable(batches):
             ids = _object(keys)
             cols, _ = shred(records)
             for (depth, path), col in cols.items():
