@@ -83,8 +83,9 @@ def cut_group(df: DataFrame, g: ContinuousGroup, out: str | None = None) -> Data
         return df.withColumn(out, F.get(F.array(*made), at) if made else F.lit(None))
     binned = df.withColumn("__bin", at)
     how = F.avg(value) if g.label_type == "mean" else F.percentile(value, F.lit(0.5))
-    labels = binned.groupBy("__bin").agg(how.alias("__label"))
-    return binned.join(F.broadcast(labels), F.col("__bin").eqNullSafe(labels["__bin"]), "left").drop("__bin").withColumn(out, F.col("__label")).drop("__label")
+    labels = binned.groupBy(F.col("__bin").alias("__b")).agg(how.alias("__label"))
+    joined = binned.join(F.broadcast(labels), F.col("__bin").eqNullSafe(F.col("__b")), "left")
+    return joined.withColumn(out, F.when(F.col("__bin").isNotNull(), F.col("__label"))).drop("__bin", "__b", "__label")
 
 
 def with_groups(child: DataFrame, groups: list[Group], root: DataFrame | None = None, key: str = "image_id") -> DataFrame:

@@ -196,7 +196,9 @@ class Dataset:
     def reset_images_root(self, root: str) -> Dataset:
         """The same files seen from another root folder."""
         prefix = os.path.relpath(self.images_root, root)
-        path = F.col("relative_path") if prefix == "." else F.concat(F.lit(prefix + "/"), F.col("relative_path"))
+        if prefix == ".":
+            return self.with_(images_root=root)
+        path = F.concat(F.lit(prefix + "/"), F.col("relative_path"))
         steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
         fold = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when((s == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array_append(acc, s)))
         return self.with_(images=self.images.withColumn("relative_path", F.array_join(fold, "/")), images_root=root)

@@ -29,6 +29,8 @@ def booleanize(df: DataFrame, columns: dict[str, list[str] | None], sep: str = "
         if not isinstance(kind, ArrayType):
             raise TypeError(f"{c} holds no sets")
         made[c] = tuple(sorted(values)) if values is not None else tuple(set_values(df, c))
+        if len({v.lower() for v in made[c]}) < len(made[c]) and df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
+            raise ValueError(f"values of {c} differ in letter case only; set spark.sql.caseSensitive or unify them")
         cell = F.col(f"`{c}`").cast(ArrayType(StringType()))
         out += [F.coalesce(F.array_contains(F.array_compact(cell), F.lit(v)), F.lit(False)).alias(f"{c}{sep}{v}") for v in made[c]]
     return df.select(*out), made

@@ -374,7 +374,7 @@ def bin_medians(spark: SparkSession, d: str) -> DataFrame:
     return G.cut_group(annotated(spark, d).annotations, G.ContinuousGroup("box_height", _EDGES, label_type="median")).select("id", "box_height")
 
 
-@query("""select c.category_id, s.split, count(a.id) as n, count(a.id) / sum(count(a.id)) over () as share from (select distinct category_id from anns) c cross join (select distinct split from anns where split is not null) s
+@query("""select c.category_id, s.split, count(a.id) as n, count(a.id) / sum(count(a.id)) over () as share from (select distinct category_id from anns where split is not null) c cross join (select distinct split from anns where split is not null) s
   left join anns a on a.category_id = c.category_id and a.split = s.split group by 1, 2""", rounded=["share"])
 def histogram_full(spark: SparkSession, d: str) -> DataFrame:
     ann = annotated(spark, d).annotations
