@@ -80,4 +80,18 @@ SQL: dict[str, str] = {
         select image_id, category_id, id as prediction_id from last
         where image_id is not null and category_id is not null and confidence is not null and not isnan(confidence)
         qualify row_number() over (partition by image_id, category_id order by confidence desc, id) <= 3""",
+    "p2_found": """
+        with recursive n as (
+          select id, lower(trim(regexp_replace(regexp_replace(replace(coalesce(file_name, ''), '%20', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) as t,
+            trim(regexp_replace(trim(lower(uploader)), '^@+', '')) as u from images where id is not null),
+        k as (
+          select id, 'r ' || array_to_string(regexp_extract_all(regexp_extract(t, '([a-z]+ [a-z]+ c(?:am)? ?[0-9]+ r(?:ec)? ?[0-9]+) (?:f(?:rame)? ?)?[0-9]+(?: |$)', 1), '[1-9][0-9]*'), ' ') || ' ' || regexp_extract(t, '([a-z]+ [a-z]+) c(?:am)? ?[0-9]+ r(?:ec)? ?[0-9]+ (?:f(?:rame)? ?)?[0-9]+(?: |$)', 1) as key
+          from n where regexp_matches(t, '[a-z]+ [a-z]+ c(?:am)? ?[0-9]+ r(?:ec)? ?[0-9]+ (?:f(?:rame)? ?)?[0-9]+(?: |$)')
+          union all select id, 'u ' || u from n where u is not null and u not in ('', 'unknown', 'n/a', '-', 'anonymous')),
+        kk as (select distinct id, key from k),
+        hop as (select distinct a.id as a, b.m as b from kk a join (select key, min(id) as m from kk group by 1) b on a.key = b.key),
+        sym as (select a, b from hop union select b, a from hop),
+        reach as (select distinct id as a, id as b from kk union select r.a, s.b from reach r join sym s on s.a = r.b),
+        g as (select a as image_id, min(b) as group_id from reach group by 1)
+        select image_id, group_id from g where group_id in (select group_id from g group by 1 having count(*) > 1)""",
 }
