@@ -89,3 +89,40 @@ SQL = {
         for t in ("annotations", "predictions") for f, x in (("image_id", "images"), ("category_id", "categories"))
     ),
 }
+
+_CLEAN = r"regexp_replace(regexp_replace({x}, '^[\x{FEFF}\s]+', ''), '[\x{FEFF}\s]+$', '')"
+_INT = "try_cast(try_cast({x} as double) as bigint)"
+
+
+def _list_items(field: str, path: str, value: str) -> str:
+    """Items of a list leaf, or of the single value in its place."""
+    return f"""select record_id, annotation_id, '{field}' as field_name, cast(pos as int) as pos, {value} as item_value from (
+      select record_id, annotation_id, unnest(case json_type(node, '{path}') when 'ARRAY' then json_extract(node, '{path}[*]') else [json_extract(node, '{path}')] end) as item,
+        generate_subscripts(case json_type(node, '{path}') when 'ARRAY' then json_extract(node, '{path}[*]') else [json_extract(node, '{path}')] end, 1) - 1 as pos
+      from notes where json_type(node, '{path}') is not null and json_type(node, '{path}') <> 'NULL')"""
+
+
+_HUNDREDTHS = "cast(cast(round(try_cast(item->>'$' as decimal(18, 4)) * 100) as bigint) as varchar)"
+SQL["p6_found"] = f"""
+with recursive one as (select record_id, {_CLEAN.replace('{x}', 'payload')} as t from raw_records where payload is not null),
+unpacked as (select record_id, case when json_valid(t) and json_type(t) = 'VARCHAR' then {_CLEAN.replace('{x}', "(t::json->>'$')")} else t end as t from one where t <> ''),
+docs as (select record_id, t::json as doc from unpacked where json_valid(t) and json_type(t) = 'OBJECT'),
+walk as (
+  select record_id, unnest(json_extract(doc, '$.annotations[*]')) as node, cast(null as bigint) as above from docs
+  union all
+  select record_id, unnest(json_extract(node, '$.parts[*]')), {_INT.replace('{x}', "node->>'$.id'")} from walk where json_type(node) = 'OBJECT'),
+notes as (select record_id, node, above, {_INT.replace('{x}', "node->>'$.id'")} as annotation_id from walk where json_type(node) = 'OBJECT'),
+boxes as (select record_id, annotation_id, unnest([0, 1, 2, 3]) as pos, unnest([json_extract(node, '$.bbox.x_min'), json_extract(node, '$.bbox.y_min'), json_extract(node, '$.bbox.width'), json_extract(node, '$.bbox.height')]) as item from notes where json_type(node, '$.bbox') = 'OBJECT'),
+items as (
+  {_list_items('attributes.colors', '$.attributes.colors', "item->>'$'")} union all {_list_items('attributes.position', '$.attributes.position', "item->>'$'")}
+  union all {_list_items('children_ids', '$.children_ids', f"cast({_INT.replace('{x}', "item->>'$'")} as varchar)")}
+  union all select * from ({_list_items('bbox', '$.bbox', _HUNDREDTHS)}) where true
+  union all select record_id, annotation_id, 'bbox', pos, {_HUNDREDTHS} from boxes
+  union all select record_id, annotation_id, 'parent_id', 0, cast(coalesce(above, {_INT.replace('{x}', "node->>'$.parent_id'")}) as varchar) from notes)
+select record_id, annotation_id, field_name, pos, item_value from items where annotation_id is not null and item_value is not null"""
+SQL["p6_images"] = f"""
+with one as (select record_id, {_CLEAN.replace('{x}', 'payload')} as t from raw_records where payload is not null),
+unpacked as (select record_id, case when json_valid(t) and json_type(t) = 'VARCHAR' then {_CLEAN.replace('{x}', "(t::json->>'$')")} else t end as t from one where t <> ''),
+docs as (select record_id, t::json as doc from unpacked where json_valid(t) and json_type(t) = 'OBJECT')
+select record_id, {_INT.replace('{x}', "doc->>'$.image.id'")} as image_id, doc->>'$.image.file_name' as file_name, {_INT.replace('{x}', "doc->>'$.image.width'")} as width, {_INT.replace('{x}', "doc->>'$.image.height'")} as height,
+  doc->>'$.image.tags.weather' as tags_weather, doc->>'$.image.tags.time' as tags_time from docs"""
