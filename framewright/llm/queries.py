@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.lookalike import same_looking_pairs, with_form
+from framewright.llm.lookalike import LOOK_ALIKE, same_looking_pairs, with_form
 from framewright.llm.mixing import mix_report, mix_sources
 from framewright.llm.overlap import cross_split_pairs, cross_split_report, picture_classes
 from framewright.llm.picture_names import person_key, recording_key
@@ -95,3 +97,30 @@ SQL: dict[str, str] = {
         g as (select a as image_id, min(b) as group_id from reach group by 1)
         select image_id, group_id from g where group_id in (select group_id from g group by 1 having count(*) > 1)""",
 }
+
+#: Shapes for the oracle, in composed form: look-alike letters with and without accents, width forms, blanks, hyphens.
+_PAIRS = {o: latin for latin, others in LOOK_ALIKE.items() for o in others} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys("\u00a0\u2002\u2003\u2005\u2007\u2009\u200a\u202f\u3000", " ") | dict.fromkeys("\u2010\u2011", "-")
+for _other, _latin in list(_PAIRS.items()):
+    for _mark in map(chr, range(0x300, 0x330)):
+        _one, _two = (unicodedata.normalize("NFC", x + _mark) for x in (_other, _latin))
+        if len(_one) == len(_two) == 1:
+            _PAIRS[_one] = _two
+_FROM, _TO = "".join(_PAIRS), "".join(_PAIRS.values())
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+
+
+def _look_sql() -> str:
+    t = "regexp_replace(text, '([\\x{2600}-\\x{27BF}\\x{1F000}-\\x{1FAFF}])\\x{200D}([\\x{2600}-\\x{27BF}\\x{1F000}-\\x{1FAFF}])', '\\1<zwj>\\2', 'g')"
+    t = f"regexp_replace({t}, '[\\p{{Cf}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
+    t = f"regexp_replace({t}, '\\r\\n?', chr(10), 'g')"
+    for a, b in _LIGATURES.items():
+        t = f"replace({t}, '{a}', '{b}')"
+    quote = lambda x: x.replace("'", "''")
+    # composed first, so that accents on look-alikes are one letter; composed again, as a mapped letter may take up its accent
+    return f"nfc_normalize(translate(nfc_normalize({t}), '{quote(_FROM)}', '{quote(_TO)}'))"
+
+
+SQL["p9_found"] = f"""
+with f as (select doc_id, text, {_look_sql()} as form from documents where text is not null),
+v as (select * from f where regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))
+select a.doc_id as doc_id_a, b.doc_id as doc_id_b from v a join v b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text"""
