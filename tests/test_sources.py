@@ -156,3 +156,15 @@ def test_archive(spark, small, tmp_path):
     full_check(small, check_images=False)
     docs = [json.loads(r["content"]) for r in writers.sample_documents(small).collect()]
     assert len(docs) == 6 and all("attr->color" in x for d in docs for x in d.get("groundtruth", []))
+
+
+def test_command_line(spark, small, tmp_path):
+    from framewright import cli
+
+    writers.to_image_json(small, str(tmp_path / "in"))
+    cli.main([str(tmp_path / "in"), str(tmp_path / "out"), "--watch", "--once"])
+    docs = [json.load(open(os.path.join(r, f))) for r, _, fs in os.walk(tmp_path / "out") for f in fs if f.endswith(".json")]
+    assert len(docs) == 6 and sum(len(d.get("groundtruth", [])) for d in docs) == 20
+    part = small.filter_images("id < 2")
+    cli.push(part, small, str(tmp_path / "out2"))
+    assert sum(f.endswith(".json") for _, _, fs in os.walk(tmp_path / "out2") for f in fs) == 2
