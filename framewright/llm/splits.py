@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,13 @@ from framewright.operators.components import connected_components
 from framewright.operators.numbering import hashed_rank
 from framewright.session import cut
 
-#: Components up to this size are bundled by their exact size, larger ones by STEPS classes per doubling.
+#: Components up to this size are bundled by their exact label counts, larger ones by STEPS size classes per doubling, the commonest label and its share.
 EXACT_SIZE, STEPS = 32, 8
-#: Labels told apart in a profile; rarer ones share one class. Together they bound the bundles, whatever the input.
+#: Components of at least a WHOLE-th of all rows are bundles of their own. Most bundles of exact counts; components of rarer counts are classed like larger ones.
+WHOLE, MAX_PROFILES = 1000, 4096
+#: Passes of the last exchange, and bundles of one size that take part in it.
+MAX_PASSES, MAX_LIKE = 10, 48
+#: Labels told apart; rarer ones share one class. Together they bound the bundles, whatever the input.
 MAX_LABELS = 64
 #: Cost of a row beyond the quota of its label in a split, and beyond the quota of the split.
 LABEL_COST, SPLIT_COST = 1, 8
@@ -43,62 +48,168 @@ def linked_groups(records: DataFrame, key: str, links: dict[str, Column]) -> Dat
 
 
 def solve_quotas(bundles: list[tuple[str, int, int]], shares: list[float]) -> list[list[int]]:
+    """``allot`` for bundles (label, components, rows) of one label each."""
+    return allot([(n, {label: rows}) for label, n, rows in bundles], shares)
+
+
+def allot(bundles: list[tuple[int, dict[str, int]]], shares: list[float]) -> list[list[int]]:
     """How many components of every bundle go to every split.
 
-    A bundle is (label, components, rows). Per label a flow sends the rows of its bundles to the
-    splits; a row over the label's quota in a split costs LABEL_COST, one over the split's own quota
-    SPLIT_COST more. Bundles of one label and size class differ in size only, so the flow runs over
-    labels; the result is rounded to whole components, largest components first, every bundle
-    taking up the error of those before it.
+    A bundle is (components, rows of every label in them). A row over its label's quota in a split
+    costs LABEL_COST, one over the split's own quota SPLIT_COST. Bundles of too few components to
+    give every split one are placed first, largest components first, each where its whole label
+    counts cost least. What they leave of the quotas (less than nothing, where they go over) are the
+    free arcs of a min-cost flow of the other bundles' rows; the arcs from bundles to labels carry
+    the bundles' counts exactly, so they are added up per label. Every bundle follows the flow of
+    its labels in whole components, largest first, and what rounding down leaves goes where it
+    costs least. At last components are moved, and exchanged with others of equal size, as long as
+    that lowers the cost.
     """
-    labels = sorted({b[0] for b in bundles})
-    rows = {x: sum(b[2] for b in bundles if b[0] == x) for x in labels}
-    total, k, n = sum(rows.values()), len(shares), len(labels)
-    want = {x: [0.0] * k for x in labels}
-    if total:
-        flow = Flow(2 + n + n * k + k)
-        arcs = {}
-        for i, x in enumerate(labels):
-            flow.arc(0, 2 + i, rows[x], 0)
-            for j, share in enumerate(shares):
-                cell = 2 + n + i * k + j
-                arcs[x, j] = flow.arc(2 + i, cell, rows[x], 0)
-                flow.arc(cell, 2 + n + n * k + j, rows[x] * share, 0)
-                flow.arc(cell, 2 + n + n * k + j, rows[x], LABEL_COST)
-        for j, share in enumerate(shares):
-            flow.arc(2 + n + n * k + j, 1, total * share, 0)
-            flow.arc(2 + n + n * k + j, 1, total, SPLIT_COST)
-        flow.run(0, 1, total)
-        want = {x: [flow.sent(arcs[x, j]) for j in range(k)] for x in labels}
-    out: list[list[int]] = [[0] * k for _ in bundles]
-    left = {x: list(w) for x, w in want.items()}
-    overall = [sum(want[x][j] for x in labels) for j in range(k)]
-    order = sorted(range(len(bundles)), key=lambda i: (-bundles[i][2] / bundles[i][1], bundles[i][0], i))
-    for i in order:
-        label, count, size_sum = bundles[i]
-        size, need = size_sum / count, left[label]
-        room = sum(max(0.0, x) for x in need) or 1.0
-        part = [max(0.0, x) / room * count for x in need]
-        take = [math.floor(x + 1e-9) for x in part]
-        for _ in range(count - sum(take)):
-            # the next component goes where the label and the whole still lack most
-            j = max(range(k), key=lambda j: (min(need[j], overall[j]) - take[j] * size, need[j] - take[j] * size, -j))
-            take[j] += 1
+    k = len(shares)
+    rows: dict[str, int] = {}
+    for _, counts in bundles:
+        for x, r in counts.items():
+            rows[x] = rows.get(x, 0) + r
+    total = sum(rows.values())
+    quota = {x: [r * s for s in shares] for x, r in rows.items()}
+    left = {x: list(q) for x, q in quota.items()}
+    overall = [total * s for s in shares]
+    open_to = [j for j in range(k) if shares[j] > 0]
+    out = [[0] * k for _ in bundles]
+    each = [{x: r / n for x, r in counts.items()} for n, counts in bundles]
+    size = [sum(e.values()) for e in each]
+    order = sorted(range(len(bundles)), key=lambda i: (-size[i], i))
+
+    def put(i: int, j: int, n: int) -> None:
+        out[i][j] += n
+        overall[j] -= n * size[i]
+        for x, r in each[i].items():
+            left[x][j] -= n * r
+
+    def over(need: float, more: float) -> float:
+        return max(0.0, more - need) - max(0.0, -need)
+
+    def put_best(i: int) -> None:
+        def rank(j: int) -> tuple[float, float, int]:
+            cost = SPLIT_COST * over(overall[j], size[i]) + LABEL_COST * sum(over(left[x][j], r) for x, r in each[i].items())
+            room = min((overall[j] - size[i]) / (total * shares[j]), *((left[x][j] - r) / quota[x][j] for x, r in each[i].items()))
+            return round(cost, 6), -room, j
+
+        put(i, min(open_to, key=rank), 1)
+
+    few = [i for i in order if any(bundles[i][0] * shares[j] < 1 for j in open_to)]
+    for i in few:
+        for _ in range(bundles[i][0]):
+            put_best(i)
+    placed = set(few)
+    rest = [i for i in order if i not in placed]
+    aim = flow_of_rest([bundles[i][1] for i in rest], left, overall)
+    for i in rest:
+        count, counts = bundles[i]
+        part = [0.0] * k
+        for x, r in counts.items():
+            room = sum(max(0.0, a) for a in aim[x])
+            for j in range(k):
+                part[j] += r * (max(0.0, aim[x][j]) / room if room > 0 else shares[j])
+        for j in range(k):
+            n = math.floor(part[j] / size[i] + 1e-9)
+            put(i, j, n)
+        for _ in range(count - sum(out[i])):
+            put_best(i)
         for j in range(k):
-            out[i][j] = take[j]
-            need[j] -= take[j] * size
-            overall[j] -= take[j] * size
+            for x, r in each[i].items():
+                aim[x][j] -= out[i][j] * r
+    _exchange(order, each, size, out, left, overall, open_to)
     return out
 
 
+def flow_of_rest(bundles: list[dict[str, int]], left: dict[str, list[float]], overall: list[float]) -> dict[str, list[float]]:
+    """Rows of every label to every split at the least cost, where ``left`` and ``overall`` are what the quotas still have."""
+    rows: dict[str, int] = {}
+    for counts in bundles:
+        for x, r in counts.items():
+            rows[x] = rows.get(x, 0) + r
+    labels, k, total = sorted(rows), len(overall), sum(rows.values())
+    n = len(labels)
+    if not total:
+        return {}
+    flow = Flow(2 + n + k)
+    arcs: dict[str, list[tuple[int, int]]] = {}
+    for i, x in enumerate(labels):
+        flow.arc(0, 2 + i, rows[x], 0)
+        arcs[x] = [(flow.arc(2 + i, 2 + n + j, max(0.0, left[x][j]), 0), flow.arc(2 + i, 2 + n + j, rows[x], LABEL_COST)) for j in range(k)]
+    for j in range(k):
+        flow.arc(2 + n + j, 1, max(0.0, overall[j]), 0)
+        flow.arc(2 + n + j, 1, total, SPLIT_COST)
+    flow.run(0, 1, total)
+    return {x: [flow.sent(a) + flow.sent(b) for a, b in arcs[x]] for x in labels}
+
+
+def _exchange(order: list[int], each: list[dict[str, float]], size: list[float], out: list[list[int]], left: dict[str, list[float]], overall: list[float], open_to: list[int]) -> None:
+    """Moves of components, and exchanges between bundles of equal size, while they lower the cost; at most MAX_PASSES times over."""
+
+    def gain(more: dict[str, float], rows: float, a: int, b: int, n: int) -> float:
+        before = SPLIT_COST * (max(0.0, -overall[a]) + max(0.0, -overall[b]))
+        after = SPLIT_COST * (max(0.0, -overall[a] - n * rows) + max(0.0, -overall[b] + n * rows))
+        for x, r in more.items():
+            before += LABEL_COST * (max(0.0, -left[x][a]) + max(0.0, -left[x][b]))
+            after += LABEL_COST * (max(0.0, -left[x][a] - n * r) + max(0.0, -left[x][b] + n * r))
+        return before - after
+
+    def shift(more: dict[str, float], rows: float, a: int, b: int, n: int) -> None:
+        overall[a] += n * rows
+        overall[b] -= n * rows
+        for x, r in more.items():
+            left[x][a] += n * r
+            left[x][b] -= n * r
+
+    same: dict[float, list[int]] = {}
+    for i in order:
+        same.setdefault(round(size[i], 6), []).append(i)
+    ways = [(a, b) for a in open_to for b in open_to if a != b]
+    for _ in range(MAX_PASSES):
+        changed = False
+        for i in order:
+            for a, b in ways:
+                n = out[i][a]
+                while n and gain(each[i], size[i], a, b, n) <= 1e-6:
+                    n //= 2
+                if n:
+                    shift(each[i], size[i], a, b, n)
+                    out[i][a] -= n
+                    out[i][b] += n
+                    changed = True
+        for like in same.values():
+            like = like[:MAX_LIKE]
+            for i in like:
+                for other in like:
+                    if i == other:
+                        continue
+                    more = {x: each[i].get(x, 0.0) - each[other].get(x, 0.0) for x in each[i].keys() | each[other].keys()}
+                    for a, b in ways:
+                        n = min(out[i][a], out[other][b])
+                        while n and gain(more, 0.0, a, b, n) <= 1e-6:
+                            n //= 2
+                        if n:
+                            shift(more, 0.0, a, b, n)
+                            out[i][a] -= n
+                            out[i][b] += n
+                            out[other][b] -= n
+                            out[other][a] += n
+                            changed = True
+        if not changed:
+            return
+
+
 def grouped_split(records: DataFrame, key: str, links: dict[str, Column], label: Column, shares: dict[str, float], seed: int = 11) -> DataFrame:
     """``(key, group_id, group_size, split)``: every key gets a split, linked keys the same one.
 
-    Groups are those of ``linked_groups``. They are bundled by size (exact up to EXACT_SIZE, in
-    classes above) and label profile (commonest label, null as its own, and its share in eighths);
-    there are at most a few ten thousand bundles, whatever the input, and only they reach the
-    driver. A min-cost flow allots each label's rows to the splits at the least deviation from the
-    asked ``shares`` (which sum to 1), whole components are rounded from it, and a bundle's members
+    Groups are those of ``linked_groups``. They are bundled by their label counts (exact up to
+    EXACT_SIZE for the MAX_PROFILES profiles of most rows; one by one from a WHOLE-th of all rows;
+    else by size class, commonest label, null as its own, and its share in eighths); there are at
+    most a few ten thousand bundles, whatever the input, and only they reach the driver, each with
+    the rows of every label in it. ``allot`` gives their components to the splits at the least
+    deviation of labels and splits from the asked ``shares`` (which sum to 1), and a bundle's members
     are dealt out in the order of a hash: by counts of hash cells, and by rank only inside the one
     cell where a quota ends. A group that is larger than a split's quota makes the shares miss by
     what it is over. Null keys are dropped, repeated rows of a key count once; an empty table gives
@@ -113,21 +224,21 @@ def grouped_split(records: DataFrame, key: str, links: dict[str, Column], label:
     common = [r[0] for r in groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(MAX_LABELS).collect()]
     known = F.when(F.col("label").isin(common), F.col("label")).otherwise(F.lit("other labels"))
     cells = groups.groupBy("group_id", known.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    top = cells.groupBy("group_id").agg(F.sum("n").alias("group_size"), F.max(F.struct("n", "label")).alias("top"))
-    size_class = F.when(F.col("group_size") <= EXACT_SIZE, F.col("group_size")).otherwise(EXACT_SIZE + F.floor(STEPS * (F.log2("group_size") - math.log2(EXACT_SIZE))) + 1).cast("int")
-    sized = cut(top.select("group_id", "group_size", F.col("top.label").alias("label"), size_class.alias("size_class"), F.floor(F.col("top.n") * 8 / F.col("group_size")).cast("int").alias("eighths")))
-    bundle = ["label", "size_class", "eighths"]
-    found = sized.groupBy(*bundle).agg(F.count(F.lit(1)).alias("n"), F.sum("group_size").alias("rows")).orderBy(*bundle).collect()
-    quotas = solve_quotas([(r["label"], r["n"], r["rows"]) for r in found], [shares[s] for s in names])
-    rows = []
-    for r, q in zip(found, quotas, strict=True):
-        ends, at = [], 0
-        for x in q:
-            at += x
-            ends.append(at)
-        rows.append((r["label"], r["size_class"], r["eighths"], ends))
-    plan = spark.createDataFrame(rows, "label string, size_class int, eighths int, ends array<bigint>")
-    ranked = hashed_rank(sized, bundle, "group_id", seed, "place").join(F.broadcast(plan), bundle)
+    top = cells.groupBy("group_id").agg(F.sum("n").alias("group_size"), F.max(F.struct("n", "label")).alias("top"), F.sort_array(F.collect_list(F.struct("label", "n"))).alias("counts"))
+    total = groups.count()
+    size_class = F.when(F.col("group_size") <= EXACT_SIZE, F.col("group_size")).otherwise(EXACT_SIZE + F.floor(STEPS * (F.log2("group_size") - math.log2(EXACT_SIZE))) + 1)
+    classed = F.to_json(F.struct(size_class.alias("size"), F.col("top.label").alias("label"), F.floor(F.col("top.n") * 8 / F.col("group_size")).alias("eighths")))
+    exact = F.when(F.col("group_size") <= EXACT_SIZE, F.to_json("counts"))
+    named = cut(top.select("group_id", "group_size", "counts", classed.alias("classed"), F.when(F.col("group_size") * WHOLE >= total, F.concat(F.lit("group "), F.col("group_id"))).otherwise(exact).alias("bundle")))
+    common = named.filter("bundle is not null").groupBy("bundle").agg(F.sum("group_size").alias("rows")).orderBy(F.col("rows").desc(), "bundle").limit(MAX_PROFILES + WHOLE).select("bundle", F.lit(True).alias("kept"))
+    sized = cut(named.join(F.broadcast(common), "bundle", "left").select("group_id", "group_size", "counts", F.when(F.col("kept"), F.col("bundle")).otherwise(F.col("classed")).alias("bundle")))
+    found = {r["bundle"]: (r["n"], {}) for r in sized.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).orderBy("bundle").collect()}
+    for r in sized.select("bundle", F.inline("counts")).groupBy("bundle", "label").agg(F.sum("n").alias("n")).orderBy("bundle", "label").collect():
+        found[r["bundle"]][1][r["label"]] = r["n"]
+    quotas = allot(list(found.values()), [shares[s] for s in names])
+    rows = [(b, list(itertools.accumulate(q))) for b, q in zip(found, quotas, strict=True)]
+    plan = spark.createDataFrame(rows, "bundle string, ends array<bigint>")
+    ranked = hashed_rank(sized.drop("counts"), ["bundle"], "group_id", seed, "place").join(F.broadcast(plan), "bundle")
     place = F.col("place")
     pick = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):

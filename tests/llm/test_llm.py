@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framewright.llm import lookalike, overlap, topn
 from framewright.llm.mixing import mix_report, mix_sources, plan_mix, split_quotas
 from framewright.llm.picture_names import caption_parts, frame_key, person_key, recording_key, split_name
-from framewright.llm.splits import grouped_split, linked_groups, solve_quotas, split_report
+from framewright.llm.splits import allot, grouped_split, linked_groups, solve_quotas, split_report
 from framewright.llm.tokens import TOKENIZERS, Bpe, token_ids, with_token_count
 
 FILE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
@@ -120,6 +120,33 @@ def test_quotas_keep_counts():
     assert solve_quotas([], [0.5, 0.5]) == []
 
 
+def over_quota(bundles, out, shares):
+    """Rows beyond the quotas of labels in splits, and of splits."""
+    labels = {x for _, v in bundles for x in v}
+    have = {(x, j): sum(q[j] * v.get(x, 0) / n for q, (n, v) in zip(out, bundles, strict=True)) for x in labels for j in range(len(shares))}
+    rows = {x: sum(v.get(x, 0) for _, v in bundles) for x in labels}
+    return sum(max(0, have[x, j] - rows[x] * s) for x in labels for j, s in enumerate(shares)), sum(max(0, sum(have[x, j] for x in labels) - sum(rows.values()) * s) for j, s in enumerate(shares))
+
+
+def test_mixed_groups_count_all_their_labels(spark):
+    shares = [0.8, 0.1, 0.1]
+    # one mixed group of a third of the rows, others of one label, or all mixed
+    for others in ([(300, {"a": 300}), (300, {"b": 300})], [(300, {"a": 300, "b": 300})], [(100, {"a": 200, "b": 100}), (100, {"b": 300})]):
+        bundles = [(1, {"a": 200, "b": 100}), *others]
+        out = allot(bundles, shares)
+        assert [sum(q) for q in out] == [n for n, _ in bundles]
+        labels, splits = over_quota(bundles, out, shares)
+        assert splits <= 4 and (labels <= 4 or others[0][1].keys() == {"a", "b"})
+    assert allot([(1, {"a": 5, "b": 5}), (1, {"a": 10})], [1.0, 0.0]) == [[1, 0], [1, 0]]
+    data = [(i, "big" if i < 300 else f"k{i}", "ab"[i % 3 == 0] if i < 300 else "ab"[i % 2]) for i in range(900)]
+    df = spark.createDataFrame(data, "id bigint, k string, s string")
+    out = grouped_split(df, "id", {"k": F.col("k")}, F.col("s"), {"train": 0.8, "valid": 0.1, "eval": 0.1})
+    label = {i: s for i, _, s in data}
+    have = collections.Counter((label[r["id"]], r["split"]) for r in out.collect())
+    rows = collections.Counter(label.values())
+    assert all(abs(have[x, s] - rows[x] * q) <= 1.5 for x in "ab" for s, q in (("train", 0.8), ("valid", 0.1), ("eval", 0.1)))
+
+
 # ---------------------------------------------------------------- 3
 def lists(draw_seed, n, base=None):
     rng = random.Random(draw_seed)
