@@ -374,14 +374,15 @@ def name_links(keys: DataFrame) -> DataFrame:
     return by_frame.unionByName(equal).unionByName(typo).filter("src <> dst")
 
 
-def picture_classes(images: DataFrame, annotations: DataFrame) -> DataFrame:
+def picture_classes(images: DataFrame, annotations: DataFrame, across: bool = False) -> DataFrame:
     """``(image_id, class_id, split, source)``: images that hold the same picture share ``class_id``, the smallest image id of the class.
 
     Same names, same object lists, and both together through any third image. One row per image id
     (its latest row); images without an id are left out. Images without objects, names that tell
     nothing, null splits and sizes, and empty tables are fine; other columns play no part. Every
-    link is found (see the link functions), none is capped; only lists of more than LONG_LIST
-    objects are left uncompared where no outcome could bring a train and a held-out image together.
+    link is found (see the link functions), none is capped. ``across``: for cross-split use only;
+    lists of more than LONG_LIST objects are left uncompared where no outcome could bring a train
+    and a held-out image together, so that their classes may be incomplete.
     """
     now = latest_rows(images, "id", "ingested_at", ["id", "file_name", "split", "source", "width", "height"])
     spark = images.sparkSession
@@ -396,7 +397,9 @@ def picture_classes(images: DataFrame, annotations: DataFrame) -> DataFrame:
     edges = spark.read.parquet(path)
     classes = _classes(now, edges)
     mates = long_list_mates(objects)
-    if not mates.isEmpty() and not (mates := mates_that_matter(mates, classes)).isEmpty():
+    if across and not mates.isEmpty():
+        mates = mates_that_matter(mates, classes)
+    if not mates.isEmpty():
         long = long_list_links(objects, mates)
         if long is not None:
             classes = _classes(now, edges.unionByName(long))

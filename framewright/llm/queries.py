@@ -43,7 +43,7 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return cross_split_pairs(picture_classes(table(spark, d, "images"), table(spark, d, "annotations")))
+    return cross_split_pairs(picture_classes(table(spark, d, "images"), table(spark, d, "annotations"), across=True))
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return cross_split_report(picture_classes(table(spark, d, "images"), table(spark, d, "annotations")))
+    return cross_split_report(picture_classes(table(spark, d, "images"), table(spark, d, "annotations"), across=True))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

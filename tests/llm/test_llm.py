@@ -215,6 +215,15 @@ def test_cross_split_pairs(spark, rows, long):
     assert report == {"valid": (3, 2, 2), "eval": (4, 2, 2)}
 
 
+def test_long_lists_of_one_split_share_a_class(spark):
+    images, notes = pictures(spark, True)
+    for split in ("train", "eval"):
+        one = images.withColumn("split", F.lit(split))
+        full = {r["image_id"]: r["class_id"] for r in overlap.picture_classes(one, notes).collect()}
+        assert full[7] == full[8] == full[9] != full[10]
+    assert overlap.cross_split_pairs(overlap.picture_classes(images, notes, across=True)).count() == 4
+
+
 def test_cross_split_empty(spark, rows):
     images, notes = pictures(spark)
     assert rows(overlap.cross_split_pairs(overlap.picture_classes(images.limit(0), notes))) == []
