@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.tokens import TOKENIZERS, with_token_count
-from framewright.session import scratch_path
+from framewright.session import few_rows, scratch_path
 
 #: Most blocks that the splitting tree deals out; the block table (about 40 bytes a row) is collected and broadcast.
 MAX_BLOCKS = 20_000
@@ -83,7 +83,7 @@ def mix_sources(
     document count as documents; null keys are dropped. No documents, or no targets, give no rows.
     """
     spark = docs.sparkSession
-    wanted = [(r[0], r[1], r[2]) for r in targets.select(F.lower(F.trim(F.col("source"))), F.col("weight").cast("double"), F.col("max_repeats").cast("int")).limit(MAX_BLOCKS).collect() if r[0] is not None]
+    wanted = [(r[0], r[1], r[2]) for r in few_rows(targets.select(F.lower(F.trim(F.col("source"))), F.col("weight").cast("double"), F.col("max_repeats").cast("int")), "mix targets", MAX_BLOCKS) if r[0] is not None]
     named = docs.select(F.lower(F.trim(F.col(f"`{source}`"))).alias("source"), F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     used = named.filter(F.col("source").isin([s for s, *_ in wanted]) & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     path = scratch_path(spark, "mix")

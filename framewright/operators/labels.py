@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.presets import load_preset
 from framewright.model import ANNOTATION_TYPES, Dataset, formatted, label_column
+from framewright.session import few_rows
 
 
 class IncompatibleLabelMapsError(ValueError):
@@ -71,7 +72,7 @@ def remap_classes(ds: Dataset, mapping: dict[int, int], new_names: dict[int, str
 
 def remap_from_table(ds: Dataset, table: DataFrame, **how: bool) -> Dataset:
     """Mapping from ``input_category_id, output_category_id, output_category_name`` rows (a few thousand at most)."""
-    rows = table.select("input_category_id", "output_category_id", "output_category_name").limit(100_000).collect()
+    rows = few_rows(table.select("input_category_id", "output_category_id", "output_category_name"), "rows in the remap table")
     names: dict[int, str] = {}
     for r in rows:
         names.setdefault(int(r[1]), r[2])

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from framewright.model import Dataset
 from framewright.operators.latest import latest_rows
-from framewright.session import table
+from framewright.session import few_rows, table
 
 _BOXES = ["box_x_min", "box_y_min", "box_width", "box_height"]
 
 
 def label_map(spark: SparkSession, d: str) -> dict[int, str]:
-    rows = table(spark, d, "categories").select("id", "name").limit(100_000).collect()
+    rows = few_rows(table(spark, d, "categories").select("id", "name"), "categories")
     return {r[0]: r[1] for r in sorted(rows)}
 
 

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -54,6 +54,14 @@ def _clean() -> None:
             return
 
 
+def few_rows(df: DataFrame, what: str, limit: int = 100_000) -> list[Row]:
+    """All rows of ``df`` on the driver; more than ``limit`` raise ValueError."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} {what}")
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

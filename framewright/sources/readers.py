@@ -16,6 +16,7 @@ from framewright.model import Dataset, formatted
 from framewright.operators import onehot
 from framewright.operators.labels import construct_label_map
 from framewright.operators.setops import merge
+from framewright.session import few_rows
 from framewright.sources.common import assemble, flat_columns, image_files, parse_value, relative_to, split_of_name, stem_of, with_image_info, without_null_columns
 
 
@@ -306,7 +307,7 @@ def from_pascal_voc_generic(spark: SparkSession, annotations_root: str, images_r
     rows = numbered(bodies.unionByName(parts, allowMissingColumns=True).unionByName(points, allowMissingColumns=True), [F.col("image_id"), F.col("at"), F.col("sub")], "id")
     owner = rows.filter("sub = -1").select(F.col("image_id").alias("__i"), F.col("at").alias("__a"), F.col("id").alias("body"))
     rows = rows.join(owner, (F.col("image_id") == F.col("__i")) & (F.col("at") == F.col("__a")), "left").withColumn("body_id", F.when(F.col("sub") >= 0, F.col("body"))).drop("__i", "__a", "body", "at", "sub")
-    names = sorted(r[0] for r in rows.select("category_str").distinct().limit(100_000).collect() if r[0] is not None)
+    names = sorted(r[0] for r in few_rows(rows.select("category_str").distinct(), "category names") if r[0] is not None)
     ids = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))) if names else None
     rows = rows.withColumn("category_id", ids[F.col("category_str")] if names else F.lit(None).cast("int"))
     return assemble(images, rows, dict(enumerate(names)), images_root, name, "XYXY", ["x1", "y1", "x2", "y2"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framewright.evaluator import Evaluator
 from framewright.functions.groups import ContinuousGroup, bin_edges
 from framewright.functions.presets import load_preset
+from framewright.llm import mixing
 from framewright.model import Dataset
 from framewright.operators import append, histograms, labels, onehot, quality, reindex, setops, splitting
 from framewright.operators.matching import greedy_match
@@ -76,6 +77,16 @@ def test_labels(ds):
         load_preset("supercategory", "coco")
 
 
+def test_tables_that_are_too_long_raise(spark, ds, monkeypatch):
+    table = spark.range(100_001).select(F.col("id").alias("input_category_id"), F.lit(1).alias("output_category_id"), F.lit("x").alias("output_category_name"))
+    with pytest.raises(ValueError, match="remap table"):
+        labels.remap_from_table(ds, table)
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 1)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
+    with pytest.raises(ValueError, match="mix targets"):
+        mixing.mix_sources(spark.createDataFrame([], "doc_id bigint, source string, text string"), targets)
+
+
 def test_reindex(ds):
     out = reindex.reset_index(ds.filter_images("id >= 4"), 100, 500)
     assert sorted(r["id"] for r in out.images.collect()) == list(range(100, 108))
