@@ -7,6 +7,35 @@ from pyspark.sql import functions as F
 
 from framewright.session import cut
 
+#: A key of more rows than this and than a MAX_HOT-th of all rows is joined apart from the rest; there can be at most MAX_HOT of them.
+HOT_ROWS, MAX_HOT = 1_000_000, 2000
+
+
+def join_one(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``per_key``, which has one row for every ``key`` in them and their number ``k``; ``k`` is dropped.
+
+    Keys of very many rows are looked up in a broadcast of their few ``per_key`` rows, so that no task gets
+    them all; the others are joined by a shuffle.
+    """
+    size = per_key.agg(F.max("k").alias("most"), F.sum("k").alias("total")).first()
+    limit = max(HOT_ROWS, (size["total"] or 0) // MAX_HOT)
+    if (size["most"] or 0) <= limit:
+        return rows.join(per_key.drop("k"), key)
+    hot = per_key.filter(F.col("k") > limit).drop("k")
+    keys = [r[0] for r in hot.select(key).collect()]
+    is_hot = F.col(key).isin(keys)
+    return rows.filter(is_hot).join(F.broadcast(hot), key).unionByName(rows.filter(~is_hot).join(per_key.filter(~is_hot).drop("k"), key))
+
+
+def value_edges(rows: DataFrame, value: str) -> DataFrame:
+    """Edges ``(src, dst)`` of ``rows`` (``id`` and a value): every id is linked to the smallest id of its value; null values link nothing.
+
+    The smallest ids are combined before the shuffle, and a value of any share of the rows is no burden (``join_one``).
+    """
+    has = rows.filter(F.col(value).isNotNull())
+    named = has.groupBy(value).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k"))
+    return join_one(has, named, value).select(F.col("id").alias("src"), F.col("least").alias("dst"))
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Component of every node that an edge names: ``(node, component)``, component = smallest node.
@@ -15,8 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a loop (a, a) only makes the node appear. No edges give no rows. Each round runs a
     large-star and a small-star step (Kiveris et al., 2014), so the number of rounds grows
     with the logarithm of the longest chain. Edges stay distributed; every round is cut with
-    a reliable checkpoint, and only a count and a checksum reach the driver. A hub of many
-    edges is a skewed join key, which adaptive execution splits.
+    a reliable checkpoint, and only a count and a checksum reach the driver. A hub of very many
+    edges is joined apart from the rest (``join_one``).
     """
     pairs = edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v")).dropna()
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node"))
@@ -50,8 +79,8 @@ def _checksum(stars: DataFrame) -> tuple[int, int]:
 def _large_star(stars: DataFrame) -> DataFrame:
     """Every neighbour larger than u is linked to the smallest of u's neighbourhood."""
     both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    linked = both.filter("v > u").join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+    linked = join_one(both.filter("v > u"), least, "u")
     return linked.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 

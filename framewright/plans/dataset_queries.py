@@ -9,8 +9,10 @@ from framewright.functions import groups as G
 from framewright.functions.boxes import BOX, LAYOUTS, box_format, convert, with_format
 from framewright.model import Dataset
 from framewright.operators import append, histograms, labels, onehot, reindex, setops, splitting
+from framewright.operators.latest import latest_rows
 from framewright.operators.numbering import numbered
 from framewright.plans.view import annotated, boxes_of, images_of, label_map, predicted, registrar
+from framewright.session import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -296,8 +298,6 @@ def remove_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select category_id, count(distinct category_str) as n_names from annotations group by 1 having count(distinct category_str) > 1", raw=True)
 def label_map_check(spark: SparkSession, d: str) -> DataFrame:
-    from framewright.session import table
-
     return labels.label_conflicts(table(spark, d, "annotations"))
 
 
@@ -417,13 +417,47 @@ _CHUNK_SRC = "c as (select id, lower(trim(uploader)) as person, tags_weather ||
 @query(f"""with recursive {_CHUNK_SRC}, pl as (select person, min(id) as m from c where person is not null group by 1)
   select c.id, coalesce(pl.m, c.id) as chunk from c left join pl on c.person = pl.person""", raw=True)
 def atomic_chunks(spark: SparkSession, d: str) -> DataFrame:
-    from framewright.operators.latest import latest_rows
-    from framewright.session import table
-
     rows = latest_rows(table(spark, d, "images"), "id", "ingested_at", ["id", "uploader"]).select("id", F.lower(F.trim("uploader")).alias("person"))
     return splitting.atomic_chunks(rows, ["person"])
 
 
+@query(f"""with recursive {_CHUNK_SRC}, edges as (select a.id as a, b.m as b from c a join (select person, min(id) as m from c where person is not null group by 1) b using (person)
+    union select a.id, b.m from c a join (select scene, min(id) as m from c where scene is not null group by 1) b using (scene)),
+  sym as (select a, b from edges union select b, a from edges),
+  reach as (select id as a, id as b from c union select r.a, s.b from reach r join sym s on s.a = r.b)
+  select a as id, min(b) as chunk from reach group by a""", raw=True)
+def atomic_chunks_chained(spark: SparkSession, d: str) -> DataFrame:
+    rows = latest_rows(table(spark, d, "images"), "id", "ingested_at", ["id", "uploader", "tags_weather", "width", "height", "source"])
+    person = F.lower(F.trim("uploader"))
+    return splitting.atomic_chunks(rows.select("id", person.alias("person"), F.concat("tags_weather", F.col("width").cast("string"), F.col("height").cast("string"), "source").alias("scene")), ["person", "scene"])
+
+
+def _own_images(spark: SparkSession, d: str) -> Dataset:
+    """The images, annotated or not, without their splits, and with who sent them."""
+    ds = annotated(spark, d)
+    who = latest_rows(table(spark, d, "images"), "id", "ingested_at", ["id", "uploader"]).select("id", F.lower(F.trim("uploader")).alias("person"))
+    return ds.with_(images=ds.images.drop("split").join(who, "id"), annotations=ds.annotations.drop("split"))
+
+
+@query(f"with {_CHUNK_SRC} select person, count(*) as n_images, 1::bigint as n_splits from c where person is not null group by 1", raw=True)
+def split_dataset_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """In how many splits the images of a person are: one, whether they have annotations or not."""
+    out = splitting.split_dataset(_own_images(spark, d), ["train", "valid"], [0.8, 0.2], ["person"], ["category_id"], 3)
+    return out.images.filter("person is not null").groupBy("person").agg(F.count(F.lit(1)).alias("n_images"), F.count_distinct("split").alias("n_splits"))
+
+
+@query("select name, true as within from (values ('every image has a split'), ('train share'), ('classes in train')) v(name)", raw=True)
+def split_dataset_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The train share of the images is within a hundredth of the one asked for; those of the large classes are off by a tenth or less on average."""
+    out = splitting.split_dataset(_own_images(spark, d), ["train", "valid"], [0.8, 0.2], [], ["category_id"], 3)
+    one = out.images.agg((F.count("split") == F.count(F.lit(1))).alias("all"), (F.abs(F.avg((F.col("split") == "train").cast("int")) - 0.8) <= 0.01).alias("share"))
+    per = out.annotations.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("split") == "train").cast("int")).alias("p"), F.max("image_id").alias("i")).filter("n >= 500")
+    # one image holds a tenth of all rows, so no class by itself can be held to much
+    fine = per.agg((F.coalesce(F.sum(F.abs(F.col("p") - 0.8) * F.col("n")) / F.sum("n"), F.lit(0.0)) <= 0.1).alias("classes"))
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("within")) for n, c in (("every image has a split", "all"), ("train share", "share"), ("classes in train", "classes"))))
+    return one.crossJoin(fine).select(F.inline(rows))
+
+
 @query(None)
 def split_balanced(spark: SparkSession, d: str) -> DataFrame:
     ds = annotated(spark, d)

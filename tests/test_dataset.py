@@ -156,6 +156,32 @@ def test_chunks_and_splits(spark, ds):
     assert len(out) == 12 and {r[0] for r in out.images.select("split").distinct().collect()} == {"train", "valid"}
 
 
+def test_split_dataset_keeps_groups_of_images_without_annotations(spark, monkeypatch):
+    images = spark.createDataFrame([(i, 10, 10, f"{i}.jpg", f"s{i % 20}", "valid" if i == 3 else None) for i in range(80)], "id bigint, width int, height int, relative_path string, source string, split string")
+    notes = spark.createDataFrame([(i, i * 2 % 80, i % 3, 1.0, 1.0, float(i % 7), 2.0, f"t{i}" if i < 196 else "same") for i in range(200)], "id bigint, image_id bigint, category_id int, box_x_min double, box_y_min double, box_width double, box_height double, track string")
+    ds = Dataset.build(images, notes, {0: "a", 1: "b", 2: "c"})
+    for profiles in (1000, 2):
+        monkeypatch.setattr(splitting, "MAX_PROFILES", profiles)
+        out = splitting.split_dataset(ds, ["train", "valid"], [0.8, 0.2], ["source", "track"], ["category_id", ContinuousGroup("box_width", (-1.0, 3.0, 7.0), label_type="mid")], weights=[1, 2])
+        at = {r["id"]: (r["source"], r["split"]) for r in out.images.collect()}
+        assert len(set(at.values())) == 20 and at[3][1] == "valid" and {x[1] for x in at.values()} == {"train", "valid"}
+        assert len({at[i * 2 % 80][1] for i in range(196, 200)}) == 1
+        assert sum(x[1] == "train" for x in at.values()) / 80 == pytest.approx(0.8, abs=0.11)
+    empty = splitting.split_dataset(Dataset.build(images.limit(0), notes.limit(0)), ["train", "valid"], [0.8, 0.2], ["source"], ["category_id"])
+    assert len(empty) == 0
+
+
+def test_hot_values_are_joined_apart(spark, rows, monkeypatch):
+    from framewright.operators import components
+
+    df = spark.createDataFrame([(i, "hot" if i % 2 else f"v{i // 6}") for i in range(300)] + [(999, None)], "id bigint, v string")
+    want = rows(components.value_edges(df, "v"))
+    monkeypatch.setattr(components, "HOT_ROWS", 10)
+    assert rows(components.value_edges(df, "v")) == want and len(want) == 300
+    star = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(199, 300)], "src bigint, dst bigint")
+    assert {r["component"] for r in components.connected_components(star).collect()} == {0}
+
+
 def greedy_by_hand(g, p, min_iou):
     def iou(a, b):
         w = max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]))
