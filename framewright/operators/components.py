@@ -12,19 +12,19 @@ HOT_ROWS, MAX_HOT = 1_000_000, 2000
 
 
 def join_one(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined to ``per_key``, which has one row for every ``key`` in them and their number ``k``; ``k`` is dropped.
+    """``rows`` joined to ``per_key``, which has one row for every ``key`` in them and their number ``__k``, which is dropped.
 
     Keys of very many rows are looked up in a broadcast of their few ``per_key`` rows, so that no task gets
     them all; the others are joined by a shuffle.
     """
-    size = per_key.agg(F.max("k").alias("most"), F.sum("k").alias("total")).first()
+    size = per_key.agg(F.max("__k").alias("most"), F.sum("__k").alias("total")).first()
     limit = max(HOT_ROWS, (size["total"] or 0) // MAX_HOT)
     if (size["most"] or 0) <= limit:
-        return rows.join(per_key.drop("k"), key)
-    hot = per_key.filter(F.col("k") > limit).drop("k")
+        return rows.join(per_key.drop("__k"), key)
+    hot = per_key.filter(F.col("__k") > limit).drop("__k")
     keys = [r[0] for r in hot.select(key).collect()]
     is_hot = F.col(key).isin(keys)
-    return rows.filter(is_hot).join(F.broadcast(hot), key).unionByName(rows.filter(~is_hot).join(per_key.filter(~is_hot).drop("k"), key))
+    return rows.filter(is_hot).join(F.broadcast(hot), key).unionByName(rows.filter(~is_hot).join(per_key.filter(~is_hot).drop("__k"), key))
 
 
 def value_edges(rows: DataFrame, value: str) -> DataFrame:
@@ -33,7 +33,7 @@ def value_edges(rows: DataFrame, value: str) -> DataFrame:
     The smallest ids are combined before the shuffle, and a value of any share of the rows is no burden (``join_one``).
     """
     has = rows.filter(F.col(value).isNotNull())
-    named = has.groupBy(value).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k"))
+    named = has.groupBy(value).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("__k"))
     return join_one(has, named, value).select(F.col("id").alias("src"), F.col("least").alias("dst"))
 
 
@@ -79,7 +79,7 @@ def _checksum(stars: DataFrame) -> tuple[int, int]:
 def _large_star(stars: DataFrame) -> DataFrame:
     """Every neighbour larger than u is linked to the smallest of u's neighbourhood."""
     both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__k"))
     linked = join_one(both.filter("v > u"), least, "u")
     return linked.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
