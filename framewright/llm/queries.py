@@ -42,6 +42,14 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return split_report(_split_images(spark, d))
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """``(source, n, n_ids, within)``: rows and ids per source, and whether every split has its share of them within 15 images (the largest groups are a fifth of the smallest tables) or a thousandth."""
+    sources = table(spark, d, "images").filter("id is not null").groupBy("id").agg(F.max(F.coalesce(F.lower(F.trim("source")), F.lit(""))).alias("source"))
+    got = _split_images(spark, d).join(sources, "id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), *(F.count_if(F.col("split") == s).alias(s) for s in SHARES))
+    off = F.greatest(*(F.abs(F.col(s) - F.col("n") * w) for s, w in SHARES.items()))
+    return got.select("source", "n", "n_ids", (off <= F.greatest(F.lit(15.0), F.col("n") * 0.001)).alias("within"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cross_split_pairs(picture_classes(table(spark, d, "images"), table(spark, d, "annotations"), across=True))
 
@@ -75,7 +83,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return with_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p3_found, p3_classes, p3_report, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p2_checks, p3_found, p3_classes, p3_report, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
 SQL: dict[str, str] = {
     "p1_found": """
         with last as (select * from predictions where id is not null qualify row_number() over (partition by id order by ingested_at desc) = 1)
@@ -98,6 +106,9 @@ SQL: dict[str, str] = {
         select image_id, group_id from g where group_id in (select group_id from g group by 1 having count(*) > 1)""",
 }
 
+SQL["p2_checks"] = """
+select s as source, count(*) as n, count(*) as n_ids, true as within from (select id, max(coalesce(lower(trim(source)), '')) as s from images where id is not null group by id) group by s"""
+
 #: Shapes for the oracle, in composed form: look-alike letters with and without accents, width forms, blanks, hyphens.
 _PAIRS = {o: latin for latin, others in LOOK_ALIKE.items() for o in others} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys("\u00a0\u2002\u2003\u2005\u2007\u2009\u200a\u202f\u3000", " ") | dict.fromkeys("\u2010\u2011", "-")
 for _other, _latin in list(_PAIRS.items()):

@@ -9,20 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.flow import Flow
-from framewright.operators.components import connected_components
+from framewright.operators.components import connected_components, value_edges
 from framewright.operators.numbering import hashed_rank
-from framewright.session import cut
+from framewright.session import cut, few_rows
 
-#: Components up to this size are bundled by their exact label counts, larger ones by STEPS size classes per doubling, the commonest label and its share.
-EXACT_SIZE, STEPS = 32, 8
-#: Components of at least a WHOLE-th of all rows are bundles of their own. Most bundles of exact counts; components of rarer counts are classed like larger ones.
-WHOLE, MAX_PROFILES = 1000, 4096
+#: Bundles of components of identical size and label counts planned as they are: those of most rows, so every component of a
+#: MAX_PROFILES-th of all rows or more is among them. Components of rarer profiles are bundled by class; see ``grouped_split``.
+MAX_PROFILES = 8192
+#: Classes of the rarer profiles: STEPS sizes per doubling, the commonest label if it is one of CLASS_LABELS, and its share in eighths.
+STEPS, CLASS_LABELS = 8, 64
+#: Labels that have quotas; more raise ValueError.
+MAX_LABELS = 100_000
+#: Cost of a row beyond the quota of its label in a split, beyond the quota of the split, and beyond its bundle's.
+LABEL_COST, SPLIT_COST, BUNDLE_COST = 1, 8, 0.25
+#: Steps in which the price of the one unit that goes over a quota in part is told apart; few steps are few phases of the flow.
+PRICE_STEPS = 16
 #: Passes of the last exchange, and bundles of one size that take part in it.
 MAX_PASSES, MAX_LIKE = 10, 48
-#: Labels told apart; rarer ones share one class. Together they bound the bundles, whatever the input.
-MAX_LABELS = 64
-#: Cost of a row beyond the quota of its label in a split, and beyond the quota of the split.
-LABEL_COST, SPLIT_COST = 1, 8
+#: A group of at least a HOT-th of all rows is joined apart; there are at most HOT of them.
+HOT = 200
 
 
 def linked_groups(records: DataFrame, key: str, links: dict[str, Column]) -> DataFrame:
@@ -30,16 +35,14 @@ def linked_groups(records: DataFrame, key: str, links: dict[str, Column]) -> Dat
 
     ``group_id`` is the smallest key of the group. Null link values link nothing; a record without
     links is its own group; repeated rows of a key count once and bring all their links. Every link
-    value is named by the smallest key that has it (combined before the shuffle, so a value of a
-    third of all rows is no burden); records then are edges between such names, and only the
-    distinct edges enter the connected components.
+    value is named by the smallest key that has it (combined before the shuffle, and hot values
+    joined apart, so a value of a third of all rows is no burden); records then are edges between
+    such names, and only the distinct edges enter the connected components.
     """
     base = cut(records.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), *(c.alias(n) for n, c in links.items())))
     edges: DataFrame | None = None
     for name in links:
-        has = base.filter(F.col(name).isNotNull())
-        named = has.groupBy(name).agg(F.min("id").alias("least"))
-        one = has.join(named, name).select(F.col("id").alias("src"), F.col("least").alias("dst"))
+        one = value_edges(base.select("id", name), name)
         edges = one if edges is None else edges.unionByName(one)
     assert edges is not None
     parts = connected_components(edges.filter("src <> dst").distinct())
@@ -55,94 +58,100 @@ def solve_quotas(bundles: list[tuple[str, int, int]], shares: list[float]) -> li
 def allot(bundles: list[tuple[int, dict[str, int]]], shares: list[float]) -> list[list[int]]:
     """How many components of every bundle go to every split.
 
-    A bundle is (components, rows of every label in them). A row over its label's quota in a split
-    costs LABEL_COST, one over the split's own quota SPLIT_COST. Bundles of too few components to
-    give every split one are placed first, largest components first, each where its whole label
-    counts cost least. What they leave of the quotas (less than nothing, where they go over) are the
-    free arcs of a min-cost flow of the other bundles' rows; the arcs from bundles to labels carry
-    the bundles' counts exactly, so they are added up per label. Every bundle follows the flow of
-    its labels in whole components, largest first, and what rounding down leaves goes where it
-    costs least. At last components are moved, and exchanged with others of equal size, as long as
-    that lowers the cost.
+    A bundle is (components, rows of every label in them). Sizes are settled from the largest down,
+    each by one min-cost flow of whole components (``flow_of_size``), against the quotas of all rows
+    of that size or more, less what larger components took; so every deviation that large
+    components leave is made up by smaller ones, and each split gets its share of large and small.
+    At last components are moved, and exchanged with others of equal size, as long as that lowers
+    the cost over all quotas. For components of one size and one label each, the flow is least;
+    over several sizes or mixed labels the result is not proved least.
     """
     k = len(shares)
-    rows: dict[str, int] = {}
-    for _, counts in bundles:
-        for x, r in counts.items():
-            rows[x] = rows.get(x, 0) + r
-    total = sum(rows.values())
-    quota = {x: [r * s for s in shares] for x, r in rows.items()}
-    left = {x: list(q) for x, q in quota.items()}
-    overall = [total * s for s in shares]
-    open_to = [j for j in range(k) if shares[j] > 0]
     out = [[0] * k for _ in bundles]
     each = [{x: r / n for x, r in counts.items()} for n, counts in bundles]
     size = [sum(e.values()) for e in each]
-    order = sorted(range(len(bundles)), key=lambda i: (-size[i], i))
-
-    def put(i: int, j: int, n: int) -> None:
-        out[i][j] += n
-        overall[j] -= n * size[i]
-        for x, r in each[i].items():
-            left[x][j] -= n * r
-
-    def over(need: float, more: float) -> float:
-        return max(0.0, more - need) - max(0.0, -need)
-
-    def put_best(i: int) -> None:
-        def rank(j: int) -> tuple[float, float, int]:
-            cost = SPLIT_COST * over(overall[j], size[i]) + LABEL_COST * sum(over(left[x][j], r) for x, r in each[i].items())
-            room = min((overall[j] - size[i]) / (total * shares[j]), *((left[x][j] - r) / quota[x][j] for x, r in each[i].items()))
-            return round(cost, 6), -room, j
-
-        put(i, min(open_to, key=rank), 1)
-
-    few = [i for i in order if any(bundles[i][0] * shares[j] < 1 for j in open_to)]
-    for i in few:
-        for _ in range(bundles[i][0]):
-            put_best(i)
-    placed = set(few)
-    rest = [i for i in order if i not in placed]
-    aim = flow_of_rest([bundles[i][1] for i in rest], left, overall)
-    for i in rest:
-        count, counts = bundles[i]
-        part = [0.0] * k
-        for x, r in counts.items():
-            room = sum(max(0.0, a) for a in aim[x])
+    left: dict[str, list[float]] = {}
+    overall = [0.0] * k
+    same: dict[float, list[int]] = {}
+    for i in range(len(bundles)):
+        same.setdefault(round(size[i], 6), []).append(i)
+    for s in sorted(same, reverse=True):
+        here = same[s]
+        for i in here:
+            for x, r in bundles[i][1].items():
+                room = left.setdefault(x, [0.0] * k)
+                for j in range(k):
+                    room[j] += r * shares[j]
+                    overall[j] += r * shares[j]
+        for i, row in zip(here, flow_of_size([(bundles[i][0], each[i]) for i in here], s, left, overall, shares), strict=True):
+            out[i] = row
             for j in range(k):
-                part[j] += r * (max(0.0, aim[x][j]) / room if room > 0 else shares[j])
-        for j in range(k):
-            n = math.floor(part[j] / size[i] + 1e-9)
-            put(i, j, n)
-        for _ in range(count - sum(out[i])):
-            put_best(i)
-        for j in range(k):
-            for x, r in each[i].items():
-                aim[x][j] -= out[i][j] * r
-    _exchange(order, each, size, out, left, overall, open_to)
+                overall[j] -= row[j] * size[i]
+                for x, r in each[i].items():
+                    left[x][j] -= row[j] * r
+    order = sorted(range(len(bundles)), key=lambda i: (-size[i], i))
+    _exchange(order, each, size, out, left, overall, [j for j in range(k) if shares[j] > 0])
     return out
 
 
-def flow_of_rest(bundles: list[dict[str, int]], left: dict[str, list[float]], overall: list[float]) -> dict[str, list[float]]:
-    """Rows of every label to every split at the least cost, where ``left`` and ``overall`` are what the quotas still have."""
-    rows: dict[str, int] = {}
-    for counts in bundles:
-        for x, r in counts.items():
-            rows[x] = rows.get(x, 0) + r
-    labels, k, total = sorted(rows), len(overall), sum(rows.values())
-    n = len(labels)
-    if not total:
-        return {}
-    flow = Flow(2 + n + k)
-    arcs: dict[str, list[tuple[int, int]]] = {}
-    for i, x in enumerate(labels):
-        flow.arc(0, 2 + i, rows[x], 0)
-        arcs[x] = [(flow.arc(2 + i, 2 + n + j, max(0.0, left[x][j]), 0), flow.arc(2 + i, 2 + n + j, rows[x], LABEL_COST)) for j in range(k)]
+def _quota_arcs(flow: Flow, a: int, b: int, quota: float, unit: float, most: int, cost: float) -> list[int]:
+    """Arcs from a to b for up to ``most`` units of ``unit`` rows each: free below the quota, then at the price of the rows that go over it."""
+    whole = min(most, max(0, math.floor(quota / unit + 1e-9)))
+    arcs = [flow.arc(a, b, whole, 0.0)] if whole else []
+    if whole < most:
+        over = min(1.0, max(0.0, 1 - (quota / unit - whole))) if quota > 0 else 1.0
+        arcs.append(flow.arc(a, b, 1, math.ceil(over * PRICE_STEPS) / PRICE_STEPS * unit * cost))
+        if whole + 1 < most:
+            arcs.append(flow.arc(a, b, most - whole - 1, unit * cost))
+    return arcs
+
+
+def flow_of_size(bundles: list[tuple[int, dict[str, float]]], size: float, left: dict[str, list[float]], overall: list[float], shares: list[float]) -> list[list[int]]:
+    """Components of every bundle (components, rows of every label in one) to every split, for bundles of one size, at the least cost.
+
+    Components flow from their bundle to (commonest label, split) to split. Each of the three steps
+    has arcs that are free up to the bundle's, the label's and the split's quota and cost the rows
+    beyond it, so the cost is convex; a bundle's other labels add what they are over already in a
+    split. All capacities are whole numbers of components, and so is the flow.
+    """
+    k = len(shares)
+    main = [max(e, key=lambda x: (e[x], x)) for _, e in bundles]
+    rows: dict[str, tuple[float, int]] = {}
+    for (n, e), x in zip(bundles, main, strict=True):
+        r, m = rows.get(x, (0.0, 0))
+        rows[x] = (r + n * e[x], m + n)
+    labels = sorted(rows)
+    total = sum(n for n, _ in bundles)
+    at_label = {x: 2 + len(bundles) + i * k for i, x in enumerate(labels)}
+    at_split = 2 + len(bundles) + len(labels) * k
+    flow = Flow(at_split + k)
+    arcs: list[list[list[int]]] = []
+    for i, ((n, e), x) in enumerate(zip(bundles, main, strict=True)):
+        flow.arc(0, 2 + i, n, 0.0)
+        mine: list[list[int]] = []
+        for j in range(k):
+            if not shares[j]:
+                mine.append([])
+                continue
+            others = sum(LABEL_COST * min(r, max(0.0, r - left[y][j])) for y, r in e.items() if y != x)
+            at = at_label[x] + j
+            first = len(flow.to)
+            _quota_arcs(flow, 2 + i, at, n * size * shares[j], size, n, BUNDLE_COST)
+            made = list(range(first, len(flow.to), 2))
+            if others:
+                for a in made:
+                    flow.price[a] += others
+                    flow.price[a ^ 1] -= others
+            mine.append(made)
+        arcs.append(mine)
+    for x in labels:
+        r, m = rows[x]
+        for j in range(k):
+            _quota_arcs(flow, at_label[x] + j, at_split + j, left[x][j], r / m, m, LABEL_COST)
     for j in range(k):
-        flow.arc(2 + n + j, 1, max(0.0, overall[j]), 0)
-        flow.arc(2 + n + j, 1, total, SPLIT_COST)
+        _quota_arcs(flow, at_split + j, 1, overall[j], size, total, SPLIT_COST)
     flow.run(0, 1, total)
-    return {x: [flow.sent(a) + flow.sent(b) for a, b in arcs[x]] for x in labels}
+    return [[round(sum(flow.sent(a) for a in made)) for made in mine] for mine in arcs]
 
 
 def _exchange(order: list[int], each: list[dict[str, float]], size: list[float], out: list[list[int]], left: dict[str, list[float]], overall: list[float], open_to: list[int]) -> None:
@@ -204,14 +213,16 @@ def _exchange(order: list[int], each: list[dict[str, float]], size: list[float],
 def grouped_split(records: DataFrame, key: str, links: dict[str, Column], label: Column, shares: dict[str, float], seed: int = 11) -> DataFrame:
     """``(key, group_id, group_size, split)``: every key gets a split, linked keys the same one.
 
-    Groups are those of ``linked_groups``. They are bundled by their label counts (exact up to
-    EXACT_SIZE for the MAX_PROFILES profiles of most rows; one by one from a WHOLE-th of all rows;
-    else by size class, commonest label, null as its own, and its share in eighths); there are at
-    most a few ten thousand bundles, whatever the input, and only they reach the driver, each with
-    the rows of every label in it. ``allot`` gives their components to the splits at the least
-    deviation of labels and splits from the asked ``shares`` (which sum to 1), and a bundle's members
-    are dealt out in the order of a hash: by counts of hash cells, and by rank only inside the one
-    cell where a quota ends. A group that is larger than a split's quota makes the shares miss by
+    Groups are those of ``linked_groups``. They are bundled by identical size and label counts
+    (a null label is one of its own); ``allot`` gives the bundles' components to the splits at the
+    least deviation of labels and splits from the asked ``shares`` (which sum to 1), and a bundle's
+    members are dealt out in the order of a hash: by counts of hash cells, and by rank only inside
+    the one cell where a quota ends. Only the bundles reach the driver, each with the rows of every
+    label in it. Where there are more than MAX_PROFILES of them, those of most rows stay as they
+    are, and the components of the others are bundled by size class, commonest label and its share;
+    such a bundle has the exact label sums of its members, so all rows are planned, and what a split
+    gets of it is off by the spread of its members' counts. Every label has its quotas; more than
+    MAX_LABELS raise ValueError. A group that is larger than a split's quota makes the shares miss by
     what it is over. Null keys are dropped, repeated rows of a key count once; an empty table gives
     no rows. The same input and seed give the same splits.
     """
@@ -221,17 +232,16 @@ def grouped_split(records: DataFrame, key: str, links: dict[str, Column], label:
     names = list(shares)
     tagged = records.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias(key)).agg(F.max(F.coalesce(label.cast("string"), F.lit(""))).alias("label"))
     groups = cut(linked_groups(records, key, links).join(tagged, key))
-    common = [r[0] for r in groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(MAX_LABELS).collect()]
-    known = F.when(F.col("label").isin(common), F.col("label")).otherwise(F.lit("other labels"))
-    cells = groups.groupBy("group_id", known.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    found_labels = sorted(few_rows(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels", MAX_LABELS), key=lambda r: (-r["n"], r["label"]))
+    total = sum(r["n"] for r in found_labels)
+    cells = groups.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
     top = cells.groupBy("group_id").agg(F.sum("n").alias("group_size"), F.max(F.struct("n", "label")).alias("top"), F.sort_array(F.collect_list(F.struct("label", "n"))).alias("counts"))
-    total = groups.count()
-    size_class = F.when(F.col("group_size") <= EXACT_SIZE, F.col("group_size")).otherwise(EXACT_SIZE + F.floor(STEPS * (F.log2("group_size") - math.log2(EXACT_SIZE))) + 1)
-    classed = F.to_json(F.struct(size_class.alias("size"), F.col("top.label").alias("label"), F.floor(F.col("top.n") * 8 / F.col("group_size")).alias("eighths")))
-    exact = F.when(F.col("group_size") <= EXACT_SIZE, F.to_json("counts"))
-    named = cut(top.select("group_id", "group_size", "counts", classed.alias("classed"), F.when(F.col("group_size") * WHOLE >= total, F.concat(F.lit("group "), F.col("group_id"))).otherwise(exact).alias("bundle")))
-    common = named.filter("bundle is not null").groupBy("bundle").agg(F.sum("group_size").alias("rows")).orderBy(F.col("rows").desc(), "bundle").limit(MAX_PROFILES + WHOLE).select("bundle", F.lit(True).alias("kept"))
-    sized = cut(named.join(F.broadcast(common), "bundle", "left").select("group_id", "group_size", "counts", F.when(F.col("kept"), F.col("bundle")).otherwise(F.col("classed")).alias("bundle")))
+    exact = F.concat_ws(" ", F.col("group_size"), F.hex(F.xxhash64("counts")), F.crc32(F.to_json("counts").cast("binary")))
+    common_label = F.when(F.col("top.label").isin([r["label"] for r in found_labels[:CLASS_LABELS]]), F.col("top.label"))
+    classed = F.to_json(F.struct(F.floor(STEPS * F.log2("group_size")).alias("size"), common_label.alias("label"), F.floor(F.col("top.n") * 8 / F.col("group_size")).alias("eighths")))
+    named = cut(top.select("group_id", "group_size", "counts", exact.alias("exact"), classed.alias("classed")))
+    common = named.groupBy("exact").agg(F.sum("group_size").alias("rows")).orderBy(F.col("rows").desc(), "exact").limit(MAX_PROFILES).select("exact", F.lit(True).alias("kept"))
+    sized = cut(named.join(F.broadcast(common), "exact", "left").select("group_id", "group_size", "counts", F.when(F.col("kept"), F.col("exact")).otherwise(F.col("classed")).alias("bundle")))
     found = {r["bundle"]: (r["n"], {}) for r in sized.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).orderBy("bundle").collect()}
     for r in sized.select("bundle", F.inline("counts")).groupBy("bundle", "label").agg(F.sum("n").alias("n")).orderBy("bundle", "label").collect():
         found[r["bundle"]][1][r["label"]] = r["n"]
@@ -244,7 +254,13 @@ def grouped_split(records: DataFrame, key: str, links: dict[str, Column], label:
     for i in reversed(range(len(names) - 1)):
         pick = F.when(place <= F.col("ends")[i], F.lit(names[i])).otherwise(pick)
     chosen = ranked.select("group_id", "group_size", pick.alias("split"))
-    return groups.select(key, "group_id").join(chosen, "group_id").select(key, "group_id", "group_size", "split")
+    big = [r[0] for r in sized.filter(F.col("group_size") * HOT > total).select("group_id").collect()]
+    if not big:
+        joined = groups.join(chosen, "group_id")
+    else:
+        is_big = F.col("group_id").isin(big)
+        joined = groups.filter(~is_big).join(chosen.filter(~is_big), "group_id").unionByName(groups.filter(is_big).join(F.broadcast(chosen.filter(is_big)), "group_id"))
+    return joined.select(key, "group_id", "group_size", "split")
 
 
 def split_report(assigned: DataFrame) -> DataFrame:

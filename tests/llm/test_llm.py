@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from framewright.llm import lookalike, overlap, topn
+from framewright.llm import splits as splits_module
 from framewright.llm.mixing import mix_report, mix_sources, plan_mix, split_quotas
 from framewright.llm.picture_names import caption_parts, frame_key, person_key, recording_key, split_name
 from framewright.llm.splits import allot, grouped_split, linked_groups, solve_quotas, split_report
@@ -147,6 +148,63 @@ def test_mixed_groups_count_all_their_labels(spark):
     assert all(abs(have[x, s] - rows[x] * q) <= 1.5 for x in "ab" for s, q in (("train", 0.8), ("valid", 0.1), ("eval", 0.1)))
 
 
+def cost_of(bundles, out, shares):
+    labels, splits = over_quota(bundles, out, shares)
+    return splits_module.LABEL_COST * labels + splits_module.SPLIT_COST * splits
+
+
+def largest_room_first(bundles, shares):
+    """The plain greedy: every component to the split with the most room left, relative to its share."""
+    total = sum(sum(v.values()) for _, v in bundles)
+    have, out = [0.0] * len(shares), [[0] * len(shares) for _ in bundles]
+    for i in sorted(range(len(bundles)), key=lambda i: -sum(bundles[i][1].values()) / bundles[i][0]):
+        n, v = bundles[i]
+        for _ in range(n):
+            j = max(range(len(shares)), key=lambda j: (shares[j] * total - have[j]) / shares[j])
+            have[j] += sum(v.values()) / n
+            out[i][j] += 1
+    return out
+
+
+def test_flow_is_least_and_better_than_greedy():
+    """Components of one size: no whole allocation costs less; the cost is above 0, and the greedy's is higher on the whole."""
+    rng, flow, greedy = random.Random(0), 0.0, 0.0
+    shares = [0.6, 0.25, 0.15]
+    for _ in range(12):
+        bundles = [(n, {x: 5 * n}) for n, x in ((rng.randint(1, 3), x) for x in "abca")]
+        ways = [[q for q in itertools.product(range(n + 1), repeat=3) if sum(q) == n] for n, _ in bundles]
+        least = min(cost_of(bundles, o, shares) for o in itertools.product(*ways))
+        mine = cost_of(bundles, allot(bundles, shares), shares)
+        assert mine == pytest.approx(least) and least > 0
+        flow, greedy = flow + mine, greedy + cost_of(bundles, largest_room_first(bundles, shares), shares)
+    assert flow < 0.9 * greedy
+
+
+def test_flow_alone_decides_without_exchange(monkeypatch):
+    monkeypatch.setattr(splits_module, "_exchange", lambda *a: None)
+    bundles = [(3, {"a": 30}), (7, {"b": 70}), (5, {"c": 50})]
+    ways = [[q for q in itertools.product(range(n + 1), repeat=2) if sum(q) == n] for n, _ in bundles]
+    shares = [0.7, 0.3]
+    assert cost_of(bundles, allot(bundles, shares), shares) == pytest.approx(min(cost_of(bundles, o, shares) for o in itertools.product(*ways)))
+
+
+@pytest.mark.parametrize("profiles", [8192, 3])
+def test_bundles_of_rare_profiles_and_hot_groups(spark, monkeypatch, profiles):
+    monkeypatch.setattr(splits_module, "MAX_PROFILES", profiles)
+    monkeypatch.setattr(splits_module, "HOT", 5)
+    rng = random.Random(1)
+    data = [(i, "big" if i < 1000 else f"k{rng.randrange(400)}", f"label{rng.randrange(90)}") for i in range(3000)]
+    df = spark.createDataFrame(data, "id bigint, k string, s string")
+    out = grouped_split(df, "id", {"k": F.col("k")}, F.col("s"), {"train": 0.8, "valid": 0.1, "eval": 0.1}).collect()
+    assert len(out) == 3000 and len({(r["group_id"], r["split"]) for r in out}) == len({k for _, k, _ in data})
+    have = collections.Counter(r["split"] for r in out)
+    # classed bundles are off by the spread of their members' sizes
+    assert abs(have["train"] - 2400) <= (8 if profiles > 3 else 60)
+    monkeypatch.setattr(splits_module, "MAX_LABELS", 10)
+    with pytest.raises(ValueError):
+        grouped_split(df, "id", {"k": F.col("k")}, F.col("s"), {"train": 0.8, "valid": 0.2})
+
+
 # ---------------------------------------------------------------- 3
 def lists(draw_seed, n, base=None):
     rng = random.Random(draw_seed)
