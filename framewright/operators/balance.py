@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values of the number that ends the range key. Rows alike in everything else can be cut into so many ranges.
+TIES = 65_521
+
 _STATE = "family int, key_id bigint, part int, n bigint, first_at bigint, last_at bigint, max_gap bigint"
 _STATE_ARROW = pa.schema([("family", pa.int32()), ("key_id", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("first_at", pa.int64()), ("last_at", pa.int64()), ("max_gap", pa.int64())])
 
@@ -57,19 +60,21 @@ def balanced_key_stats(rows: DataFrame, parts: int | None = None) -> DataFrame:
     ``rows`` has ``family`` int, ``key_id`` bigint and ``at`` bigint (the secondary order, in
     microseconds). Rows are range-partitioned on the composite (family, key, order) by Spark's
     sampled quantiles, so a key of a third of all rows is cut into as many ranges as its share
-    asks for. Every partition is sorted and folded into one state per key, and the states of a
+    asks for. The range key ends with a row number modulo TIES, so that a key whose order is tied or
+    null throughout (a bulk load under one time) is cut as well. Every partition is sorted and folded into one state per key, and the states of a
     key that goes over partition borders are stitched in order: counts are added, and the gap
     between one range's last and the next range's first arrival is taken into account. Only
     states are shuffled a second time: at most one per key and partition.
 
-    Rows with a null family or key are left out; a null order counts as the earliest. Ties and
+    ``rows`` should come straight from files (or a checkpoint), as the row number must be the same
+    when a lost task is run again. Rows with a null family or key are left out; a null order counts as the earliest. Ties and
     repeated rows count each. No rows give no rows. Result: ``family, key_id, n, first_at,
     last_at, max_gap_us``.
     """
-    ready = rows.filter("family is not null and key_id is not null").select("family", "key_id", F.coalesce("at", F.lit(0)).cast("bigint").alias("at"))
-    by = ["family", "key_id", "at"]
+    ready = rows.filter("family is not null and key_id is not null").select("family", "key_id", F.coalesce("at", F.lit(0)).cast("bigint").alias("at"), F.pmod(F.monotonically_increasing_id(), F.lit(TIES)).cast("int").alias("tie"))
+    by = ["family", "key_id", "at", "tie"]
     ranged = ready.repartitionByRange(parts, *by) if parts else ready.repartitionByRange(*by)
-    states = ranged.sortWithinPartitions(*by).mapInArrow(_states, _STATE)
+    states = ranged.select(*by[:3]).sortWithinPartitions(*by[:3]).mapInArrow(_states, _STATE)
     before = F.lag("last_at").over(Window.partitionBy("family", "key_id").orderBy("first_at", "last_at", "part"))
     stitched = states.withColumn("border", F.coalesce(F.col("first_at") - before, F.lit(0)))
     return stitched.groupBy("family", "key_id").agg(

@@ -1,14 +1,15 @@
-"""References to records that do not exist, from change deltas."""
+"""References to records that do not exist, from signed reference and existence counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys named by more than this share of a table's rows are joined apart from the rest; there can be at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.005
-#: A target of at most so many rows (24 bytes each) is broadcast as a whole; its size is counted first.
-BROADCAST_ROWS = 50_000
+from framewright.operators.components import join_one
+from framewright.operators.latest import first_arrival
+from framewright.session import scratch_path
 
 
 def reference_counts(deltas: DataFrame, *by: str) -> DataFrame:
@@ -53,30 +54,58 @@ def timeline(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("key_id").agg(F.min(rise).alias("born"), F.max(fall).alias("gone"), F.sum("exist_delta").alias("existence"))
 
 
-def _hot_keys(df: DataFrame, field: str) -> list[int]:
-    """The keys with more than HOT_SHARE of the rows; at most 1 / HOT_SHARE by definition."""
-    counts = df.groupBy(F.col(f"`{field}`").cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    return [r[0] for r in counts.filter(F.col("k").isNotNull() & (F.col("n") > HOT_SHARE * total)).select("k").collect()]
-
-
-def _with_state(base: DataFrame, field: str, life: DataFrame, small: bool, hot: list[int]) -> DataFrame:
-    """``base`` and ``field__state``: null where the reference is good or null."""
-    life = life.select(F.col("key_id").alias("__key"), "born", "gone")
-    on = F.col(field) == F.col("__key")
-    if small:
-        joined = base.join(F.broadcast(life), on, "left")
-    else:
-        apart = F.col(field).isNull() | (F.col(field).isin(hot) if hot else F.lit(False))
-        few = life.filter(F.col("__key").isin(hot)) if hot else life.limit(0)
-        joined = base.filter(~apart).join(life, on, "left").unionByName(base.filter(apart).join(F.broadcast(few), on, "left"))
-    state = (
-        F.when(F.col(field).isNull(), None)
-        .when(F.col("born").isNull(), F.lit("missing"))
-        .when(F.col("born") > F.col("first_at"), F.lit("late"))
-        .when(F.col("gone") <= F.col("first_at"), F.lit("deleted"))
-    )
-    return joined.withColumn(f"{field}__state", state).drop("__key", "born", "gone")
+def _existence_at(at: Column) -> Column:
+    """The sum of a key's existence deltas up to a moment."""
+    return F.coalesce((F.col("born") <= at).cast("int"), F.lit(0)) - F.coalesce((F.col("gone") <= at).cast("int"), F.lit(0))
+
+
+def _state_at(at: Column) -> Column:
+    """What a reference made at a moment of zero existence is: missing, late or deleted; null where the key existed."""
+    return F.when(F.col("born").isNull(), F.lit("missing")).when(F.col("born") > at, F.lit("late")).when(_existence_at(at) <= 0, F.lit("deleted"))
+
+
+def _first_references(tables: dict[str, DataFrame], fields: list[str], key: str, at: str) -> DataFrame:
+    """Every id of the tables once, at its first arrival, as a written table ``(table_name, row_id, first_at, fields...)``."""
+    out: DataFrame | None = None
+    for name, df in tables.items():
+        one = first_arrival(df, key, at, {f: f for f in fields}).select(F.lit(name).alias("table_name"), F.col("row_id").cast("bigint").alias("row_id"), "first_at", *(F.col(f).cast("bigint").alias(f) for f in fields))
+        out = one if out is None else out.unionByName(one)
+    assert out is not None
+    path = scratch_path(out.sparkSession, "references")
+    out.write.parquet(path)
+    return out.sparkSession.read.parquet(path)
+
+
+def _long(base: DataFrame, fields: list[str]) -> DataFrame:
+    """``(table_name, row_id, first_at, field_name, key_id, period)``, a row per reference that is not null."""
+    each = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("key_id")) for f in fields))
+    long = base.select("table_name", "row_id", "first_at", F.inline(each)).filter("key_id is not null")
+    return long.withColumn("period", F.to_date("first_at"))
+
+
+def _cell() -> Column:
+    return F.xxhash64("table_name", "field_name", "key_id", "period")
+
+
+def orphan_cells(base: DataFrame, targets: dict[str, DataFrame], key: str = "id", at: str = "ingested_at") -> DataFrame:
+    """The cells of signed counts that hold orphans: ``(table_name, field_name, key_id, period, refs, born, gone, state)``.
+
+    ``refs`` is the sum of the reference deltas of a key in a day (+1 at a row's first arrival,
+    combined before the shuffle; a key of a third of all rows has no more cells than there are
+    days), existence the sum of the key's existence deltas up to the cell's first and last
+    reference. A cell of positive references and zero existence throughout has a ``state``;
+    where the existence changes inside the cell, ``state`` is null and the rows decide.
+    """
+    deltas = _long(base, list(targets)).groupBy("table_name", "field_name", "key_id", "period").agg(F.count(F.lit(1)).alias("refs"), F.min("first_at").alias("low"), F.max("first_at").alias("high"))
+    lives: DataFrame | None = None
+    for field, target in targets.items():
+        one = timeline(existence_deltas(target, key, at)).select(F.lit(field).alias("field_name"), "key_id", "born", "gone")
+        lives = one if lives is None else lives.unionByName(one)
+    joined = deltas.join(lives, ["field_name", "key_id"], "left")
+    low, high = F.col("low"), F.col("high")
+    changes = F.coalesce((F.col("born") > low) & (F.col("born") <= high), F.lit(False)) | F.coalesce((F.col("gone") > low) & (F.col("gone") <= high), F.lit(False))
+    found = joined.filter((F.col("refs") > 0) & ((_existence_at(low) <= 0) | (_existence_at(high) <= 0) | changes))
+    return found.select("table_name", "field_name", "key_id", "period", "refs", "born", "gone", F.when(~changes, _state_at(low)).alias("state"))
 
 
 def orphan_rows(tables: dict[str, DataFrame], targets: dict[str, DataFrame], key: str = "id", at: str = "ingested_at") -> DataFrame:
@@ -89,42 +118,119 @@ def orphan_rows(tables: dict[str, DataFrame], targets: dict[str, DataFrame], key
     before deleted. An empty target makes every reference missing; empty tables give no rows;
     extra columns, also of equal names on both sides, play no part.
 
-    The existence deltas of a target are folded to its timeline. A target of at most
-    BROADCAST_ROWS ids is broadcast. Else the references are counted per key first (map-side
-    combined); keys above HOT_SHARE, and null, are joined to their few broadcast timelines, all
-    others by a shuffle on the key, so that no task gets a hot key.
+    Keys with positive references and zero existence come from the signed counts (``orphan_cells``);
+    only those cells are expanded to their rows, and cells of very many rows are looked up in a
+    broadcast of their few entries, so no task gets a hot key.
     """
-    from framewright.operators.latest import first_arrival
+    base = _first_references(tables, list(targets), key, at)
+    return _expanded(base, _written(orphan_cells(base, targets, key, at)), list(targets))
 
-    lives = {f: (timeline(existence_deltas(t, key, at)), t.count() <= BROADCAST_ROWS) for f, t in targets.items()}
-    out: DataFrame | None = None
-    for name, df in tables.items():
-        base = first_arrival(df, key, at, {f: f for f in targets})
-        base = base.select("row_id", "first_at", *(F.col(f).cast("bigint").alias(f) for f in targets))
-        for field, (life, small) in sorted(lives.items(), key=lambda x: x[1][1]):
-            base = _with_state(base, field, life, small, [] if small else _hot_keys(df, field))
-        each = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("key_id"), F.col(f"{f}__state").alias("state")) for f in targets))
-        one = base.select(F.lit(name).alias("table_name"), "row_id", F.col("first_at").alias("ref_at"), F.inline(each)).filter("state is not null")
-        out = one if out is None else out.unionByName(one)
-    assert out is not None
-    return out.select("table_name", "row_id", "field_name", "key_id", "ref_at", "state")
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "cells")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Orphans counted per table, field, state and month of the reference."""
-    period = F.date_format("ref_at", "yyyy-MM").alias("period")
-    return orphans.groupBy("table_name", "field_name", "state", period).agg(F.count(F.lit(1)).alias("n"))
+def _expanded(base: DataFrame, cells: DataFrame, fields: list[str]) -> DataFrame:
+    rows = _long(base, fields).select("table_name", "row_id", "first_at", "field_name", "key_id", _cell().alias("cell"))
+    looked = cells.select(_cell().alias("cell"), F.col("field_name").alias("__f"), F.col("key_id").alias("__k1"), "born", "gone", F.col("refs").alias("__k"))
+    joined = join_one(rows, looked, "cell").filter("__f = field_name and __k1 = key_id")
+    return joined.select("table_name", "row_id", "field_name", "key_id", F.col("first_at").alias("ref_at"), _state_at(F.col("first_at")).alias("state")).filter("state is not null")
+
+
+def orphan_report(tables: dict[str, DataFrame], targets: dict[str, DataFrame], key: str = "id", at: str = "ingested_at") -> DataFrame:
+    """Orphans counted per table, field, state and month of the reference: ``(table_name, field_name, state, period, n)``.
+
+    The counts are those of the orphan cells; only cells in which the existence changes are expanded to rows.
+    """
+    base = _first_references(tables, list(targets), key, at)
+    cells = _written(orphan_cells(base, targets, key, at))
+    whole = cells.filter("state is not null").select("table_name", "field_name", "state", F.date_format("period", "yyyy-MM").alias("period"), F.col("refs").alias("n"))
+    mixed = _expanded(base, cells.filter("state is null"), list(targets)).select("table_name", "field_name", "state", F.date_format("ref_at", "yyyy-MM").alias("period"), F.lit(1).cast("bigint").alias("n"))
+    return whole.unionByName(mixed).groupBy("table_name", "field_name", "state", "period").agg(F.sum("n").alias("n"))
+
+
+class OrphanLedger:
+    """Signed reference and existence counts per key, kept as tables in a folder and brought up to date by batches of rows.
+
+    Kept are the counts ``(table_name, field_name, key_id, refs, existence)``, of every referring id
+    its references, and of every target id whether it is withdrawn. A batch (new, redelivered and
+    late rows in any order) is compared with these; what changes makes signed deltas: a new
+    reference +1, a reference of an id that names another key now -1 and +1, a new record +1, a
+    withdrawal -1. So a batch costs its own size plus one merge, never a recount of all rows.
+    """
+
+    def __init__(self, spark: SparkSession, fields: list[str], folder: str | None = None, key: str = "id", at: str = "ingested_at", deleted: str = "deleted_at") -> None:
+        self.spark, self.fields, self.key, self.at, self.deleted = spark, fields, key, at, deleted
+        self.folder = folder or scratch_path(spark, "ledger")
+        refs = ", ".join(f"{f} bigint" for f in fields)
+        self.rows = spark.createDataFrame([], f"table_name string, row_id bigint, {refs}, last_at timestamp")
+        self.records = spark.createDataFrame([], "field_name string, key_id bigint, gone boolean")
+        self.state = spark.createDataFrame([], "table_name string, field_name string, key_id bigint, refs bigint, existence bigint")
+        self.tables: set[str] = set()
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def apply(self, tables: dict[str, DataFrame], targets: dict[str, DataFrame]) -> None:
+        """Take in a batch of referring rows per table and of target rows per field; either may be empty."""
+        names = sorted(self.tables | set(tables))
+        deltas: list[DataFrame] = []
+        if tables:
+            new: DataFrame | None = None
+            for name, df in tables.items():
+                when = F.col(f"`{self.at}`").cast("timestamp")
+                one = df.filter(F.col(f"`{self.key}`").isNotNull()).groupBy(F.col(f"`{self.key}`").cast("bigint").alias("row_id")).agg(
+                    *(F.max_by(F.col(f"`{f}`").cast("bigint"), F.when(F.col(f"`{f}`").isNotNull(), F.coalesce(when, F.lit("0001-01-01").cast("timestamp")))).alias(f) for f in self.fields), F.max(when).alias("last_at")
+                ).select(F.lit(name).alias("table_name"), "row_id", *self.fields, "last_at")
+                new = one if new is None else new.unionByName(one)
+            assert new is not None
+            old = self.rows.select("table_name", "row_id", *(F.col(f).alias(f"old_{f}") for f in self.fields), F.col("last_at").alias("old_at"))
+            both = new.join(old, ["table_name", "row_id"], "full_outer")
+            newer = F.col("last_at").isNotNull() & (F.col("old_at").isNull() | (F.col("last_at") >= F.col("old_at")))
+            now = [F.when(newer, F.coalesce(f, f"old_{f}")).otherwise(F.coalesce(f"old_{f}", f)).alias(f"now_{f}") for f in self.fields]
+            merged = self._keep(both.select("table_name", "row_id", *(f"old_{f}" for f in self.fields), *now, F.greatest("last_at", "old_at").alias("last_at")), "merge")
+            changed = F.array(*(F.struct(F.lit(f).alias("field_name"), k.alias("key_id"), F.lit(sign).cast("bigint").alias("ref_delta"), (~F.col(f"old_{f}").eqNullSafe(F.col(f"now_{f}"))).alias("differs")) for f in self.fields for k, sign in ((F.col(f"old_{f}"), -1), (F.col(f"now_{f}"), 1))))
+            deltas.append(merged.select("table_name", F.inline(changed)).filter("differs and key_id is not null").select("table_name", "field_name", "key_id", "ref_delta", F.lit(0).cast("bigint").alias("exist_delta")))
+            self.rows = merged.select("table_name", "row_id", *(F.col(f"now_{f}").alias(f) for f in self.fields), "last_at")
+        if targets:
+            came: DataFrame | None = None
+            for field, df in targets.items():
+                one = df.filter(F.col(f"`{self.key}`").isNotNull()).groupBy(F.col(f"`{self.key}`").cast("bigint").alias("key_id")).agg((F.count(F.col(f"`{self.deleted}`")) > 0).alias("gone")).select(F.lit(field).alias("field_name"), "key_id", "gone")
+                came = one if came is None else came.unionByName(one)
+            assert came is not None
+            both = came.join(self.records.select("field_name", "key_id", F.col("gone").alias("was_gone")), ["field_name", "key_id"], "full_outer")
+            known, gone = F.col("was_gone").isNotNull(), F.coalesce("gone", F.lit(False)) | F.coalesce("was_gone", F.lit(False))
+            merged = self._keep(both.select("field_name", "key_id", gone.alias("gone"), (F.when(known, 0).otherwise(1) - (gone & ~F.coalesce("was_gone", F.lit(False))).cast("int")).cast("bigint").alias("exist_delta")), "records")
+            self.records = merged.select("field_name", "key_id", "gone")
+            each = F.explode(F.array(*(F.lit(n) for n in names))) if names else F.explode(F.array().cast("array<string>"))
+            deltas.append(merged.filter("exist_delta <> 0").select(each.alias("table_name"), "field_name", "key_id", F.lit(0).cast("bigint").alias("ref_delta"), "exist_delta"))
+        fresh = set(tables) - self.tables
+        if fresh and self.tables:
+            # a table that comes later has to learn what exists
+            past = self.records.select(F.explode(F.array(*(F.lit(n) for n in sorted(fresh)))).alias("table_name"), "field_name", "key_id", F.lit(0).cast("bigint").alias("ref_delta"), F.when(F.col("gone"), 0).otherwise(1).cast("bigint").alias("exist_delta"))
+            deltas = [d.filter(~F.col("table_name").isin(sorted(fresh)) | (F.col("exist_delta") == 0)) for d in deltas] + [past]
+        self.tables |= set(tables)
+        state = self.state.select("table_name", "field_name", "key_id", F.col("refs").alias("ref_delta"), F.col("existence").alias("exist_delta"))
+        for d in deltas:
+            state = state.unionByName(d)
+        self.state = self._keep(reference_counts(state, "table_name", "field_name"), "state")
+
+    def orphans(self) -> DataFrame:
+        """``(table_name, field_name, key_id, refs)``: keys with positive references and zero existence."""
+        return orphan_keys(self.state).select("table_name", "field_name", "key_id", "refs")
 
 
 def current_orphans(tables: dict[str, DataFrame], targets: dict[str, DataFrame], key: str = "id", at: str = "ingested_at") -> DataFrame:
-    """``(table_name, field_name, key_id, refs)``: keys that rows refer to and that no record holds after all deltas.
+    """``(table_name, field_name, key_id, refs)``: keys that rows refer to and that no record holds after all deltas, counted at once.
 
     Every row of a referring table is a +1 reference delta, of a redelivered id only one; the
     counts are combined before the shuffle, and the keys of all tables meet the existence deltas
-    in the same aggregation.
+    in the same aggregation. ``OrphanLedger`` keeps the same counts over batches.
     """
-    from framewright.operators.latest import first_arrival
-
     out: DataFrame | None = None
     for field, target in targets.items():
         gone = existence_deltas(target, key, at).select("key_id", F.lit(0).cast("bigint").alias("ref_delta"), "exist_delta")

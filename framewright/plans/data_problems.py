@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators.balance import balanced_key_stats, heavy_keys, long_keys
-from framewright.operators.orphans import current_orphans, orphan_report, orphan_rows
+from framewright.operators.orphans import OrphanLedger, current_orphans, orphan_report, orphan_rows
 from framewright.operators.shred import leaf_levels, nested_table
 from framewright.session import table
 
@@ -36,13 +36,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_report(orphan_rows(_referring(spark, d), _targets(spark, d)))
+    return orphan_report(_referring(spark, d), _targets(spark, d))
 
 
 def p5_current(spark: SparkSession, d: str) -> DataFrame:
     return current_orphans(_referring(spark, d), _targets(spark, d))
 
 
+def p5_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """The current orphans from counts kept over two batches: all that came up to a moment in the middle, then all that came later."""
+    refs, targets = _referring(spark, d), _targets(spark, d)
+    middle = refs["annotations"].agg(F.percentile_approx("ingested_at", 0.5)).first()[0]
+    ledger = OrphanLedger(spark, FIELDS)
+    early = F.lit(True) if middle is None else F.coalesce(F.col("ingested_at") <= F.lit(middle), F.lit(True))
+    for part in (early, ~early):
+        ledger.apply({t: df.filter(part) for t, df in refs.items()}, {f: df.filter(part) for f, df in targets.items()})
+    return ledger.orphans()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     items = nested_table(table(spark, d, "raw_records"), "items")
     return items.filter("annotation_id is not null").select("record_id", "annotation_id", "field_name", "pos", "item_value")
@@ -60,7 +71,7 @@ def p6_levels(spark: SparkSession, d: str) -> DataFrame:
     return leaf_levels(table(spark, d, "raw_records"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_key_stats, p5_found, p5_report, p5_current, p6_found, p6_images, p6_annotations, p6_levels)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_key_stats, p5_found, p5_report, p5_current, p5_maintained, p6_found, p6_images, p6_annotations, p6_levels)}
 
 _KEYS = " union all ".join(f"select '{t}' as table_name, '{f}' as field_name, cast({f} as bigint) as key_id, ingested_at from {t}" for t in ("annotations", "predictions") for f in ("category_id", "image_id"))
 
@@ -90,6 +101,8 @@ SQL = {
     ),
 }
 
+SQL["p5_maintained"] = SQL["p5_current"]
+
 _CLEAN = r"regexp_replace(regexp_replace({x}, '^[\x{FEFF}\s]+', ''), '[\x{FEFF}\s]+$', '')"
 _INT = "try_cast(try_cast({x} as double) as bigint)"
 

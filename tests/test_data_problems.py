@@ -7,7 +7,7 @@ from framewright.operators.balance import balanced_key_stats, heavy_keys
 from framewright.operators.components import connected_components
 from framewright.operators.latest import latest_rows
 from framewright.operators.numbering import hashed_rank, numbered
-from framewright.operators.orphans import BROADCAST_ROWS, current_orphans, orphan_report, orphan_rows, reference_counts
+from framewright.operators.orphans import OrphanLedger, current_orphans, orphan_report, orphan_rows, reference_counts
 from framewright.operators.shred import leaf_levels, nested_table, read_payload
 
 
@@ -50,6 +50,17 @@ def test_heavy_keys(spark, rows):
     assert rows(heavy_keys({"t": t.limit(0)}, ["k"])) == []
 
 
+def test_a_tied_key_is_cut_too(spark, monkeypatch):
+    from framewright.operators import balance
+
+    rows = spark.range(40000).select(F.lit(0).alias("family"), F.lit(7).cast("bigint").alias("key_id"), F.lit(None).cast("bigint").alias("at"))
+    states = balance.balanced_key_stats(rows, 8)
+    assert [tuple(r) for r in states.collect()] == [(0, 7, 40000, 0, 0, 0)]
+    ready = rows.select("family", "key_id", F.coalesce("at", F.lit(0)).alias("at"), F.pmod(F.monotonically_increasing_id(), F.lit(balance.TIES)).alias("tie"))
+    sizes = [r["n"] for r in ready.repartitionByRange(8, "family", "key_id", "at", "tie").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 40000 / 8
+
+
 def _refs(spark):
     images = spark.createDataFrame([(1, ts(2), None), (1, ts(9), None), (2, ts(1), ts(5)), (3, ts(6), None), (4, ts(1), ts(3)), (None, ts(1), None)], "id bigint, ingested_at timestamp_ntz, deleted_at timestamp_ntz")
     refs = spark.createDataFrame([(10, 1, ts(3)), (11, 2, ts(4)), (12, 2, ts(5)), (13, 3, ts(4)), (13, 3, ts(8)), (14, 9, ts(4)), (15, None, ts(4)), (16, 4, ts(8)), (None, 9, ts(4))], "id bigint, image_id bigint, ingested_at timestamp_ntz").withColumn("deleted_at", F.lit("clash"))
@@ -61,12 +72,9 @@ def test_orphans(spark, rows, monkeypatch):
     want = [("t", 12, "image_id", "deleted"), ("t", 13, "image_id", "late"), ("t", 14, "image_id", "missing"), ("t", 16, "image_id", "deleted")]
     out = orphan_rows({"t": refs}, {"image_id": images})
     assert rows(out.select("table_name", "row_id", "field_name", "state")) == want
-    monkeypatch.setattr("framewright.operators.orphans.BROADCAST_ROWS", -1)
-    assert BROADCAST_ROWS > 0
-    for share in (0.005, 1.0):
-        monkeypatch.setattr("framewright.operators.orphans.HOT_SHARE", share)
-        assert rows(orphan_rows({"t": refs}, {"image_id": images}).select("table_name", "row_id", "field_name", "state")) == want
-    assert sum(r["n"] for r in orphan_report(out).collect()) == 4
+    monkeypatch.setattr("framewright.operators.components.HOT_ROWS", 0)
+    assert rows(orphan_rows({"t": refs}, {"image_id": images}).select("table_name", "row_id", "field_name", "state")) == want
+    assert sum(r["n"] for r in orphan_report({"t": refs}, {"image_id": images}).collect()) == 4
     assert rows(current_orphans({"t": refs}, {"image_id": images}).select("key_id", "refs")) == [(2, 2), (4, 1), (9, 1)]
     assert len(rows(orphan_rows({"t": refs}, {"image_id": images.limit(0)}))) == 6
     assert rows(orphan_rows({"t": refs.limit(0)}, {"image_id": images})) == []
@@ -75,6 +83,23 @@ def test_orphans(spark, rows, monkeypatch):
     assert rows(again) == [(1, 2, 0)]
 
 
+def test_ledger_takes_batches_in_any_order(spark, rows):
+    refs, images = _refs(spark)
+    want = rows(current_orphans({"t": refs}, {"image_id": images}))
+    parts = [refs.filter("id % 3 = 0"), refs.filter("id % 3 <> 0 or id is null")]
+    for first, second in (parts, parts[::-1]):
+        ledger = OrphanLedger(spark, ["image_id"])
+        ledger.apply({"t": first}, {"image_id": images.filter("deleted_at is not null")})
+        ledger.apply({"t": second}, {})
+        ledger.apply({"t": first}, {"image_id": images})
+        assert rows(ledger.orphans()) == want
+    ledger.apply({"u": refs}, {})
+    assert {r["table_name"] for r in ledger.orphans().collect()} == {"t", "u"} and ledger.orphans().count() == 2 * len(want)
+    moved = refs.filter("id = 12").withColumn("image_id", F.lit(77).cast("bigint")).withColumn("ingested_at", F.lit("2030-01-01").cast(refs.schema["ingested_at"].dataType))
+    ledger.apply({"t": moved}, {})
+    assert {(r["key_id"], r["refs"]) for r in ledger.orphans().filter("table_name = 't'").collect()} >= {(77, 1)}
+
+
 def by_hand(payload):
     """The items of a payload by plain recursion."""
     out = []
