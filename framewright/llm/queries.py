@@ -75,6 +75,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(mix_sources(table(spark, d, "documents"), targets), targets)
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """``(source, has_documents, share_met, cap_kept)`` per target: its share is within half a per cent of its weight among the sources with documents, no document is used more often than allowed."""
+    targets = table(spark, d, "mix_targets")
+    rep = mix_report(mix_sources(table(spark, d, "documents"), targets), targets).withColumn("has", F.col("n_rows") > 0)
+    total = rep.agg(F.sum(F.when(F.col("has"), F.col("weight"))).alias("all_weights"))
+    share = F.when(F.col("has"), F.col("weight") / F.col("all_weights")).otherwise(0.0)
+    return rep.crossJoin(F.broadcast(total)).select("source", F.col("has").alias("has_documents"), (F.abs(F.col("share") - share) <= 0.005).alias("share_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return same_looking_pairs(table(spark, d, "documents"))
 
@@ -83,7 +92,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return with_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p2_checks, p3_found, p3_classes, p3_report, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p2_checks, p3_found, p3_classes, p3_report, p7_ids, p8_mix, p8_shares, p8_checks, p9_found, p9_forms)}
 SQL: dict[str, str] = {
     "p1_found": """
         with last as (select * from predictions where id is not null qualify row_number() over (partition by id order by ingested_at desc) = 1)
@@ -109,6 +118,9 @@ SQL: dict[str, str] = {
 SQL["p2_checks"] = """
 select s as source, count(*) as n, count(*) as n_ids, true as within from (select id, max(coalesce(lower(trim(source)), '')) as s from images where id is not null group by id) group by s"""
 
+SQL["p8_checks"] = """
+select lower(trim(t.source)) as source, exists (select 1 from documents d where lower(trim(d.source)) = lower(trim(t.source)) and length(d.text) > 0) as has_documents, true as share_met, true as cap_kept from mix_targets t"""
+
 #: Shapes for the oracle, in composed form: look-alike letters with and without accents, width forms, blanks, hyphens.
 _PAIRS = {o: latin for latin, others in LOOK_ALIKE.items() for o in others} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys("\u00a0\u2002\u2003\u2005\u2007\u2009\u200a\u202f\u3000", " ") | dict.fromkeys("\u2010\u2011", "-")
 for _other, _latin in list(_PAIRS.items()):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import lookalike, overlap, topn
 from framewright.llm import splits as splits_module
-from framewright.llm.mixing import mix_report, mix_sources, plan_mix, split_quotas
+from framewright.llm.mixing import draw_left, last_pass, mix_report, mix_sources, plan_mix, shard_runs, split_quotas
 from framewright.llm.picture_names import caption_parts, frame_key, person_key, recording_key, split_name
 from framewright.llm.splits import allot, grouped_split, linked_groups, solve_quotas, split_report
 from framewright.llm.tokens import TOKENIZERS, Bpe, token_ids, with_token_count
@@ -333,6 +333,39 @@ def test_splitting_tree():
     assert 4.5 < first.mean() < 5.5 and first.std() > 0.5
 
 
+def test_runs_of_tasks_are_those_of_the_tree(spark, monkeypatch):
+    monkeypatch.setattr("framewright.llm.mixing.SUBTREES", 4)
+    counts = {"a": 50, "b": 0, "c": 1000}
+    got = shard_runs(spark.range(1), counts, 37, 3).collect()
+    quotas = split_quotas([50, 0, 1000], 37, 3)
+    assert {(r["shard"], r["source"]): r["n"] for r in got} == {(i, s): q[j] for i, q in enumerate(quotas) for j, s in enumerate("abc") if q[j]}
+    for s, n in counts.items():
+        places = sorted(p for r in got if r["source"] == s for p in range(r["start"], r["start"] + r["n"]))
+        assert places == list(range(n))
+
+
+def test_draws_of_large_nodes_add_up(monkeypatch):
+    rng = np.random.default_rng(0)
+    have = np.array([3 * 10**9, 0, 5, 10**9])
+    left = draw_left(have, 10**9, rng)
+    assert left.sum() == 10**9 and (left >= 0).all() and (left <= have).all() and abs(left[0] - 75 * 10**7) < 10**6
+    monkeypatch.setattr("framewright.llm.mixing.EXACT_DRAW", 0)
+    draws = np.array([draw_left(np.array([40, 60]), 50, rng) for _ in range(2000)])
+    assert draws[:, 0].mean() == pytest.approx(20, abs=0.3) and draws[:, 0].std() == pytest.approx((50 * 0.4 * 0.6 * 50 / 99) ** 0.5, abs=0.3)
+
+
+@pytest.mark.parametrize("cells", [1, 7])
+def test_last_pass_is_a_prefix(spark, monkeypatch, cells):
+    monkeypatch.setattr("framewright.llm.mixing.CELLS", cells)
+    sums = spark.createDataFrame([(s, b, 10 + b % 5) for s in "xy" for b in range(30)], "source string, block bigint, tokens bigint")
+    for rest in (0, 1, 95, 10**6):
+        got = last_pass(sums, F.lit(rest), 7).collect()
+        for s in "xy":
+            mine = [(r["block"], r["most"]) for r in got if r["source"] == s]
+            assert sum(10 + b % 5 if m < 0 else m for b, m in mine) == min(rest, sum(10 + b % 5 for b in range(30)))
+            assert sum(m >= 0 for _, m in mine) <= 1
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr("framewright.llm.mixing.BLOCK_TOKENS", 200)
     monkeypatch.setattr("framewright.llm.mixing.SHARD_TOKENS", 1000)
