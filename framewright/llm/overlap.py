@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.picture_names import caption_parts, frame_key, split_name
-from framewright.operators.components import connected_components
+from framewright.operators.components import connected_components, join_one
 from framewright.operators.latest import latest_rows
-from framewright.session import scratch_path
+from framewright.session import few_rows, scratch_path
 
 #: What makes two object lists one picture: so many objects at least, this share of the longer list, boxes this near.
 MIN_OBJECTS, SHARE, NEAR = 5, 0.75, 0.01
@@ -97,30 +97,96 @@ def window_chunks(image: np.ndarray, cat: np.ndarray, boxes: list[np.ndarray], g
     return a, _mix(h[start[a] + k // per[b]] + h[start[b] + k % per[b]])
 
 
-def _chunk_rows(grid: float, probe: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Chunks of a partition sorted by (image, category, left edge); an image cut by a batch border is carried on."""
+def content_chunks(image: np.ndarray, cat: np.ndarray, boxes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of an object of the image, digest, length) of the content-defined chunks of normalised records.
+
+    A record is the sequence of an image's objects, as category and cells of NEAR of its box, in
+    their own order. A hash rolls over every two objects that follow each other, and a chunk ends
+    where the hash is less than both its neighbours; so cuts depend on the objects around them only,
+    come every three objects or so and never follow each other at once. A chunk that a record has
+    several times gets a digest for each, so that joining digests counts it as often as both have it.
+    """
+    n = len(image)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    cells = [np.floor(f / NEAR).astype(np.int64) for f in boxes]
+    order = np.lexsort((*reversed(cells), cat, image))
+    image, cat, cells = image[order], cat[order], [c[order] for c in cells]
+    unit = _mix(cat.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B))
+    for d, c in enumerate(cells):
+        unit = _mix(unit + _cell_hash(d, c))
+    first = np.r_[True, image[1:] != image[:-1]]
+    start = np.flatnonzero(first)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    rolled = np.r_[top, _mix(unit[:-1] * np.uint64(31) + unit[1:])]
+    rolled[first] = top  # a record's first object has none before it
+    after = np.r_[rolled[1:], top]
+    cut = (rolled < np.r_[top, rolled[:-1]]) & (rolled <= after)
+    begin = np.flatnonzero(first | np.r_[False, cut[:-1]])
+    length = np.diff(np.r_[begin, n])
+    place = np.arange(n) - np.repeat(begin, length)
+    digest = np.add.reduceat(_mix(unit * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), begin)
+    digest = _mix(digest + length.astype(np.uint64))
+    # the how-manieth of its kind in the record
+    record = np.searchsorted(start, begin, side="right")
+    by = np.lexsort((digest, record))
+    same = np.r_[False, (record[by][1:] == record[by][:-1]) & (digest[by][1:] == digest[by][:-1])]
+    run = np.arange(len(by)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
+    times = np.empty(len(by), np.int64)
+    times[by] = run
+    return order[begin], _mix(digest + times.astype(np.uint64)), length
+
+
+def list_digests(image: np.ndarray, cat: np.ndarray, boxes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of an object, digest) of whole lists, equal for lists of the very same objects in any order."""
+    if not len(image):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    unit = _mix(cat.astype(np.int64).view(np.uint64) + np.uint64(0x2545F491))
+    for d, f in enumerate(boxes):
+        unit = _mix(unit + _mix((f + 0.0).view(np.uint64) + np.uint64(d)))
+    start = np.flatnonzero(np.r_[True, image[1:] != image[:-1]])
+    return start, _mix(np.add.reduceat(_mix(unit), start))
+
+
+def _record_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Content-defined chunks (length 1 and more) and whole-list digests (length 0) of a partition sorted by image."""
+    yield from _per_image(batches, _record_batch)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                now = [np.r_[a, b] for a, b in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-            if cut:
-                yield emit([x[:cut] for x in now])
-            held = [x[cut:] for x in now]
-        if held is not None and len(held[0]):
-            yield emit(held)
+
+def _record_batch(cols: list[np.ndarray]) -> pa.RecordBatch:
+    image, n, cat, *boxes = cols
+    at, digest, length = content_chunks(image, cat, boxes)
+    whole, own = list_digests(image, cat, boxes)
+    at, digest, length = np.r_[at, whole], np.r_[digest, own], np.r_[length, np.zeros(len(whole), np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(image[at]), pa.array(n[at]), pa.array(digest.view(np.int64)), pa.array(length.astype(np.int32))], names=["image", "n", "digest", "length"])
+
+
+def _per_image(batches: Iterator[pa.RecordBatch], emit: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``emit`` over batches of whole images, of a partition sorted by image; an image cut by a batch border is carried on."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            now = [np.r_[a, b] for a, b in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
+        if cut:
+            yield emit([x[:cut] for x in now])
+        held = [x[cut:] for x in now]
+    if held is not None and len(held[0]):
+        yield emit(held)
+
+
+def _chunk_rows(grid: float, probe: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Windows of a partition sorted by (image, category, left edge)."""
 
     def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
         image, n, cat, *boxes = cols
         first, digest = window_chunks(image, cat, boxes, grid, probe)
         return pa.RecordBatch.from_arrays([pa.array(image[first]), pa.array(n[first]), pa.array(first.astype(np.int32)), pa.array(digest.view(np.int64))], names=["image", "n", "at", "digest"])
 
-    return run
+    return lambda batches: _per_image(batches, emit)
 
 
 # ---------------------------------------------------------------- exact comparison
@@ -219,12 +285,61 @@ def object_lists(annotations: DataFrame, images: DataFrame) -> tuple[DataFrame,
     return spark.read.parquet(out), total
 
 
+def record_chunks(objects: DataFrame) -> DataFrame:
+    """``(image, n, digest, length)`` of every record, as a written table: its content-defined chunks, and with length 0 the digest of its whole list."""
+    ready = objects.select("image", "n", "cat", *_BOX).repartition("image").sortWithinPartitions("image")
+    path = scratch_path(objects.sparkSession, "chunks")
+    ready.mapInArrow(_record_rows, "image bigint, n int, digest bigint, length int").write.parquet(path)
+    return objects.sparkSession.read.parquet(path)
+
+
+def identical_lists(chunks: DataFrame) -> DataFrame:
+    """``(src, dst)``: an image and the smallest image that has the very same list, where that is another one; as a written table."""
+    whole = chunks.filter("length = 0").withColumn("list", F.xxhash64("digest", "n"))
+    least = whole.groupBy("list").agg(F.min("image").alias("least"), F.count(F.lit(1)).alias("__k")).filter(F.col("__k") > 1)
+    path = scratch_path(chunks.sparkSession, "copies")
+    join_one(whole.select("list", "image"), least, "list").filter("image <> least").select(F.col("image").alias("src"), F.col("least").alias("dst")).write.parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
+def chunk_links(chunks: DataFrame, copies: DataFrame) -> DataFrame:
+    """Links that shared chunk lengths prove: three quarters of the longer list lie in chunks that both images have.
+
+    Objects of one chunk digest have one category and lie in the same cells of NEAR, so they match
+    one to one. Every digest is compared with its smallest image only, so the work is linear in the
+    chunks however many images share one; what that leaves, and what a shift by less than NEAR has
+    moved over a cell's border, is found by the windows (``short_list_links``, ``long_list_links``).
+    """
+    own = chunks.filter("length > 0").join(copies.select(F.col("src").alias("image")), "image", "left_anti")
+    least = own.groupBy("digest").agg(F.min("image").alias("least"), F.min_by("n", "image").alias("m"), F.count(F.lit(1)).alias("__k")).filter(F.col("__k") > 1)
+    shared = join_one(own, least, "digest").filter("image <> least").groupBy("image", "least", "n", "m").agg(F.sum("length").alias("shared"))
+    return shared.filter(F.col("shared") >= F.ceil(F.greatest("n", "m") * SHARE - _SLACK)).select(F.col("image").alias("src"), F.col("least").alias("dst"))
+
+
+def split_overlap(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``(image_id, split, source, n_objects, shared_objects, overlap)`` of every valid or eval image with MIN_OBJECTS objects or more, one of them with a usable box at least.
+
+    ``shared_objects`` is the summed length of its chunks that images of the train split have too,
+    wherever in the split they are, ``overlap`` its share of the list: 1 means that train holds all
+    of the record's chunks. Digests of train are made distinct before the join; null splits take no part.
+    """
+    now = _latest_images(images)
+    objects, _ = object_lists(annotations, now)
+    named = now.select(F.col("id").alias("image"), split_name(F.col("split")).alias("split"), F.lower(F.trim("source")).alias("source"))
+    chunks = record_chunks(objects).filter("length > 0").join(named.select("image", "split"), "image")
+    train = chunks.filter("split = 'train'").select("digest").distinct().withColumn("in_train", F.lit(True))
+    held = chunks.filter("split in ('valid', 'eval')").select("image", "digest", "length")
+    shared = held.join(train, "digest", "left").groupBy("image").agg(F.sum(F.when(F.col("in_train"), F.col("length")).otherwise(0)).alias("shared"))
+    sizes = objects.select("image", "n").distinct()
+    return named.filter("split in ('valid', 'eval')").join(sizes, "image").join(shared, "image").select(F.col("image").cast("bigint").alias("image_id"), "split", "source", F.col("n").alias("n_objects"), F.col("shared").alias("shared_objects"), (F.col("shared") / F.col("n")).alias("overlap"))
+
+
 def _ratio_ok(a: str, b: str) -> Column:
     return F.least(a, b) >= F.ceil(F.greatest(a, b) * SHARE - _SLACK)
 
 
-def short_list_links(objects: DataFrame, total: int) -> DataFrame:
-    """Links ``(src, dst)`` between images of up to LONG_LIST objects.
+def short_list_links(objects: DataFrame, total: int, proven: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` between images of up to LONG_LIST objects; pairs that are ``proven`` are not compared again.
 
     Two lists of lengths p and q of which m objects match have at least 3 m - p - q - 1 windows of
     two neighbours in common, and that is 1 or more for every m the rule asks for; so joining the
@@ -241,7 +356,8 @@ def short_list_links(objects: DataFrame, total: int) -> DataFrame:
     need = F.greatest(F.lit(1), 3 * F.ceil(F.greatest("na", "nb") * SHARE - _SLACK) - F.col("na") - F.col("nb") - 1)
     path = scratch_path(objects.sparkSession, "candidates")
     shared.filter(F.col("windows") >= need).select("a", "b", "na", "nb").write.parquet(path)
-    pairs = objects.sparkSession.read.parquet(path)
+    known = proven.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    pairs = objects.sparkSession.read.parquet(path).join(known, ["a", "b"], "left_anti")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("image")).distinct()
     lists = short.join(asked, "image", "left_semi").groupBy("image").agg(F.collect_list(F.struct("cat", *_BOX)).alias("objs"))
     one = lists.select(F.col("image").alias("a"), F.col("objs").alias("xs"))
@@ -260,31 +376,41 @@ def _single_rows(grid: float, probe: bool) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def long_list_mates(objects: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, na, nb)`` of images, one at least of more than LONG_LIST objects, whose lengths allow a match."""
-    sizes = objects.filter(F.col("n") >= SHARE * LONG_LIST).select("image", "n").distinct()
-    base = sizes.withColumn("bucket", F.floor(F.log("n") / math.log(1 / SHARE)))
-    near = base.select(F.col("image").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    mates = near.join(base.select(F.col("image").alias("b"), F.col("n").alias("nb"), "bucket"), "bucket").filter(F.col("a") < F.col("b"))
-    return mates.filter(_ratio_ok("na", "nb") & (F.greatest("na", "nb") > LONG_LIST)).drop("bucket")
-
-
-def mates_that_matter(mates: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the ``mates`` those that could bring a train and a held-out image together.
+def long_images(objects: DataFrame, classes: DataFrame | None = None) -> DataFrame | None:
+    """``(image,)``: images whose lengths allow a match with another where one at least has more than LONG_LIST objects; None if there are none.
 
-    All mates are taken for links between the classes found so far; where a class so joined has
-    no train image, or no valid or eval image, no outcome of the comparison changes a result.
+    Lengths fall into classes of a hundredth of a power of e; the classes (some thousand at most) are
+    set against each other on the driver, never the images. With ``classes`` (``image_id, class_id,
+    split``) only images count that could bring a train and a held-out image together: image
+    classes are linked with their length classes, and these with each other; where a component so
+    joined has no train image, or no valid or eval image, no outcome changes a result across splits.
     """
-    at = classes.select("image_id", "class_id")
-    named = mates.join(at.select(F.col("image_id").alias("a"), F.col("class_id").alias("ca")), "a").join(at.select(F.col("image_id").alias("b"), F.col("class_id").alias("cb")), "b")
-    parts = connected_components(named, "ca", "cb")
-    flags = classes.join(parts, F.col("class_id") == F.col("node")).groupBy("component").agg(F.bool_or(F.col("split") == "train").alias("t"), F.bool_or(F.col("split").isin("valid", "eval")).alias("h")).filter("t and h")
-    wanted = parts.join(flags, "component").select(F.col("node").alias("ca"))
-    return named.join(wanted, "ca", "left_semi").select("a", "b", "na", "nb")
-
-
-def long_list_links(objects: DataFrame, mates: DataFrame) -> DataFrame | None:
-    """Links between the ``mates``, by chunks of single objects; None where there is none.
+    spark = objects.sparkSession
+    sizes = objects.filter(F.col("n") >= SHARE * LONG_LIST).select("image", "n").distinct().withColumn("length", F.floor(F.log("n") * 100).cast("bigint"))
+    path = scratch_path(spark, "long")
+    sizes.write.parquet(path)
+    sizes = spark.read.parquet(path)
+    found = sorted(few_rows(sizes.groupBy("length").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k")), "classes of list lengths"), key=lambda r: r["length"])
+    pairs = [(a["length"], b["length"]) for i, a in enumerate(found) for b in found[i:] if b["high"] > LONG_LIST and a["high"] >= SHARE * b["low"] - _SLACK and (a is not b or a["k"] > 1)]
+    if not pairs:
+        return None
+    meet = sorted({x for p in pairs for x in p})
+    wanted = sizes.filter(F.col("length").isin(meet))
+    if classes is None:
+        return wanted.select("image")
+    at = wanted.join(classes.select(F.col("image_id").alias("image"), "class_id", "split"), "image")
+    lengths = spark.createDataFrame([(-1 - a, -1 - b) for a, b in pairs], "src bigint, dst bigint")
+    parts = connected_components(at.select(F.col("class_id").alias("src"), (-1 - F.col("length")).alias("dst")).distinct().unionByName(lengths))
+    whole = classes.join(parts, F.col("class_id") == F.col("node")).groupBy("component").agg(F.bool_or(F.col("split") == "train").alias("t"), F.bool_or(F.col("split").isin("valid", "eval")).alias("h")).filter("t and h")
+    mixed = parts.join(whole, "component").select(F.col("node").alias("class_id"))
+    path = scratch_path(spark, "matter")
+    at.join(mixed, "class_id", "left_semi").select("image").distinct().write.parquet(path)
+    out = spark.read.parquet(path)
+    return None if out.isEmpty() else out
+
+
+def long_list_links(objects: DataFrame, images: DataFrame) -> DataFrame | None:
+    """Links between ``images`` of which one has more than LONG_LIST objects, by chunks of single objects; None where there is none.
 
     Of a list of n objects at most a quarter may lack a partner, so among any 30 % of them a
     twentieth of n has one. The objects of the list's rarest categories probe all objects of the
@@ -294,8 +420,7 @@ def long_list_links(objects: DataFrame, mates: DataFrame) -> DataFrame | None:
     """
     spark = objects.sparkSession
     long = objects.filter(F.col("n") >= SHARE * LONG_LIST)
-    involved = mates.select(F.explode(F.array("a", "b")).alias("image")).distinct()
-    long = long.join(involved, "image", "left_semi")
+    long = long.join(images, "image", "left_semi")
     schema = "image bigint, n int, id bigint, digest bigint, cat int, fx double, fy double, fw double, fh double"
     columns = ["image", "n", "id", "cat", *_BOX]
     grid = 0.04
@@ -342,7 +467,7 @@ def long_list_links(objects: DataFrame, mates: DataFrame) -> DataFrame | None:
         ok = greatest_matching(list(edges.values()), need) >= need
         return pdf[["a", "b"]].head(1 if ok else 0).rename(columns={"a": "src", "b": "dst"})
 
-    settled = close.join(F.broadcast(open_), ["a", "b"]).groupBy("a", "b").applyInPandas(settle, "src bigint, dst bigint")
+    settled = close.join(open_, ["a", "b"]).groupBy("a", "b").applyInPandas(settle, "src bigint, dst bigint")
     return sure.unionByName(settled)
 
 
@@ -377,33 +502,39 @@ def name_links(keys: DataFrame) -> DataFrame:
 def picture_classes(images: DataFrame, annotations: DataFrame, across: bool = False) -> DataFrame:
     """``(image_id, class_id, split, source)``: images that hold the same picture share ``class_id``, the smallest image id of the class.
 
-    Same names, same object lists, and both together through any third image. One row per image id
+    Same names, same object lists (by shared lengths of content-defined chunks, and by windows and
+    exact matching where these do not settle it), and both together through any third image. One row per image id
     (its latest row); images without an id are left out. Images without objects, names that tell
     nothing, null splits and sizes, and empty tables are fine; other columns play no part. Every
     link is found (see the link functions), none is capped. ``across``: for cross-split use only;
     lists of more than LONG_LIST objects are left uncompared where no outcome could bring a train
     and a held-out image together, so that their classes may be incomplete.
     """
-    now = latest_rows(images, "id", "ingested_at", ["id", "file_name", "split", "source", "width", "height"])
+    now = _latest_images(images)
     spark = images.sparkSession
-    path = scratch_path(spark, "images")
-    now.write.parquet(path)
-    now = spark.read.parquet(path)
     objects, total = object_lists(annotations, now)
     names = scratch_path(spark, "names")
     name_keys(now).write.parquet(names)
+    chunks = record_chunks(objects)
+    copies = identical_lists(chunks)
+    # images of the very same list have the same links: the smallest stands for all
+    lists = objects.join(copies.select(F.col("src").alias("image")), "image", "left_anti")
+    path = scratch_path(spark, "proven")
+    chunk_links(chunks, copies).write.parquet(path)
+    proven = spark.read.parquet(path)
     path = scratch_path(spark, "links")
-    name_links(spark.read.parquet(names)).unionByName(short_list_links(objects, total)).distinct().write.parquet(path)
+    name_links(spark.read.parquet(names)).unionByName(copies).unionByName(proven).unionByName(short_list_links(lists, total, proven)).distinct().write.parquet(path)
     edges = spark.read.parquet(path)
     classes = _classes(now, edges)
-    mates = long_list_mates(objects)
-    if across and not mates.isEmpty():
-        mates = mates_that_matter(mates, classes)
-    if not mates.isEmpty():
-        long = long_list_links(objects, mates)
-        if long is not None:
-            classes = _classes(now, edges.unionByName(long))
-    return classes
+    long = long_images(lists, classes if across else None)
+    links = None if long is None else long_list_links(lists, long)
+    return classes if links is None else _classes(now, edges.unionByName(links))
+
+
+def _latest_images(images: DataFrame) -> DataFrame:
+    path = scratch_path(images.sparkSession, "images")
+    latest_rows(images, "id", "ingested_at", ["id", "file_name", "split", "source", "width", "height"]).write.parquet(path)
+    return images.sparkSession.read.parquet(path)
 
 
 def _classes(images: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.lookalike import LOOK_ALIKE, same_looking_pairs, with_form
 from framewright.llm.mixing import mix_report, mix_sources
-from framewright.llm.overlap import cross_split_pairs, cross_split_report, picture_classes
+from framewright.llm.overlap import cross_split_pairs, cross_split_report, picture_classes, split_overlap
 from framewright.llm.picture_names import person_key, recording_key
 from framewright.llm.splits import grouped_split, split_report
 from framewright.llm.tokens import token_ids
@@ -62,6 +62,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return cross_split_report(picture_classes(table(spark, d, "images"), table(spark, d, "annotations"), across=True))
 
 
+def p3_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap(table(spark, d, "images"), table(spark, d, "annotations"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -92,7 +96,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return with_form(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p2_checks, p3_found, p3_classes, p3_report, p7_ids, p8_mix, p8_shares, p8_checks, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_split, p2_shares, p2_checks, p3_found, p3_classes, p3_report, p3_overlap, p7_ids, p8_mix, p8_shares, p8_checks, p9_found, p9_forms)}
 SQL: dict[str, str] = {
     "p1_found": """
         with last as (select * from predictions where id is not null qualify row_number() over (partition by id order by ingested_at desc) = 1)

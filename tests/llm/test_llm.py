@@ -2,6 +2,7 @@ import collections
 import datetime
 import itertools
 import json
+import math
 import os
 import random
 
@@ -282,6 +283,68 @@ def test_long_lists_of_one_split_share_a_class(spark):
     assert overlap.cross_split_pairs(overlap.picture_classes(images, notes, across=True)).count() == 4
 
 
+def chunks_by_hand(units, mix):
+    """Cut a list of units where the rolled hash is less than both neighbours."""
+    rolled = [math.inf, *(mix(units[i - 1], units[i]) for i in range(1, len(units)))]
+    out, now = [], []
+    for i, u in enumerate(units):
+        now.append(u)
+        before, after = rolled[i - 1] if i else math.inf, rolled[i + 1] if i + 1 < len(units) else math.inf
+        if rolled[i] < before and rolled[i] <= after:
+            out.append(tuple(now))
+            now = []
+    return out + ([tuple(now)] if now else [])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.lists(st.integers(0, 25), min_size=1, max_size=5))
+def test_content_chunks(seed, sizes):
+    """Chunks are those of a plain loop, cover their records once, and shared lengths never exceed what matches."""
+    rng = random.Random(seed)
+    base = lists(seed, 25)
+    records = [sorted(rng.sample(base, n)) for n in sizes if n]
+    if not records:
+        return
+    image = np.repeat(np.arange(len(records)), [len(r) for r in records])
+    flat = [o for r in records for o in r]
+    cat, boxes = np.array([o[0] for o in flat]), [np.array([o[i] for o in flat]) for i in range(1, 5)]
+    at, digest, length = overlap.content_chunks(image, cat, boxes)
+    assert np.bincount(image[at], length, len(records)).tolist() == [len(r) for r in records]
+    have = [collections.Counter({d: n for d, n, a in zip(digest.tolist(), length.tolist(), at) if image[a] == i}) for i in range(len(records))]
+    for i, j in itertools.combinations(range(len(records)), 2):
+        assert sum(min(have[i][d], have[j][d]) for d in have[i]) <= overlap.matched(records[i], records[j])
+    same = [i for i in range(1, len(records)) if records[i] == records[0]]
+    assert all(have[i] == have[0] for i in same)
+
+    def unit(o):
+        u = overlap._mix(np.array([o[0]], np.int64).view(np.uint64) + np.uint64(0x51ED270B))
+        for d, x in enumerate(o[1:]):
+            u = overlap._mix(u + overlap._cell_hash(d, np.floor(np.array([x / overlap.NEAR]))))
+        return int(u[0])
+
+    def rolled(a, b):
+        return int(overlap._mix(np.array([(a * 31 + b) % 2**64], np.uint64))[0])
+
+    for i, r in enumerate(records):
+        units = [unit(o) for o in sorted(r, key=lambda o: (o[0], *(math.floor(x / overlap.NEAR) for x in o[1:])))]
+        assert sorted(len(c) for c in chunks_by_hand(units, rolled)) == sorted(n for n, a in zip(length.tolist(), at) if image[a] == i)
+
+
+def test_overlap_fractions_and_copies(spark, rows):
+    images, notes = pictures(spark)
+    got = {r["image_id"]: (r["n_objects"], r["shared_objects"], r["overlap"]) for r in overlap.split_overlap(images, notes).collect()}
+    assert set(got) == {8, 10} and got[10][2] < 1 and all(0 <= x[2] <= 1 for x in got.values())
+    copy = notes.filter("image_id = 7").withColumn("image_id", F.lit(10).cast("bigint")).withColumn("id", F.col("id") + 100000)
+    more = notes.filter("image_id <> 10 or image_id is null").unionByName(copy)
+    got = {r["image_id"]: r["overlap"] for r in overlap.split_overlap(images, more).collect()}
+    assert got[10] == 1.0
+    objects, _ = overlap.object_lists(more, overlap._latest_images(images))
+    chunks = overlap.record_chunks(objects)
+    assert rows(overlap.identical_lists(chunks)) == [(10, 7)]
+    assert (7, 10) in {tuple(sorted(p)) for p in rows(overlap.cross_split_pairs(overlap.picture_classes(images, more)))}
+    assert overlap.split_overlap(images.limit(0), notes).count() == 0 and overlap.split_overlap(images, notes.limit(0)).count() == 0
+
+
 def test_cross_split_empty(spark, rows):
     images, notes = pictures(spark)
     assert rows(overlap.cross_split_pairs(overlap.picture_classes(images.limit(0), notes))) == []
