@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from framewright.session import scratch_path
 
-#: Letters of one shape. First the Latin letter, then the Cyrillic and the Greek ones of that shape.
+#: Letters of one shape, as drawn alike in common fonts. First the Latin letter, then those of other scripts (Cyrillic, Greek, Armenian, Lisu, Tifinagh, Canadian syllables, small capitals).
 LOOK_ALIKE = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІӀΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ",
-    "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ", "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο",
-    "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "у", "æ": "ӕ", "Æ": "Ӕ",
+    "A": "АΑꓮ", "B": "ВΒꓐ", "C": "СϹꓚ", "D": "ꓓᗞ", "E": "ЕΕꓰⴹ", "F": "Ϝꓝ", "G": "ꓖ", "H": "НΗꓧᕼ", "I": "ІӀΙꓲⵏ", "J": "ЈͿ", "K": "КΚꓗ", "L": "ꓡᒪ", "M": "МΜꓟ",
+    "N": "Νꓠ", "O": "ОΟՕꓳ", "P": "РΡꓑ", "Q": "Ԛ", "R": "ꓣ", "S": "Ѕꓢ", "T": "ТΤꓔ", "U": "Սꓴᑌ", "V": "ꓦⴸᐯ", "W": "Ԝꓪ", "X": "ХΧꓫⵝ", "Y": "ҮΥꓬ", "Z": "Ζꓜ",
+    "a": "а", "c": "сϲᴄ", "d": "ԁ", "e": "е", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏ", "p": "р", "q": "ԛ", "s": "ѕꜱ", "u": "ս", "v": "ᴠ", "w": "ԝᴡ", "x": "х", "y": "у", "z": "ᴢ",
+    "æ": "ӕ", "Æ": "Ӕ",
 }
 #: Marks of one shape.
 SAME_MARK = {"‐": "-", "‑": "-", " ": "\n", " ": "\n", "\x85": "\n"}
@@ -28,10 +29,12 @@ SAME_MARK = {"‐": "-", "‑": "-", " ": "\n", " ": "\n", "\x85": "\n"}
 CACHE_WORDS, CACHE_CHARS = 1 << 17, 40
 #: Words counted before a partial result is passed on.
 FLUSH_WORDS = 1 << 17
-#: Cost, in nats, of changing the script inside a word, and of a pair of letters never seen.
-SWITCH_COST = 12.0
+#: Cost, in nats, of changing the script inside a word, and of taking a letter for one that it was learned to look like.
+SWITCH_COST, LEARNED_COST = 12.0, 1.0
+#: A look-alike is learned from so many strays at least, if the best letter is so many nats likelier than the next, and not rarer in its places than LEARN_FIT nats a letter below the corpus' own.
+LEARN_COUNT, LEARN_MARGIN, LEARN_FIT = 20, 10.0, 1.5
 
-_LATIN, _CYRILLIC, _GREEK = 0, 1, 2
+_LATIN, _CYRILLIC, _GREEK, _ARMENIAN, _LISU, _OTHER = range(6)
 _SHAPE = {c: latin for latin, others in LOOK_ALIKE.items() for c in others}
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 _KEEP_JOINER = re.compile("(?<=[☀-➿\U0001f000-\U0001faff️])‍(?=[☀-➿\U0001f000-\U0001faff])|(?<=[؀-෿])[‌‍]")
@@ -40,13 +43,19 @@ _BACK = {ord(v): k for k, v in _HELD.items()}
 
 
 def script(c: str) -> int | None:
-    """Latin, Cyrillic, Greek, or None, by code block."""
+    """Latin, Cyrillic, Greek, Armenian, Lisu, one of the other alphabets with look-alikes, or None, by code block."""
     o = ord(c)
-    if o < 0x250 or 0x1E00 <= o < 0x1F00:
+    if o < 0x250 or 0x1D00 <= o < 0x1F00 or 0xA720 <= o < 0xA800:
         return _LATIN
     if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
         return _GREEK
-    return _CYRILLIC if 0x400 <= o < 0x530 else None
+    if 0x400 <= o < 0x530:
+        return _CYRILLIC
+    if 0x530 <= o < 0x590:
+        return _ARMENIAN
+    if 0xA4D0 <= o < 0xA500:
+        return _LISU
+    return _OTHER if 0x1400 <= o < 0x1680 or 0x2D30 <= o < 0x2D80 else None
 
 
 @lru_cache(maxsize=1)
@@ -94,12 +103,33 @@ def word_pairs(word: str) -> Iterator[tuple[str, str]]:
     yield from zip(["^", *letters], [*letters, "$"], strict=True)
 
 
+def own_scripts(shape: str) -> set[int | None]:
+    """Scripts of the letters of a word of shapes that have no Latin letter of their shape."""
+    return {script(c) for c in shape if not c.isascii() and not unicodedata.combining(c)} - {_LATIN}
+
+
+def writable(c: str, kind: int | None) -> str | None:
+    """The letter of a script that has the shape ``c``, if there is one."""
+    if script(c) == kind:
+        return c
+    return next((o for o in LOOK_ALIKE.get(c, "") if script(o) == kind), None)
+
+
+def is_mixed(shape: str) -> bool:
+    """Whether a word of shapes has letters of its own in another script than Latin and can't be wholly written in that script."""
+    own = own_scripts(shape)
+    if not own or None in own:
+        return False
+    return len(own) > 1 or any(not unicodedata.combining(c) and writable(c, next(iter(own))) is None for c in shape)
+
+
 def letter_pairs(df: DataFrame, text: str = "text") -> DataFrame:
-    """``(a, b, n)``: how often letter b follows letter a in the words of all texts; ^ and $ are a word's ends.
+    """``(a, b, n, stray)``: how often letter b follows letter a in the words of all texts; ^ and $ are a word's ends.
 
-    Only words of one script (Latin, Cyrillic or Greek) count, so that disguised words teach
-    nothing. Words are counted per task first; the result is bounded by the square of the three
-    alphabets. Null and empty texts add nothing.
+    Words of one script, as written, are counted as they are. Words of shapes that no single script
+    can write are counted apart (``stray``): they tell what a letter is taken for. Other disguised
+    words teach nothing. Words are counted per task first; the result is bounded by twice the square
+    of the alphabets. Null and empty texts add nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,54 +143,99 @@ def letter_pairs(df: DataFrame, text: str = "text") -> DataFrame:
                 words.clear()
         yield _counted(words)
 
-    pairs = df.select(F.col(f"`{text}`")).filter(F.col(text).isNotNull()).mapInArrow(run, "a string, b string, n bigint")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = df.select(F.col(f"`{text}`")).filter(F.col(text).isNotNull()).mapInArrow(run, "a string, b string, n bigint, stray boolean")
+    return pairs.groupBy("a", "b", "stray").agg(F.sum("n").alias("n")).select("a", "b", "n", "stray")
 
 
 def _counted(words: Counter[str]) -> pa.RecordBatch:
-    pairs: Counter[tuple[str, str]] = Counter()
+    pairs: Counter[tuple[str, str, bool]] = Counter()
     for word, n in words.items():
-        scripts = {script(c) for c in word if not unicodedata.combining(c)}
-        if len(scripts) == 1 and None not in scripts:
-            for pair in word_pairs(word):
-                pairs[pair] += n
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "n"])
+        scripts = {_LATIN} if word.isascii() else {script(c) for c in word if not unicodedata.combining(c)}
+        if None in scripts:
+            continue
+        if len(scripts) == 1:
+            for a, b in word_pairs(word):
+                pairs[a, b, False] += n
+        elif is_mixed(shape := word.translate(_TO_SHAPE)):
+            for a, b in word_pairs(shape):
+                pairs[a, b, True] += n
+    cols = list(zip(*pairs, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(list(pairs.values()), pa.int64()), pa.array(cols[2], pa.bool_())], names=["a", "b", "n", "stray"])
 
 
 class Forms:
-    """The form of a text under letter-pair counts."""
+    """The form of a text under letter-pair counts ``(a, b, n[, stray])``."""
 
-    def __init__(self, pairs: list[tuple[str, str, int]]) -> None:
+    def __init__(self, pairs: list[tuple]) -> None:
         self.first: Counter[str] = Counter()
-        for a, _, n in pairs:
-            self.first[a] += n
-        self.n = {(a, b): n for a, b, n in pairs}
-        self.size = len({b for _, b, _ in pairs}) + 1
+        self.n: dict[tuple[str, str], int] = {}
+        strays: list[tuple[str, str, int]] = []
+        for a, b, n, *stray in pairs:
+            if stray and stray[0]:
+                strays.append((a, b, n))
+            else:
+                self.first[a] += n
+                self.n[a, b] = n
+        self.size = len({b for _, b in self.n}) + 1
         self.options = {latin: [latin, *others] for latin, others in LOOK_ALIKE.items()}
         self.cache: dict[tuple[str, int | None], str] = {}
+        self.learned = self.learn(strays)
+
+    def log(self, a: str, b: str) -> float:
+        return math.log((self.n.get((a, b), 0) + 0.1) / (self.first[a] + 0.1 * self.size))
+
+    def learn(self, strays: list[tuple[str, str, int]]) -> dict[str, str]:
+        """Latin letters that stray letters of other scripts are taken for.
+
+        A letter that has no fixed look-alike and stands in words that its script can't write is set
+        against every Latin letter of its case: by how likely that letter is in all the places where
+        the stray stands. It is learned if there are enough places, one letter is far likelier than
+        all others, and as likely as letters of the corpus are in theirs.
+        """
+        places: dict[str, list[tuple[str, str, int]]] = {}
+        for a, b, n in strays:
+            if b not in "^$" and not b.isascii() and script(b) != _LATIN:
+                places.setdefault(b, []).append((a, "", n))
+            if a not in "^$" and not a.isascii() and script(a) != _LATIN:
+                places.setdefault(a, []).append(("", b, n))
+        latin = [c for c in self.first if c.isascii() and c.isalpha()]
+        total = sum(n for (a, b), n in self.n.items() if a.isascii() and b.isascii())
+        usual = sum(n * self.log(a, b) for (a, b), n in self.n.items() if a.isascii() and b.isascii()) / total if total else 0.0
+        out = {}
+        for x, where in sorted(places.items()):
+            # a place counts if its other letter is one that Latin writes
+            where = [(a, b, n) for a, b, n in where if (a or b).isascii()]
+            n = sum(k for *_, k in where)
+            scores = sorted(((sum(k * (self.log(a, y) if a else self.log(y, b)) for a, b, k in where), y) for y in latin if y.isupper() == x.isupper()), reverse=True)
+            if n >= 2 * LEARN_COUNT and len(scores) > 1 and scores[0][0] - scores[1][0] >= LEARN_MARGIN and scores[0][0] / n >= usual - LEARN_FIT:
+                out[x] = scores[0][1]
+        return out
 
     def cost(self, a: str, b: str) -> float:
-        c = -math.log((self.n.get((a, b), 0) + 0.1) / (self.first[a] + 0.1 * self.size))
+        c = -self.log(a, b)
         if a != "^" and b != "$" and script(a) != script(b):
             c += SWITCH_COST
         return c
 
     def word(self, shape: str) -> str:
-        """The cheapest reading of a word of shapes: a Viterbi path over each letter's look-alikes.
+        """The cheapest reading of a word: a Viterbi path over the letters that each of its letters may stand for.
 
-        The lattice depends on the shapes alone, so words that look the same have one reading;
-        the options of two shapes never meet, so words that look different have two.
+        A shape may be any letter of that shape; a letter without one is itself or what it was
+        learned to look like. Letter pairs and changes of script decide: the same letter stays in a
+        word of its own script and is read as its look-alike in a word of another.
         """
         letters = [i for i, c in enumerate(shape) if not unicodedata.combining(c)]
-        if not any(shape[i] in self.options for i in letters):
+        lattice = [[(c, 0.0) for c in self.options.get(shape[i], [shape[i]])] + ([(self.learned[shape[i]], LEARNED_COST)] if shape[i] in self.learned else []) for i in letters]
+        if all(len(x) == 1 for x in lattice):
             return shape
         best: list[tuple[float, str, int]] = [(0.0, "^", -1)]
         rows = [best]
-        for i in letters:
+        for ways in lattice:
             now = []
-            for c in self.options.get(shape[i], [shape[i]]):
-                now.append(min((cost + self.cost(prev, c), k) for k, (cost, prev, _) in enumerate(best)))
-            best = [(cost, c, k) for (cost, k), c in zip(now, self.options.get(shape[i], [shape[i]]), strict=True)]
+            for c, extra in ways:
+                cost, k = min((cost + self.cost(prev, c), k) for k, (cost, prev, _) in enumerate(best))
+                now.append((cost + extra, c, k))
+            best = now
             rows.append(best)
         k = min(range(len(best)), key=lambda x: (best[x][0] + self.cost(best[x][1], "$"), x))
         out = list(shape)
@@ -169,26 +244,30 @@ class Forms:
         return "".join(out)
 
     def read(self, shape: str, context: int | None) -> str:
-        """A word's reading; one whose letters all look like letters of the text's script is read in that script."""
+        """A word's reading: in the one script that can write it, if it has letters of its own; a word of shapes only in the script of the text around it; else the cheapest path."""
         key = (shape, context)
         got = self.cache.get(key)
         if got is None:
-            got = self.in_script(shape, context) or self.word(shape)
+            own = own_scripts(shape)
+            got = None
+            if not own:
+                got = self.in_script(shape, context)
+            elif len(own) == 1:
+                got = self.in_script(shape, next(iter(own)))
+            got = got or self.word(shape)
             if len(shape) <= CACHE_CHARS:
                 if len(self.cache) >= CACHE_WORDS:
                     self.cache.clear()
                 self.cache[key] = got
         return got
 
-    def in_script(self, shape: str, context: int | None) -> str | None:
-        if context is None:
+    def in_script(self, shape: str, kind: int | None) -> str | None:
+        if kind is None:
             return None
         out = []
         for c in shape:
             if not unicodedata.combining(c):
-                if c not in self.options:
-                    return None
-                c = next((o for o in self.options[c] if script(o) == context), None)
+                c = writable(c, kind)
                 if c is None:
                     return None
             out.append(c)
@@ -199,36 +278,40 @@ class Forms:
             return text
         shape = clean(text).translate(_TO_SHAPE)
         context = context_script(shape)
+        if context == _LATIN and shape.isascii():
+            return shape  # every word can be written in the script of the text, and is
         out = _WORD.sub(lambda m: self.read(m[0], context), shape)
         return out if out.isascii() else unicodedata.normalize("NFC", out).translate(_BACK)
 
 
 def context_script(shape: str) -> int | None:
-    """The script of most letters that have no look-alike; None in a text without such letters."""
-    own = {_CYRILLIC: len(_OWN_CYRILLIC.findall(shape)), _GREEK: len(_OWN_GREEK.findall(shape))} if not shape.isascii() else {}
-    most = max(own, key=own.get, default=None)
-    if most is None or not own[most]:
-        return _LATIN if _OWN_LATIN.search(shape) else None
-    return most if own[most] > len(_OWN_LATIN.findall(shape)) else _LATIN
+    """The script of most letters that tell it; None in a text without such letters."""
+    latin = len(_OWN_LATIN.findall(shape))
+    if shape.isascii():
+        return _LATIN if latin else None
+    own = Counter(script(c) for c in _OWN_OTHER.findall(shape))
+    most, n = max(own.items(), key=lambda x: (x[1], -x[0]), default=(None, 0))
+    return most if n > latin else _LATIN if latin else None
 
 
-_OWN_CYRILLIC, _OWN_GREEK = re.compile("[\u0400-\u052f]"), re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
-_OWN_LATIN = re.compile("[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in LOOK_ALIKE) + "]")
+_OWN_OTHER = re.compile("[\u0370-\u058f\u1400-\u167f\u1f00-\u1fff\u2d30-\u2d7f\ua4d0-\ua4ff]")
+#: Latin letters that neither Cyrillic nor Greek writes.
+_OWN_LATIN = re.compile("[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if writable(c, _CYRILLIC) is None and writable(c, _GREEK) is None) + "]")
 
 
 def with_form(df: DataFrame, text: str = "text", out: str = "form", statistics: DataFrame | None = None) -> DataFrame:
     """``df`` and the one form of its text column.
 
-    Letters get the script that the whole corpus' letter pairs make likeliest within their word
-    (``statistics``: the texts to count, ``df`` itself by default), a word of look-alikes only the
-    script of the text around it; width forms, ligatures, blanks,
+    A word gets the one script that can write it, a word of look-alikes only the script of the text
+    around it; where no script can, the whole corpus' letter pairs (``statistics``: the texts to
+    count, ``df`` itself by default) decide which letters stand for others (``Forms.word``), also
+    such as are not in the fixed table but were learned from the corpus; width forms, ligatures, blanks,
     hyphens, line ends and accents are written one way; characters that can't be seen are deleted,
     but for joiners that shape an emoji or a letter. Null stays null, empty stays empty, a text of
-    unseen characters only becomes empty. Two texts get one form exactly if they look the same.
-    The pair counts collected are at most a few hundred thousand rows (the square of the letters of
-    three scripts) and go to the workers as one broadcast.
+    unseen characters only becomes empty. Two texts get one form if they differ in such characters only.
+    The pair counts collected are bounded by twice the square of the alphabets (some ten thousand rows in practice) and go to the workers as one broadcast.
     """
-    pairs = [(r[0], r[1], r[2]) for r in letter_pairs(statistics if statistics is not None else df, text).collect()]
+    pairs = [tuple(r) for r in letter_pairs(statistics if statistics is not None else df, text).collect()]
     shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pairs))
 
     @F.arrow_udf("string")

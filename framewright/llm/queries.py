@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.lookalike import LOOK_ALIKE, same_looking_pairs, with_form
+from framewright.llm.lookalike import same_looking_pairs, with_form
 from framewright.llm.mixing import mix_report, mix_sources
 from framewright.llm.overlap import cross_split_pairs, cross_split_report, picture_classes, split_overlap
 from framewright.llm.picture_names import person_key, recording_key
@@ -125,8 +125,12 @@ select s as source, count(*) as n, count(*) as n_ids, true as within from (selec
 SQL["p8_checks"] = """
 select lower(trim(t.source)) as source, exists (select 1 from documents d where lower(trim(d.source)) = lower(trim(t.source)) and length(d.text) > 0) as has_documents, true as share_met, true as cap_kept from mix_targets t"""
 
+#: Fixed values for the oracle, stated here apart from the operator's table: Cyrillic and Greek letters and the Latin ones they are drawn like.
+_CYRILLIC_LIKE = "АВСЕНІЈКМОРЅТХԚԜӀаԁеһіјӏорԛѕԝхус", "ABCEHIJKMOPSTXQWIadehijlopqswxyc"
+_GREEK_LIKE = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"
 #: Shapes for the oracle, in composed form: look-alike letters with and without accents, width forms, blanks, hyphens.
-_PAIRS = {o: latin for latin, others in LOOK_ALIKE.items() for o in others} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys("\u00a0\u2002\u2003\u2005\u2007\u2009\u200a\u202f\u3000", " ") | dict.fromkeys("\u2010\u2011", "-")
+_PAIRS = dict(zip("".join((_CYRILLIC_LIKE[0], _GREEK_LIKE[0])), "".join((_CYRILLIC_LIKE[1], _GREEK_LIKE[1])), strict=True))
+_PAIRS |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys("\u00a0\u2002\u2003\u2005\u2007\u2009\u200a\u202f\u3000", " ") | dict.fromkeys("\u2010\u2011", "-")
 for _other, _latin in list(_PAIRS.items()):
     for _mark in map(chr, range(0x300, 0x330)):
         _one, _two = (unicodedata.normalize("NFC", x + _mark) for x in (_other, _latin))

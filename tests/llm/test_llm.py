@@ -494,6 +494,86 @@ def test_scripts_stay_together():
     assert len(forms.form(long)) == 100_000
 
 
+WORDS = "have over seven give every never very move love live river value visit voice event drive cover wave brave travel save leave serve view video evening however several value vivid vote above believe".split()
+
+
+def taught(extra=""):
+    """Letter pairs of Latin words, some Greek ones, and words with a Greek nu for v, or with ``extra``."""
+    rng = random.Random(0)
+    words = collections.Counter(rng.choices(WORDS, k=2000)) + collections.Counter({"νεφος": 40, "ναυς": 30, "κενος": 30})
+    words += collections.Counter(w.replace("v", "ν") for w in rng.choices(WORDS, k=200)) + collections.Counter(extra.split())
+    batch = lookalike._counted(words)
+    return [tuple(r.values()) for r in batch.to_pylist()]
+
+
+def test_the_search_decides_what_a_letter_stands_for():
+    """The same letter is itself in a word of its script, and its look-alike in one of another; learned from the corpus, not from the table."""
+    assert not any("ν" in others for others in lookalike.LOOK_ALIKE.values())
+    forms = lookalike.Forms(taught())
+    assert forms.learned == {"ν": "v"}
+    assert forms.form("we haνe to leaνe") == forms.form("we have to leave") == "we have to leave"
+    assert forms.form("νεφος") == "νεφος" != forms.form("vεφος")
+    assert forms.form("haνе") == "have"  # a Cyrillic letter as well
+    untaught = lookalike.Forms([p for p in taught() if not p[3]])
+    assert untaught.learned == {} and untaught.form("haνe") != "have"
+
+
+def test_rare_or_unclear_strays_are_not_learned():
+    assert lookalike.Forms(taught("haжe ижer жжrжt bжt " * 5)).learned == {"ν": "v"}
+    assert lookalike.Forms([]).learned == {} and lookalike.Forms([]).form("haνe") == "haνe"
+
+
+def test_letters_kept_out_of_the_table_are_learned(spark, monkeypatch):
+    """Recall on held-out letters: each is taken out of the table and has to be learned from a corpus that uses it."""
+    found = 0
+    held = {"а": "a", "е": "e", "о": "o", "ѕ": "s", "і": "i", "ԁ": "d", "һ": "h", "р": "p"}
+    rng = random.Random(1)
+    text = "the people of these places said that she had seen a ship pass the island and the shape of its sails did please them as they stood on the side of the hill".split()
+    for letter, latin in held.items():
+        table = {k: "".join(c for c in v if c != letter) for k, v in lookalike.LOOK_ALIKE.items()}
+        monkeypatch.setattr(lookalike, "LOOK_ALIKE", table)
+        monkeypatch.setattr(lookalike, "_TO_SHAPE", {ord(c): k for k, v in table.items() for c in v})
+        words = collections.Counter(rng.choices(text, k=3000)) + collections.Counter(w.replace(latin, letter) for w in rng.choices(text, k=300))
+        forms = lookalike.Forms([tuple(r.values()) for r in lookalike._counted(words).to_pylist()])
+        found += forms.learned.get(letter) == latin
+        monkeypatch.undo()
+    assert found >= 5
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/fonts/truetype/dejavu/DejaVuSans.ttf"), reason="no such font here")
+def test_table_against_drawn_letters():
+    """Letters that a public font draws with the very outline of a Latin letter are in the table (mathematical letters, styled on purpose, aside)."""
+    import struct
+    import unicodedata
+
+    with open("/usr/share/fonts/truetype/dejavu/DejaVuSans.ttf", "rb") as f:
+        data = f.read()
+    tables = {data[12 + 16 * i : 16 + 16 * i].decode(): struct.unpack(">I", data[20 + 16 * i : 24 + 16 * i])[0] for i in range(struct.unpack(">H", data[4:6])[0])}
+    n = struct.unpack(">H", data[tables["maxp"] + 4 : tables["maxp"] + 6])[0]
+    wide = struct.unpack(">h", data[tables["head"] + 50 : tables["head"] + 52])[0]
+    at = [x if wide else 2 * x for x in struct.unpack(f">{n + 1}{'I' if wide else 'H'}", data[tables["loca"] : tables["loca"] + (n + 1) * (4 if wide else 2)])]
+    cmap, glyph = tables["cmap"], {}
+    for k in range(struct.unpack(">H", data[cmap + 2 : cmap + 4])[0]):
+        sub = cmap + struct.unpack(">I", data[cmap + 8 + 8 * k : cmap + 12 + 8 * k])[0]
+        if struct.unpack(">H", data[sub : sub + 2])[0] == 12:
+            for g in range(struct.unpack(">I", data[sub + 12 : sub + 16])[0]):
+                lo, hi, first = struct.unpack(">III", data[sub + 16 + 12 * g : sub + 28 + 12 * g])
+                glyph.update({o: first + o - lo for o in range(lo, hi + 1)})
+
+    def drawn(g):
+        body = data[tables["glyf"] + at[g] : tables["glyf"] + at[g + 1]]
+        flags = struct.unpack(">H", body[10:12])[0] if body[:2] == b"\xff\xff" else 0x20
+        if not flags & 0x20 and not any(body[14 : 18 if flags & 1 else 16]):
+            return drawn(struct.unpack(">H", body[12:14])[0])
+        return body[10:]
+
+    latin = {drawn(glyph[o]): chr(o) for o in map(ord, lookalike.LOOK_ALIKE) if o < 128}
+    want = {(latin[drawn(g)], chr(o)) for o, g in glyph.items() if o > 127 and unicodedata.category(chr(o))[0] == "L" and lookalike.script(chr(o)) not in (None, 0) and drawn(g) in latin}
+    assert len(want) > 30
+    missing = {(a, c) for a, c in want if c not in lookalike.LOOK_ALIKE[a]}
+    assert len(missing) <= 0.05 * len(want), missing
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("aаoоcсTТHНé́ x-​")), st.integers(0, 1000))
 def test_forms_are_stable(text, seed):
