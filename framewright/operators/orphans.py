@@ -11,6 +11,8 @@ from framewright.operators.components import join_one
 from framewright.operators.latest import first_arrival
 from framewright.session import scratch_path
 
+#: Orphan cells (about 40 bytes each) that are broadcast; they are counted first, and more are joined by a shuffle.
+BROADCAST_CELLS = 50_000
 
 def reference_counts(deltas: DataFrame, *by: str) -> DataFrame:
     """Current state per key from signed deltas ``(key_id, ref_delta, exist_delta)``.
@@ -65,47 +67,55 @@ def _state_at(at: Column) -> Column:
 
 
 def _first_references(tables: dict[str, DataFrame], fields: list[str], key: str, at: str) -> DataFrame:
-    """Every id of the tables once, at its first arrival, as a written table ``(table_name, row_id, first_at, fields...)``."""
+    """Every id of the tables once, at its first arrival, as a written table ``(source, row_id, first_at, fields...)``; ``source`` numbers the tables."""
     out: DataFrame | None = None
-    for name, df in tables.items():
-        one = first_arrival(df, key, at, {f: f for f in fields}).select(F.lit(name).alias("table_name"), F.col("row_id").cast("bigint").alias("row_id"), "first_at", *(F.col(f).cast("bigint").alias(f) for f in fields))
+    for i, df in enumerate(tables.values()):
+        one = first_arrival(df, key, at, {f: f for f in fields}).select(F.lit(i).cast("tinyint").alias("source"), F.col("row_id").cast("bigint").alias("row_id"), "first_at", *(F.col(f).cast("bigint").alias(f) for f in fields))
         out = one if out is None else out.unionByName(one)
     assert out is not None
-    path = scratch_path(out.sparkSession, "references")
-    out.write.parquet(path)
-    return out.sparkSession.read.parquet(path)
+    return _written(out)
 
 
-def _long(base: DataFrame, fields: list[str]) -> DataFrame:
-    """``(table_name, row_id, first_at, field_name, key_id, period)``, a row per reference that is not null."""
-    each = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("key_id")) for f in fields))
-    long = base.select("table_name", "row_id", "first_at", F.inline(each)).filter("key_id is not null")
-    return long.withColumn("period", F.to_date("first_at"))
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "orphans")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def _cell() -> Column:
-    return F.xxhash64("table_name", "field_name", "key_id", "period")
+def _period() -> Column:
+    return F.trunc("first_at", "month")
 
 
-def orphan_cells(base: DataFrame, targets: dict[str, DataFrame], key: str = "id", at: str = "ingested_at") -> DataFrame:
-    """The cells of signed counts that hold orphans: ``(table_name, field_name, key_id, period, refs, born, gone, state)``.
+def orphan_cells(base: DataFrame, field: str, target: DataFrame, key: str = "id", at: str = "ingested_at") -> DataFrame:
+    """The cells of signed counts that hold orphans of a field: ``(source, key_id, period, refs, born, gone, state)``.
 
-    ``refs`` is the sum of the reference deltas of a key in a day (+1 at a row's first arrival,
+    ``refs`` is the sum of the reference deltas of a key in a month (+1 at a row's first arrival,
     combined before the shuffle; a key of a third of all rows has no more cells than there are
-    days), existence the sum of the key's existence deltas up to the cell's first and last
+    months), existence the sum of the key's existence deltas up to the cell's first and last
     reference. A cell of positive references and zero existence throughout has a ``state``;
     where the existence changes inside the cell, ``state`` is null and the rows decide.
     """
-    deltas = _long(base, list(targets)).groupBy("table_name", "field_name", "key_id", "period").agg(F.count(F.lit(1)).alias("refs"), F.min("first_at").alias("low"), F.max("first_at").alias("high"))
-    lives: DataFrame | None = None
-    for field, target in targets.items():
-        one = timeline(existence_deltas(target, key, at)).select(F.lit(field).alias("field_name"), "key_id", "born", "gone")
-        lives = one if lives is None else lives.unionByName(one)
-    joined = deltas.join(lives, ["field_name", "key_id"], "left")
+    refs = base.filter(F.col(field).isNotNull()).groupBy("source", F.col(field).alias("key_id"), _period().alias("period")).agg(F.count(F.lit(1)).alias("refs"), F.min("first_at").alias("low"), F.max("first_at").alias("high"))
+    joined = refs.join(timeline(existence_deltas(target, key, at)).select("key_id", "born", "gone"), "key_id", "left")
     low, high = F.col("low"), F.col("high")
     changes = F.coalesce((F.col("born") > low) & (F.col("born") <= high), F.lit(False)) | F.coalesce((F.col("gone") > low) & (F.col("gone") <= high), F.lit(False))
     found = joined.filter((F.col("refs") > 0) & ((_existence_at(low) <= 0) | (_existence_at(high) <= 0) | changes))
-    return found.select("table_name", "field_name", "key_id", "period", "refs", "born", "gone", F.when(~changes, _state_at(low)).alias("state"))
+    return _written(found.select("source", "key_id", "period", "refs", "born", "gone", F.when(~changes, _state_at(low)).alias("state")))
+
+
+def _expanded(base: DataFrame, cells: DataFrame, field: str) -> DataFrame:
+    """``(source, row_id, field_name, key_id, ref_at, state)``: the orphan rows of a field's cells."""
+    cell = F.xxhash64("source", "key_id", "period").alias("cell")
+    rows = base.filter(F.col(field).isNotNull()).select("source", "row_id", "first_at", F.col(field).alias("key_id"), _period().alias("period")).select("source", "row_id", "first_at", "key_id", cell)
+    looked = cells.select(cell, F.col("key_id").alias("__key"), "born", "gone", F.col("refs").alias("__k"))
+    size = cells.count()
+    joined = rows.join(F.broadcast(looked.drop("__k")), "cell") if size <= BROADCAST_CELLS else join_one(rows, looked, "cell")
+    return joined.filter("__key = key_id").select("source", "row_id", F.lit(field).alias("field_name"), "key_id", F.col("first_at").alias("ref_at"), _state_at(F.col("first_at")).alias("state")).filter("state is not null")
+
+
+def _table_name(tables: dict[str, DataFrame]) -> Column:
+    names = F.array(*(F.lit(n) for n in tables))
+    return names[F.col("source").cast("int")].alias("table_name")
 
 
 def orphan_rows(tables: dict[str, DataFrame], targets: dict[str, DataFrame], key: str = "id", at: str = "ingested_at") -> DataFrame:
@@ -119,24 +129,17 @@ def orphan_rows(tables: dict[str, DataFrame], targets: dict[str, DataFrame], key
     extra columns, also of equal names on both sides, play no part.
 
     Keys with positive references and zero existence come from the signed counts (``orphan_cells``);
-    only those cells are expanded to their rows, and cells of very many rows are looked up in a
-    broadcast of their few entries, so no task gets a hot key.
+    only those cells are expanded to their rows: by a broadcast of up to BROADCAST_CELLS counted
+    cells, beyond that by a shuffle, where cells of very many rows are looked up in a broadcast of
+    their few entries, so no task gets a hot key.
     """
     base = _first_references(tables, list(targets), key, at)
-    return _expanded(base, _written(orphan_cells(base, targets, key, at)), list(targets))
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "cells")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _expanded(base: DataFrame, cells: DataFrame, fields: list[str]) -> DataFrame:
-    rows = _long(base, fields).select("table_name", "row_id", "first_at", "field_name", "key_id", _cell().alias("cell"))
-    looked = cells.select(_cell().alias("cell"), F.col("field_name").alias("__f"), F.col("key_id").alias("__k1"), "born", "gone", F.col("refs").alias("__k"))
-    joined = join_one(rows, looked, "cell").filter("__f = field_name and __k1 = key_id")
-    return joined.select("table_name", "row_id", "field_name", "key_id", F.col("first_at").alias("ref_at"), _state_at(F.col("first_at")).alias("state")).filter("state is not null")
+    out: DataFrame | None = None
+    for field, target in targets.items():
+        one = _expanded(base, orphan_cells(base, field, target, key, at), field)
+        out = one if out is None else out.unionByName(one)
+    assert out is not None
+    return out.select(_table_name(tables), "row_id", "field_name", "key_id", "ref_at", "state")
 
 
 def orphan_report(tables: dict[str, DataFrame], targets: dict[str, DataFrame], key: str = "id", at: str = "ingested_at") -> DataFrame:
@@ -145,10 +148,16 @@ def orphan_report(tables: dict[str, DataFrame], targets: dict[str, DataFrame], k
     The counts are those of the orphan cells; only cells in which the existence changes are expanded to rows.
     """
     base = _first_references(tables, list(targets), key, at)
-    cells = _written(orphan_cells(base, targets, key, at))
-    whole = cells.filter("state is not null").select("table_name", "field_name", "state", F.date_format("period", "yyyy-MM").alias("period"), F.col("refs").alias("n"))
-    mixed = _expanded(base, cells.filter("state is null"), list(targets)).select("table_name", "field_name", "state", F.date_format("ref_at", "yyyy-MM").alias("period"), F.lit(1).cast("bigint").alias("n"))
-    return whole.unionByName(mixed).groupBy("table_name", "field_name", "state", "period").agg(F.sum("n").alias("n"))
+    out: DataFrame | None = None
+    for field, target in targets.items():
+        cells = orphan_cells(base, field, target, key, at)
+        whole = cells.filter("state is not null").select("source", "state", "period", F.col("refs").alias("n"))
+        mixed = _expanded(base, cells.filter("state is null"), field).select("source", "state", F.trunc("ref_at", "month").alias("period"), F.lit(1).cast("bigint").alias("n"))
+        one = whole.unionByName(mixed).withColumn("field_name", F.lit(field))
+        out = one if out is None else out.unionByName(one)
+    assert out is not None
+    named = out.select(_table_name(tables), "field_name", "state", F.date_format("period", "yyyy-MM").alias("period"), "n")
+    return named.groupBy("table_name", "field_name", "state", "period").agg(F.sum("n").alias("n"))
 
 
 class OrphanLedger:

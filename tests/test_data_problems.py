@@ -72,6 +72,8 @@ def test_orphans(spark, rows, monkeypatch):
     want = [("t", 12, "image_id", "deleted"), ("t", 13, "image_id", "late"), ("t", 14, "image_id", "missing"), ("t", 16, "image_id", "deleted")]
     out = orphan_rows({"t": refs}, {"image_id": images})
     assert rows(out.select("table_name", "row_id", "field_name", "state")) == want
+    monkeypatch.setattr("framewright.operators.orphans.BROADCAST_CELLS", 0)
+    assert rows(orphan_rows({"t": refs}, {"image_id": images}).select("table_name", "row_id", "field_name", "state")) == want
     monkeypatch.setattr("framewright.operators.components.HOT_ROWS", 0)
     assert rows(orphan_rows({"t": refs}, {"image_id": images}).select("table_name", "row_id", "field_name", "state")) == want
     assert sum(r["n"] for r in orphan_report({"t": refs}, {"image_id": images}).collect()) == 4
