@@ -92,7 +92,21 @@ def clean(text: str) -> str:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "‍" in text or "‌" in text:
         text = _KEEP_JOINER.sub(lambda m: _HELD[m[0]], text)
-    return unicodedata.normalize("NFD", text.translate(_plain()))
+    if _special().search(text):
+        text = text.translate(_plain())
+    return unicodedata.normalize("NFD", text)
+
+
+@lru_cache(maxsize=1)
+def _special() -> re.Pattern[str]:
+    """The characters that ``_plain`` changes; most texts have none, and looking is faster than translating."""
+    runs: list[list[int]] = []
+    for o in sorted(_plain()):
+        if runs and runs[-1][1] == o - 1:
+            runs[-1][1] = o
+        else:
+            runs.append([o, o])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
 _TO_SHAPE = {ord(c): latin for c, latin in _SHAPE.items()}
@@ -314,11 +328,12 @@ def with_form(df: DataFrame, text: str = "text", out: str = "form", statistics:
     pairs = [tuple(r) for r in letter_pairs(statistics if statistics is not None else df, text).collect()]
     shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pairs))
 
-    @F.arrow_udf("string")
-    def form(texts: pa.Array) -> pa.Array:
+    def forms_of(texts: pa.Array) -> pa.Array:
         forms = _forms(shared)
         return pa.array([forms.form(t) for t in texts.to_pylist()], pa.string())
 
+    # not to be copied into a filter on the form and made twice
+    form = F.arrow_udf(forms_of, "string").asNondeterministic()
     return df.withColumn(out, form(F.col(f"`{text}`")))
 
 
