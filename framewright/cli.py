@@ -21,7 +21,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--splits", nargs="*", default=None, help="splits to read, all by default")
     p.add_argument("--schema", default=None, help="JSON Schema to check against, 'default' for the built-in one")
     p.add_argument("--watch", action="store_true", help="stay and follow changes")
-    p.add_argument("--once", action="store_true", help="with --watch: take what is there as changes, then stop")
+    p.add_argument("--once", action="store_true", help="with --watch: take in what changed since --state was written, then stop")
+    p.add_argument("--state", default=None, help="folder that keeps what was seen, to go on from in a later run")
     p.add_argument("--cooldown", default="5 seconds", help="least time between two updates")
     return p
 
@@ -38,14 +39,15 @@ def push(new: Dataset, gone: Dataset, out: str) -> None:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    def read() -> Dataset:
-        return readers.from_image_json(spark, args.folder, splits_to_read=args.splits, use_schema=args.schema is not None, json_schema=args.schema)
-
-    first = read()
-    push(first, first.filter_images(F.lit(False)), args.out)
-    if args.watch:
-        query = watch(spark, f"{args.folder}/Annotations", read, lambda new, gone: push(new, gone, args.out), scratch_path(spark, "watch"), args.cooldown, args.once)
-        query.awaitTermination()
+    def read(files: list[str] | None = None) -> Dataset:
+        return readers.from_image_json(spark, args.folder, splits_to_read=args.splits, use_schema=args.schema is not None, json_schema=args.schema, files=files)
+
+    if not args.watch:
+        first = read()
+        push(first, first.filter_images(F.lit(False)), args.out)
+        return
+    query = watch(spark, f"{args.folder}/Annotations", read, lambda new, gone: push(new, gone, args.out), args.state or scratch_path(spark, "watch"), args.cooldown, args.once)
+    query.awaitTermination()
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -15,8 +15,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    setting and the context's own checkpoint folder are both unset (tests on one
-    machine) is a temporary folder made.
+    setting and the context's own checkpoint folder are both unset is a temporary folder
+    made, and only on a local master: on a cluster this raises RuntimeError, as other
+    machines would not see the folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="framewright-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

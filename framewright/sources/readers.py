@@ -65,19 +65,20 @@ def from_coco_keypoints(spark: SparkSession, coco_json: str, images_root: str =
 
 
 # ---------------------------------------------------------------- one JSON file per image
-def _read_image_json(spark: SparkSession, folder: str, schema: dict | None) -> DataFrame:
+def _read_image_json(spark: SparkSession, folder: str, schema: dict | None, files: list[str] | None = None) -> DataFrame:
     options = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     if schema is not None:
         check_payload(spark, folder, schema)
-    return options.json(folder).select("*", F.col("_metadata.file_path").alias("__file"))
+    return options.json(folder if files is None else files).select("*", F.col("_metadata.file_path").alias("__file"))
 
 
-def load_image_json_folder(spark: SparkSession, folder: str, split: str | None = None, schema: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
+def load_image_json_folder(spark: SparkSession, folder: str, split: str | None = None, schema: dict | None = None, files: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(images, annotations) of the JSON files below a folder; nested fields get dotted names, columns without values go.
 
     Files must be of type "instances" and be called as their image. Repeated image ids raise ValueError.
+    ``files``: only these of them.
     """
-    raw = _read_image_json(spark, folder, schema)
+    raw = _read_image_json(spark, folder, schema, files)
     rel = relative_to(F.col("__file"), folder)
     bad = raw.filter((F.coalesce("type", F.lit("")) != "instances") | (stem_of(F.regexp_extract(rel, r"([^/]*)$", 1)) != stem_of(F.regexp_extract("image.file_name", r"([^/]*)$", 1)))).limit(1).collect()
     if bad:
@@ -100,15 +101,15 @@ def load_image_json_folder(spark: SparkSession, folder: str, split: str | None =
     return images, notes.select(*(F.col(f"`{c}`") for c in notes.columns if c != "bbox"), *boxes)
 
 
-def from_image_json(spark: SparkSession, dataset_path: str, dataset_name: str | None = None, split: str | None = None, splits_to_read: list[str] | None = None, use_schema: bool = False, json_schema: str | dict | None = "default", booleanize: bool = True) -> Dataset:
+def from_image_json(spark: SparkSession, dataset_path: str, dataset_name: str | None = None, split: str | None = None, splits_to_read: list[str] | None = None, use_schema: bool = False, json_schema: str | dict | None = "default", booleanize: bool = True, files: list[str] | None = None) -> Dataset:
     """A folder with ``Annotations`` (JSON per image, in folders of splits) and ``Images``."""
-    return from_image_json_generic(spark, f"{dataset_path}/Images", f"{dataset_path}/Annotations", dataset_name, split, splits_to_read, use_schema, json_schema, booleanize)
+    return from_image_json_generic(spark, f"{dataset_path}/Images", f"{dataset_path}/Annotations", dataset_name, split, splits_to_read, use_schema, json_schema, booleanize, files)
 
 
-def from_image_json_generic(spark: SparkSession, images_folder: str, annotations_folder: str, dataset_name: str | None = None, split: str | None = None, splits_to_read: list[str] | None = None, use_schema: bool = False, json_schema: str | dict | None = "default", booleanize: bool = True) -> Dataset:
+def from_image_json_generic(spark: SparkSession, images_folder: str, annotations_folder: str, dataset_name: str | None = None, split: str | None = None, splits_to_read: list[str] | None = None, use_schema: bool = False, json_schema: str | dict | None = "default", booleanize: bool = True, files: list[str] | None = None) -> Dataset:
     """Union of the split folders (train, valid, eval); without any, the folder itself.
 
-    With a schema the files are validated, arrays of enumerated values become boolean columns, and
+    ``files``: only these annotation files. With a schema the files are validated, arrays of enumerated values become boolean columns, and
     types and defaults are filled in.
     """
     schema = load_schema(json_schema) if use_schema else None
@@ -117,10 +118,13 @@ def from_image_json_generic(spark: SparkSession, images_folder: str, annotations
     if splits_to_read and len(there) < len(wanted):
         raise FileNotFoundError(f"no folders {sorted(set(wanted) - set(there))} in {annotations_folder}")
     if there:
-        parts = [(s, *load_image_json_folder(spark, f"{annotations_folder}/{s}", s, schema)) for s in there]
+        own = {s: None if files is None else [f for f in files if f"{annotations_folder.rstrip('/')}/{s}/" in f] for s in there}
+        parts = [(s, *load_image_json_folder(spark, f"{annotations_folder}/{s}", s, schema, own[s])) for s in there if own[s] is None or own[s]]
         parts = [(s, i.withColumn("relative_path", F.concat(F.lit(f"{s}/"), "relative_path")), n) for s, i, n in parts]
     else:
-        parts = [(split, *load_image_json_folder(spark, annotations_folder, split, schema))]
+        parts = [(split, *load_image_json_folder(spark, annotations_folder, split, schema, files))]
+    if not parts:
+        return Dataset.build(spark.createDataFrame([], "id bigint, width int, height int, relative_path string, split string"), None, {}, images_folder, dataset_name)
     images, notes = parts[0][1], parts[0][2]
     for _, i, n in parts[1:]:
         images = images.unionByName(i, allowMissingColumns=True)

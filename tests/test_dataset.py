@@ -1,4 +1,6 @@
 import math
+import os
+import time
 
 import numpy as np
 import pytest
@@ -7,7 +9,6 @@ from pyspark.sql import functions as F
 from framewright.evaluator import Evaluator
 from framewright.functions.groups import ContinuousGroup, bin_edges
 from framewright.functions.presets import load_preset
-from framewright.llm import mixing
 from framewright.model import Dataset
 from framewright.operators import append, histograms, labels, onehot, quality, reindex, setops, splitting
 from framewright.operators.matching import greedy_match
@@ -77,14 +78,10 @@ def test_labels(ds):
         load_preset("supercategory", "coco")
 
 
-def test_tables_that_are_too_long_raise(spark, ds, monkeypatch):
+def test_tables_that_are_too_long_raise(spark, ds):
     table = spark.range(100_001).select(F.col("id").alias("input_category_id"), F.lit(1).alias("output_category_id"), F.lit("x").alias("output_category_name"))
     with pytest.raises(ValueError, match="remap table"):
         labels.remap_from_table(ds, table)
-    monkeypatch.setattr(mixing, "MAX_BLOCKS", 1)
-    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
-    with pytest.raises(ValueError, match="mix targets"):
-        mixing.mix_sources(spark.createDataFrame([], "doc_id bigint, source string, text string"), targets)
 
 
 def test_reindex(ds):
@@ -230,15 +227,56 @@ def test_evaluator(spark, ds, tmp_path):
     ev.release()
 
 
-def test_streaming(spark, ds, tmp_path):
+def test_watch_sees_added_changed_and_deleted_files(spark, tmp_path):
     import json
 
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(json.dumps({"x": 1}))
-    seen = []
-    states = iter([ds.filter_images("id < 2"), ds.filter_images("id < 3")])
-    q = watch(spark, str(tmp_path / "in"), lambda: next(states), lambda new, gone: seen.append((len(new), len(gone))), str(tmp_path / "cp"), once=True)
-    q.awaitTermination(60)
-    assert seen == [(1, 0)]
+    from framewright.sources import readers
+
+    root = tmp_path / "data"
+    (root / "Annotations/train").mkdir(parents=True)
+    (root / "Annotations/valid").mkdir()
+
+    def put(i, width=10.0, split="train"):
+        doc = {"image": {"id": i, "file_name": f"{i}.jpg", "width": 100, "height": 50}, "type": "instances", "annotations": [{"id": 10 * i + k, "bbox": [1.0, 1.0, width + k, 5.0], "category_id": 1, "category_str": "a"} for k in range(2)]}
+        (root / f"Annotations/{split}/{i}.json").write_text(json.dumps(doc))
+
+    seen, asked = [], []
+
+    def read(files):
+        asked.append(None if files is None else sorted(f.rsplit("/", 1)[1] for f in files))
+        return readers.from_image_json(spark, str(root), files=files)
+
+    def push(new, gone):
+        seen.append((sorted(r["id"] for r in new.images.collect()), sorted(r["id"] for r in gone.images.collect()), new.len_annot(), gone.len_annot()))
+
+    put(1), put(2), put(7, split="valid")
+    w = watch(spark, str(root / "Annotations"), read, push, str(tmp_path / "state"), once=True)
+    assert seen == [([1, 2, 7], [], 6, 0)] and asked == [None]
+    w.processAllAvailable()
+    assert len(seen) == 1
+    put(3)
+    w.processAllAvailable()
+    put(1, width=20.0), put(4)
+    w.processAllAvailable()
+    os.remove(root / "Annotations/train/2.json")
+    w.processAllAvailable()
+    assert seen[1:] == [([3], [], 2, 0), ([1, 4], [1], 4, 2), ([], [2], 0, 2)]
+    assert asked == [None, ["3.json"], ["1.json", "4.json"]]
+    # a later process goes on where this one stopped; the stream looks by itself
+    put(1, width=30.0)
+    os.remove(root / "Annotations/valid/7.json")
+    q = watch(spark, str(root / "Annotations"), read, push, str(tmp_path / "state"), cooldown="1 second")
+    assert seen[-1] == ([1], [1, 7], 2, 4) and asked[-1] == ["1.json"]
+    os.remove(root / "Annotations/train/4.json")
+    for _ in range(60):
+        time.sleep(0.5)
+        if seen[-1] == ([], [4], 0, 2):
+            break
+    assert q.exception() is None and q.isActive
+    q.stop()
+    assert seen[-1] == ([], [4], 0, 2)
+
+
+def test_windows(spark):
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "a"), ("2024-01-01 01:10:00", "a")], "ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in windowed_counts(events).collect()) == [1, 2]
