@@ -454,6 +454,13 @@ def test_mix(spark, monkeypatch):
     assert 450 <= small.agg(F.sum("n_tokens")).first()[0] <= 500
 
 
+def test_too_many_targets_raise(spark, monkeypatch):
+    monkeypatch.setattr("framewright.llm.mixing.MAX_TARGETS", 1)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
+    with pytest.raises(ValueError, match="mix targets"):
+        mix_sources(spark.createDataFrame([], "doc_id bigint, source string, text string"), targets)
+
+
 def test_plan_keeps_caps():
     plan, total = plan_mix({"a": (10, 1000), "b": (5, 100)}, [("a", 0.5, 1), ("b", 0.5, 3), ("c", 0.0, 1), ("d", None, 2)])
     assert total == 600 and plan["b"]["passes"] == 3 and plan["b"]["rest"] == 0 and plan["a"]["quota"] == 300
