@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.session import cut, few_rows
+
 _EPS = 1e-5
 
 
@@ -20,6 +22,11 @@ def detections(matches: DataFrame, groundtruth: DataFrame, predictions: DataFram
     return joined.select(is_gt.alias("is_gt"), "iou", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *(F.when(is_gt, F.col(f"g_{i}")).otherwise(F.col(f"p_{i}")).alias(c) for i, c in enumerate(columns)))
 
 
+def detected(matched: DataFrame, columns: list[str]) -> DataFrame:
+    """``detections`` of ``matching.matched_rows`` that carry the columns: no join is needed."""
+    return matched.select("is_gt", "iou", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *(F.col(f"`{c}`") for c in columns))
+
+
 def precision_recall(rows: DataFrame, by: list[str], ious: list[float], betas: list[float] = [1], index_column: str | None = "recall", grid: list[float] | None = None) -> DataFrame:  # noqa: B006
     """``by..., iou_threshold, position, precision, recall, confidence_threshold, f<beta>_score...``.
 
@@ -31,9 +38,10 @@ def precision_recall(rows: DataFrame, by: list[str], ious: list[float], betas: l
     A group without ground truth has recall 0.
     """
     keys = [*by, "iou_threshold"]
-    at = F.explode(F.array(*(F.lit(float(x)) for x in ious))).alias("iou_threshold")
-    each = rows.select("*", at)
-    points = each.groupBy(*keys, "confidence").agg(F.count_if(F.col("is_gt") & (F.col("iou") > F.col("iou_threshold"))).alias("tp"), F.count(F.lit(1)).alias("k"), F.count_if("is_gt").alias("gt"))
+    # thresholds are few: every row adds to one count for each, and rows are multiplied only once they are points
+    counted = rows.groupBy(*by, "confidence").agg(*(F.count_if(F.col("is_gt") & (F.col("iou") > float(x))).alias(f"tp{i}") for i, x in enumerate(ious)), F.count(F.lit(1)).alias("k"), F.count_if("is_gt").alias("gt"))
+    each = F.inline(F.array(*(F.struct(F.lit(float(x)).alias("iou_threshold"), F.col(f"tp{i}").alias("tp")) for i, x in enumerate(ious))))
+    points = counted.select(*by, "confidence", "k", "gt", each)
     g = Window.partitionBy(*keys)
     run = g.orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
     recall = F.coalesce(F.try_divide(F.sum("tp").over(run), F.sum("gt").over(g)), F.lit(0.0))
@@ -79,6 +87,23 @@ def confusion_pairs(matches: DataFrame, groundtruth: DataFrame, predictions: Dat
     g = groundtruth.select(F.col("id").alias("gid"), F.col(label).alias("gl"), *(F.col(f"`{c}`").alias(f"g_{i}") for i, c in enumerate(by)))
     p = predictions.select(F.col("id").alias("pid"), F.col(label).alias("pl"), F.col("confidence").alias("conf"), *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(by)))
     j = matches.join(g, F.col("groundtruth_id") == F.col("gid"), "left").join(p, F.col("prediction_id") == F.col("pid"), "left")
+    return _confused(j, min_iou, min_confidence, by)
+
+
+def confused_rows(matched: DataFrame, predictions: DataFrame, min_iou: float = 0.0, min_confidence: float = 0.0, by: list[str] = [], label: str = "category_str") -> DataFrame:  # noqa: B006
+    """``confusion_pairs`` of ``matching.matched_rows`` that carry ``by`` and the label: only the predictions of matched ground truths are looked up."""
+    own = matched.select("prediction_id", "groundtruth_id", "iou", "confidence", "is_gt", F.col(f"`{label}`").alias("own"), *(F.col(f"`{c}`").alias(f"o_{i}") for i, c in enumerate(by)))
+    paired = own.filter("is_gt and prediction_id is not null")
+    p = predictions.select(F.col("id").alias("pid"), F.col(f"`{label}`").alias("pl"), *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(by)))
+    both = paired.join(p, F.col("prediction_id") == F.col("pid")).select(F.col("groundtruth_id").alias("gid"), "pid", "iou", F.col("own").alias("gl"), "pl", F.col("confidence").alias("conf"), *(F.col(f"o_{i}").alias(f"g_{i}") for i in range(len(by))), *(f"p_{i}" for i in range(len(by))))
+    none = lambda c: F.lit(None).cast(c)
+    kinds = [own.schema[f"o_{i}"].dataType for i in range(len(by))]
+    lone_g = own.filter("is_gt and prediction_id is null").select(F.col("groundtruth_id").alias("gid"), none("bigint").alias("pid"), "iou", F.col("own").alias("gl"), none("string").alias("pl"), none("double").alias("conf"), *(F.col(f"o_{i}").alias(f"g_{i}") for i in range(len(by))), *(none(t).alias(f"p_{i}") for i, t in enumerate(kinds)))
+    lone_p = own.filter("not is_gt").select(none("bigint").alias("gid"), F.col("prediction_id").alias("pid"), "iou", none("string").alias("gl"), F.col("own").alias("pl"), F.col("confidence").alias("conf"), *(none(t).alias(f"g_{i}") for i, t in enumerate(kinds)), *(F.col(f"o_{i}").alias(f"p_{i}") for i in range(len(by))))
+    return _confused(both.unionByName(lone_g).unionByName(lone_p), min_iou, min_confidence, by)
+
+
+def _confused(j: DataFrame, min_iou: float, min_confidence: float, by: list[str]) -> DataFrame:
     none = F.lit(None).cast("string")
     sure = F.when(F.col("conf") > min_confidence, F.col("pl"))
     weak = F.col("gid").isNotNull() & F.col("pid").isNotNull() & (F.col("iou") <= min_iou)
@@ -96,11 +121,12 @@ def confusion_cells(pairs: DataFrame, by: list[str] = []) -> DataFrame:  # noqa:
 
 def confusion_matrix(pairs: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """The matrix: ``by..., label`` and a column per class, classes sorted, "None" last; rows of classes without ground truth are 0."""
-    seen = {r[0] for c in ("groundtruth", "prediction") for r in pairs.select(c).distinct().collect()}
+    # one pass over the pairs: cells are few, and everything else is made of them
+    cells = cut(confusion_cells(pairs, by))
+    seen = {r[0] for r in few_rows(cells.select(F.explode(F.array("groundtruth", "prediction")).alias("c")).distinct(), "classes", 10_000)}
     classes = sorted(seen - {"None"}) + (["None"] if "None" in seen else [])
-    cells = confusion_cells(pairs, by)
     labels = pairs.sparkSession.createDataFrame([(c,) for c in classes], "label string")
-    base = pairs.select(*by).distinct().crossJoin(F.broadcast(labels)) if by else labels
+    base = cells.select(*by).distinct().crossJoin(F.broadcast(labels)) if by else labels
     wide = cells.groupBy(*by, F.col("groundtruth").alias("label")).pivot("prediction", classes).agg(F.first("share"))
     return base.join(wide, [*by, "label"], "left").select(*by, "label", *(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in classes))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from framewright.functions.boxes import BOX, iou, overlaps
 from framewright.operators.components import connected_components
@@ -18,31 +20,53 @@ GRID_PAIRS = 50_000
 SPLIT_PAIRS = 200_000
 #: Cells along a side of the grid of a crowded image.
 GRID = 64
+#: Crowded groups (about 60 bytes each) that are broadcast; they are counted first, and more are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
 
 
 def _named(df: DataFrame, prefix: str, extra: list[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in ("id", "image_id", "category_id", *BOX, *extra)))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table that was counted and is small enough."""
+    return F.broadcast(df) if rows <= BROADCAST_GROUPS else df
+
+
 def iou_pairs(groundtruth: DataFrame, predictions: DataFrame, min_iou: float = 0.0, category_agnostic: bool = False) -> DataFrame:
     """``(image_id, category_id, prediction_id, groundtruth_id, confidence, iou)`` of the pairs in one image (and class) with iou > ``min_iou``.
 
     Boxes meet by image (and class) and the overlap test. Where an image holds so many that all
     pairs would be too many, a grid is laid over it and boxes meet by cell; a pair is reported in
     the one cell that has its overlap's upper left corner. Boxes with null coordinates meet nothing.
+    Each side is read once and kept as a written table of the columns needed.
     """
+    g = _kept(_named(groundtruth, "g_", []), "groundtruth")
+    p = _kept(_named(predictions, "p_", ["confidence"]), "predictions")
+    return _pairs(g, p, min_iou, category_agnostic)
+
+
+def _pairs(g: DataFrame, p: DataFrame, min_iou: float, category_agnostic: bool) -> DataFrame:
     keys = ["image_id"] if category_agnostic else ["image_id", "category_id"]
-    g, p = _named(groundtruth, "g_", []), _named(predictions, "p_", ["confidence"])
     ng = g.groupBy(*(F.col(f"g_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("ng"), *(F.min(f"g_{c}").alias(f"lo_{c}") for c in BOX[:2]), F.max(F.col("g_box_x_min") + F.col("g_box_width")).alias("hi_x"), F.max(F.col("g_box_y_min") + F.col("g_box_height")).alias("hi_y"))
     np_ = p.groupBy(*(F.col(f"p_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("np"))
-    crowded = ng.join(np_, keys).filter(F.col("ng") * F.col("np") > GRID_PAIRS).drop("ng", "np")
+    crowded = _kept(ng.join(np_, keys).filter(F.col("ng") * F.col("np") > GRID_PAIRS).drop("ng", "np"), "crowded")
     on = [F.col(f"g_{k}") == F.col(f"p_{k}") for k in keys]
     is_in = lambda df, s: [df[f"{s}_{k}"] == F.col(k) for k in keys]
     hit = overlaps("g_", "p_")
-    plain = g.join(crowded.select(*keys), is_in(g, "g"), "left_anti").join(p, [*on, hit])
+    many = crowded.count()
+    plain = (g.join(_small(crowded.select(*keys), many), is_in(g, "g"), "left_anti") if many else g).join(p, [*on, hit])
+    cols = [*g.columns, *p.columns]
+    both = plain.select(*cols)
 
     def cells(df: DataFrame, s: str) -> DataFrame:
-        j = df.join(F.broadcast(crowded), is_in(df, s))
+        j = df.join(_small(crowded, many), is_in(df, s))
         x, y, w, h = (F.col(f"{s}_{c}") for c in BOX)
         at = lambda v, lo, hi: F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(F.coalesce(F.try_divide((v - F.col(lo)) * GRID, F.col(hi) - F.col(lo)), F.lit(0))))).cast("int")
         span = lambda v, size, lo, hi: F.sequence(at(v, lo, hi), F.greatest(at(v, lo, hi), at(v + size, lo, hi)))
@@ -51,53 +75,162 @@ def iou_pairs(groundtruth: DataFrame, predictions: DataFrame, min_iou: float = 0
         first = F.struct(at(x, "lo_box_x_min", "hi_x").alias("x"), at(y, "lo_box_y_min", "hi_y").alias("y"))
         return j.select(*(c for c in df.columns), F.col("cx").alias(f"{s}_cx"), F.col("cy").alias(f"{s}_cy"), first.alias(f"{s}_first"))
 
-    corner = (F.col("g_cx") == F.greatest("g_first.x", "p_first.x")) & (F.col("g_cy") == F.greatest("g_first.y", "p_first.y"))
-    grid = cells(g, "g").join(cells(p, "p"), [*on, F.col("g_cx") == F.col("p_cx"), F.col("g_cy") == F.col("p_cy"), hit, corner])
-    cols = [*g.columns, *p.columns]
-    both = plain.select(*cols).unionByName(grid.select(*cols)).withColumn("iou", iou("g_", "p_")).filter(F.col("iou") > min_iou)
-    return both.select(F.col("p_image_id").alias("image_id"), F.col("p_category_id").alias("category_id"), F.col("p_id").alias("prediction_id"), F.col("g_id").alias("groundtruth_id"), F.col("p_confidence").alias("confidence"), "iou")
-
-
-def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over pairs sorted by group, falling confidence, prediction, falling iou, ground truth."""
-    group, used, done = None, set(), None
-    for batch in batches:
-        keep = []
-        for i, (k, p, g) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grp", "prediction_id", "groundtruth_id")), strict=True)):
-            if k != group:
-                group, used, done = k, set(), None
-            if p != done and g not in used:
-                used.add(g)
-                done = p
-                keep.append(i)
-        out = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([out.column("prediction_id"), out.column("iou"), out.column("groundtruth_id")], names=["prediction_id", "iou", "groundtruth_id"])
+    if many:
+        corner = (F.col("g_cx") == F.greatest("g_first.x", "p_first.x")) & (F.col("g_cy") == F.greatest("g_first.y", "p_first.y"))
+        grid = cells(g, "g").join(cells(p, "p"), [*on, F.col("g_cx") == F.col("p_cx"), F.col("g_cy") == F.col("p_cy"), hit, corner])
+        both = both.unionByName(grid.select(*cols))
+    met = both.withColumn("iou", iou("g_", "p_")).filter(F.col("iou") > min_iou)
+    return met.select(F.col("p_image_id").alias("image_id"), F.col("p_category_id").alias("category_id"), F.col("p_id").alias("prediction_id"), F.col("g_id").alias("groundtruth_id"), F.col("p_confidence").alias("confidence"), "iou")
 
 
-def greedy_match(groundtruth: DataFrame, predictions: DataFrame, min_iou: float = 0.0, category_agnostic: bool = False) -> DataFrame:
-    """``(prediction_id, iou, groundtruth_id)``: every prediction and every ground truth once.
+_PAIR, _PREDICTION, _TRUTH = 0, 1, 2
+
+
+def first_free(prediction: np.ndarray, truth: np.ndarray, used: set[int], done: int | None) -> list[int]:
+    """Places of the hits of pairs in order: every prediction takes the first ground truth that is not used; ``done`` has one already."""
+    out = []
+    for i, (p, g) in enumerate(zip(prediction.tolist(), truth.tolist(), strict=True)):
+        if p != done and g not in used:
+            used.add(g)
+            done = p
+            out.append(i)
+    return out
+
+
+def _greedy(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One pass over a partition sorted by group; in it by pairs and predictions in falling confidence, then ground truths.
+
+    In a group where no two predictions like the same ground truth best, all get it: those are
+    settled for a whole batch at once. The others, and a group that goes on in another batch, take
+    the pairs in order; of an open group only its hits are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_group: int | None = None
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))  # prediction, ground truth, iou, confidence of the open group's hits
+        last: int | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = lambda n, fill: batch.column(names.index(n)).fill_null(fill).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            grp, kind, p, g, overlap = col("grp", 0), col("kind", 0), col("prediction_id", -1), col("groundtruth_id", -1), col("iou", 0.0)
+            sure = col("confidence", np.nan)
+            goes_on = open_group is not None and grp[0] == open_group
+            pair = np.flatnonzero(kind == _PAIR)
+            hits = np.zeros(0, np.int64)
+            if len(pair):
+                pp, pg, pgrp = p[pair], g[pair], grp[pair]
+                best = np.r_[True, pp[1:] != pp[:-1]]
+                liked, times = np.unique(pg[best], return_counts=True)
+                clash = np.isin(pg, liked[times > 1]) & best
+                slow = np.isin(pgrp, np.r_[pgrp[clash], grp[-1:], grp[:1] if goes_on else grp[:0]])
+                hits = pair[best & ~slow]
+                at = np.flatnonzero(slow)
+                if len(at):
+                    used = set(held[1].tolist()) if goes_on else set()
+                    done = last if goes_on else None
+                    hits = np.r_[hits, pair[at[first_free(pp[at], pg[at], used, done)]]]
+            h = [p[hits], g[hits], overlap[hits], sure[hits]]
+            if goes_on:
+                h = [np.r_[a, b] for a, b in zip(held, h, strict=True)]
+            by_truth = np.argsort(h[1], kind="stable")
+            lone = (kind == _PREDICTION) & ~np.isin(p, h[0])
+            rows = np.flatnonzero(lone | (kind == _TRUTH))
+            truth = kind[rows] == _TRUTH
+            found = np.zeros(len(rows), bool)
+            where = np.zeros(len(rows), np.int64)
+            if len(by_truth):
+                place = np.minimum(np.searchsorted(h[1][by_truth], g[rows]), len(by_truth) - 1)
+                where = by_truth[place]
+                found = truth & (h[1][where] == g[rows])
+            if len(rows):
+                yield _emitted(batch, names, rows, truth, found, where, h, p, g, sure)
+            mine = np.zeros(len(h[0]), bool)
+            n_old = len(held[0]) if goes_on else 0
+            mine[n_old:] = grp[hits] == grp[-1]
+            if goes_on and grp[-1] == open_group:
+                mine[:n_old] = True
+            held = tuple(x[mine] for x in h)
+            open_group = int(grp[-1])
+            last = int(p[-1]) if kind[-1] != _TRUTH and p[-1] in held[0] else None
+
+    return run
+
+
+def _emitted(batch: pa.RecordBatch, names: list[str], rows: np.ndarray, truth: np.ndarray, found: np.ndarray, where: np.ndarray, h: list[np.ndarray], p: np.ndarray, g: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+    """A row per ground truth, with its prediction if it has one, and per prediction without."""
+    pick = lambda x, other: np.where(found, x[where], other) if len(x) else other
+    confidence = pick(h[3], np.where(truth, np.nan, sure[rows]))
+    made = [
+        pa.array(pick(h[0], p[rows]), mask=truth & ~found), pa.array(np.asarray(pick(h[2], np.zeros(len(rows))), np.float64)), pa.array(g[rows], mask=~truth),
+        pa.array(np.asarray(confidence, np.float64), mask=np.isnan(confidence)), pa.array(truth),
+    ]
+    rest = names[names.index("iou") + 1 :]
+    taken = batch.take(pa.array(rows))
+    return pa.RecordBatch.from_arrays(made + [taken.column(names.index(n)) for n in rest], names=["prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *rest])
+
+
+def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[str] = [], min_iou: float = 0.0, category_agnostic: bool = False) -> DataFrame:  # noqa: B006
+    """``prediction_id, iou, groundtruth_id, confidence, is_gt, columns...``: a row per ground truth, and per prediction without one.
 
     In falling confidence (ties: smaller id first; null last) every prediction takes the ground
-    truth of greatest iou (ties: smaller id) that is still free in its image (and class);
-    without one, iou is 0 and the ground truth null. Free ground truths have no prediction. The
-    pairs are streamed in that order per image and class with the used ids as only state. Groups
-    of very many pairs are parted into connected components of the overlap graph first, which
-    can't take from each other.
+    truth of greatest iou (ties: smaller id) that is still free in its image (and class). A ground
+    truth without a prediction has a null id and confidence, and iou 0; a prediction without a ground
+    truth has iou 0. ``columns`` are the ground truth's, of a lone prediction its own.
+
+    Pairs, predictions and ground truths go through one shuffle by image (and class) and one sorted
+    pass that settles and emits them, so nothing is joined afterwards. Groups of very many pairs are
+    parted into connected components of the overlap graph first, which can't take from each other;
+    boxes with a null image or class are alone and are spread by their ids.
     """
     keys = ["image_id"] if category_agnostic else ["image_id", "category_id"]
-    pairs = iou_pairs(groundtruth, predictions, min_iou, category_agnostic)
-    spark, path = groundtruth.sparkSession, scratch_path(groundtruth.sparkSession, "pairs")
-    pairs.select(F.concat_ws("/", *(F.col(k).cast("string") for k in keys)).alias("grp"), "confidence", "prediction_id", "iou", "groundtruth_id").write.parquet(path)
-    pairs = spark.read.parquet(path)
-    big = [r[0] for r in pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SPLIT_PAIRS).select("grp").limit(10_000).collect()]
-    if big:
-        crowd = pairs.filter(F.col("grp").isin(big))
-        parts = connected_components(crowd.select((F.col("prediction_id") * 2).alias("src"), (F.col("groundtruth_id") * 2 + 1).alias("dst")))
-        split = crowd.join(parts, F.col("node") == F.col("prediction_id") * 2).withColumn("grp", F.concat_ws("/", "grp", F.col("component").cast("string"))).drop("node", "component")
-        pairs = pairs.filter(~F.col("grp").isin(big)).unionByName(split)
-    order = ["grp", F.col("confidence").desc_nulls_last(), "prediction_id", F.col("iou").desc(), "groundtruth_id"]
-    ranked = pairs.select("grp", "confidence", "prediction_id", "iou", "groundtruth_id").repartition("grp").sortWithinPartitions(*order)
-    hits = ranked.mapInArrow(_greedy, "prediction_id bigint, iou double, groundtruth_id bigint")
-    left = predictions.select(F.col("id").cast("bigint").alias("prediction_id")).join(hits, "prediction_id", "left").select("prediction_id", F.coalesce("iou", F.lit(0.0)).alias("iou"), "groundtruth_id")
-    free = groundtruth.select(F.col("id").cast("bigint").alias("groundtruth_id")).join(hits, "groundtruth_id", "left_anti").select(F.lit(None).cast("bigint").alias("prediction_id"), F.lit(0.0).alias("iou"), "groundtruth_id")
-    return left.unionByName(free)
+    extra = [f"c{i}" for i in range(len(columns))]
+    g = _kept(groundtruth.select(*(F.col(f"`{c}`").alias(f"g_{c}") for c in ("id", "image_id", "category_id", *BOX)), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True))), "groundtruth")
+    p = _kept(predictions.select(*(F.col(f"`{c}`").alias(f"p_{c}") for c in ("id", "image_id", "category_id", *BOX, "confidence")), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True))), "predictions")
+    no_extra = lambda df: df.drop(*extra)
+    pairs = _pairs(no_extra(g), no_extra(p), min_iou, category_agnostic)
+
+    def group(of: str) -> tuple[Column, Column]:
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(f"{of}{k}").isNotNull()
+        return known, F.xxhash64(*(F.col(f"{of}{k}") for k in keys))
+
+    pairs = _kept(pairs.select(group("")[1].alias("grp"), F.col("prediction_id").cast("bigint").alias("prediction_id"), F.col("groundtruth_id").cast("bigint").alias("groundtruth_id"), F.col("confidence").cast("double").alias("confidence"), "iou"), "pairs")
+    counts = _kept(pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SPLIT_PAIRS).select(F.col("grp").alias("big")), "big")
+    many = counts.count()
+    null = lambda t: F.lit(None).cast(t)
+    known, hashed = group("p_")
+    lone_p = p.select(F.when(known, hashed).otherwise(F.xxhash64(F.lit("p"), "p_id")).alias("grp"), F.lit(_PREDICTION).alias("kind"), F.col("p_id").cast("bigint").alias("prediction_id"), null("bigint").alias("groundtruth_id"), F.col("p_confidence").cast("double").alias("confidence"), null("double").alias("iou"), *extra)
+    known, hashed = group("g_")
+    lone_g = g.select(F.when(known, hashed).otherwise(F.xxhash64(F.lit("g"), "g_id")).alias("grp"), F.lit(_TRUTH).alias("kind"), null("bigint").alias("prediction_id"), F.col("g_id").cast("bigint").alias("groundtruth_id"), null("double").alias("confidence"), null("double").alias("iou"), *extra)
+    if many:
+        big = _small(counts, many)
+        node_p, node_g = F.col("prediction_id") * 2, F.col("groundtruth_id") * 2 + 1
+        crowd = pairs.join(big, F.col("grp") == F.col("big"), "left_semi")
+        parts = connected_components(crowd.select(node_p.alias("src"), node_g.alias("dst")))
+
+        def parted(df: DataFrame, node: Column) -> DataFrame:
+            """Boxes of big groups by component; those that meet nothing are alone."""
+            there = df.join(big, F.col("grp") == F.col("big"), "left_semi").withColumn("__n", node)
+            named = there.join(parts, F.col("__n") == F.col("node"), "left").withColumn("grp", F.xxhash64("grp", F.coalesce("component", F.col("__n")))).drop("__n", "node", "component")
+            return df.join(big, F.col("grp") == F.col("big"), "left_anti").unionByName(named)
+
+        pairs, lone_p, lone_g = parted(pairs, node_p), parted(lone_p, node_p), parted(lone_g, node_g)
+    blank = [null(g.schema[n].dataType).alias(n) for n in extra]
+    rows = pairs.select("grp", F.lit(_PAIR).alias("kind"), "prediction_id", "groundtruth_id", "confidence", "iou", *blank).unionByName(lone_p).unionByName(lone_g)
+    is_truth = F.col("kind") == _TRUTH
+    order = ["grp", is_truth, F.col("confidence").desc_nulls_last(), "prediction_id", "kind", F.col("iou").desc(), "groundtruth_id"]
+    ranked = rows.repartition("grp").sortWithinPartitions(*order)
+    shape = StructType([*spark_fields("prediction_id bigint, iou double, groundtruth_id bigint, confidence double, is_gt boolean"), *(StructField(n, rows.schema[n].dataType) for n in extra)])
+    out = ranked.mapInArrow(_greedy(rows.columns), shape)
+    return out.select("prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *(F.col(n).alias(c) for n, c in zip(extra, columns, strict=True)))
+
+
+def spark_fields(ddl: str) -> list[StructField]:
+    return StructType.fromDDL(ddl).fields
+
+
+def greedy_match(groundtruth: DataFrame, predictions: DataFrame, min_iou: float = 0.0, category_agnostic: bool = False) -> DataFrame:
+    """``(prediction_id, iou, groundtruth_id)``: every prediction and every ground truth once, as ``matched_rows`` settles them."""
+    return matched_rows(groundtruth, predictions, [], min_iou, category_agnostic).select("prediction_id", "iou", "groundtruth_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators import curves
-from framewright.operators.matching import greedy_match, iou_pairs
+from framewright.operators.matching import greedy_match, iou_pairs, matched_rows
 from framewright.plans.view import annotated, predicted, registrar
 
 QUERIES: dict = {}
@@ -85,8 +85,7 @@ at_grid as (select {cols}, g.x as recall, arg_max(t.p, t.pos) as precision, arg_
 
 
 def _detections(spark: SparkSession, d: str) -> DataFrame:
-    g, p = _sides(spark, d)
-    return curves.detections(greedy_match(g, p), g, p, ["category_id", "split"])
+    return curves.detected(matched_rows(*_sides(spark, d), ["category_id", "split"]), ["category_id", "split"])
 
 
 @query(_match_sql(False) + _DET + _curve_sql("category_id") + " select category_id, iou_threshold, p as precision, r as recall, c as confidence_threshold, (1 + 1) * p * r / (1 * p + r + 1e-5) as f1_score, (1 + 0.25) * p * r / (0.25 * p + r + 1e-5) as \"f0.5_score\" from curve", rounded=["precision", "recall", "f1_score"])
@@ -127,7 +126,7 @@ select *, n / sum(n) over (partition by {by} groundtruth) as share from cells"""
 
 def _confusion(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
     g, p = _sides(spark, d)
-    return curves.confusion_pairs(greedy_match(g, p, category_agnostic=True), g, p, 0.3, 0.2, by)
+    return curves.confused_rows(matched_rows(g, p, ["category_str", *by], category_agnostic=True), p, 0.3, 0.2, by)
 
 
 @query(_match_sql(True) + _CONF.format(by=""), rounded=["share"])
@@ -135,6 +134,20 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return curves.confusion_cells(_confusion(spark, d, []))
 
 
+@query(_match_sql(True) + _CONF.format(by=""), rounded=["share"])
+def confusion_matrix_of_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The same from kept matches, as the evaluator makes it: attributes of both sides are looked up."""
+    g, p = _sides(spark, d)
+    return curves.confusion_cells(curves.confusion_pairs(greedy_match(g, p, category_agnostic=True), g, p, 0.3, 0.2))
+
+
+@query(_match_sql(False) + _DET + _grid_sql("category_id") + _AP.format(by="category_id,"), rounded=["AP"])
+def average_precision_of_matches(spark: SparkSession, d: str) -> DataFrame:
+    g, p = _sides(spark, d)
+    rows = curves.detections(greedy_match(g, p), g, p, ["category_id"])
+    return curves.average_precision(curves.precision_recall(rows, ["category_id"], IOUS), ["category_id"])
+
+
 @query(_match_sql(True) + _CONF.format(by="split,"), rounded=["share"])
 def confusion_by_split(spark: SparkSession, d: str) -> DataFrame:
     return curves.confusion_cells(_confusion(spark, d, ["split"]), ["split"])

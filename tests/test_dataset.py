@@ -201,11 +201,22 @@ def test_matching(spark, ds, monkeypatch, split_pairs):
     monkeypatch.setattr(matching, "SPLIT_PAIRS", split_pairs)
     monkeypatch.setattr(matching, "GRID_PAIRS", 4 if split_pairs == 10 else 50_000)
     pred = as_predictions(ds, jitter=0.6)
+    if split_pairs == 10:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # groups go over many batches
     got = {(r[0], r[2]) for r in greedy_match(ds.annotations, pred, 0.1).collect() if r[0] is not None and r[2] is not None}
     cols = ["id", "image_id", "box_x_min", "box_y_min", "box_width", "box_height"]
     g = [(*[r[c] for c in cols], 0, r["category_id"]) for r in ds.annotations.collect()]
     p = [(*[r[c] for c in cols], r["confidence"], r["category_id"]) for r in pred.collect()]
     assert got == greedy_by_hand(g, p, 0.1)
+    every = matching.matched_rows(ds.annotations, pred, ["category_id", "box_width"], 0.1).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["groundtruth_id"] for r in every if r["is_gt"]) == sorted(x[0] for x in g)
+    assert sorted(r["prediction_id"] for r in every if r["prediction_id"] is not None) == sorted(x[0] for x in p)
+    width, sure = {x[0]: x[4] for x in g}, {x[0]: x[6] for x in p}
+    assert all(r["box_width"] == width[r["groundtruth_id"]] for r in every if r["is_gt"]) and all(r["confidence"] == sure[r["prediction_id"]] for r in every if r["prediction_id"] is not None)
+    lost = pred.limit(3).withColumn("image_id", F.lit(None).cast("bigint"))
+    alone = matching.matched_rows(ds.annotations.limit(0), lost).collect()
+    assert len(alone) == lost.count() and all(r["groundtruth_id"] is None and r["iou"] == 0 for r in alone)
 
 
 def test_evaluator(spark, ds, tmp_path):
