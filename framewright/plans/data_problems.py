@@ -139,3 +139,16 @@ unpacked as (select record_id, case when json_valid(t) and json_type(t) = 'VARCH
 docs as (select record_id, t::json as doc from unpacked where json_valid(t) and json_type(t) = 'OBJECT')
 select record_id, {_INT.replace('{x}', "doc->>'$.image.id'")} as image_id, doc->>'$.image.file_name' as file_name, {_INT.replace('{x}', "doc->>'$.image.width'")} as width, {_INT.replace('{x}', "doc->>'$.image.height'")} as height,
   doc->>'$.image.tags.weather' as tags_weather, doc->>'$.image.tags.time' as tags_time from docs"""
+
+_TREE = f"""
+with recursive one as (select record_id, {_CLEAN.replace('{x}', 'payload')} as t from raw_records where payload is not null),
+unpacked as (select record_id, case when json_valid(t) and json_type(t) = 'VARCHAR' then {_CLEAN.replace('{x}', "(t::json->>'$')")} else t end as t from one where t <> ''),
+docs as (select record_id, t::json as doc from unpacked where json_valid(t) and json_type(t) = 'OBJECT'),
+walk as (
+  select record_id, unnest(json_extract(doc, '$.annotations[*]')) as item, cast(generate_subscripts(json_extract(doc, '$.annotations[*]'), 1) - 1 as varchar) as node, 0 as depth, cast(null as bigint) as above from docs
+  union all
+  select record_id, unnest(json_extract(item, '$.parts[*]')), node || '/' || cast(generate_subscripts(json_extract(item, '$.parts[*]'), 1) - 1 as varchar), depth + 1, {_INT.replace('{x}', "item->>'$.id'")} from walk where json_type(item) = 'OBJECT')
+"""
+SQL["p6_annotations"] = _TREE + f"""
+select record_id, node, depth, {_INT.replace('{x}', "item->>'$.id'")} as annotation_id, {_INT.replace('{x}', "item->>'$.category_id'")} as category_id, item->>'$.category_str' as category_str,
+  try_cast(item->>'$.confidence' as double) as confidence, try_cast(item->>'$.attributes.occluded' as boolean) as occluded, coalesce(above, {_INT.replace('{x}', "item->>'$.parent_id'")}) as parent_id from walk where json_type(item) = 'OBJECT'"""

@@ -12,7 +12,7 @@ from framewright.operators import append, histograms, labels, onehot, reindex, s
 from framewright.operators.latest import latest_rows
 from framewright.operators.numbering import numbered
 from framewright.plans.view import annotated, boxes_of, images_of, label_map, predicted, registrar
-from framewright.session import table
+from framewright.session import scratch_path, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -465,6 +465,78 @@ def split_balanced(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(ds.annotations.select("id", "image_id"), "id").select("image_id", "split").distinct()
 
 
+@query("select 'train' as split, count(*) as n, true as within from imgs union all select 'all', count(*), true from imgs")
+def simple_split_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every image has a split, and the drawn share is within four standard deviations of the asked one."""
+    out = splitting.simple_split(images_of(spark, d).drop("split"), ["train", "valid"], [0.8, 0.2], 3)
+    one = out.agg(F.count("split").alias("n"), F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split").isin("train", "valid")).alias("known"))
+    near = F.abs(F.col("t") - 0.8 * F.col("n")) <= 4 * F.sqrt(0.16 * F.col("n"))
+    return one.select(F.inline(F.array(F.struct(F.lit("train").alias("split"), F.col("n"), near.alias("within")), F.struct(F.lit("all").alias("split"), F.col("n"), (F.col("known") == F.col("n")).alias("within")))))
+
+
+@query("select count(distinct image_id) as n_images, 1::bigint as splits_of_an_image, true as shares_met from anns")
+def split_balanced_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Images are whole in the split of ``split_balanced``, and its shares within a hundredth of those asked for."""
+    per = split_balanced(spark, d).groupBy("image_id").agg(F.count_distinct("split").alias("k"), F.max("split").alias("split"))
+    return per.agg(F.count(F.lit(1)).alias("n_images"), F.max("k").alias("splits_of_an_image"), (F.abs(F.avg((F.col("split") == "train").cast("int")) - 0.8) <= 0.01).alias("shares_met"))
+
+
+@query(f"""select id, image_id, category_id, width_class, note from (
+  select a.id, a.image_id, a.category_id, 'wide' as width_class, null as note from anns a where a.image_id % 2 = 0
+  union all select a.id + (select max(id) from anns where image_id % 2 = 0) - (select min(id) from anns where image_id % 2 = 1) + 1, a.image_id, a.category_id, null, 'n' || a.id from anns a where a.image_id % 2 = 1)""")
+def merge_extra_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of one side only stay, null on the other; ids are moved where they clash."""
+    a, b = _halves(spark, d)
+    a = a.with_(annotations=a.annotations.withColumn("width_class", F.lit("wide")))
+    low = b.annotations.agg(F.min("id")).first()[0]
+    b = b.with_(annotations=b.annotations.withColumn("note", F.concat(F.lit("n"), F.col("id"))))
+    top = a.annotations.agg(F.max("id")).first()[0]
+    b = b.with_(annotations=b.annotations.withColumn("id", F.col("id") + (top - low + 1)))
+    return setops.merge(a, b).annotations.select("id", "image_id", "category_id", "width_class", "note")
+
+
+@query("select id, 'sub/' || relative_path as relative_path from imgs where relative_path is not null and relative_path not like '%..%' and relative_path not like '%//%' and relative_path not like '/%' and relative_path not like '%./%'")
+def reset_images_root(spark: SparkSession, d: str) -> DataFrame:
+    ds = annotated(spark, d).filter_images(r"relative_path is not null and relative_path not like '%..%' and relative_path not like '%//%' and relative_path not like '/%' and relative_path not like '%./%'").with_(images_root="data/sub")
+    return ds.reset_images_root("data").images.select("id", "relative_path")
+
+
+@query("""select id, case when category_id in (87, 155) then 1 else 2 end as category_id, case when category_id in (87, 155) then 'walker' else 'rider, slow' end as category_str from anns where category_id in (87, 155, 98)""")
+def remap_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "remap")
+    rows = [(0, 87, "a", 1, "walker"), (1, 155, "b", 1, "walker"), (2, 98, "c", 2, "rider, slow")]
+    spark.createDataFrame(rows, "n int, input_category_id int, input_category_name string, output_category_id int, output_category_name string").coalesce(1).write.option("header", True).csv(path)
+    return labels.remap_from_csv(annotated(spark, d), path).annotations.select("id", "category_id", "category_str")
+
+
+_HIST = """, b as (select category_id as c, split as s, case when box_height <= 16 then 8.0 when box_height <= 64 then 40.0 when box_height <= 256 then 160.0 else 640.0 end as x from anns where category_id in (87, 98, 155) and split in ('train', 'valid') and box_height > 0 and box_height <= 1024),
+h as (select c, x, count(*) filter (where s = 'train') as l, count(*) filter (where s = 'valid') as r from b group by 1, 2),
+m as (select c, sum(l) / (select sum(l) from h) as p, sum(r) / (select sum(r) from h) as q, sum(l) as w from h group by 1),
+cum as (select c, x, sum(l) over (partition by c order by x) / sum(l) over (partition by c) as a, sum(r) over (partition by c order by x) / sum(r) over (partition by c) as b, lead(x) over (partition by c order by x) - x as gap from h),
+far as (select c, greatest(max(x) filter (where l > 0) - min(x) filter (where r > 0), max(x) filter (where r > 0) - min(x) filter (where l > 0)) as most from h group by 1),
+e as (select cum.c, sum(abs(a - b) * gap) / max(most) as emd from cum join far using (c) group by 1)"""
+
+
+@query(_HIST + " select (select sum(p * ln(p / q)) from m) as kl, (select sum(emd * w) / sum(w) from e join m using (c)) as emd, (select sum(p * ln(p / q)) from m) + (select sum(emd * w) / sum(w) from e join m using (c)) as distance", rounded=["kl", "emd", "distance"])
+def histogram_distance(spark: SparkSession, d: str) -> DataFrame:
+    """The distance of the train and valid histograms of three classes and box heights, as splits are judged by it."""
+    ann = annotated(spark, d).annotations.filter("category_id in (87, 98, 155) and split in ('train', 'valid')")
+    binned = G.cut_group(ann, G.ContinuousGroup("box_height", _EDGES, label_type="mid")).filter("box_height is not null")
+    cells = sorted((tuple(r) for r in binned.groupBy("category_id", "box_height").agg(F.count_if(F.col("split") == "train"), F.count_if(F.col("split") == "valid")).collect()))
+    l, r = ([c[i] for c in cells] for i in (2, 3))  # noqa: E741
+    at = [c[:2] for c in cells]
+    whole = float(histograms.histogram_distance(l, r, at, ["category_id", "box_height"], {"category_id": 1.0}, {"box_height": 1.0}))
+    kl = _category_part(l, r, at)
+    return spark.createDataFrame([(kl, whole - kl, whole)], "kl double, emd double, distance double")
+
+
+def _category_part(l: list[int], r: list[int], cells: list[tuple]) -> float:  # noqa: E741
+    """The part of the categories alone: the same distance with all heights in one bin."""
+    one = sorted({c[0] for c in cells})
+    sums = [[sum(n for n, c in zip(x, cells, strict=True) if c[0] == k) for k in one] for x in (l, r)]
+    return float(histograms.histogram_distance(*sums, [(k,) for k in one], ["category_id"], {"category_id": 1.0}, {}))
+
+
 @query("select id, row_number() over (order by width nulls last, id) - 1 as position from imgs")
 def numbering(spark: SparkSession, d: str) -> DataFrame:
     return numbered(images_of(spark, d).select("id", "width"), [F.col("width").asc_nulls_last(), F.col("id")]).select("id", "position")

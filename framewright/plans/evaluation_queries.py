@@ -176,3 +176,21 @@ _STATS = ["absolute_MAE", "absolute_RMSE", "absolute_std"]
 def count_error(spark: SparkSession, d: str) -> DataFrame:
     out = curves.count_error(_counts(spark, d), ["category_id"])
     return out.select("category_id", "confidence", *_STATS, *(F.col(f"`absolute_q{x}`") for x in (0.25, 0.5, 0.75)), "relative_MRE")
+
+
+@query(_match_sql(True) + _CONF.format(by="").replace("select *, n / sum(n)", ", shares as (select *, n / sum(n)").replace("groundtruth) as share from cells", "groundtruth) as share from cells), names as (select groundtruth as label from cells union select prediction from cells) select a.label, b.label as prediction, coalesce(s.share, 0) as share from names a cross join names b left join shares s on s.groundtruth = a.label and s.prediction = b.label"), rounded=["share"])
+def confusion_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix with a column per class, read off cell by cell."""
+    wide = curves.confusion_matrix(_confusion(spark, d, []))
+    names = [c for c in wide.columns if c != "label"]
+    return wide.select("label", F.inline(F.array(*(F.struct(F.lit(c).alias("prediction"), F.col(f"`{c}`").alias("share")) for c in names))))
+
+
+_SPREAD = ["relative_MRE", "relative_RMSRE", "relative_std"]
+
+
+@query(_COUNTS + """ select category_id, confidence, avg(abs(rel_error)) as "relative_MRE", sqrt(avg(rel_error * rel_error)) as "relative_RMSRE", stddev_samp(rel_error) as relative_std,
+  quantile_cont(rel_error, 0.25) as "relative_q0.25", quantile_cont(rel_error, 0.5) as "relative_q0.5", quantile_cont(rel_error, 0.75) as "relative_q0.75" from detail where n_gt > 0 group by all""", rounded=_SPREAD)
+def count_error_relative(spark: SparkSession, d: str) -> DataFrame:
+    out = curves.count_error(_counts(spark, d).filter("n_gt > 0"), ["category_id"])
+    return out.select("category_id", "confidence", *_SPREAD, *(F.col(f"`relative_q{x}`") for x in (0.25, 0.5, 0.75)))

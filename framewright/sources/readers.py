@@ -216,12 +216,18 @@ def _joined(parts: list[Dataset], name: str | None) -> Dataset:
 
 
 def from_darknet(spark: SparkSession, dataset_path: str | None = None, data_file: str | None = None, ids_map: dict | str | None = None, image_info: DataFrame | None = None) -> Dataset:
-    """A ``.data`` file with lists of train, valid (and eval) images and names; a yaml file goes to ``from_yolo``."""
+    """A ``.data`` file with lists of train, valid (and eval) images and names; a yaml file goes to ``from_yolo``.
+
+    Without a name it is train_job.data, train.data, or else the first of the folder, and the
+    ``valid`` list of an eval.data beside it is the eval split.
+    """
+    beside = None
     if data_file is None:
-        found = sorted(f for f in os.listdir(dataset_path) if f.endswith(".data"))
+        found = sorted((f for f in os.listdir(dataset_path) if f.endswith(".data")), key=lambda f: (f != "train_job.data", f != "train.data", f))
         if not found:
             raise FileNotFoundError(f"no .data file in {dataset_path}")
         data_file = f"{dataset_path}/{found[0]}"
+        beside = f"{dataset_path}/eval.data" if "eval.data" in found[1:] else None
     if data_file.endswith((".yaml", ".yml")):
         return from_yolo(spark, dataset_path, data_file, ids_map=ids_map, image_info=image_info)
     dataset_path = dataset_path or os.path.dirname(data_file)
@@ -230,7 +236,10 @@ def from_darknet(spark: SparkSession, dataset_path: str | None = None, data_file
     if data.get("names"):
         with open(f"{dataset_path}/{data['names']}") as f:
             names = [line.strip() for line in f if line.strip()]
-    parts = [from_darknet_generic(spark, dataset_path, None, names, f"{dataset_path}/{data[k]}", s, ids_map, image_info) for k, s in (("train", "train"), ("valid", "valid"), ("eval", "eval"), ("test", "eval")) if data.get(k)]
+    lists = [(data[k], s) for k, s in (("train", "train"), ("valid", "valid"), ("eval", "eval"), ("test", "eval")) if data.get(k)]
+    if beside is not None and read_data_file(beside).get("valid"):
+        lists.append((read_data_file(beside)["valid"], "eval"))
+    parts = [from_darknet_generic(spark, dataset_path, None, names, f"{dataset_path}/{f}", s, ids_map, image_info) for f, s in lists]
     return _joined(parts, os.path.basename(os.path.abspath(dataset_path)))
 
 
