@@ -6,9 +6,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.session import cut
+
 
 @dataclass(frozen=True)
 class ContinuousGroup:
@@ -34,6 +36,38 @@ def group_name(g: Group) -> str:
     return g if isinstance(g, str) else g.name
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Quantiles of a whole column, linear between neighbours; empty for no numbers.
+
+    Distinct values are counted, put in order by ranges and numbered by running counts over the
+    ranges' sums, so no task holds them all; only the rows at the wanted places reach the driver.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(counted.repartitionByRange("v").sortWithinPartitions("v")).withColumn("__p", F.spark_partition_id())
+    sums = sorted((r[0], r[1]) for r in ranged.groupBy("__p").agg(F.sum("n")).collect())
+    total = sum(n for _, n in sums)
+    if not total:
+        return []
+    starts, at = [], 0
+    for p, n in sums:
+        starts.append((p, at))
+        at += n
+    places = sorted({x for q in shares for x in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))})
+    # only ranges that hold a wanted place are numbered
+    wanted = [(p, s, [x for x in places if s <= x < s + n]) for (p, s), (_, n) in zip(starts, sums, strict=True)]
+    some = df.sparkSession.createDataFrame([(p, s, x) for p, s, x in wanted if x], "__p int, __start bigint, __want array<bigint>")
+    run = F.sum("n").over(Window.partitionBy("__p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = ranged.join(F.broadcast(some), "__p").withColumn("__end", F.col("__start") + run)
+    hits = numbered.filter(F.exists("__want", lambda x: (x < F.col("__end")) & (x >= F.col("__end") - F.col("n")))).select("v", (F.col("__end") - F.col("n")).alias("a"), F.col("__end").alias("b")).collect()
+    at_place = {x: r["v"] for x in places for r in hits if r["a"] <= x < r["b"]}
+    out = []
+    for q in shares:
+        t = q * (total - 1)
+        lo, hi = at_place[math.floor(t)], at_place[math.ceil(t)]
+        out.append(lo + (hi - lo) * (t - math.floor(t)))
+    return out
+
+
 def bin_edges(df: DataFrame, g: ContinuousGroup) -> list[float]:
     """The edges; one small aggregation. Equal-width edges start a thousandth of the range lower, so that the least value is in."""
     if not isinstance(g.bins, int):
@@ -46,8 +80,9 @@ def bin_edges(df: DataFrame, g: ContinuousGroup) -> list[float]:
         value = F.when(value > 0, F.log(value))
     if g.qcut:
         qs = [i / g.bins for i in range(g.bins + 1)]
-        edges = df.agg(F.percentile(value, F.array(*(F.lit(x) for x in qs)))).first()[0]
-        edges = sorted(set(edges)) if edges else []
+        edges = exact_quantiles(df.select(value.alias("v")), "v", qs)
+        if len(set(edges)) < len(edges):
+            raise ValueError(f"quantiles of {g.name} are equal, so {g.bins} bins can't be told apart")
         if edges:
             edges[0] = math.nextafter(edges[0], -math.inf)
     else:
@@ -62,6 +97,22 @@ def bin_edges(df: DataFrame, g: ContinuousGroup) -> list[float]:
     return [math.exp(x) for x in edges] if g.log else edges
 
 
+def label_edges(edges: list[float], digits: int = 3) -> list[float]:
+    """Edges as intervals are named by: rounded to so many digits (after the leading zeros of a fraction), more where edges would become equal."""
+
+    def rounded(x: float, d: int) -> float:
+        whole, part = math.trunc(x), abs(x) % 1
+        if not math.isfinite(x) or part == 0:
+            return x
+        return round(x, d - 1 - math.floor(math.log10(part)) if whole == 0 else d)
+
+    for d in range(digits, 20):
+        out = [rounded(x, d) for x in edges]
+        if len(set(out)) == len(set(edges)):
+            return out
+    return list(edges)
+
+
 def bin_column(value: Column, edges: list[float]) -> Column:
     """0-based number of the right-closed bin, null outside and for null."""
     if len(edges) < 2:
@@ -77,7 +128,9 @@ def cut_group(df: DataFrame, g: ContinuousGroup, out: str | None = None) -> Data
     value = F.col(f"`{g.name}`").cast("double")
     at = bin_column(value, edges)
     out = out or g.name
-    pairs = list(zip(edges, edges[1:], strict=False))
+    shown = label_edges([math.log(x) for x in edges]) if g.log else label_edges(edges)
+    shown = [math.exp(x) for x in shown] if g.log else shown
+    pairs = list(zip(shown, shown[1:], strict=False))
     if g.label_type in ("intervals", "mid"):
         made = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) if g.label_type == "intervals" else F.lit((a + b) / 2) for a, b in pairs]
         return df.withColumn(out, F.get(F.array(*made), at) if made else F.lit(None))

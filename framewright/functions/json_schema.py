@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+import urllib.request
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _COUNT = {"type": "integer", "minimum": 0}
@@ -53,10 +55,14 @@ class SchemaError(ValueError):
 
 
 def load_schema(schema: str | dict | None) -> dict:
+    """A schema given as a dict, as "default" (or None) for the built-in one, by URL or by path."""
     if isinstance(schema, dict):
         return schema
     if schema in (None, "default"):
         return DEFAULT_SCHEMA
+    if schema.startswith(("http://", "https://")):
+        with urllib.request.urlopen(schema, timeout=60) as answer:
+            return json.load(answer)
     return json.loads(Path(schema).read_text())
 
 
@@ -121,28 +127,67 @@ def check_payload(spark: SparkSession, folder: str, schema: dict) -> None:
         raise SchemaError("; ".join(f"{r['file']}: {r['error']}" for r in bad))
 
 
-def flat_schema(schema: dict, prefix: str = "") -> dict[str, dict]:
-    """Leaves by dotted name; lists of objects are entered."""
+def flat_schema(schema: dict, prefix: str = "", sep: str = ".", ignore_pattern: str | None = None, required: bool = True) -> dict[str, dict]:
+    """Leaves by dotted name, each with ``optional``: whether it or an object above it may be absent. Lists of objects are entered.
+
+    Properties whose own name matches ``ignore_pattern`` are left out, with all below them.
+    """
     out: dict[str, dict] = {}
     for k, s in schema.get("properties", {}).items():
-        name = f"{prefix}{k}"
+        if ignore_pattern and re.match(ignore_pattern, k):
+            continue
+        name, needed = f"{prefix}{k}", required and k in schema.get("required", [])
         inner = s.get("items", {}) if s.get("type") == "array" else s
         if "properties" in inner:
-            out |= flat_schema(inner, name + ".")
+            # what a list item must have, it must have whether there is a list or not
+            out |= flat_schema(inner, name + sep, sep, ignore_pattern, True if inner is not s else needed)
         else:
-            out[name] = s
+            out[name] = s | {"optional": not needed}
     return out
 
 
-def enum_arrays(schema: dict) -> dict[str, list[str]]:
-    """Dotted names of arrays of enumerated values, with the values."""
-    return {k: list(s["items"]["enum"]) for k, s in flat_schema(schema).items() if s.get("type") == "array" and "enum" in s.get("items", {})}
+def enum_arrays(schema: dict, sep: str = ".", ignore_pattern: str | None = None) -> dict[str, list[str]]:
+    """Dotted names of sets of enumerated values (arrays with ``uniqueItems``), with the values."""
+    leaves = flat_schema(schema, sep=sep, ignore_pattern=ignore_pattern)
+    return {k: list(s["items"]["enum"]) for k, s in leaves.items() if s.get("type") == "array" and s.get("uniqueItems") and "enum" in s.get("items", {})}
+
+
+_TYPES = {"integer": "bigint", "number": "double", "string": "string", "boolean": "boolean"}
+
+
+def defaults_and_types(schema: dict, sep: str = ".") -> dict[str, tuple[str, Any]]:
+    """Dotted names of leaves of a known type with their Spark type and default (None without one).
+
+    Only what may be absent has a default: the schema's own, or an empty list for an array.
+    """
+    out: dict[str, tuple[str, Any]] = {}
+    for k, s in flat_schema(schema, sep=sep).items():
+        items = s.get("items", {})
+        kind = f"array<{_TYPES.get(items.get('type', 'string'), 'string')}>" if s.get("type") == "array" else _TYPES.get(s.get("type", ""))
+        if kind is not None:
+            default = s.get("default", [] if s.get("type") == "array" else None)
+            out[k] = (kind, default if s["optional"] else None)
+    return out
+
+
+def fill_defaults(schema: dict, df: DataFrame, prefix: str = "") -> DataFrame:
+    """``df`` with the schema's types and, in place of nulls, its defaults; columns that it does not name stay as they are."""
+    known = {c[len(prefix) :]: x for c, x in defaults_and_types(schema).items() if c.startswith(prefix)}
+
+    def filled(c: str) -> Column:
+        kind, default = known[c]
+        value = F.col(f"`{c}`").cast(kind)
+        if default is None:
+            return value
+        given = F.array(*(F.lit(x) for x in default)).cast(kind) if isinstance(default, list) else F.lit(default).cast(kind)
+        return F.coalesce(value, given)
+
+    return df.select(*(filled(c).alias(c) if c in known else F.col(f"`{c}`") for c in df.columns))
 
 
-def defaults_and_types(schema: dict) -> dict[str, tuple[str, Any]]:
-    """Dotted names of scalar leaves with Spark type and default (None without one)."""
-    types = {"integer": "bigint", "number": "double", "string": "string", "boolean": "boolean"}
-    return {k: (types[s["type"]], s.get("default")) for k, s in flat_schema(schema).items() if s.get("type") in types}
+def schema_tree(schema: dict, prefix: str = "", sep: str = ".") -> dict[str, Any]:
+    """The schema's objects as nested dicts whose leaves are the dotted names of the flat columns."""
+    return {k: schema_tree(s, f"{prefix}{k}{sep}", sep) if s.get("type") == "object" and "properties" in s else f"{prefix}{k}" for k, s in schema.get("properties", {}).items()}
 
 
 def renest(names: list[str], sep: str = ".") -> dict[str, Any]:

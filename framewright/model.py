@@ -113,6 +113,22 @@ class Dataset:
     def __bool__(self) -> bool:
         return not self.images.isEmpty()
 
+    def __add__(self, other: Dataset) -> Dataset:
+        """The union with another data set; ids are given anew where they clash."""
+        from framewright.operators.setops import add
+
+        return add(self, other)
+
+    def __radd__(self, other: Dataset | int) -> Dataset:
+        """The start of ``sum`` of data sets."""
+        return self if other == 0 else NotImplemented
+
+    def __sub__(self, other: Dataset) -> Dataset:
+        """What this data set has and the other lacks or has otherwise."""
+        from framewright.operators.setops import diff
+
+        return diff(self, other)[0]
+
     def __repr__(self) -> str:
         return f"Dataset({self.dataset_name!r}, root={self.images_root!r}, {len(self.label_map)} classes, images: {', '.join(self.images.columns)}; annotations: {', '.join(self.annotations.columns)})"
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from framewright.functions.boxes import BOX
 from framewright.model import Dataset
-from framewright.sources.common import image_files
+from framewright.sources.common import image_files, relative_to
 
 
 class InvalidImage(ValueError):
@@ -21,15 +22,29 @@ class MissingImages(ValueError):
     """Images without a file, or files without an image."""
 
 
-def invalid_images(ds: Dataset, check_exhaustive: bool = False, raise_if_error: bool = False) -> DataFrame:
-    """``(id, relative_path, reason)`` of images whose file is missing, unreadable or of another size.
+def invalid_images(ds: Dataset, check_exhaustive: bool = False, raise_if_error: bool = False, check_symlink: bool = False, load_images: bool = False) -> DataFrame:
+    """``(id, relative_path, reason)`` of images whose path is absolute or no file, that can't be read, or are of another size than told.
 
-    With ``check_exhaustive`` also files that no image refers to (id null). Sizes are read from the
-    file headers by the executors.
+    Sizes are read from the file headers by the executors; with ``load_images`` files are decoded
+    (by Spark's image source), so that damaged ones are found, and a told width or height that is
+    null or not above 0 is one reason of its own. With ``check_symlink`` files that are no symbolic
+    links are reported, with ``check_exhaustive`` also files that no image refers to (id null).
     """
-    files = image_files(ds.images.sparkSession, ds.images_root).select(F.col("relative_path").alias("__p"), F.col("width").alias("__w"), F.col("height").alias("__h"))
-    joined = ds.images.join(files, F.col("relative_path") == F.col("__p"), "left")
-    reason = F.when(F.col("__p").isNull(), "missing file").when(F.col("__w").isNull(), "unreadable file").when((F.col("width") != F.col("__w")) | (F.col("height") != F.col("__h")), "other size")
+    spark = ds.images.sparkSession
+    files = image_files(spark, ds.images_root).select(F.col("relative_path").alias("__p"), F.col("width").alias("__w"), F.col("height").alias("__h"))
+    told = ds.images.select("id", "relative_path", "width", "height")
+    joined = told.join(files, F.col("relative_path") == F.col("__p"), "left")
+    size = [F.when(F.col("__w").isNull(), "unreadable file"), F.when((F.col("width") != F.col("__w")) | (F.col("height") != F.col("__h")), "other size")]
+    if load_images:
+        decoded = spark.read.format("image").option("recursiveFileLookup", True).load(ds.images_root).select(relative_to(F.col("image.origin"), ds.images_root).alias("__d"), F.col("image.width").alias("__dw"), F.col("image.height").alias("__dh"))
+        joined = joined.join(decoded, F.col("relative_path") == F.col("__d"), "left")
+        bad = lambda c: F.coalesce(F.col(c) <= 0, F.lit(True))
+        size = [F.when(F.coalesce(F.col("__dw"), F.lit(-1)) <= 0, "corrupted file"), F.when(bad("width"), "invalid width"), F.when(bad("height"), "invalid height"), F.when((F.col("width") != F.col("__dw")) | (F.col("height") != F.col("__dh")), "other size")]
+    link = []
+    if check_symlink:
+        joined = _with_links(joined, ds.images_root)
+        link = [F.when(~F.col("__link"), "not a symlink")]
+    reason = F.coalesce(F.when(F.startswith("relative_path", F.lit("/")), "absolute path"), *link, F.when(F.col("__p").isNull(), "missing file"), *size)
     out = joined.select("id", "relative_path", reason.alias("reason")).filter("reason is not null")
     if check_exhaustive:
         spare = files.join(ds.images, F.col("__p") == F.col("relative_path"), "left_anti")
@@ -42,8 +57,19 @@ def invalid_images(ds: Dataset, check_exhaustive: bool = False, raise_if_error:
     return out
 
 
-def remove_invalid_images(ds: Dataset) -> Dataset:
-    bad = invalid_images(ds).select(F.col("id").alias("__bad"))
+def _with_links(df: DataFrame, root: str) -> DataFrame:
+    """``df`` and ``__link``: whether the file below ``root`` is a symbolic link, as the executors see it."""
+    base = os.path.abspath(root)
+
+    @F.arrow_udf("boolean")
+    def is_link(paths: pa.Array) -> pa.Array:
+        return pa.array([p is not None and os.path.islink(os.path.join(base, p)) for p in paths.to_pylist()], pa.bool_())
+
+    return df.withColumn("__link", is_link(F.col("relative_path")))
+
+
+def remove_invalid_images(ds: Dataset, check_symlink: bool = False, load_images: bool = False) -> Dataset:
+    bad = invalid_images(ds, check_symlink=check_symlink, load_images=load_images).select(F.col("id").alias("__bad"))
     return ds._with_images(ds.images.join(bad, F.col("id") == F.col("__bad"), "left_anti"))
 
 
@@ -150,14 +176,20 @@ def assert_datasets_equal(a: Dataset, b: Dataset, ignore_index: bool = False, op
             raise AssertionError(f"{what} differ, as {row[0]}")
 
 
-def archive_check(ds: Dataset, folder: str, regenerate: bool = False, **how) -> None:  # noqa: ANN003
-    """Compare with the data set stored in a folder; store it first where there is none or ``regenerate``."""
+def archive_check(ds: Dataset, folder: str, regenerate: bool = False, check_images: bool = False, **how) -> bool:  # noqa: ANN003
+    """Compare with the data set stored in a folder; store it first where there is none or ``regenerate``. False if it was stored.
+
+    With ``check_images`` the digests of the image files are stored and compared as well.
+    """
     from framewright.sources.writers import from_parquet, to_parquet
 
+    if check_images:
+        ds = ds.with_(images=ds.images.join(image_digests(ds), "relative_path", "left"))
     if regenerate or not os.path.exists(os.path.join(folder, "metadata.yaml")):
         to_parquet(ds, folder, overwrite=True)
-        return
+        return False
     assert_datasets_equal(from_parquet(ds.images.sparkSession, folder), ds, **how)
+    return True
 
 
 def image_digests(ds: Dataset) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from framewright.functions.boxes import box_format as parse_format
-from framewright.functions.json_schema import check_payload, defaults_and_types, enum_arrays, load_schema
+from framewright.functions.json_schema import check_payload, enum_arrays, fill_defaults, load_schema
 from framewright.model import Dataset, formatted
 from framewright.operators import onehot
 from framewright.operators.labels import construct_label_map
@@ -143,8 +143,7 @@ def from_image_json_generic(spark: SparkSession, images_folder: str, annotations
                         df = df.withColumn(c, F.lit(None).cast("array<string>"))
                 df, made = onehot.booleanize(df, sets)
                 tracked |= made
-            types = {c[len(prefix) :]: t for c, t in defaults_and_types(schema).items() if c.startswith(prefix)}
-            df = df.select(*(F.coalesce(F.col(f"`{c}`").cast(types[c][0]), F.lit(types[c][1]).cast(types[c][0])).alias(c) if c in types and types[c][1] is not None else F.col(f"`{c}`").cast(types[c][0]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns))
+            df = fill_defaults(schema, df, prefix)
             sides[side] = (df, prefix)
         images, notes = sides["images"][0], sides["annotations"][0]
     return Dataset.build(images, notes, labels, images_folder, dataset_name or os.path.basename(os.path.dirname(annotations_folder.rstrip("/"))), booleanized=tracked)

@@ -3,35 +3,39 @@
 from __future__ import annotations
 
 import datetime
+import importlib.util
 import json
 import os
 import shutil
+import warnings
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from framewright.functions.boxes import BOX, box_format, with_format
-from framewright.functions.json_schema import SchemaError, invalid_rows, load_schema, nested_struct, renest
+from framewright.functions.json_schema import SchemaError, flat_schema, invalid_rows, load_schema, nested_struct, renest
 from framewright.model import Dataset
 from framewright.operators.onehot import debooleanize_dataset
 
 _DARKNET_SPLIT = {"valid": "val", "eval": "test"}
 
 
-def _files_from(rows: DataFrame, folder: str) -> None:
-    """Write ``(path, content)`` rows as files below a folder that executors share; a file is one row, written under a name of its own first."""
+def _files_from(rows: DataFrame, folder: str, keep: bool = False) -> None:
+    """Write ``(path, content)`` rows as files below a folder that executors share; a file is one row, written under a name of its own first. ``keep``: files that are there stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 full = os.path.join(folder, path)
+                if keep and os.path.exists(full):
+                    continue
                 os.makedirs(os.path.dirname(full), exist_ok=True)
                 part = f"{full}.{os.getpid()}.part"
                 with open(part, "w", encoding="utf-8") as f:
@@ -51,25 +55,43 @@ def _stream(f: Any, rows: DataFrame) -> None:
         first = False
 
 
-def _copy_images(ds: Dataset, target: str, mode: str | None) -> None:
-    """Images copied or linked by the executors; mode None does nothing."""
+def _copy_images(ds: Dataset, target: str, mode: str | None, to_jpg: bool = False, overwrite: bool = True, place: Column | None = None) -> None:
+    """Images copied or linked by the executors, to their own path or ``place``; mode None does nothing.
+
+    With ``to_jpg`` pictures of other kinds are encoded anew, for which Pillow has to be there.
+    Without ``overwrite`` files that exist stay.
+    """
     if mode is None:
         return
     root = os.path.abspath(ds.images_root)
+    if to_jpg and importlib.util.find_spec("PIL") is None and not ds.images.filter(~F.lower("relative_path").rlike(r"\.jpe?g$")).isEmpty():
+        raise RuntimeError("to_jpg needs Pillow")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for path in pdf["relative_path"]:
-                to = os.path.join(target, path)
+            for path, place in zip(pdf["relative_path"], pdf["place"], strict=True):
+                to, source = os.path.join(target, place), os.path.join(root, path)
                 os.makedirs(os.path.dirname(to), exist_ok=True)
-                if mode == "link":
-                    if not os.path.lexists(to):
-                        os.symlink(os.path.join(root, path), to)
+                if os.path.lexists(to):
+                    if not overwrite:
+                        continue
+                    os.unlink(to)
+                if to_jpg and not path.lower().endswith((".jpg", ".jpeg")):
+                    from PIL import Image
+
+                    with Image.open(source) as image:
+                        image.convert("RGB").save(to, "JPEG")
+                elif mode == "link":
+                    os.symlink(os.path.relpath(source, os.path.dirname(to)), to)
                 else:
-                    shutil.copyfile(os.path.join(root, path), to)
-            yield pdf.head(0)
+                    shutil.copyfile(source, to)
+            yield pdf[["relative_path"]].head(0)
+
+    ds.images.select("relative_path", (place if place is not None else F.col("relative_path")).alias("place")).mapInPandas(run, "relative_path string").collect()
 
-    ds.images.select("relative_path").mapInPandas(run, "relative_path string").collect()
+
+def _as_jpg(path: Column) -> Column:
+    return F.regexp_replace(path, r"\.[^./]+$", ".jpg")
 
 
 # ---------------------------------------------------------------- COCO
@@ -82,14 +104,17 @@ def coco_rows(ds: Dataset, fmt: str = "XYWH") -> tuple[DataFrame, DataFrame]:
     return images, notes
 
 
-def to_coco(ds: Dataset, output: str, copy_images: str | None = None, add_split_suffix: bool | None = None, fmt: str = "XYWH", overwrite: bool = False) -> list[str]:
-    """One JSON file per split; its name has the split where there are several. Rows are streamed into the file partition by partition."""
+def to_coco(ds: Dataset, output: str, copy_images: str | None = None, add_split_suffix: bool | None = None, fmt: str = "XYWH", overwrite: bool = False, to_jpg: bool = False, overwrite_images: bool = True) -> list[str]:
+    """One JSON file per split; its name has the split where there are several. Images are copied or linked to ``data`` if asked, as JPEG with ``to_jpg``. Rows are streamed into the file partition by partition."""
     output, name = (os.path.dirname(output), os.path.splitext(os.path.basename(output))[0]) if output.endswith(".json") else (output, "annotations")
     os.makedirs(output, exist_ok=True)
     splits = [r[0] for r in ds.images.select("split").distinct().collect()] if "split" in ds.images.columns else [None]
     suffix = len(splits) > 1 if add_split_suffix is None else add_split_suffix
     if not suffix and len(splits) > 1:
         raise ValueError("several splits need a suffix")
+    own = ds
+    if to_jpg:
+        ds = ds.with_(images=ds.images.withColumn("relative_path", _as_jpg(F.col("relative_path"))))
     images, notes = coco_rows(ds, fmt)
     written = []
     for s in sorted(splits, key=lambda x: (x is None, x or "")):
@@ -106,14 +131,19 @@ def to_coco(ds: Dataset, output: str, copy_images: str | None = None, add_split_
             _stream(f, mine(notes).orderBy("id").select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in notes.columns)))))
             f.write("]}\n")
         written.append(path)
-    _copy_images(ds, os.path.join(output, "data"), copy_images)
+    _copy_images(own, os.path.join(output, "data"), copy_images, to_jpg, overwrite_images, _as_jpg(F.col("relative_path")) if to_jpg else None)
     return written
 
 
 # ---------------------------------------------------------------- one JSON file per image
 def image_json_rows(ds: Dataset, schema: dict | None = None) -> DataFrame:
-    """``(relative_path, split, content)``: the JSON text of every image, dotted names nested again, nulls and empty sets left out."""
+    """``(relative_path, split, content)``: the JSON text of every image, dotted names nested again, nulls and empty sets left out.
+
+    With a schema, attributes that it does not name are left out, with a warning.
+    """
     ds = debooleanize_dataset(ds)
+    if schema is not None:
+        ds = _named_by(ds, schema)
     empty_gone = lambda df: df.select(*(F.when(F.size(F.col(f"`{f.name}`")) > 0, F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f"`{f.name}`") for f in df.schema.fields))
     notes = empty_gone(ds.annotations.select("*", F.array(*(F.col(b) for b in BOX)).alias("bbox")).drop(*BOX, "split"))
     tree = renest([c for c in notes.columns if c != "image_id"])
@@ -128,8 +158,26 @@ def image_json_rows(ds: Dataset, schema: dict | None = None) -> DataFrame:
     return joined.select("relative_path", "split", content.alias("content"))
 
 
-def to_image_json(ds: Dataset, output: str, copy_images: str | None = None, use_schema: bool = False, json_schema: str | dict | None = "default", overwrite: bool = False) -> None:
-    """``Annotations/<split>/<path>.json`` per image. Images with and without split together raise AssertionError; with a schema invalid documents raise SchemaError."""
+def _named_by(ds: Dataset, schema: dict) -> Dataset:
+    known = set(flat_schema(schema))
+    core = {"images": {"id", "width", "height", "relative_path", "type", "split"}, "annotations": {"id", "image_id", "category_id", "category_str", "split", *BOX}}
+    frames = {}
+    for side, prefix in (("images", "image."), ("annotations", "annotations.")):
+        df = getattr(ds, side)
+        lost = [c for c in df.columns if c not in core[side] and prefix + c not in known]
+        if lost:
+            warnings.warn(f"{side}: {', '.join(lost)} are not in the schema and are left out", RuntimeWarning, stacklevel=3)
+        frames[side] = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in lost))
+    return ds.with_(**frames)
+
+
+def to_image_json(ds: Dataset, output: str, copy_images: str | None = None, use_schema: bool = False, json_schema: str | dict | None = "default", overwrite: bool = False, to_jpg: bool = False, overwrite_images: bool = True, overwrite_labels: bool = True, flatten_paths: bool = False) -> None:
+    """``Annotations/<split>/<path>.json`` per image, and the images below ``Images`` if asked, as JPEG with ``to_jpg``.
+
+    ``flatten_paths``: folders of a path become parts of the file name. ``overwrite`` allows a folder
+    that is not empty; without ``overwrite_labels`` files that are there stay. Images with and without split together raise AssertionError; with a schema
+    attributes that it does not name are left out with a warning, and invalid documents raise SchemaError.
+    """
     if "split" in ds.images.columns:
         k = ds.images.agg(F.count("split"), F.count(F.lit(1))).first()
         if k[0] not in (0, k[1]):
@@ -137,14 +185,21 @@ def to_image_json(ds: Dataset, output: str, copy_images: str | None = None, use_
     target = os.path.join(output, "Annotations")
     if os.path.isdir(target) and os.listdir(target) and not overwrite:
         raise FileExistsError(target)
-    rows = image_json_rows(ds)
-    if use_schema:
-        bad = invalid_rows(rows, "content", load_schema(json_schema)).limit(1).collect()
+    schema = load_schema(json_schema) if use_schema else None
+    own = F.regexp_replace("relative_path", "^(train|valid|eval)/", "") if flatten_paths else F.col("relative_path")
+    flat = F.replace(own, F.lit("/"), F.lit("_")) if flatten_paths else own
+    placed = _as_jpg(flat) if to_jpg else flat
+    moved = ds.with_(images=ds.images.withColumn("__from", F.col("relative_path")).withColumn("relative_path", placed)) if flatten_paths or to_jpg else ds
+    rows = image_json_rows(moved.with_(images=moved.images.drop("__from")), schema)
+    if schema is not None:
+        bad = invalid_rows(rows, "content", schema).limit(1).collect()
         if bad:
             raise SchemaError(f"{bad[0]['relative_path']}: {bad[0]['error']}")
-    below = F.when(F.col("split").isNull() | F.startswith("relative_path", F.concat("split", F.lit("/"))), F.col("relative_path")).otherwise(F.concat_ws("/", "split", "relative_path"))
-    _files_from(rows.select(F.concat(F.regexp_replace(below, r"\.[^./]+$", ""), F.lit(".json")).alias("path"), "content"), target)
-    _copy_images(ds, os.path.join(output, "Images"), copy_images)
+    split = F.col("split") if "split" in ds.images.columns else F.lit(None).cast("string")
+    below = lambda path, split: F.when(split.isNull() | F.startswith(path, F.concat(split, F.lit("/"))), path).otherwise(F.concat_ws("/", split, path))
+    files = rows.select(F.concat(F.regexp_replace(below(F.col("relative_path"), F.col("split")), r"\.[^./]+$", ""), F.lit(".json")).alias("path"), "content")
+    _files_from(files, target, keep=not overwrite_labels)
+    _copy_images(ds, os.path.join(output, "Images"), copy_images, to_jpg, overwrite_images, below(placed, split))
 
 
 # ---------------------------------------------------------------- Darknet and YOLO

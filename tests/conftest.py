@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+pytest_plugins = ["framewright.pytest_plugin"]
+
 
 @pytest.fixture(scope="session")
 def spark():

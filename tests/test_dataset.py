@@ -140,6 +140,41 @@ def test_bins(spark):
         bin_edges(spark.createDataFrame([(-1.0,)], "v double"), ContinuousGroup("v", 2, log=True))
 
 
+def test_interval_names_and_quantiles(spark):
+    import pandas as pd
+
+    from framewright.functions.groups import cut_group, exact_quantiles, label_edges
+
+    rng = np.random.default_rng(0)
+    for values in (rng.random(50) * 1000, rng.random(50), rng.random(50) / 1000, rng.normal(size=60) * 3.7):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        want = sorted(set(pd.cut(pd.Series(values), 7)), key=lambda x: x.left)
+        got = sorted({(r["v"]["left"], r["v"]["right"]) for r in cut_group(df, ContinuousGroup("v", 7)).collect()})
+        assert [(pytest.approx(x.left), pytest.approx(x.right)) for x in want] == got
+        shares = [0, 0.1, 0.25, 0.5, 0.77, 1]
+        assert exact_quantiles(df.withColumn("v", F.round("v", 1)), "v", shares) == pytest.approx(np.quantile(values.round(1), shares))
+    assert label_edges([0.12344, 0.12352, 7.0]) == [0.1234, 0.1235, 7.0]
+    same = spark.createDataFrame([(1.0,)] * 9 + [(2.0,)], "v double")
+    with pytest.raises(ValueError, match="equal"):
+        bin_edges(same, ContinuousGroup("v", 4, qcut=True))
+    assert exact_quantiles(same.limit(0), "v", [0.5]) == []
+
+
+def test_sum_and_difference(ds):
+    both = sum([ds, ds.filter_images("id < 4")])
+    assert len(both) == 16 and both.len_annot() == ds.len_annot() + ds.filter_images("id < 4").len_annot()
+    assert len(ds - ds) == 0 and sorted(r["id"] for r in (ds - ds.filter_images("id < 4")).images.collect()) == list(range(4, 12))
+
+
+def test_anchors_of_distances():
+    """Known values: two bins, the right side times (0.5, 2)."""
+    left, at = np.array([7.0, 15.0]), np.array([[0.0], [1.0]])
+    exact = histograms.earth_mover(left, left * [0.5, 2], at, [1.0])
+    soft = histograms.earth_mover(left, left * [0.5, 2], at, [1.0], sinkhorn=1e-2)
+    share = left / left.sum() - left * [0.5, 2] / (left * [0.5, 2]).sum()
+    assert exact == pytest.approx(abs(share[0])) and soft == pytest.approx(exact, abs=1e-3)
+
+
 def test_chunks_and_splits(spark, ds):
     df = spark.createDataFrame([(0, 1, 1, None), (1, 1, 2, "valid"), (2, 2, 2, None), (3, 3, 3, "train"), (4, 3, 4, "valid"), (5, None, None, None)], "id bigint, a int, b int, split string")
     got = {r["id"]: (r["chunk"], r["wanted"]) for r in splitting.atomic_chunks(df, ["a", "b"], "split", ["train", "valid"]).collect()}

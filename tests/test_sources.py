@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions.json_schema import SchemaError
+from framewright.model import Dataset
 from framewright.operators.quality import assert_datasets_equal, full_check, invalid_images
 from framewright.sources import readers, writers
 from framewright.sources.common import header_size
@@ -168,3 +169,123 @@ def test_command_line(spark, small, tmp_path):
     part = small.filter_images("id < 2")
     cli.push(part, small, str(tmp_path / "out2"))
     assert sum(f.endswith(".json") for _, _, fs in os.walk(tmp_path / "out2") for f in fs) == 2
+
+
+SCHEMA = {
+    "type": "object",
+    "properties": {
+        "a": {"type": "integer"}, "b": {"type": "string", "default": "x"}, "c": {"type": "array", "items": {"type": "string"}}, "need": {"type": "integer", "default": 4},
+        "o": {"type": "object", "properties": {"set": {"type": "array", "uniqueItems": True, "items": {"enum": ["u", "v"]}}, "list": {"type": "array", "items": {"enum": ["u", "v"]}}, "flag": {"type": "boolean"}}, "required": ["flag"]},
+    },
+    "required": ["need"],
+}
+
+
+def test_schema_helpers(spark, tmp_path):
+    from framewright.functions import json_schema as J
+
+    assert J.enum_arrays(SCHEMA) == {"o.set": ["u", "v"]} and J.enum_arrays(SCHEMA, ignore_pattern="s.*") == {}
+    known = J.defaults_and_types(SCHEMA)
+    assert known["a"] == ("bigint", None) and known["b"] == ("string", "x") and known["c"] == ("array<string>", []) and known["need"] == ("bigint", None)
+    assert known["o.set"] == ("array<string>", []) and known["o.flag"] == ("boolean", None)
+    df = spark.createDataFrame([(1, None, None, None), (2, "y", ["q"], 7)], "id bigint, b string, c array<string>, a int")
+    assert [tuple(r) for r in J.fill_defaults(SCHEMA, df).orderBy("id").collect()] == [(1, "x", [], None), (2, "y", ["q"], 7)]
+    assert J.schema_tree(SCHEMA)["o"] == {"set": "o.set", "list": "o.list", "flag": "o.flag"}
+    (tmp_path / "s.json").write_text(json.dumps(SCHEMA))
+    assert J.load_schema(str(tmp_path / "s.json")) == SCHEMA and J.load_schema("default") is J.DEFAULT_SCHEMA
+
+
+def test_schema_by_url(tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    from framewright.functions import json_schema as J
+
+    (tmp_path / "s.json").write_text(json.dumps(SCHEMA))
+    quiet = type("Quiet", (http.server.SimpleHTTPRequestHandler,), {"log_message": lambda *a: None})
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    assert J.load_schema(f"http://127.0.0.1:{server.server_port}/s.json") == SCHEMA
+    server.shutdown()
+
+
+def test_sizes_of_more_kinds():
+    import struct
+
+    from framewright.sources.common import header_size
+
+    tiff = b"II*\x00" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHIHH", 256, 3, 1, 640, 0) + struct.pack("<HHII", 257, 4, 1, 480)
+    big = b"MM\x00*" + struct.pack(">I", 8) + struct.pack(">H", 2) + struct.pack(">HHIHH", 256, 3, 1, 640, 0) + struct.pack(">HHII", 257, 4, 1, 480)
+    assert header_size(tiff) == header_size(big) == (640, 480) and header_size(tiff[:20]) is None
+    assert header_size(b"P6\n# a note\n7 9\n255\n") == (7, 9) and header_size(b"P5 3 4 255 ") == (3, 4) and header_size(b"P9 3 4") is None
+
+
+def picture(width, height):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    body = b"".join(b"\0" + b"\x40" * width * 3 for _ in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def test_image_checks(spark, tmp_path):
+    from framewright.operators.quality import remove_invalid_images
+
+    root = tmp_path / "images"
+    root.mkdir()
+    (root / "a.png").write_bytes(picture(4, 3))
+    (root / "cut.png").write_bytes(picture(400, 300)[:60])
+    (root / "b.png").write_bytes(picture(5, 3))
+    os.symlink(root / "a.png", root / "link.png")
+    rows = [(1, 4, 3, "a.png"), (2, 4, 3, "b.png"), (3, 400, 300, "cut.png"), (4, 4, 3, "link.png"), (5, 4, 3, "none.png"), (6, 4, 3, "/abs.png"), (7, 0, 3, "a.png")]
+    ds = Dataset.build(spark.createDataFrame(rows, "id bigint, width int, height int, relative_path string"), None, {}, str(root))
+    reasons = lambda **how: {r["id"]: r["reason"] for r in invalid_images(ds, **how).collect()}
+    plain = {2: "other size", 5: "missing file", 6: "absolute path", 7: "other size"}
+    assert reasons() == plain
+    assert reasons(load_images=True) == plain | {3: "corrupted file", 7: "invalid width"}
+    assert reasons(check_symlink=True) == {i: "not a symlink" for i in (1, 2, 3, 5, 7)} | {6: "absolute path"}
+    assert sorted(r["id"] for r in remove_invalid_images(ds, load_images=True).images.collect()) == [1, 4]
+
+
+def test_writer_options(spark, tmp_path):
+    images = spark.createDataFrame([(1, 4, 3, "train/x/a.png", "train", "odd"), (2, 4, 3, "b.jpg", "train", None)], "id bigint, width int, height int, relative_path string, split string, strange string")
+    notes = spark.createDataFrame([(1, 1, 0, 1.0, 1.0, 1.0, 1.0, "w")], "id bigint, image_id bigint, category_id int, box_x_min double, box_y_min double, box_width double, box_height double, extra string")
+    root = tmp_path / "images"
+    (root / "train/x").mkdir(parents=True)
+    (root / "train/x/a.png").write_bytes(picture(4, 3))
+    (root / "b.jpg").write_bytes(b"\xff\xd8 no picture")
+    ds = Dataset.build(images, notes, {0: "a"}, str(root))
+    with pytest.warns(RuntimeWarning, match="strange"):
+        writers.to_image_json(ds, str(tmp_path / "out"), "copy", use_schema=True, flatten_paths=True)
+    doc = json.loads((tmp_path / "out/Annotations/train/x_a.json").read_text())
+    assert "strange" not in doc["image"] and "extra" not in doc["annotations"][0] and doc["image"]["file_name"] == "x_a.png"
+    assert sorted(os.listdir(tmp_path / "out/Images/train")) == ["b.jpg", "x_a.png"]
+    (tmp_path / "out/Annotations/train/x_a.json").write_text("mine")
+    (tmp_path / "out/Images/train/b.jpg").write_bytes(b"mine")
+    with pytest.raises(FileExistsError):
+        writers.to_image_json(ds, str(tmp_path / "out"))
+    writers.to_image_json(ds, str(tmp_path / "out"), "link", overwrite=True, overwrite_labels=False, overwrite_images=False, flatten_paths=True)
+    assert (tmp_path / "out/Annotations/train/x_a.json").read_text() == "mine" and (tmp_path / "out/Images/train/b.jpg").read_bytes() == b"mine"
+    writers.to_image_json(ds, str(tmp_path / "out"), "link", overwrite=True, flatten_paths=True)
+    assert os.path.islink(tmp_path / "out/Images/train/b.jpg") and (tmp_path / "out/Images/train/x_a.png").read_bytes() == picture(4, 3)
+    import importlib.util
+
+    if importlib.util.find_spec("PIL") is None:
+        with pytest.raises(RuntimeError, match="Pillow"):
+            writers.to_coco(ds, str(tmp_path / "coco"), "copy", to_jpg=True)
+    one = writers.to_coco(ds.filter_images("id = 2"), str(tmp_path / "coco2"), "copy", to_jpg=True)
+    assert json.loads(open(one[0]).read())["images"][0]["file_name"] == "b.jpg" and os.path.exists(tmp_path / "coco2/data/b.jpg")
+
+
+def test_dataset_regression_fixture(spark, tmp_path, dataset_regression):
+    images = spark.createDataFrame([(1, 4, 3, "a.png")], "id bigint, width int, height int, relative_path string")
+    (tmp_path / "a.png").write_bytes(picture(4, 3))
+    ds = Dataset.build(images, None, {}, str(tmp_path))
+    with pytest.raises(pytest.fail.Exception, match="has been stored"):
+        dataset_regression.check(ds, "one", str(tmp_path / "kept"), check_images=True)
+    dataset_regression.check(ds, "one", str(tmp_path / "kept"), check_images=True)
+    (tmp_path / "a.png").write_bytes(picture(4, 4))
+    with pytest.raises(AssertionError):
+        dataset_regression.check(ds, "one", str(tmp_path / "kept"), check_images=True)
