@@ -90,17 +90,19 @@ def confusion_pairs(matches: DataFrame, groundtruth: DataFrame, predictions: Dat
     return _confused(j, min_iou, min_confidence, by)
 
 
-def confused_rows(matched: DataFrame, predictions: DataFrame, min_iou: float = 0.0, min_confidence: float = 0.0, by: list[str] = [], label: str = "category_str") -> DataFrame:  # noqa: B006
-    """``confusion_pairs`` of ``matching.matched_rows`` that carry ``by`` and the label: only the predictions of matched ground truths are looked up."""
-    own = matched.select("prediction_id", "groundtruth_id", "iou", "confidence", "is_gt", F.col(f"`{label}`").alias("own"), *(F.col(f"`{c}`").alias(f"o_{i}") for i, c in enumerate(by)))
-    paired = own.filter("is_gt and prediction_id is not null")
-    p = predictions.select(F.col("id").alias("pid"), F.col(f"`{label}`").alias("pl"), *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(by)))
-    both = paired.join(p, F.col("prediction_id") == F.col("pid")).select(F.col("groundtruth_id").alias("gid"), "pid", "iou", F.col("own").alias("gl"), "pl", F.col("confidence").alias("conf"), *(F.col(f"o_{i}").alias(f"g_{i}") for i in range(len(by))), *(f"p_{i}" for i in range(len(by))))
-    none = lambda c: F.lit(None).cast(c)
-    kinds = [own.schema[f"o_{i}"].dataType for i in range(len(by))]
-    lone_g = own.filter("is_gt and prediction_id is null").select(F.col("groundtruth_id").alias("gid"), none("bigint").alias("pid"), "iou", F.col("own").alias("gl"), none("string").alias("pl"), none("double").alias("conf"), *(F.col(f"o_{i}").alias(f"g_{i}") for i in range(len(by))), *(none(t).alias(f"p_{i}") for i, t in enumerate(kinds)))
-    lone_p = own.filter("not is_gt").select(none("bigint").alias("gid"), F.col("prediction_id").alias("pid"), "iou", none("string").alias("gl"), F.col("own").alias("pl"), F.col("confidence").alias("conf"), *(none(t).alias(f"g_{i}") for i, t in enumerate(kinds)), *(F.col(f"o_{i}").alias(f"p_{i}") for i in range(len(by))))
-    return _confused(both.unionByName(lone_g).unionByName(lone_p), min_iou, min_confidence, by)
+def confused_rows(matched: DataFrame, min_iou: float = 0.0, min_confidence: float = 0.0, by: list[str] = [], label: str = "category_str", predicted: str = "predicted") -> DataFrame:  # noqa: B006
+    """``confusion_pairs`` of ``matching.matched_rows`` that carry ``by``, the label, and as ``predicted`` the label of a ground truth's prediction: no join is needed.
+
+    ``by`` is the ground truth's; of a false prediction beside a missed ground truth too, as both lie in one image.
+    """
+    lone = ~F.col("is_gt")
+    none = F.lit(None).cast("bigint")
+    own = F.col(f"`{label}`")
+    j = matched.select(
+        F.when(F.col("is_gt"), F.col("groundtruth_id")).otherwise(none).alias("gid"), F.col("prediction_id").alias("pid"), "iou", F.when(F.col("is_gt"), own).alias("gl"),
+        F.when(lone, own).otherwise(F.col(f"`{predicted}`")).alias("pl"), F.col("confidence").alias("conf"), *(F.col(f"`{c}`").alias(f"{side}_{i}") for i, c in enumerate(by) for side in "gp"),
+    )
+    return _confused(j, min_iou, min_confidence, by)
 
 
 def _confused(j: DataFrame, min_iou: float, min_confidence: float, by: list[str]) -> DataFrame:

@@ -80,7 +80,8 @@ def _pairs(g: DataFrame, p: DataFrame, min_iou: float, category_agnostic: bool)
         grid = cells(g, "g").join(cells(p, "p"), [*on, F.col("g_cx") == F.col("p_cx"), F.col("g_cy") == F.col("p_cy"), hit, corner])
         both = both.unionByName(grid.select(*cols))
     met = both.withColumn("iou", iou("g_", "p_")).filter(F.col("iou") > min_iou)
-    return met.select(F.col("p_image_id").alias("image_id"), F.col("p_category_id").alias("category_id"), F.col("p_id").alias("prediction_id"), F.col("g_id").alias("groundtruth_id"), F.col("p_confidence").alias("confidence"), "iou")
+    carried = [c for c in p.columns if c.startswith("m")]
+    return met.select(F.col("p_image_id").alias("image_id"), F.col("p_category_id").alias("category_id"), F.col("p_id").alias("prediction_id"), F.col("g_id").alias("groundtruth_id"), F.col("p_confidence").alias("confidence"), "iou", *carried)
 
 
 _PAIR, _PREDICTION, _TRUTH = 0, 1, 2
@@ -97,7 +98,7 @@ def first_free(prediction: np.ndarray, truth: np.ndarray, used: set[int], done:
     return out
 
 
-def _greedy(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _greedy(names: list[str], carried: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One pass over a partition sorted by group; in it by pairs and predictions in falling confidence, then ground truths.
 
     In a group where no two predictions like the same ground truth best, all get it: those are
@@ -108,6 +109,7 @@ def _greedy(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_group: int | None = None
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))  # prediction, ground truth, iou, confidence of the open group's hits
+        held_more: list[pa.Array] = []  # and the columns carried with them
         last: int | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -131,8 +133,10 @@ def _greedy(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     done = last if goes_on else None
                     hits = np.r_[hits, pair[at[first_free(pp[at], pg[at], used, done)]]]
             h = [p[hits], g[hits], overlap[hits], sure[hits]]
+            more = [batch.column(names.index(n)).take(pa.array(hits)) for n in carried]
             if goes_on:
                 h = [np.r_[a, b] for a, b in zip(held, h, strict=True)]
+                more = [pa.concat_arrays([a, b]) for a, b in zip(held_more, more, strict=True)]
             by_truth = np.argsort(h[1], kind="stable")
             lone = (kind == _PREDICTION) & ~np.isin(p, h[0])
             rows = np.flatnonzero(lone | (kind == _TRUTH))
@@ -144,20 +148,21 @@ def _greedy(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 where = by_truth[place]
                 found = truth & (h[1][where] == g[rows])
             if len(rows):
-                yield _emitted(batch, names, rows, truth, found, where, h, p, g, sure)
+                yield _emitted(batch, names, carried, rows, truth, found, where, h, more, p, g, sure)
             mine = np.zeros(len(h[0]), bool)
             n_old = len(held[0]) if goes_on else 0
             mine[n_old:] = grp[hits] == grp[-1]
             if goes_on and grp[-1] == open_group:
                 mine[:n_old] = True
             held = tuple(x[mine] for x in h)
+            held_more = [x.take(pa.array(np.flatnonzero(mine))) for x in more]
             open_group = int(grp[-1])
             last = int(p[-1]) if kind[-1] != _TRUTH and p[-1] in held[0] else None
 
     return run
 
 
-def _emitted(batch: pa.RecordBatch, names: list[str], rows: np.ndarray, truth: np.ndarray, found: np.ndarray, where: np.ndarray, h: list[np.ndarray], p: np.ndarray, g: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+def _emitted(batch: pa.RecordBatch, names: list[str], carried: list[str], rows: np.ndarray, truth: np.ndarray, found: np.ndarray, where: np.ndarray, h: list[np.ndarray], more: list[pa.Array], p: np.ndarray, g: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
     """A row per ground truth, with its prediction if it has one, and per prediction without."""
     pick = lambda x, other: np.where(found, x[where], other) if len(x) else other
     confidence = pick(h[3], np.where(truth, np.nan, sure[rows]))
@@ -165,18 +170,20 @@ def _emitted(batch: pa.RecordBatch, names: list[str], rows: np.ndarray, truth: n
         pa.array(pick(h[0], p[rows]), mask=truth & ~found), pa.array(np.asarray(pick(h[2], np.zeros(len(rows))), np.float64)), pa.array(g[rows], mask=~truth),
         pa.array(np.asarray(confidence, np.float64), mask=np.isnan(confidence)), pa.array(truth),
     ]
-    rest = names[names.index("iou") + 1 :]
+    rest = [n for n in names[names.index("iou") + 1 :] if n not in carried]
     taken = batch.take(pa.array(rows))
-    return pa.RecordBatch.from_arrays(made + [taken.column(names.index(n)) for n in rest], names=["prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *rest])
+    at_hit = pa.array(where, mask=~found)  # null where there is no hit, and so is what is taken there
+    return pa.RecordBatch.from_arrays(made + [taken.column(names.index(n)) for n in rest] + [x.take(at_hit) for x in more], names=["prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *rest, *carried])
 
 
-def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[str] = [], min_iou: float = 0.0, category_agnostic: bool = False) -> DataFrame:  # noqa: B006
-    """``prediction_id, iou, groundtruth_id, confidence, is_gt, columns...``: a row per ground truth, and per prediction without one.
+def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[str] = [], min_iou: float = 0.0, category_agnostic: bool = False, carried: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+    """``prediction_id, iou, groundtruth_id, confidence, is_gt, columns..., carried...``: a row per ground truth, and per prediction without one.
 
     In falling confidence (ties: smaller id first; null last) every prediction takes the ground
     truth of greatest iou (ties: smaller id) that is still free in its image (and class). A ground
     truth without a prediction has a null id and confidence, and iou 0; a prediction without a ground
-    truth has iou 0. ``columns`` are the ground truth's, of a lone prediction its own.
+    truth has iou 0. ``columns`` are the ground truth's, of a lone prediction its own; ``carried``
+    (name: column of the predictions) are those of a ground truth's prediction, else null.
 
     Pairs, predictions and ground truths go through one shuffle by image (and class) and one sorted
     pass that settles and emits them, so nothing is joined afterwards. Groups of very many pairs are
@@ -184,9 +191,9 @@ def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[s
     boxes with a null image or class are alone and are spread by their ids.
     """
     keys = ["image_id"] if category_agnostic else ["image_id", "category_id"]
-    extra = [f"c{i}" for i in range(len(columns))]
+    extra, more = [f"c{i}" for i in range(len(columns))], [f"m{i}" for i in range(len(carried))]
     g = _kept(groundtruth.select(*(F.col(f"`{c}`").alias(f"g_{c}") for c in ("id", "image_id", "category_id", *BOX)), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True))), "groundtruth")
-    p = _kept(predictions.select(*(F.col(f"`{c}`").alias(f"p_{c}") for c in ("id", "image_id", "category_id", *BOX, "confidence")), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True))), "predictions")
+    p = _kept(predictions.select(*(F.col(f"`{c}`").alias(f"p_{c}") for c in ("id", "image_id", "category_id", *BOX, "confidence")), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True)), *(F.col(f"`{c}`").alias(n) for n, c in zip(more, carried.values(), strict=True))), "predictions")
     no_extra = lambda df: df.drop(*extra)
     pairs = _pairs(no_extra(g), no_extra(p), min_iou, category_agnostic)
 
@@ -196,14 +203,15 @@ def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[s
             known = known & F.col(f"{of}{k}").isNotNull()
         return known, F.xxhash64(*(F.col(f"{of}{k}") for k in keys))
 
-    pairs = _kept(pairs.select(group("")[1].alias("grp"), F.col("prediction_id").cast("bigint").alias("prediction_id"), F.col("groundtruth_id").cast("bigint").alias("groundtruth_id"), F.col("confidence").cast("double").alias("confidence"), "iou"), "pairs")
+    pairs = _kept(pairs.select(group("")[1].alias("grp"), F.col("prediction_id").cast("bigint").alias("prediction_id"), F.col("groundtruth_id").cast("bigint").alias("groundtruth_id"), F.col("confidence").cast("double").alias("confidence"), "iou", *more), "pairs")
     counts = _kept(pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SPLIT_PAIRS).select(F.col("grp").alias("big")), "big")
     many = counts.count()
     null = lambda t: F.lit(None).cast(t)
+    unknown = [null(p.schema[n].dataType).alias(n) for n in more]
     known, hashed = group("p_")
-    lone_p = p.select(F.when(known, hashed).otherwise(F.xxhash64(F.lit("p"), "p_id")).alias("grp"), F.lit(_PREDICTION).alias("kind"), F.col("p_id").cast("bigint").alias("prediction_id"), null("bigint").alias("groundtruth_id"), F.col("p_confidence").cast("double").alias("confidence"), null("double").alias("iou"), *extra)
+    lone_p = p.select(F.when(known, hashed).otherwise(F.xxhash64(F.lit("p"), "p_id")).alias("grp"), F.lit(_PREDICTION).alias("kind"), F.col("p_id").cast("bigint").alias("prediction_id"), null("bigint").alias("groundtruth_id"), F.col("p_confidence").cast("double").alias("confidence"), null("double").alias("iou"), *extra, *unknown)
     known, hashed = group("g_")
-    lone_g = g.select(F.when(known, hashed).otherwise(F.xxhash64(F.lit("g"), "g_id")).alias("grp"), F.lit(_TRUTH).alias("kind"), null("bigint").alias("prediction_id"), F.col("g_id").cast("bigint").alias("groundtruth_id"), null("double").alias("confidence"), null("double").alias("iou"), *extra)
+    lone_g = g.select(F.when(known, hashed).otherwise(F.xxhash64(F.lit("g"), "g_id")).alias("grp"), F.lit(_TRUTH).alias("kind"), null("bigint").alias("prediction_id"), F.col("g_id").cast("bigint").alias("groundtruth_id"), null("double").alias("confidence"), null("double").alias("iou"), *extra, *unknown)
     if many:
         big = _small(counts, many)
         node_p, node_g = F.col("prediction_id") * 2, F.col("groundtruth_id") * 2 + 1
@@ -218,13 +226,13 @@ def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[s
 
         pairs, lone_p, lone_g = parted(pairs, node_p), parted(lone_p, node_p), parted(lone_g, node_g)
     blank = [null(g.schema[n].dataType).alias(n) for n in extra]
-    rows = pairs.select("grp", F.lit(_PAIR).alias("kind"), "prediction_id", "groundtruth_id", "confidence", "iou", *blank).unionByName(lone_p).unionByName(lone_g)
+    rows = pairs.select("grp", F.lit(_PAIR).alias("kind"), "prediction_id", "groundtruth_id", "confidence", "iou", *blank, *more).unionByName(lone_p).unionByName(lone_g)
     is_truth = F.col("kind") == _TRUTH
     order = ["grp", is_truth, F.col("confidence").desc_nulls_last(), "prediction_id", "kind", F.col("iou").desc(), "groundtruth_id"]
     ranked = rows.repartition("grp").sortWithinPartitions(*order)
-    shape = StructType([*spark_fields("prediction_id bigint, iou double, groundtruth_id bigint, confidence double, is_gt boolean"), *(StructField(n, rows.schema[n].dataType) for n in extra)])
-    out = ranked.mapInArrow(_greedy(rows.columns), shape)
-    return out.select("prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *(F.col(n).alias(c) for n, c in zip(extra, columns, strict=True)))
+    shape = StructType([*spark_fields("prediction_id bigint, iou double, groundtruth_id bigint, confidence double, is_gt boolean"), *(StructField(n, rows.schema[n].dataType) for n in (*extra, *more))])
+    out = ranked.mapInArrow(_greedy(rows.columns, more), shape)
+    return out.select("prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *(F.col(n).alias(c) for n, c in zip(extra, columns, strict=True)), *(F.col(n).alias(c) for n, c in zip(more, carried, strict=True)))
 
 
 def spark_fields(ddl: str) -> list[StructField]:

@@ -126,7 +126,7 @@ select *, n / sum(n) over (partition by {by} groundtruth) as share from cells"""
 
 def _confusion(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
     g, p = _sides(spark, d)
-    return curves.confused_rows(matched_rows(g, p, ["category_str", *by], category_agnostic=True), p, 0.3, 0.2, by)
+    return curves.confused_rows(matched_rows(g, p, ["category_str", *by], category_agnostic=True, carried={"predicted": "category_str"}), 0.3, 0.2, by)
 
 
 @query(_match_sql(True) + _CONF.format(by=""), rounded=["share"])

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+atexit.register(lambda: _clean())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,12 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one; it is removed when the program ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _SCRATCH:
-        atexit.register(_clean)
     _SCRATCH.append((spark, path))
     return path
 
 
+@contextlib.contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Scratch tables made inside are removed at its end: ``with temporary_tables(): result.write...``.
+
+    For sessions that run many queries; a result has to be written or collected inside. (Checkpoints
+    are Spark's own to clean, see spark.cleaner.referenceTracking.cleanCheckpoints.)
+    """
+    before = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        _remove(_SCRATCH[before:])
+        del _SCRATCH[before:]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (checkpoint in the shared folder) and forget its lineage."""
     shared_dir(df.sparkSession)
@@ -49,7 +65,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _clean() -> None:
-    for spark, path in _SCRATCH:
+    _remove(_SCRATCH)
+
+
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

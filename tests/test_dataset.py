@@ -153,7 +153,7 @@ def test_interval_names_and_quantiles(spark):
         assert [(pytest.approx(x.left), pytest.approx(x.right)) for x in want] == got
         shares = [0, 0.1, 0.25, 0.5, 0.77, 1]
         assert exact_quantiles(df.withColumn("v", F.round("v", 1)), "v", shares) == pytest.approx(np.quantile(values.round(1), shares))
-    assert label_edges([0.12344, 0.12352, 7.0]) == [0.1234, 0.1235, 7.0]
+    assert label_edges([0.12344, 0.12347, 7.0]) == [0.1234, 0.1235, 7.0]
     same = spark.createDataFrame([(1.0,)] * 9 + [(2.0,)], "v double")
     with pytest.raises(ValueError, match="equal"):
         bin_edges(same, ContinuousGroup("v", 4, qcut=True))
@@ -243,7 +243,9 @@ def test_matching(spark, ds, monkeypatch, split_pairs):
     g = [(*[r[c] for c in cols], 0, r["category_id"]) for r in ds.annotations.collect()]
     p = [(*[r[c] for c in cols], r["confidence"], r["category_id"]) for r in pred.collect()]
     assert got == greedy_by_hand(g, p, 0.1)
-    every = matching.matched_rows(ds.annotations, pred, ["category_id", "box_width"], 0.1).collect()
+    every = matching.matched_rows(ds.annotations, pred, ["category_id", "box_width"], 0.1, carried={"theirs": "box_width", "who": "id"}).collect()
+    theirs = {r["id"]: r["box_width"] for r in pred.collect()}
+    assert all((r["who"], r["theirs"]) == ((r["prediction_id"], theirs[r["prediction_id"]]) if r["is_gt"] and r["prediction_id"] is not None else (None, None)) for r in every)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r["groundtruth_id"] for r in every if r["is_gt"]) == sorted(x[0] for x in g)
     assert sorted(r["prediction_id"] for r in every if r["prediction_id"] is not None) == sorted(x[0] for x in p)
