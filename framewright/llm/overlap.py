@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.picture_names import caption_parts, frame_key, split_name
+from framewright.llm.picture_names import caption_of, frame_key, split_name
 from framewright.operators.components import connected_components, join_one
 from framewright.operators.latest import latest_rows
 from framewright.session import few_rows, scratch_path
@@ -473,8 +473,9 @@ def long_list_links(objects: DataFrame, images: DataFrame) -> DataFrame | None:
 
 def name_keys(images: DataFrame, name: str = "file_name") -> DataFrame:
     """``(id, frame, place, caption)``: what a name says, null where it says nothing."""
-    base = images.select("id", frame_key(F.col(name)).alias("frame"), caption_parts(F.col(name)).alias("cap"))
-    return base.select("id", "frame", F.col("cap.place").alias("place"), F.col("cap.caption").alias("caption"))
+    base = images.select("id", frame_key(F.col(name)).alias("frame"), caption_of(F.col(name)).alias("cap"))
+    own = F.col("frame").isNull()
+    return base.select("id", "frame", F.when(own, F.col("cap.place")).alias("place"), F.when(own, F.col("cap.caption")).alias("caption"))
 
 
 def name_links(keys: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,30 +28,40 @@ def last_name(name: Column) -> Column:
     return plain_name(F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/\\]*)$", 1))
 
 
-def _group(text: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(text, pattern, i)
+#: Stands before and between the parts of a name that was recognised; no plain name has it.
+_PART = "\u0001"
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _recorded(name: Column, parts: str) -> Column:
+    """Parts of a recorded name, else null: the first match is cut out, and written anew, by one pattern each."""
+    match = F.regexp_extract(plain_name(name), _RECORDED, 0)
+    return _once(F.regexp_replace(match, _RECORDED, parts), lambda x: F.when(x != "", x))
 
 
 def recording_key(name: Column) -> Column:
     """``site camera recording`` of a recorded name, else null."""
-    text = plain_name(name)
-    return F.when(text.rlike(_RECORDED), F.concat_ws(" ", *(_group(text, _RECORDED, i) for i in (1, 2, 3, 4))))
+    return _recorded(name, "$1 $2 $3 $4")
 
 
 def frame_key(name: Column) -> Column:
     """``site camera recording frame`` of a recorded name, else null."""
-    text = plain_name(name)
-    return F.when(text.rlike(_RECORDED), F.concat_ws(" ", *(_group(text, _RECORDED, i) for i in (1, 2, 3, 4, 5))))
+    return _recorded(name, "$1 $2 $3 $4 $5")
+
+
+def caption_of(name: Column) -> Column:
+    """struct(place: ``site serial``, caption: its letters) of a name written like a captioned one, else null; a recorded name may be too."""
+    parts = F.split(F.regexp_replace(last_name(name), _CAPTIONED, f"{_PART}$2 $3 $4{_PART}$1"), _PART)
+    return _once(parts, lambda x: F.when(F.size(x) == 3, F.struct(x[1].alias("place"), F.replace(x[2], F.lit(" "), F.lit("")).alias("caption"))))
 
 
 def caption_parts(name: Column) -> Column:
-    """struct(place: ``site serial``, caption: its letters) of a captioned name, else null."""
-    text = last_name(name)
-    parts = F.struct(
-        F.concat_ws(" ", *(_group(text, _CAPTIONED, i) for i in (2, 3, 4))).alias("place"),
-        F.replace(_group(text, _CAPTIONED, 1), F.lit(" "), F.lit("")).alias("caption"),
-    )
-    return F.when(text.rlike(_CAPTIONED) & ~plain_name(name).rlike(_RECORDED), parts)
+    """``caption_of`` a captioned name, else null."""
+    return F.when(frame_key(name).isNull(), caption_of(name))
 
 
 def person_key(uploader: Column) -> Column:
