@@ -68,6 +68,27 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[flo
     return out
 
 
+def grouped_quantiles(df: DataFrame, group: str, column: str, shares: list[float]) -> DataFrame:
+    """``(group, q0, q1...)``: quantiles of a column in every group, linear between neighbours; groups without numbers have none.
+
+    As in ``exact_quantiles``, distinct values are counted and numbered over ranges, so that no task
+    or buffer holds a whole group.
+    """
+    value = F.col(f"`{column}`").cast("double")
+    counted = df.select(F.col(f"`{group}`").alias("g"), value.alias("v")).filter("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(counted.repartitionByRange("g", "v")).withColumn("__p", F.spark_partition_id())
+    parts = ranged.groupBy("g", "__p").agg(F.sum("n").alias("m"))
+    whole = Window.partitionBy("g")
+    starts = parts.select(F.col("g").alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("m").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("m").over(whole).alias("total"))
+    run = F.sum("n").over(Window.partitionBy("g", "__p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("run", run).join(starts, F.col("g").eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q"))).withColumn("end", F.col("start") + F.col("run"))
+    at = lambda x: F.max(F.when((F.col("end") - F.col("n") <= x) & (x < F.col("end")), F.col("v")))
+    ends = [(F.floor(F.lit(float(q)) * (F.col("total") - 1)), F.ceil(F.lit(float(q)) * (F.col("total") - 1))) for q in shares]
+    found = placed.groupBy("g").agg(F.max("total").alias("total"), *(x for i, (lo, hi) in enumerate(ends) for x in (at(lo).alias(f"lo{i}"), at(hi).alias(f"hi{i}"))))
+    between = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.lit(float(q)) * (F.col("total") - 1) - lo) for i, (q, (lo, _)) in enumerate(zip(shares, ends, strict=True))]
+    return found.select(F.col("g").alias(group), *(x.alias(f"q{i}") for i, x in enumerate(between)))
+
+
 def bin_edges(df: DataFrame, g: ContinuousGroup) -> list[float]:
     """The edges; one small aggregation. Equal-width edges start a thousandth of the range lower, so that the least value is in."""
     if not isinstance(g.bins, int):
@@ -135,8 +156,10 @@ def cut_group(df: DataFrame, g: ContinuousGroup, out: str | None = None) -> Data
         made = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) if g.label_type == "intervals" else F.lit((a + b) / 2) for a, b in pairs]
         return df.withColumn(out, F.get(F.array(*made), at) if made else F.lit(None))
     binned = df.withColumn("__bin", at)
-    how = F.avg(value) if g.label_type == "mean" else F.percentile(value, F.lit(0.5))
-    labels = binned.groupBy(F.col("__bin").alias("__b")).agg(how.alias("__label"))
+    if g.label_type == "mean":
+        labels = binned.groupBy(F.col("__bin").alias("__b")).agg(F.avg(value).alias("__label"))
+    else:
+        labels = grouped_quantiles(binned.select("__bin", value.alias("__v")), "__bin", "__v", [0.5]).select(F.col("__bin").alias("__b"), F.col("q0").alias("__label"))
     joined = binned.join(F.broadcast(labels), F.col("__bin").eqNullSafe(F.col("__b")), "left")
     return joined.withColumn(out, F.when(F.col("__bin").isNotNull(), F.col("__label"))).drop("__bin", "__b", "__label")
 

@@ -143,7 +143,7 @@ def test_bins(spark):
 def test_interval_names_and_quantiles(spark):
     import pandas as pd
 
-    from framewright.functions.groups import cut_group, exact_quantiles, label_edges
+    from framewright.functions.groups import cut_group, exact_quantiles, grouped_quantiles, label_edges
 
     rng = np.random.default_rng(0)
     for values in (rng.random(50) * 1000, rng.random(50), rng.random(50) / 1000, rng.normal(size=60) * 3.7):
@@ -158,6 +158,9 @@ def test_interval_names_and_quantiles(spark):
     with pytest.raises(ValueError, match="equal"):
         bin_edges(same, ContinuousGroup("v", 4, qcut=True))
     assert exact_quantiles(same.limit(0), "v", [0.5]) == []
+    data = [(None if i % 11 == 0 else i % 3, None if i % 7 == 0 else float(rng.integers(0, 40))) for i in range(400)]
+    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in grouped_quantiles(spark.createDataFrame(data, "g int, v double"), "g", "v", [0.0, 0.3, 0.5]).collect()}
+    assert got == {g: tuple(pytest.approx(x) for x in np.quantile([v for k, v in data if k == g and v is not None], [0, 0.3, 0.5])) for g in (None, 0, 1, 2)}
 
 
 def test_sum_and_difference(ds):
