@@ -453,11 +453,17 @@ def long_list_links(objects: DataFrame, images: DataFrame) -> DataFrame | None:
     close = spark.read.parquet(path)
     x = close.groupBy("a", "b", "na", "nb", "x").agg(F.count(F.lit(1)).alias("dx"))
     y = close.groupBy("a", "b", "y").agg(F.count(F.lit(1)).alias("dy"))
-    lonely = close.join(x.select("a", "b", "x", "dx"), ["a", "b", "x"]).join(y, ["a", "b", "y"]).groupBy("a", "b").agg(F.count_if(F.expr("dx = 1 and dy = 1")).alias("lower"))
-    bound = x.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("ux")).join(y.groupBy("a", "b").agg(F.count(F.lit(1)).alias("uy")), ["a", "b"]).join(lonely, ["a", "b"])
+    marked = close.join(x.select("a", "b", "x", "dx"), ["a", "b", "x"]).join(y, ["a", "b", "y"]).select("a", "b", "na", "nb", "x", "y", "dx", "dy")
+    path = scratch_path(spark, "marked")
+    marked.write.parquet(path)
+    marked = spark.read.parquet(path)
+    # a pair without rivals belongs to some greatest matching, so the others are matched for what is left to reach
+    rivals = F.expr("dx > 1 or dy > 1")
+    bound = marked.groupBy("a", "b", "na", "nb").agg(F.sum(1 / F.col("dx")).alias("ux"), F.sum(1 / F.col("dy")).alias("uy"), F.count_if(~rivals).alias("lower"))
     need = F.ceil(F.greatest("na", "nb") * SHARE - _SLACK)
-    open_ = bound.filter((F.least("ux", "uy") >= need) & (F.col("lower") < need)).select("a", "b", need.cast("bigint").alias("need"))
-    sure = bound.filter(F.col("lower") >= need).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    bound = bound.select("a", "b", F.round("ux").alias("ux"), F.round("uy").alias("uy"), "lower", need.alias("least"))
+    open_ = bound.filter((F.least("ux", "uy") >= F.col("least")) & (F.col("lower") < F.col("least"))).select("a", "b", (F.col("least") - F.col("lower")).cast("bigint").alias("need"))
+    sure = bound.filter(F.col("lower") >= F.col("least")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     def settle(pdf):  # noqa: ANN001, ANN202
         edges: dict[int, list[int]] = {}
@@ -467,8 +473,10 @@ def long_list_links(objects: DataFrame, images: DataFrame) -> DataFrame | None:
         ok = greatest_matching(list(edges.values()), need) >= need
         return pdf[["a", "b"]].head(1 if ok else 0).rename(columns={"a": "src", "b": "dst"})
 
-    settled = close.join(open_, ["a", "b"]).groupBy("a", "b").applyInPandas(settle, "src bigint, dst bigint")
-    return sure.unionByName(settled)
+    settled = marked.filter(rivals).select("a", "b", "x", "y").join(open_, ["a", "b"]).groupBy("a", "b").applyInPandas(settle, "src bigint, dst bigint")
+    path = scratch_path(spark, "long-links")
+    sure.unionByName(settled).write.parquet(path)  # it is read twice, and must be made once
+    return spark.read.parquet(path)
 
 
 def name_keys(images: DataFrame, name: str = "file_name") -> DataFrame:

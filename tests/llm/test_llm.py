@@ -330,6 +330,23 @@ def test_content_chunks(seed, sizes):
         assert sorted(len(c) for c in chunks_by_hand(units, rolled)) == sorted(n for n, a in zip(length.tolist(), at) if image[a] == i)
 
 
+def test_long_lists_of_dense_boxes(spark, monkeypatch):
+    """Boxes so near each other that most have rivals: the outcome is that of a greatest matching."""
+    monkeypatch.setattr(overlap, "LONG_LIST", 30)
+    rng = random.Random(5)
+    lists_, notes = {}, []
+    for i in range(8):
+        wide = 0.03 + 0.012 * (i // 2)
+        lists_[i] = [(1, *(rng.random() * wide for _ in range(4))) for _ in range(44 + i)]
+        notes += [(1000 * i + k, i, c, *(v * s for v, s in zip(b, (100, 200, 100, 200), strict=True)), ts(1)) for k, (c, *b) in enumerate(lists_[i])]
+    images = spark.createDataFrame([(i, "IMG.JPG", "train", "s", 100, 200, ts(1)) for i in range(8)], "id bigint, file_name string, split string, source string, width int, height int, ingested_at timestamp_ntz")
+    boxes = spark.createDataFrame(notes, "id bigint, image_id bigint, category_id int, box_x_min double, box_y_min double, box_width double, box_height double, ingested_at timestamp_ntz")
+    objects, _ = overlap.object_lists(boxes, overlap._latest_images(images))
+    got = {tuple(sorted((r["src"], r["dst"]))) for r in overlap.long_list_links(objects, overlap.long_images(objects)).collect()}
+    want = {(i, j) for i, j in itertools.combinations(range(8), 2) if overlap.matched(lists_[i], lists_[j]) >= overlap.least_matches(max(len(lists_[i]), len(lists_[j])))}
+    assert got == want and 0 < len(want) < 28
+
+
 def test_overlap_fractions_and_copies(spark, rows):
     images, notes = pictures(spark)
     got = {r["image_id"]: (r["n_objects"], r["shared_objects"], r["overlap"]) for r in overlap.split_overlap(images, notes).collect()}
