@@ -20,6 +20,10 @@ GRID_PAIRS = 50_000
 SPLIT_PAIRS = 200_000
 #: Cells along a side of the grid of a crowded image.
 GRID = 64
+#: Boxes of both sides that a tile of a crowded group holds, about.
+TILE_BOXES = 8_000
+#: Pairs whose x ranges may meet that a tile holds at once, about.
+TILE_PAIRS = 20_000_000
 #: Crowded groups (about 60 bytes each) that are broadcast; they are counted first, and more are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -52,11 +56,18 @@ def iou_pairs(groundtruth: DataFrame, predictions: DataFrame, min_iou: float = 0
     return _pairs(g, p, min_iou, category_agnostic)
 
 
+def _crowded(g: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of more than GRID_PAIRS pairs with the bounds of their ground truths; ``odd`` are those with infinite or NaN coordinates."""
+    odd = lambda s: F.max(~(F.abs(F.col(f"{s}_box_x_min") + F.col(f"{s}_box_width")) + F.abs(F.col(f"{s}_box_y_min") + F.col(f"{s}_box_height")) < float("inf")))
+    ng = g.groupBy(*(F.col(f"g_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("ng"), odd("g").alias("odd_g"), *(F.min(f"g_{c}").alias(f"lo_{c}") for c in BOX[:2]), F.max(F.col("g_box_x_min") + F.col("g_box_width")).alias("hi_x"), F.max(F.col("g_box_y_min") + F.col("g_box_height")).alias("hi_y"))
+    np_ = p.groupBy(*(F.col(f"p_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("np"), odd("p").alias("odd_p"))
+    met = ng.join(np_, keys).filter(F.col("ng") * F.col("np") > GRID_PAIRS)
+    return _kept(met.withColumn("odd", F.coalesce("odd_g", F.lit(False)) | F.coalesce("odd_p", F.lit(False))).drop("ng", "np", "odd_g", "odd_p"), "crowded")
+
+
 def _pairs(g: DataFrame, p: DataFrame, min_iou: float, category_agnostic: bool) -> DataFrame:
     keys = ["image_id"] if category_agnostic else ["image_id", "category_id"]
-    ng = g.groupBy(*(F.col(f"g_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("ng"), *(F.min(f"g_{c}").alias(f"lo_{c}") for c in BOX[:2]), F.max(F.col("g_box_x_min") + F.col("g_box_width")).alias("hi_x"), F.max(F.col("g_box_y_min") + F.col("g_box_height")).alias("hi_y"))
-    np_ = p.groupBy(*(F.col(f"p_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("np"))
-    crowded = _kept(ng.join(np_, keys).filter(F.col("ng") * F.col("np") > GRID_PAIRS).drop("ng", "np"), "crowded")
+    crowded = _crowded(g, p, keys).drop("odd")
     on = [F.col(f"g_{k}") == F.col(f"p_{k}") for k in keys]
     is_in = lambda df, s: [df[f"{s}_{k}"] == F.col(k) for k in keys]
     hit = overlaps("g_", "p_")
@@ -176,6 +187,147 @@ def _emitted(batch: pa.RecordBatch, names: list[str], carried: list[str], rows:
     return pa.RecordBatch.from_arrays(made + [taken.column(names.index(n)) for n in rest] + [x.take(at_hit) for x in more], names=["prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *rest, *carried])
 
 
+_FREE, _OPEN, _USED = 0, 1, 2
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i, and the numbers lo[i] up to hi[i], for every i."""
+    n = np.maximum(hi - lo, 0)
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def _meeting(box: np.ndarray, p: np.ndarray, g: np.ndarray, min_iou: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``p`` and ``g`` (places of ``box``, whose rows are x, y, width, height) of the pairs with iou > ``min_iou``, and it. As ``boxes.iou`` computes it."""
+    left, right = box[0], box[0] + box[2]
+    at_p, at_g = np.argsort(left[p], kind="stable"), np.argsort(left[g], kind="stable")
+    xp, xg = left[p][at_p], left[g][at_g]
+    i, j = _spread(np.searchsorted(xg, xp, "left"), np.searchsorted(xg, right[p][at_p], "left"))  # ground truths that begin in a prediction
+    l, k = _spread(np.searchsorted(xp, xg, "right"), np.searchsorted(xp, right[g][at_g], "left"))  # and the other way round
+    i, j = at_p[np.r_[i, k]], at_g[np.r_[j, l]]
+    (ax, ay, aw, ah), (bx, by, bw, bh) = box[:, g], box[:, p]
+    keep = (ay[j] < (by + bh)[i]) & (by[i] < (ay + ah)[j]) & (ax[j] < (bx + bw)[i]) & (bx[i] < (ax + aw)[j])
+    i, j = i[keep], j[keep]
+    w = np.maximum(0.0, np.minimum((ax + aw)[j], (bx + bw)[i]) - np.maximum(ax[j], bx[i]))
+    h = np.maximum(0.0, np.minimum((ay + ah)[j], (by + bh)[i]) - np.maximum(ay[j], by[i]))
+    joint = (aw * ah)[j] + (bw * bh)[i] - w * h
+    overlap = np.divide(w * h, joint, out=np.zeros(len(i)), where=joint != 0)
+    met = overlap > min_iou
+    return i[met], j[met], overlap[met]
+
+
+_BOXES = "grp bigint, is_truth boolean, id bigint, x double, y double, w double, h double, confidence double, t int, other bigint, iou double"
+
+
+def _tile(min_iou: float) -> Callable[[pa.Table], pa.Table]:
+    """Greedy matching in a tile, as far as it can be settled there: hits (with ``other``), and the boxes that are left open.
+
+    All that meets a box that lies whole in the tile is in the tile. A prediction that sticks out may
+    take any of its ground truths, so they are open for those after it; a ground truth that sticks out is
+    open from the start. A whole prediction whose first unused ground truth is free takes it, as in the
+    whole group; else it is left open, and so is the first free one that it would take.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        col = lambda n: table.column(n).to_numpy()
+        truth, ids, whole, first = col("is_truth"), col("id"), col("whole"), col("first")
+        box = np.stack([col(c) for c in "xywh"])
+        absent = table.column("confidence").is_null().to_numpy()
+        sure = table.column("confidence").fill_null(0.0).to_numpy()
+        p, g = np.flatnonzero(~truth), np.flatnonzero(truth)
+        p = p[np.lexsort((ids[p], -sure[p], ~np.isnan(sure[p]), absent[p]))]
+        state = np.where(whole, _FREE, _OPEN).tolist()
+        hit_p, hit_g, hit_iou, left = [], [], [], []
+        step = max(256, TILE_PAIRS // max(1, len(g)))
+        for start in range(0, len(p), step):
+            block = p[start : start + step]
+            if start:
+                g = g[np.array(state)[g] != _USED]
+            i, j, overlap = _meeting(box, block, g, min_iou)
+            order = np.lexsort((ids[g[j]], -overlap, i))
+            liked, overlap = g[j[order]].tolist(), overlap[order]
+            ends = np.cumsum(np.bincount(i, minlength=len(block))).tolist()
+            a = 0
+            for mine, b, entire in zip(block.tolist(), ends, whole[block].tolist(), strict=True):
+                is_open = not entire
+                for at in range(a, b):
+                    x = liked[at]
+                    if state[x] == _FREE:
+                        if is_open:
+                            state[x] = _OPEN
+                            if entire:
+                                break
+                        else:
+                            state[x] = _USED
+                            hit_p.append(mine)
+                            hit_g.append(x)
+                            hit_iou.append(overlap[at])
+                            break
+                    elif state[x] == _OPEN:
+                        is_open = True
+                if is_open:
+                    left.append(mine)
+                a = b
+        every = np.flatnonzero(truth)
+        still = np.r_[np.array(left, np.int64), every[np.array(state, np.int64)[every] == _OPEN]]
+        still = still[first[still]]
+        rows = table.take(pa.array(np.r_[np.array(hit_p, np.int64), still])).select([c.split()[0] for c in _BOXES.split(", ")[:9]])
+        n = len(still)
+        rows = rows.append_column("other", pa.array(ids[np.array(hit_g, np.int64)].tolist() + [None] * n, pa.int64()))
+        return rows.append_column("iou", pa.array([float(x) for x in hit_iou] + [None] * n, pa.float64()))
+
+    return run
+
+
+def _settled_by_tiles(boxes: DataFrame, min_iou: float) -> DataFrame:
+    """``(grp, prediction_id, groundtruth_id, iou)`` of the hits in groups of very many ``boxes``, exactly as one pass over a group's pairs finds them.
+
+    A round lays tiles over every group and settles what can be settled in a tile; boxes that are
+    left open, about those across the tiles' borders, go on to a round of fewer tiles, the last of
+    one. Only boxes are moved, pairs never leave a tile. A group has no more tiles along an axis than its boxes are wide on average.
+    """
+    left, hits = boxes, None
+    while True:
+        right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+        sizes = left.groupBy(F.col("grp").alias("__g")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("t").alias("was"), F.min(F.least("x", right)).alias("lo_x"), F.max(F.greatest("x", right)).alias("hi_x"), F.min(F.least("y", bottom)).alias("lo_y"), F.max(F.greatest("y", bottom)).alias("hi_y"), F.avg(F.abs("w")).alias("mean_w"), F.avg(F.abs("h")).alias("mean_h")
+        )
+        k = F.greatest(F.lit(1.0), F.least(F.ceil(F.sqrt(F.col("n") / TILE_BOXES)).cast("double"), F.floor(F.col("was") / 2).cast("double")))
+        along = lambda c, s: F.greatest(F.lit(1.0), F.least("__k", F.floor(F.coalesce(F.try_divide(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.col(f"mean_{s}")), F.lit(1.0))).cast("double")))
+        sizes = _kept(sizes.withColumn("__k", k).withColumn("k_x", along("x", "w")).withColumn("k_y", along("y", "h")), "tiles")
+        many = sizes.count()
+        if not many:
+            return hits
+        at = lambda v, c: F.greatest(F.lit(0.0), F.least(F.col(f"k_{c}") - 1, F.coalesce(F.try_divide((v - F.col(f"lo_{c}")) * F.col(f"k_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)))).cast("int")
+        cells = left.join(_small(sizes, many), F.col("grp") == F.col("__g"))
+        for c, end in (("x", right), ("y", bottom)):
+            cells = cells.withColumn(f"from_{c}", F.least(at(F.col(c), c), at(end, c))).withColumn(f"to_{c}", F.greatest(at(F.col(c), c), at(end, c)))
+        whole = (F.col("from_x") == F.col("to_x")) & (F.col("from_y") == F.col("to_y"))
+        cells = cells.withColumn("t", F.col("__k").cast("int")).withColumn("whole", whole).withColumn("cx", F.explode(F.sequence("from_x", "to_x"))).withColumn("cy", F.explode(F.sequence("from_y", "to_y")))
+        first = (F.col("cx") == F.col("from_x")) & (F.col("cy") == F.col("from_y"))
+        tiles = cells.select("grp", "cx", "cy", "is_truth", "id", "x", "y", "w", "h", "confidence", "t", "whole", first.alias("first"))
+        found = _kept(tiles.groupBy("grp", "cx", "cy").applyInArrow(_tile(min_iou), _BOXES), "settled")
+        mine = found.filter("other is not null").select("grp", F.col("id").alias("prediction_id"), F.col("other").alias("groundtruth_id"), "iou")
+        hits = mine if hits is None else hits.unionByName(mine)
+        left = found.filter("other is null").drop("other", "iou")
+
+
+def _crowd_rows(g: DataFrame, p: DataFrame, keys: list[str], extra: list[str], more: list[str], min_iou: float) -> DataFrame:
+    """The rows of ``matched_rows`` for groups of very many boxes with finite coordinates."""
+    group = lambda s: F.xxhash64(*(F.col(f"{s}_{k}") for k in keys)).alias("grp")
+    big = lambda s, c: F.col(f"{s}_{c}").cast("bigint")
+    sure = F.col("p_confidence").cast("double")
+    side = lambda df, s, confidence: df.select(group(s), F.lit(s == "g").alias("is_truth"), big(s, "id").alias("id"), *(F.col(f"{s}_{c}").cast("double").alias(n) for c, n in zip(BOX, "xywh", strict=True)), confidence.alias("confidence"), F.lit(1 << 30).alias("t")).dropna(subset=list("xywh"))
+    hits = _settled_by_tiles(side(g, "g", F.lit(None).cast("double")).unionByName(side(p, "p", sure)), min_iou)
+    own = p.select(group("p").alias("__p"), big("p", "id").alias("__id"), F.when(~F.isnan(sure), sure).alias("confidence"), *extra, *more)
+    is_own = (F.col("grp") == F.col("__p")) & (F.col("prediction_id") == F.col("__id"))
+    taken = hits.join(own.drop(*extra), is_own).drop("__p", "__id")
+    truths = g.select(group("g").alias("__g"), big("g", "id").alias("__id"), *extra).join(taken, (F.col("grp") == F.col("__g")) & (F.col("groundtruth_id") == F.col("__id")), "left")
+    truths = truths.select("prediction_id", F.coalesce("iou", F.lit(0.0)).alias("iou"), F.col("__id").alias("groundtruth_id"), "confidence", F.lit(True).alias("is_gt"), *extra, *more)
+    lone = own.join(hits, is_own, "left_anti").select(F.col("__id").alias("prediction_id"), F.lit(0.0).alias("iou"), F.lit(None).cast("bigint").alias("groundtruth_id"), "confidence", F.lit(False).alias("is_gt"), *extra, *(F.lit(None).cast(p.schema[n].dataType).alias(n) for n in more))
+    return truths.unionByName(lone)
+
+
 def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[str] = [], min_iou: float = 0.0, category_agnostic: bool = False, carried: dict[str, str] = {}) -> DataFrame:  # noqa: B006
     """``prediction_id, iou, groundtruth_id, confidence, is_gt, columns..., carried...``: a row per ground truth, and per prediction without one.
 
@@ -186,14 +338,20 @@ def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[s
     (name: column of the predictions) are those of a ground truth's prediction, else null.
 
     Pairs, predictions and ground truths go through one shuffle by image (and class) and one sorted
-    pass that settles and emits them, so nothing is joined afterwards. Groups of very many pairs are
-    parted into connected components of the overlap graph first, which can't take from each other;
-    boxes with a null image or class are alone and are spread by their ids.
+    pass that settles and emits them, so nothing is joined afterwards. Groups that may have very many
+    pairs are settled by tiles; those of them with infinite or NaN coordinates are parted into connected
+    components of the overlap graph, which can't take from each other. Boxes with a null image or class
+    are alone and are spread by their ids.
     """
     keys = ["image_id"] if category_agnostic else ["image_id", "category_id"]
     extra, more = [f"c{i}" for i in range(len(columns))], [f"m{i}" for i in range(len(carried))]
     g = _kept(groundtruth.select(*(F.col(f"`{c}`").alias(f"g_{c}") for c in ("id", "image_id", "category_id", *BOX)), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True))), "groundtruth")
     p = _kept(predictions.select(*(F.col(f"`{c}`").alias(f"p_{c}") for c in ("id", "image_id", "category_id", *BOX, "confidence")), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True)), *(F.col(f"`{c}`").alias(n) for n, c in zip(more, carried.values(), strict=True))), "predictions")
+    tiled = _crowded(g, p, keys).filter("not odd").select(*keys)
+    crowds, in_crowd = tiled.count(), lambda df, s, how: df.join(_small(tiled, crowds), [df[f"{s}_{k}"] == F.col(k) for k in keys], how)
+    if crowds:
+        crowd = _crowd_rows(in_crowd(g, "g", "left_semi"), in_crowd(p, "p", "left_semi"), keys, extra, more, min_iou)
+        g, p = in_crowd(g, "g", "left_anti"), in_crowd(p, "p", "left_anti")
     no_extra = lambda df: df.drop(*extra)
     pairs = _pairs(no_extra(g), no_extra(p), min_iou, category_agnostic)
 
@@ -232,6 +390,8 @@ def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[s
     ranked = rows.repartition("grp").sortWithinPartitions(*order)
     shape = StructType([*spark_fields("prediction_id bigint, iou double, groundtruth_id bigint, confidence double, is_gt boolean"), *(StructField(n, rows.schema[n].dataType) for n in (*extra, *more))])
     out = ranked.mapInArrow(_greedy(rows.columns, more), shape)
+    if crowds:
+        out = out.unionByName(crowd)
     return out.select("prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *(F.col(n).alias(c) for n, c in zip(extra, columns, strict=True)), *(F.col(n).alias(c) for n, c in zip(more, carried, strict=True)))
 
 

@@ -259,6 +259,30 @@ def test_matching(spark, ds, monkeypatch, split_pairs):
     assert len(alone) == lost.count() and all(r["groundtruth_id"] is None and r["iou"] == 0 for r in alone)
 
 
+@pytest.mark.parametrize("tile_boxes", [8_000, 25])
+def test_matching_of_a_crowd_by_tiles(spark, monkeypatch, tile_boxes):
+    """One image of boxes that all hang together is settled without its pairs or components going through Spark."""
+    import random
+
+    from framewright.operators import matching
+
+    monkeypatch.setattr(matching, "GRID_PAIRS", 100)
+    monkeypatch.setattr(matching, "SPLIT_PAIRS", 100)
+    monkeypatch.setattr(matching, "TILE_BOXES", tile_boxes)
+    monkeypatch.setattr(matching, "connected_components", lambda *_: pytest.fail("one component of the whole image"))
+    rand = random.Random(3)
+    side = [[(1000 * s + i, i % 2, rand.randint(0, 180), rand.randint(0, 90), *((190, 80) if i == 7 else (rand.randint(-1, 25), rand.randint(0, 25))), rand.randint(0, 9) / 10, 0) for i in range(240)] for s in (1, 2)]
+    shape = "id bigint, image_id bigint, box_x_min double, box_y_min double, box_width double, box_height double, confidence double, category_id int"
+    g, p = (spark.createDataFrame([(*r[:2], *map(float, r[2:7]), r[7]) for r in rows], shape) for rows in side)
+    nowhere = spark.createDataFrame([(5000, 1, None, 1.0, 1.0, 1.0, 0.5, 0)], shape)
+    for min_iou in (0.0, 0.2):
+        got = matching.matched_rows(g, p.unionByName(nowhere), ["category_id"], min_iou, True, {"who": "id"}).collect()
+        assert {(r["prediction_id"], r["groundtruth_id"]) for r in got if r["is_gt"] and r["prediction_id"] is not None} == greedy_by_hand(*side, min_iou)
+        assert all(r["who"] == (r["prediction_id"] if r["is_gt"] else None) for r in got)
+        assert sorted(r["groundtruth_id"] for r in got if r["is_gt"]) == [x[0] for x in side[0]]
+        assert sorted(r["prediction_id"] for r in got if r["prediction_id"] is not None) == [*(x[0] for x in side[1]), 5000]
+
+
 def test_evaluator(spark, ds, tmp_path):
     ev = Evaluator(ds)
     ev.add_predictions("same", ds.annotations.withColumn("confidence", F.lit(0.9)))
