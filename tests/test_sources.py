@@ -289,3 +289,24 @@ def test_dataset_regression_fixture(spark, tmp_path, dataset_regression):
     (tmp_path / "a.png").write_bytes(picture(4, 4))
     with pytest.raises(AssertionError):
         dataset_regression.check(ds, "one", str(tmp_path / "kept"), check_images=True)
+
+
+def no_sources(monkeypatch):
+    """Spark's own file sources are not to be used, as they list every file on the driver."""
+    from pyspark.sql import DataFrameReader
+
+    for name in ("text", "json", "load"):
+        monkeypatch.setattr(DataFrameReader, name, lambda *_, **__: pytest.fail("files listed on the driver"))
+
+
+def test_label_files_are_opened_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Of many label files, those of hidden names too, none is listed."""
+    (tmp_path / "labels" / "in").mkdir(parents=True)
+    (tmp_path / "labels" / "in" / "_a.txt").write_text("1 0.5 0.5 0.5 0.5\r\n\n0 0.25 0.25 0.5 0.5\n")
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "b.txt").write_text("1 0.5 0.5 1 1")
+    info = spark.createDataFrame([(7, "images/in/_a.jpg", 8, 4), (8, "images/b.jpg", 2, 2), (9, "images/none.jpg", 2, 2)], "id bigint, relative_path string, width int, height int")
+    no_sources(monkeypatch)
+    ds = readers.from_darknet_generic(spark, str(tmp_path), names=["x", "y"], image_info=info)
+    assert boxes(ds) == [("images/b.jpg", "y", 0.0, 0.0, 2.0, 2.0), ("images/in/_a.jpg", "x", 0.0, 0.0, 4.0, 2.0), ("images/in/_a.jpg", "y", 2.0, 1.0, 4.0, 2.0)]
+    assert ds.images.count() == 3
