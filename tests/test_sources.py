@@ -310,3 +310,15 @@ def test_label_files_are_opened_where_they_are_read(spark, tmp_path, monkeypatch
     ds = readers.from_darknet_generic(spark, str(tmp_path), names=["x", "y"], image_info=info)
     assert boxes(ds) == [("images/b.jpg", "y", 0.0, 0.0, 2.0, 2.0), ("images/in/_a.jpg", "x", 0.0, 0.0, 4.0, 2.0), ("images/in/_a.jpg", "y", 2.0, 1.0, 4.0, 2.0)]
     assert ds.images.count() == 3
+
+
+def test_darknet_lists_come_from_the_images(spark, small, tmp_path, monkeypatch):
+    """The lists of images are made without the lines of the label files being made again."""
+    made = []
+    files_from = writers._files_from
+    monkeypatch.setattr(writers, "_files_from", lambda *a: (files_from(*a), made.append(1)))
+    monkeypatch.setattr(writers, "darknet_lines", lambda ds, f=writers.darknet_lines: (lambda rows, dense: (rows.withColumn("split", F.when(F.rand() >= 0, F.lit("lost"))), dense))(*f(ds)))
+    writers.to_darknet(small, str(tmp_path), 4, copy_images=None)
+    assert made == [1] and (tmp_path / "train.txt").exists() and not (tmp_path / "lost.txt").exists()
+    listed = [x for n in ("train", "val") for x in (tmp_path / f"{n}.txt").read_text().split()]
+    assert sorted(listed) == sorted(f"data/{r[0]}" for r in small.images.select("relative_path").collect())
