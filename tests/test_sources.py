@@ -337,3 +337,13 @@ def test_image_json_files_are_read_once(spark, tmp_path, monkeypatch):
     (tmp_path / "Annotations" / "train" / "bad.json").write_text("{")
     with pytest.raises(ValueError, match="bad.json"):
         readers.from_image_json(spark, str(tmp_path))
+
+
+def test_voc_files_are_read_once(spark, tmp_path, monkeypatch):
+    one = lambda name, x: f"<?xml version='1.0'?><!-- <annotation></annotation> --><annotation verified='yes'><filename>{name}</filename><size><width>9</width><height>8</height><depth>3</depth></size><object><name>cat</name><difficult>1</difficult><bndbox><xmin>{x}</xmin><ymin>2</ymin><xmax>5</xmax><ymax>6</ymax></bndbox></object></annotation>"
+    (tmp_path / "a.xml").write_text(one("a.jpg", 1))
+    (tmp_path / "b.xml").write_text(one("b.jpg", 2))
+    no_sources(monkeypatch)
+    ds = readers.from_pascal_voc_generic(spark, str(tmp_path), "images")
+    assert boxes(ds) == [("a.jpg", "cat", 1.0, 2.0, 4.0, 4.0), ("b.jpg", "cat", 2.0, 2.0, 3.0, 4.0)]
+    assert all(r["difficult"] for r in ds.annotations.collect()) and ds.images.first()["height"] == 8
