@@ -20,6 +20,8 @@ GRID_PAIRS = 50_000
 SPLIT_PAIRS = 200_000
 #: Cells along a side of the grid of a crowded image.
 GRID = 64
+#: Boxes of a group that a task holds at once; larger groups are matched by tiles.
+GROUP_BOXES = 50_000
 #: Boxes of both sides that a tile of a crowded group holds, about.
 TILE_BOXES = 8_000
 #: Pairs whose x ranges may meet that a tile holds at once, about.
@@ -57,17 +59,15 @@ def iou_pairs(groundtruth: DataFrame, predictions: DataFrame, min_iou: float = 0
 
 
 def _crowded(g: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups of more than GRID_PAIRS pairs with the bounds of their ground truths; ``odd`` are those with infinite or NaN coordinates."""
-    odd = lambda s: F.max(~(F.abs(F.col(f"{s}_box_x_min") + F.col(f"{s}_box_width")) + F.abs(F.col(f"{s}_box_y_min") + F.col(f"{s}_box_height")) < float("inf")))
-    ng = g.groupBy(*(F.col(f"g_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("ng"), odd("g").alias("odd_g"), *(F.min(f"g_{c}").alias(f"lo_{c}") for c in BOX[:2]), F.max(F.col("g_box_x_min") + F.col("g_box_width")).alias("hi_x"), F.max(F.col("g_box_y_min") + F.col("g_box_height")).alias("hi_y"))
-    np_ = p.groupBy(*(F.col(f"p_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("np"), odd("p").alias("odd_p"))
-    met = ng.join(np_, keys).filter(F.col("ng") * F.col("np") > GRID_PAIRS)
-    return _kept(met.withColumn("odd", F.coalesce("odd_g", F.lit(False)) | F.coalesce("odd_p", F.lit(False))).drop("ng", "np", "odd_g", "odd_p"), "crowded")
+    """Groups of more than GRID_PAIRS pairs with the bounds of their ground truths."""
+    ng = g.groupBy(*(F.col(f"g_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("ng"), *(F.min(f"g_{c}").alias(f"lo_{c}") for c in BOX[:2]), F.max(F.col("g_box_x_min") + F.col("g_box_width")).alias("hi_x"), F.max(F.col("g_box_y_min") + F.col("g_box_height")).alias("hi_y"))
+    np_ = p.groupBy(*(F.col(f"p_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("np"))
+    return _kept(ng.join(np_, keys).filter(F.col("ng") * F.col("np") > GRID_PAIRS).drop("ng", "np"), "crowded")
 
 
 def _pairs(g: DataFrame, p: DataFrame, min_iou: float, category_agnostic: bool) -> DataFrame:
     keys = ["image_id"] if category_agnostic else ["image_id", "category_id"]
-    crowded = _crowded(g, p, keys).drop("odd")
+    crowded = _crowded(g, p, keys)
     on = [F.col(f"g_{k}") == F.col(f"p_{k}") for k in keys]
     is_in = lambda df, s: [df[f"{s}_{k}"] == F.col(k) for k in keys]
     hit = overlaps("g_", "p_")
@@ -203,7 +203,11 @@ def _meeting(box: np.ndarray, p: np.ndarray, g: np.ndarray, min_iou: float) -> t
     xp, xg = left[p][at_p], left[g][at_g]
     i, j = _spread(np.searchsorted(xg, xp, "left"), np.searchsorted(xg, right[p][at_p], "left"))  # ground truths that begin in a prediction
     l, k = _spread(np.searchsorted(xp, xg, "right"), np.searchsorted(xp, right[g][at_g], "left"))  # and the other way round
-    i, j = at_p[np.r_[i, k]], at_g[np.r_[j, l]]
+    return _overlapping(box, p, g, at_p[np.r_[i, k]], at_g[np.r_[j, l]], min_iou)
+
+
+def _overlapping(box: np.ndarray, p: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray, min_iou: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs of places ``i`` in ``p`` and ``j`` in ``g`` with iou > ``min_iou``, and it."""
     (ax, ay, aw, ah), (bx, by, bw, bh) = box[:, g], box[:, p]
     keep = (ay[j] < (by + bh)[i]) & (by[i] < (ay + ah)[j]) & (ax[j] < (bx + bw)[i]) & (bx[i] < (ax + aw)[j])
     i, j = i[keep], j[keep]
@@ -215,11 +219,93 @@ def _meeting(box: np.ndarray, p: np.ndarray, g: np.ndarray, min_iou: float) -> t
     return i[met], j[met], overlap[met]
 
 
-_BOXES = "grp bigint, is_truth boolean, id bigint, x double, y double, w double, h double, confidence double, t int, other bigint, iou double"
+_PLACE = ["grp", "cls", "x", "y", "w", "h", "t"]
+_BOXES = ["grp", "cls", "is_truth", "id", "x", "y", "w", "h", "confidence"]
+_ROW = "prediction_id bigint, iou double, groundtruth_id bigint, confidence double, is_gt boolean"
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which are ground truths, ids, boxes (NaN for null), confidences, and where there is none."""
+    confidence = table.column("confidence")
+    number = lambda c: c.to_numpy() if isinstance(c, pa.ChunkedArray) else c.to_numpy(zero_copy_only=False)
+    return number(table.column("is_truth")), number(table.column("id")), np.stack([number(table.column(c)) for c in "xywh"]), number(confidence.fill_null(0.0)), number(confidence.is_null())
+
 
+def _in_turn(p: np.ndarray, ids: np.ndarray, sure: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """Predictions in falling confidence (NaN first, null last), then by id."""
+    return p[np.lexsort((ids[p], -sure[p], ~np.isnan(sure[p]), absent[p]))]
+
+
+def _outcome(table: pa.Table, extra: list[str], more: list[str], hit_p: np.ndarray, hit_g: np.ndarray, hit_iou: np.ndarray, lone: np.ndarray, left: np.ndarray) -> list[pa.Array]:
+    """Columns of ``_ROW``, ``extra`` and ``more`` of the hits, of boxes without one, and of ``left``, whose iou is null."""
+    truth, ids, _, sure, absent = _columns(table)
+    own = np.r_[hit_g, lone, left]
+    is_truth = truth[own]
+    hit, is_left = np.arange(len(own)) < len(hit_g), np.arange(len(own)) >= len(hit_g) + len(lone)
+    by = np.r_[hit_p, lone, left]  # whose confidence it is
+    whose = np.where(hit | is_left, by, 0)
+    at = pa.array(whose, pa.int64(), mask=~(hit | is_left))
+    taken = lambda c, index: table.column(c).take(index)
+    made = [
+        pa.array(ids[by], pa.int64(), mask=is_truth & ~hit), pa.array(np.r_[hit_iou, np.zeros(len(lone) + len(left))], pa.float64(), mask=is_left), pa.array(ids[own], pa.int64(), mask=~is_truth),
+        pa.array(sure[by], pa.float64(), mask=absent[by] | (np.isnan(sure[by]) & ~is_left)), pa.array(is_truth, pa.bool_()),
+    ]
+    return made + [taken(c, pa.array(own, pa.int64())) for c in extra] + [taken(c, at) for c in more]
 
-def _tile(min_iou: float) -> Callable[[pa.Table], pa.Table]:
-    """Greedy matching in a tile, as far as it can be settled there: hits (with ``other``), and the boxes that are left open.
+
+def _whole_groups(min_iou: float, extra: list[str], more: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``_outcome`` of boxes sorted by group; pairs are made here, of as many groups at once as a batch has whole."""
+    none = np.zeros(0, np.int64)
+
+    def settled(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        truth, ids, box, sure, absent = _columns(table)
+        p, g = _in_turn(np.flatnonzero(~truth), ids, sure, absent), np.flatnonzero(truth)
+        p = p[np.argsort(group[p], kind="stable")]
+        i, j = _spread(np.searchsorted(group[g], group[p], "left"), np.searchsorted(group[g], group[p], "right"))
+        i, j, overlap = _overlapping(box, p, g, i, j, min_iou)
+        order = np.lexsort((ids[g[j]], -overlap, i))
+        i, j, overlap = i[order], j[order], overlap[order]
+        hits = np.array(first_free(i, j, set(), None), np.int64)
+        free = np.ones(len(truth), bool)
+        free[p[i[hits]]] = free[g[j[hits]]] = False
+        return pa.RecordBatch.from_arrays(_flat(_outcome(table, extra, more, p[i[hits]], g[j[hits]], overlap[hits], np.flatnonzero(free), none)), names=names)
+
+    names = [*(c.split()[0] for c in _ROW.split(", ")), *extra, *more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = _numbers(table)
+            done = int(np.searchsorted(group, group[-1], "left"))
+            if done:
+                yield settled(table.slice(0, done), group[:done])
+            held = table.slice(done).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield settled(table, _numbers(table))
+
+    return run
+
+
+def _flat(columns: list) -> list[pa.Array]:
+    return [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+
+
+def _numbers(table: pa.Table) -> np.ndarray:
+    """Numbers of the groups of sorted rows, from 0."""
+    new = np.zeros(table.num_rows, bool)
+    for c in ("grp", "cls"):
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def _tile(min_iou: float, extra: list[str], more: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Greedy matching in a tile, as far as it can be settled there: rows of ``_outcome`` with the boxes that are left open, and the place of these.
 
     All that meets a box that lies whole in the tile is in the tile. A prediction that sticks out may
     take any of its ground truths, so they are open for those after it; a ground truth that sticks out is
@@ -229,13 +315,9 @@ def _tile(min_iou: float) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        col = lambda n: table.column(n).to_numpy()
-        truth, ids, whole, first = col("is_truth"), col("id"), col("whole"), col("first")
-        box = np.stack([col(c) for c in "xywh"])
-        absent = table.column("confidence").is_null().to_numpy()
-        sure = table.column("confidence").fill_null(0.0).to_numpy()
-        p, g = np.flatnonzero(~truth), np.flatnonzero(truth)
-        p = p[np.lexsort((ids[p], -sure[p], ~np.isnan(sure[p]), absent[p]))]
+        truth, ids, box, sure, absent = _columns(table)
+        whole, first = table.column("whole").to_numpy(), table.column("first").to_numpy()
+        p, g = _in_turn(np.flatnonzero(~truth), ids, sure, absent), np.flatnonzero(truth)
         state = np.where(whole, _FREE, _OPEN).tolist()
         hit_p, hit_g, hit_iou, left = [], [], [], []
         step = max(256, TILE_PAIRS // max(1, len(g)))
@@ -268,28 +350,35 @@ def _tile(min_iou: float) -> Callable[[pa.Table], pa.Table]:
                 if is_open:
                     left.append(mine)
                 a = b
-        every = np.flatnonzero(truth)
-        still = np.r_[np.array(left, np.int64), every[np.array(state, np.int64)[every] == _OPEN]]
+        state, hit_p, hit_g, left = np.array(state), np.array(hit_p, np.int64), np.array(hit_g, np.int64), np.array(left, np.int64)
+        free = np.where(truth, state == _FREE, True)
+        free[hit_p] = free[left] = False
+        still = np.r_[left, np.flatnonzero(truth & (state == _OPEN))]
         still = still[first[still]]
-        rows = table.take(pa.array(np.r_[np.array(hit_p, np.int64), still])).select([c.split()[0] for c in _BOXES.split(", ")[:9]])
-        n = len(still)
-        rows = rows.append_column("other", pa.array(ids[np.array(hit_g, np.int64)].tolist() + [None] * n, pa.int64()))
-        return rows.append_column("iou", pa.array([float(x) for x in hit_iou] + [None] * n, pa.float64()))
+        lone = np.flatnonzero(free)
+        made = _outcome(table, extra, more, hit_p, hit_g, np.array(hit_iou, np.float64), lone, still)
+        at = pa.array(np.r_[np.zeros(len(hit_p) + len(lone), np.int64), still], mask=np.arange(len(hit_p) + len(lone) + len(still)) < len(hit_p) + len(lone))
+        names = [*(c.split()[0] for c in _ROW.split(", ")), *extra, *more, *_PLACE]
+        return pa.Table.from_arrays([*made, *(table.column(c).take(at) for c in _PLACE)], names=names)
 
     return run
 
 
-def _settled_by_tiles(boxes: DataFrame, min_iou: float) -> DataFrame:
-    """``(grp, prediction_id, groundtruth_id, iou)`` of the hits in groups of very many ``boxes``, exactly as one pass over a group's pairs finds them.
+def _settled_by_tiles(boxes: DataFrame, min_iou: float, extra: list[str], more: list[str], shape: StructType) -> DataFrame:
+    """The rows (``shape``) of groups of very many ``boxes`` with finite coordinates, exactly as one pass over a group's pairs finds them.
 
     A round lays tiles over every group and settles what can be settled in a tile; boxes that are
     left open, about those across the tiles' borders, go on to a round of fewer tiles, the last of
-    one. Only boxes are moved, pairs never leave a tile. A group has no more tiles along an axis than its boxes are wide on average.
+    one. Only boxes are moved, pairs never leave a tile, and a row is made where it is settled, so that nothing is
+    joined afterwards. A group has no more tiles along an axis than its boxes are wide on average.
     """
-    left, hits = boxes, None
+    own = [*_BOXES, "t", *extra, *more]
+    placed = StructType([*shape.fields, *spark_fields("grp bigint, cls bigint, x double, y double, w double, h double, t int")])
+    boxes = boxes.withColumn("t", F.lit(1 << 30))
+    left, settled = boxes, None
     while True:
         right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
-        sizes = left.groupBy(F.col("grp").alias("__g")).agg(
+        sizes = left.groupBy(F.col("grp").alias("__g"), F.col("cls").alias("__c")).agg(
             F.count(F.lit(1)).alias("n"), F.min("t").alias("was"), F.min(F.least("x", right)).alias("lo_x"), F.max(F.greatest("x", right)).alias("hi_x"), F.min(F.least("y", bottom)).alias("lo_y"), F.max(F.greatest("y", bottom)).alias("hi_y"), F.avg(F.abs("w")).alias("mean_w"), F.avg(F.abs("h")).alias("mean_h")
         )
         k = F.greatest(F.lit(1.0), F.least(F.ceil(F.sqrt(F.col("n") / TILE_BOXES)).cast("double"), F.floor(F.col("was") / 2).cast("double")))
@@ -297,35 +386,19 @@ def _settled_by_tiles(boxes: DataFrame, min_iou: float) -> DataFrame:
         sizes = _kept(sizes.withColumn("__k", k).withColumn("k_x", along("x", "w")).withColumn("k_y", along("y", "h")), "tiles")
         many = sizes.count()
         if not many:
-            return hits
+            return settled
         at = lambda v, c: F.greatest(F.lit(0.0), F.least(F.col(f"k_{c}") - 1, F.coalesce(F.try_divide((v - F.col(f"lo_{c}")) * F.col(f"k_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)))).cast("int")
-        cells = left.join(_small(sizes, many), F.col("grp") == F.col("__g"))
+        cells = left.join(_small(sizes, many), (F.col("grp") == F.col("__g")) & (F.col("cls") == F.col("__c")))
         for c, end in (("x", right), ("y", bottom)):
             cells = cells.withColumn(f"from_{c}", F.least(at(F.col(c), c), at(end, c))).withColumn(f"to_{c}", F.greatest(at(F.col(c), c), at(end, c)))
         whole = (F.col("from_x") == F.col("to_x")) & (F.col("from_y") == F.col("to_y"))
         cells = cells.withColumn("t", F.col("__k").cast("int")).withColumn("whole", whole).withColumn("cx", F.explode(F.sequence("from_x", "to_x"))).withColumn("cy", F.explode(F.sequence("from_y", "to_y")))
         first = (F.col("cx") == F.col("from_x")) & (F.col("cy") == F.col("from_y"))
-        tiles = cells.select("grp", "cx", "cy", "is_truth", "id", "x", "y", "w", "h", "confidence", "t", "whole", first.alias("first"))
-        found = _kept(tiles.groupBy("grp", "cx", "cy").applyInArrow(_tile(min_iou), _BOXES), "settled")
-        mine = found.filter("other is not null").select("grp", F.col("id").alias("prediction_id"), F.col("other").alias("groundtruth_id"), "iou")
-        hits = mine if hits is None else hits.unionByName(mine)
-        left = found.filter("other is null").drop("other", "iou")
-
-
-def _crowd_rows(g: DataFrame, p: DataFrame, keys: list[str], extra: list[str], more: list[str], min_iou: float) -> DataFrame:
-    """The rows of ``matched_rows`` for groups of very many boxes with finite coordinates."""
-    group = lambda s: F.xxhash64(*(F.col(f"{s}_{k}") for k in keys)).alias("grp")
-    big = lambda s, c: F.col(f"{s}_{c}").cast("bigint")
-    sure = F.col("p_confidence").cast("double")
-    side = lambda df, s, confidence: df.select(group(s), F.lit(s == "g").alias("is_truth"), big(s, "id").alias("id"), *(F.col(f"{s}_{c}").cast("double").alias(n) for c, n in zip(BOX, "xywh", strict=True)), confidence.alias("confidence"), F.lit(1 << 30).alias("t")).dropna(subset=list("xywh"))
-    hits = _settled_by_tiles(side(g, "g", F.lit(None).cast("double")).unionByName(side(p, "p", sure)), min_iou)
-    own = p.select(group("p").alias("__p"), big("p", "id").alias("__id"), F.when(~F.isnan(sure), sure).alias("confidence"), *extra, *more)
-    is_own = (F.col("grp") == F.col("__p")) & (F.col("prediction_id") == F.col("__id"))
-    taken = hits.join(own.drop(*extra), is_own).drop("__p", "__id")
-    truths = g.select(group("g").alias("__g"), big("g", "id").alias("__id"), *extra).join(taken, (F.col("grp") == F.col("__g")) & (F.col("groundtruth_id") == F.col("__id")), "left")
-    truths = truths.select("prediction_id", F.coalesce("iou", F.lit(0.0)).alias("iou"), F.col("__id").alias("groundtruth_id"), "confidence", F.lit(True).alias("is_gt"), *extra, *more)
-    lone = own.join(hits, is_own, "left_anti").select(F.col("__id").alias("prediction_id"), F.lit(0.0).alias("iou"), F.lit(None).cast("bigint").alias("groundtruth_id"), "confidence", F.lit(False).alias("is_gt"), *extra, *(F.lit(None).cast(p.schema[n].dataType).alias(n) for n in more))
-    return truths.unionByName(lone)
+        tiles = cells.select("cx", "cy", *own, "whole", first.alias("first"))
+        found = _kept(tiles.groupBy("grp", "cls", "cx", "cy").applyInArrow(_tile(min_iou, extra, more), placed), "settled")
+        rows = found.filter("iou is not null").drop(*_PLACE)
+        settled = rows if settled is None else settled.unionByName(rows)
+        left = found.filter("iou is null").withColumn("is_truth", F.col("is_gt")).withColumn("id", F.when(F.col("is_gt"), F.col("groundtruth_id")).otherwise(F.col("prediction_id"))).select(*own)
 
 
 def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[str] = [], min_iou: float = 0.0, category_agnostic: bool = False, carried: dict[str, str] = {}) -> DataFrame:  # noqa: B006
@@ -337,23 +410,57 @@ def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[s
     truth has iou 0. ``columns`` are the ground truth's, of a lone prediction its own; ``carried``
     (name: column of the predictions) are those of a ground truth's prediction, else null.
 
-    Pairs, predictions and ground truths go through one shuffle by image (and class) and one sorted
-    pass that settles and emits them, so nothing is joined afterwards. Groups that may have very many
-    pairs are settled by tiles; those of them with infinite or NaN coordinates are parted into connected
-    components of the overlap graph, which can't take from each other. Boxes with a null image or class
-    are alone and are spread by their ids.
+    Boxes of both sides are written once as one table and go through one shuffle by image (and class); a task makes
+    the pairs of its groups, settles them and emits the rows, so no pair is shuffled and nothing is
+    joined afterwards. Groups of very many pairs or boxes are settled by tiles; those with infinite or NaN coordinates
+    go through ``_rows_of_pairs``. Boxes with a null image, class or coordinate are alone and are spread by their ids.
     """
     keys = ["image_id"] if category_agnostic else ["image_id", "category_id"]
     extra, more = [f"c{i}" for i in range(len(columns))], [f"m{i}" for i in range(len(carried))]
-    g = _kept(groundtruth.select(*(F.col(f"`{c}`").alias(f"g_{c}") for c in ("id", "image_id", "category_id", *BOX)), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True))), "groundtruth")
-    p = _kept(predictions.select(*(F.col(f"`{c}`").alias(f"p_{c}") for c in ("id", "image_id", "category_id", *BOX, "confidence")), *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True)), *(F.col(f"`{c}`").alias(n) for n, c in zip(more, carried.values(), strict=True))), "predictions")
-    tiled = _crowded(g, p, keys).filter("not odd").select(*keys)
-    crowds, in_crowd = tiled.count(), lambda df, s, how: df.join(_small(tiled, crowds), [df[f"{s}_{k}"] == F.col(k) for k in keys], how)
-    if crowds:
-        crowd = _crowd_rows(in_crowd(g, "g", "left_semi"), in_crowd(p, "p", "left_semi"), keys, extra, more, min_iou)
-        g, p = in_crowd(g, "g", "left_anti"), in_crowd(p, "p", "left_anti")
+    whole = {"tinyint", "smallint", "int", "bigint"}
+
+    def side(df: DataFrame, truth: bool) -> DataFrame:
+        known = F.lit(True)
+        for c in (*keys, *BOX):
+            known = known & F.col(f"`{c}`").isNotNull()
+        exact = all(dict(x.dtypes)[k] in whole for k in keys for x in (groundtruth, predictions))
+        part = lambda k: F.col(f"`{k}`").cast("bigint") if exact else F.xxhash64(F.col(f"`{k}`").cast("string"))
+        grp = F.when(known, part(keys[0])).otherwise(F.xxhash64(F.lit("g" if truth else "p"), "id")).alias("grp")
+        cls = F.when(known, part(keys[1]) if len(keys) > 1 else F.lit(0)).otherwise(F.lit(-1)).cast("bigint").alias("cls")
+        place = [F.when(known, F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip(BOX, "xywh", strict=True)]
+        confidence = (F.lit(None) if truth else F.col("confidence")).cast("double").alias("confidence")
+        theirs = [(F.lit(None).cast(predictions.schema[c].dataType) if truth else F.col(f"`{c}`")).alias(n) for n, c in zip(more, carried.values(), strict=True)]
+        return df.select(grp, cls, F.lit(truth).alias("is_truth"), F.col("id").cast("bigint").alias("id"), *place, confidence, *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True)), *theirs)
+
+    boxes = _kept(side(groundtruth, True).unionByName(side(predictions, False)), "boxes")
+    shape = StructType([*spark_fields(_ROW), *(StructField(n, boxes.schema[n].dataType) for n in (*extra, *more))])
+    odd = F.max(~(F.abs(F.col("x") + F.col("w")) + F.abs(F.col("y") + F.col("h")) < float("inf")))
+    ng, np_ = F.count_if("is_truth"), F.count_if(~F.col("is_truth"))
+    groups = boxes.groupBy(F.col("grp").alias("__g"), F.col("cls").alias("__c")).agg(ng.alias("ng"), np_.alias("np"), F.coalesce(odd, F.lit(False)).alias("odd"))
+    groups = _kept(groups.filter(F.col("odd") | (F.col("ng") * F.col("np") > GRID_PAIRS) | (F.col("ng") + F.col("np") > GROUP_BOXES)).select("__g", "__c", "odd"), "crowded")
+    kinds = {r[0]: r[1] for r in groups.groupBy("odd").count().collect()}
+    here = lambda which, how: boxes.join(_small(which, sum(kinds.values())), (F.col("grp") == F.col("__g")) & (F.col("cls") == F.col("__c")), how)
+    ranked = (here(groups.select("__g", "__c"), "left_anti") if kinds else boxes).repartition("grp", "cls").sortWithinPartitions("grp", "cls")
+    out = ranked.mapInArrow(_whole_groups(min_iou, extra, more), shape)
+    if kinds.get(False):
+        out = out.unionByName(_settled_by_tiles(here(groups.filter("not odd").select("__g", "__c"), "left_semi"), min_iou, extra, more, shape))
+    if kinds.get(True):
+        apart = here(groups.filter("odd").withColumn("group", F.xxhash64("__g", "__c")), "inner")
+        named = lambda s: [F.col("id").alias(f"{s}_id"), F.col("group").alias(f"{s}_image_id"), F.lit(0).alias(f"{s}_category_id"), *(F.col(n).alias(f"{s}_{c}") for c, n in zip(BOX, "xywh", strict=True)), *extra]
+        g = apart.filter("is_truth").select(*named("g"))
+        p = apart.filter("not is_truth").select(*named("p"), F.col("confidence").alias("p_confidence"), *more)
+        out = out.unionByName(_rows_of_pairs(g, p, extra, more, min_iou))
+    return out.select("prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *(F.col(n).alias(c) for n, c in zip(extra, columns, strict=True)), *(F.col(n).alias(c) for n, c in zip(more, carried, strict=True)))
+
+
+def _rows_of_pairs(g: DataFrame, p: DataFrame, extra: list[str], more: list[str], min_iou: float) -> DataFrame:
+    """The same for groups with infinite or NaN coordinates, which Spark compares: pairs, predictions and ground truths are sorted together and settled in one pass.
+
+    Groups of very many pairs are parted into connected components of the overlap graph, which can't take from each other.
+    """
+    keys = ["image_id"]
     no_extra = lambda df: df.drop(*extra)
-    pairs = _pairs(no_extra(g), no_extra(p), min_iou, category_agnostic)
+    pairs = _pairs(no_extra(g), no_extra(p), min_iou, True)
 
     def group(of: str) -> tuple[Column, Column]:
         known = F.lit(True)
@@ -388,11 +495,8 @@ def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[s
     is_truth = F.col("kind") == _TRUTH
     order = ["grp", is_truth, F.col("confidence").desc_nulls_last(), "prediction_id", "kind", F.col("iou").desc(), "groundtruth_id"]
     ranked = rows.repartition("grp").sortWithinPartitions(*order)
-    shape = StructType([*spark_fields("prediction_id bigint, iou double, groundtruth_id bigint, confidence double, is_gt boolean"), *(StructField(n, rows.schema[n].dataType) for n in (*extra, *more))])
-    out = ranked.mapInArrow(_greedy(rows.columns, more), shape)
-    if crowds:
-        out = out.unionByName(crowd)
-    return out.select("prediction_id", "iou", "groundtruth_id", "confidence", "is_gt", *(F.col(n).alias(c) for n, c in zip(extra, columns, strict=True)), *(F.col(n).alias(c) for n, c in zip(more, carried, strict=True)))
+    shape = StructType([*spark_fields(_ROW), *(StructField(n, rows.schema[n].dataType) for n in (*extra, *more))])
+    return ranked.mapInArrow(_greedy(rows.columns, more), shape)
 
 
 def spark_fields(ddl: str) -> list[StructField]:

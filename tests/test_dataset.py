@@ -283,6 +283,31 @@ def test_matching_of_a_crowd_by_tiles(spark, monkeypatch, tile_boxes):
         assert sorted(r["prediction_id"] for r in got if r["prediction_id"] is not None) == [*(x[0] for x in side[1]), 5000]
 
 
+def test_groups_are_matched_where_they_lie(spark, ds, monkeypatch):
+    """Ordinary groups are settled in one shuffle of boxes; their pairs never go through Spark. Odd coordinates still do."""
+    from framewright.operators import matching
+
+    pairs, cols = matching._pairs, ["id", "image_id", "box_x_min", "box_y_min", "box_width", "box_height"]
+    monkeypatch.setattr(matching, "_pairs", lambda *_: pytest.fail("pairs of ordinary groups are shuffled"))
+    pred = as_predictions(ds, jitter=0.6)
+    g = [(*[r[c] for c in cols], 0, r["category_id"]) for r in ds.annotations.collect()]
+    p = [(*[r[c] for c in cols], r["confidence"], r["category_id"]) for r in pred.collect()]
+    found = lambda df: {(r[0], r[2]) for r in df.collect() if r[0] is not None and r[2] is not None}
+    want = greedy_by_hand(g, p, 0.1)
+    try:
+        for rows in (3, 10_000):  # groups go over many batches, and many groups into one
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert found(greedy_match(ds.annotations, pred, 0.1)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(matching, "GROUP_BOXES", 1)
+    assert found(greedy_match(ds.annotations, pred, 0.1)) == want
+    monkeypatch.setattr(matching, "_pairs", pairs)
+    one = ds.annotations.limit(1).withColumns({"id": F.lit(10**6), "box_x_min": F.lit(float("-inf")), "box_width": F.lit(float("inf"))})
+    odd = greedy_match(ds.annotations.unionByName(one), pred, 0.1).collect()
+    assert {(r[0], r[2]) for r in odd if r[0] is not None and r[2] is not None} == want and len([r for r in odd if r[2] == 10**6 and r[0] is None]) == 1
+
+
 def test_evaluator(spark, ds, tmp_path):
     ev = Evaluator(ds)
     ev.add_predictions("same", ds.annotations.withColumn("confidence", F.lit(0.9)))
