@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.boxes import BOX
 from framewright.operators import curves
 from framewright.operators.matching import greedy_match, iou_pairs, matched_rows
 from framewright.plans.view import annotated, predicted, registrar
+from framewright.session import kept
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,6 +45,11 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return annotated(spark, d).annotations, predicted(spark, d).annotations
 
 
+def _kept_sides(spark: SparkSession, d: str, *extra: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides written once with what is read of them, as matching and the lookups after it each read them."""
+    return tuple(kept(df.select("id", "image_id", "category_id", "category_str", *BOX, *more), "side") for df, more in zip(_sides(spark, d), extra, strict=True))
+
+
 @query(_PAIRS.format(same=_SAME) + " select image_id, category_id, pid as prediction_id, gid as groundtruth_id, iou from pairs where iou > 0.3", rounded=["iou"])
 def iou_join(spark: SparkSession, d: str) -> DataFrame:
     return iou_pairs(*_sides(spark, d), min_iou=0.3).select("image_id", "category_id", "prediction_id", "groundtruth_id", "iou")
@@ -136,8 +143,8 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_match_sql(True) + _CONF.format(by=""), rounded=["share"])
 def confusion_matrix_of_matches(spark: SparkSession, d: str) -> DataFrame:
-    """The same from kept matches, as the evaluator makes it: attributes of both sides are looked up."""
-    g, p = _sides(spark, d)
+    """The same from kept matches, as the evaluator makes it: attributes of both sides are looked up, in tables that are made once."""
+    g, p = _kept_sides(spark, d, [], ["confidence"])
     return curves.confusion_cells(curves.confusion_pairs(greedy_match(g, p, category_agnostic=True), g, p, 0.3, 0.2))
 
 

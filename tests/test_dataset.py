@@ -308,6 +308,15 @@ def test_groups_are_matched_where_they_lie(spark, ds, monkeypatch):
     assert {(r[0], r[2]) for r in odd if r[0] is not None and r[2] is not None} == want and len([r for r in odd if r[2] == 10**6 and r[0] is None]) == 1
 
 
+def test_sides_of_kept_matches_are_made_once(spark):
+    """The lookups after matching read the tables that matching read, not the given ones again."""
+    from framewright.plans import evaluation_queries
+
+    d = "/root/testdata/sf0.001"
+    out = evaluation_queries.confusion_matrix_of_matches(spark, d)
+    assert out.inputFiles() and not [f for f in out.inputFiles() if d in f]
+
+
 def test_evaluator(spark, ds, tmp_path):
     ev = Evaluator(ds)
     ev.add_predictions("same", ds.annotations.withColumn("confidence", F.lit(0.9)))
