@@ -347,3 +347,34 @@ def test_voc_files_are_read_once(spark, tmp_path, monkeypatch):
     ds = readers.from_pascal_voc_generic(spark, str(tmp_path), "images")
     assert boxes(ds) == [("a.jpg", "cat", 1.0, 2.0, 4.0, 4.0), ("b.jpg", "cat", 2.0, 2.0, 3.0, 4.0)]
     assert all(r["difficult"] for r in ds.annotations.collect()) and ds.images.first()["height"] == 8
+
+
+def test_files_are_made_apart_and_moved(spark, tmp_path):
+    """No name beside the file's own is made in its folder, so the longest names there can be are written, and nothing else is left."""
+    names = [f"data/{'x' * 246}{i:05}.txt"[: 5 + 255] for i in range(40)]
+    rows = spark.createDataFrame([(n, None if i == 3 else f"é{i}\n") for i, n in enumerate(names)], "path string, content string").coalesce(1)
+    writers._files_from(rows, str(tmp_path))
+    writers._files_from(rows.withColumn("content", F.lit("new")).limit(2), str(tmp_path), keep=True)
+    assert [p.name for p in tmp_path.iterdir()] == ["data"] and sorted(f"data/{p.name}" for p in (tmp_path / "data").iterdir()) == sorted(names)
+    assert [(tmp_path / n).read_text(encoding="utf-8") for n in names] == ["" if i == 3 else f"é{i}\n" for i in range(40)]
+
+
+def test_darknet_lists_are_read_at_once(spark, small, rows, tmp_path, monkeypatch):
+    """Lists without common images are read in one pass, and give what they give one by one."""
+    out = str(tmp_path / "d")
+    split = F.element_at(F.array(F.lit("train"), F.lit("valid"), F.lit("eval")), (F.col("id") % 3 + 1).cast("int"))
+    ds = Dataset.build(small.images.withColumn("split", split), small.annotations.drop("split"), small.label_map)
+    writers.to_darknet(ds, out, 4, copy_images=None)
+    info = ds.images.select("id", "width", "height", F.concat(F.lit("data/"), "relative_path").alias("relative_path"))
+    read = lambda: readers.from_darknet(spark, out, ids_map=f"{out}/ids_map.json", image_info=info)
+    with monkeypatch.context() as m:
+        m.setattr(readers, "_lists_at_once", lambda *_: None)
+        want = read()
+    with monkeypatch.context() as m:
+        m.setattr(readers, "merge", lambda *_: pytest.fail("lists are joined one by one"))
+        got = read()
+    assert (got.images.columns, got.annotations.columns, got.label_map, got.images_root, got.dataset_name) == (want.images.columns, want.annotations.columns, want.label_map, want.images_root, want.dataset_name)
+    assert rows(got.images) == rows(want.images) and rows(got.annotations) == rows(want.annotations) and len(rows(got.annotations)) == small.len_annot()
+    with open(f"{out}/train.txt", "a") as f:
+        f.write(open(f"{out}/test.txt").read())
+    assert len(read().images.collect()) > len(rows(got.images))
