@@ -317,6 +317,15 @@ def test_sides_of_kept_matches_are_made_once(spark):
     assert out.inputFiles() and not [f for f in out.inputFiles() if d in f]
 
 
+def test_confusion_by_split_shuffles_no_pairs(spark, monkeypatch):
+    from framewright.operators import matching
+    from framewright.plans import evaluation_queries
+
+    monkeypatch.setattr(matching, "_pairs", lambda *_: pytest.fail("pairs are shuffled"))
+    cells = evaluation_queries.confusion_by_split(spark, "/root/testdata/sf0.001").collect()
+    assert cells and len({r["split"] for r in cells}) > 1
+
+
 def test_evaluator(spark, ds, tmp_path):
     ev = Evaluator(ds)
     ev.add_predictions("same", ds.annotations.withColumn("confidence", F.lit(0.9)))
