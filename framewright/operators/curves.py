@@ -118,6 +118,11 @@ def _confused(j: DataFrame, min_iou: float, min_confidence: float, by: list[str]
 def confusion_cells(pairs: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """The row-normalised matrix in long form: ``by..., groundtruth, prediction, n, share``, cells with rows only."""
     cells = pairs.groupBy(*by, "groundtruth", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    return shares(cells, by)
+
+
+def shares(cells: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Counted cells with their ``share`` of their ground truth's row."""
     return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "groundtruth")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from framewright.functions.boxes import BOX, iou, overlaps
 from framewright.operators.components import connected_components
-from framewright.session import scratch_path
+from framewright.session import kept
 
 #: Pairs (boxes of one side times the other) of an image and class beyond which a grid is laid over it.
 GRID_PAIRS = 50_000
@@ -24,8 +24,12 @@ GRID = 64
 GROUP_BOXES = 50_000
 #: Boxes of both sides that a tile of a crowded group holds, about.
 TILE_BOXES = 8_000
+#: Tiles along an axis that a round before the first would have had.
+FIRST_ROUND = 1 << 30
 #: Pairs whose x ranges may meet that a tile holds at once, about.
 TILE_PAIRS = 20_000_000
+#: Pairs left of a batch of groups from which on they are taken one by one.
+ROUND_PAIRS = 200
 #: Crowded groups (about 60 bytes each) that are broadcast; they are counted first, and more are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -34,13 +38,7 @@ def _named(df: DataFrame, prefix: str, extra: list[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in ("id", "image_id", "category_id", *BOX, *extra)))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint for a table that was counted and is small enough."""
     return F.broadcast(df) if rows <= BROADCAST_GROUPS else df
 
@@ -53,8 +51,8 @@ def iou_pairs(groundtruth: DataFrame, predictions: DataFrame, min_iou: float = 0
     the one cell that has its overlap's upper left corner. Boxes with null coordinates meet nothing.
     Each side is read once and kept as a written table of the columns needed.
     """
-    g = _kept(_named(groundtruth, "g_", []), "groundtruth")
-    p = _kept(_named(predictions, "p_", ["confidence"]), "predictions")
+    g = kept(_named(groundtruth, "g_", []), "groundtruth")
+    p = kept(_named(predictions, "p_", ["confidence"]), "predictions")
     return _pairs(g, p, min_iou, category_agnostic)
 
 
@@ -62,7 +60,7 @@ def _crowded(g: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of more than GRID_PAIRS pairs with the bounds of their ground truths."""
     ng = g.groupBy(*(F.col(f"g_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("ng"), *(F.min(f"g_{c}").alias(f"lo_{c}") for c in BOX[:2]), F.max(F.col("g_box_x_min") + F.col("g_box_width")).alias("hi_x"), F.max(F.col("g_box_y_min") + F.col("g_box_height")).alias("hi_y"))
     np_ = p.groupBy(*(F.col(f"p_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("np"))
-    return _kept(ng.join(np_, keys).filter(F.col("ng") * F.col("np") > GRID_PAIRS).drop("ng", "np"), "crowded")
+    return kept(ng.join(np_, keys).filter(F.col("ng") * F.col("np") > GRID_PAIRS).drop("ng", "np"), "crowded")
 
 
 def _pairs(g: DataFrame, p: DataFrame, min_iou: float, category_agnostic: bool) -> DataFrame:
@@ -72,12 +70,12 @@ def _pairs(g: DataFrame, p: DataFrame, min_iou: float, category_agnostic: bool)
     is_in = lambda df, s: [df[f"{s}_{k}"] == F.col(k) for k in keys]
     hit = overlaps("g_", "p_")
     many = crowded.count()
-    plain = (g.join(_small(crowded.select(*keys), many), is_in(g, "g"), "left_anti") if many else g).join(p, [*on, hit])
+    plain = (g.join(small(crowded.select(*keys), many), is_in(g, "g"), "left_anti") if many else g).join(p, [*on, hit])
     cols = [*g.columns, *p.columns]
     both = plain.select(*cols)
 
     def cells(df: DataFrame, s: str) -> DataFrame:
-        j = df.join(_small(crowded, many), is_in(df, s))
+        j = df.join(small(crowded, many), is_in(df, s))
         x, y, w, h = (F.col(f"{s}_{c}") for c in BOX)
         at = lambda v, lo, hi: F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(F.coalesce(F.try_divide((v - F.col(lo)) * GRID, F.col(hi) - F.col(lo)), F.lit(0))))).cast("int")
         span = lambda v, size, lo, hi: F.sequence(at(v, lo, hi), F.greatest(at(v, lo, hi), at(v + size, lo, hi)))
@@ -197,19 +195,47 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meeting(box: np.ndarray, p: np.ndarray, g: np.ndarray, min_iou: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in ``p`` and ``g`` (places of ``box``, whose rows are x, y, width, height) of the pairs with iou > ``min_iou``, and it. As ``boxes.iou`` computes it."""
+    """Places in ``p`` and ``g`` (places of ``box``, whose rows are x, y, width, height) of the pairs with iou > ``min_iou``, and it. As ``boxes.iou`` computes it.
+
+    Boxes lie in all strips of y they reach into and meet by x within a strip; a pair counts in the first that both are in.
+    """
+    known = ~np.isnan(box.sum(axis=0))
+    at_p, at_g = np.flatnonzero(known[p]), np.flatnonzero(known[g])
+    if not len(at_p) or not len(at_g):
+        return _overlapping(box, p, g, at_p[:0], at_g[:0], min_iou)
     left, right = box[0], box[0] + box[2]
-    at_p, at_g = np.argsort(left[p], kind="stable"), np.argsort(left[g], kind="stable")
-    xp, xg = left[p][at_p], left[g][at_g]
-    i, j = _spread(np.searchsorted(xg, xp, "left"), np.searchsorted(xg, right[p][at_p], "left"))  # ground truths that begin in a prediction
-    l, k = _spread(np.searchsorted(xp, xg, "right"), np.searchsorted(xp, right[g][at_g], "left"))  # and the other way round
-    return _overlapping(box, p, g, at_p[np.r_[i, k]], at_g[np.r_[j, l]], min_iou)
+    low, high = np.minimum(box[1], box[1] + box[3]), np.maximum(box[1], box[1] + box[3])
+    both = np.r_[p[at_p], g[at_g]]
+    x0, y0 = min(left[both].min(), right[both].min()), low[both].min()
+    deep, tall = high[both].max() - y0, 2 * np.abs(box[3, both]).mean()
+    wide = (max(left[both].max(), right[both].max()) - x0) * (1 + 1e-6) + 1
+    strips = int(max(1, min(deep / tall, len(both)))) if tall > 0 and np.isfinite(deep) and np.isfinite(wide * len(both)) else 1
+    nth = lambda v: np.clip(((v - y0) / (deep / strips)).astype(np.int64), 0, strips - 1) if strips > 1 else np.zeros(len(v), np.int64)
+
+    def laid(at: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places by strip and x: them, their strips and first strips, and where they begin and end."""
+        since = nth(low[mine])
+        k, strip = _spread(since, nth(high[mine]) + 1)
+        at_strip = strip * wide if strips > 1 else 0.0
+        begins = at_strip + (left[mine][k] - x0)
+        order = np.argsort(begins, kind="stable")
+        return tuple(v[order] for v in (at[k], strip, since[k], begins, at_strip + (right[mine][k] - x0)))
+
+    place_p, strip_p, since_p, xp, end_p = laid(at_p, p[at_p])
+    place_g, strip_g, since_g, xg, end_g = laid(at_g, g[at_g])
+    i, j = _spread(np.searchsorted(xg, xp, "left"), np.searchsorted(xg, end_p, "right"))  # ground truths that begin in a prediction
+    l, k = _spread(np.searchsorted(xp, xg, "right"), np.searchsorted(xp, end_g, "right"))  # and the other way round
+    i, j = np.r_[i, k], np.r_[j, l]
+    keep = np.flatnonzero((strip_p[i] == strip_g[j]) & (strip_p[i] == np.maximum(since_p[i], since_g[j])))
+    return _overlapping(box, p, g, place_p[i[keep]], place_g[j[keep]], min_iou)
 
 
 def _overlapping(box: np.ndarray, p: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray, min_iou: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Those of the pairs of places ``i`` in ``p`` and ``j`` in ``g`` with iou > ``min_iou``, and it."""
     (ax, ay, aw, ah), (bx, by, bw, bh) = box[:, g], box[:, p]
-    keep = (ay[j] < (by + bh)[i]) & (by[i] < (ay + ah)[j]) & (ax[j] < (bx + bw)[i]) & (bx[i] < (ax + aw)[j])
+    keep = np.flatnonzero((ay[j] < (by + bh)[i]) & (by[i] < (ay + ah)[j]))
+    i, j = i[keep], j[keep]
+    keep = np.flatnonzero((ax[j] < (bx + bw)[i]) & (bx[i] < (ax + aw)[j]))
     i, j = i[keep], j[keep]
     w = np.maximum(0.0, np.minimum((ax + aw)[j], (bx + bw)[i]) - np.maximum(ax[j], bx[i]))
     h = np.maximum(0.0, np.minimum((ay + ah)[j], (by + bh)[i]) - np.maximum(ay[j], by[i]))
@@ -219,9 +245,10 @@ def _overlapping(box: np.ndarray, p: np.ndarray, g: np.ndarray, i: np.ndarray, j
     return i[met], j[met], overlap[met]
 
 
-_PLACE = ["grp", "cls", "x", "y", "w", "h", "t"]
-_BOXES = ["grp", "cls", "is_truth", "id", "x", "y", "w", "h", "confidence"]
-_ROW = "prediction_id bigint, iou double, groundtruth_id bigint, confidence double, is_gt boolean"
+PLACE = ["grp", "cls", "x", "y", "w", "h", "t"]
+PLACED = "grp bigint, cls bigint, x double, y double, w double, h double, t int"
+BOXES = ["grp", "cls", "is_truth", "id", "x", "y", "w", "h", "confidence"]
+ROW = "prediction_id bigint, iou double, groundtruth_id bigint, confidence double, is_gt boolean"
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,7 +264,7 @@ def _in_turn(p: np.ndarray, ids: np.ndarray, sure: np.ndarray, absent: np.ndarra
 
 
 def _outcome(table: pa.Table, extra: list[str], more: list[str], hit_p: np.ndarray, hit_g: np.ndarray, hit_iou: np.ndarray, lone: np.ndarray, left: np.ndarray) -> list[pa.Array]:
-    """Columns of ``_ROW``, ``extra`` and ``more`` of the hits, of boxes without one, and of ``left``, whose iou is null."""
+    """Columns of ``ROW``, ``extra`` and ``more`` of the hits, of boxes without one, and of ``left``, whose iou is null."""
     truth, ids, _, sure, absent = _columns(table)
     own = np.r_[hit_g, lone, left]
     is_truth = truth[own]
@@ -253,24 +280,62 @@ def _outcome(table: pa.Table, extra: list[str], more: list[str], hit_p: np.ndarr
     return made + [taken(c, pa.array(own, pa.int64())) for c in extra] + [taken(c, at) for c in more]
 
 
+def _by_liking(i: np.ndarray, overlap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order of pairs by ``i``, falling ``overlap`` and ``ids``: as np.lexsort has it, but ids are compared in ties only."""
+    order = np.argsort(-overlap)
+    n = i.max(initial=0)
+    order = order[np.argsort(i[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]  # short numbers are sorted by their digits
+    a, b = i[order], overlap[order]
+    tied = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+    if tied.any():
+        run = np.cumsum(~tied)
+        at = np.flatnonzero(tied | np.r_[tied[1:], False])
+        order[at] = order[at][np.lexsort((ids[order[at]], run[at]))]
+    return order
+
+
+def taken_in_turn(prediction: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Places that ``first_free`` finds, for many groups at once; predictions are numbered in their turn.
+
+    A prediction gets its first ground truth where none before it, that is still without one, meets that. The first
+    of a group always does, so each round settles some of every group.
+    """
+    at, hits = np.arange(len(prediction)), []
+    used_p, used_g = np.zeros(prediction.max(initial=-1) + 1, bool), np.zeros(truth.max(initial=-1) + 1, bool)
+    first = np.zeros(len(used_g), np.int64)
+    while len(at) > ROUND_PAIRS:
+        p, g = prediction[at], truth[at]
+        first[g[::-1]] = p[::-1]  # of equal places the last is kept, which is the first in turn
+        hit = at[np.r_[True, p[1:] != p[:-1]] & (first[g] == p)]
+        used_p[prediction[hit]] = used_g[truth[hit]] = True
+        hits.append(hit)
+        at = at[~(used_p[p] | used_g[g])]
+    hits.append(at[np.array(first_free(prediction[at], truth[at], set(), None), np.int64)])
+    return np.sort(np.concatenate(hits))
+
+
+def settled_groups(table: pa.Table, group: np.ndarray, min_iou: float, extra: list[str], more: list[str]) -> list[pa.Array]:
+    """Columns of ``_outcome`` of whole groups, whose numbers rise; their pairs are made here."""
+    truth, ids, box, sure, absent = _columns(table)
+    p, g = _in_turn(np.flatnonzero(~truth), ids, sure, absent), np.flatnonzero(truth)
+    p = p[np.argsort(group[p], kind="stable")]
+    i, j = _spread(np.searchsorted(group[g], group[p], "left"), np.searchsorted(group[g], group[p], "right"))
+    i, j, overlap = _overlapping(box, p, g, i, j, min_iou)
+    order = _by_liking(i, overlap, ids[g[j]])
+    i, j, overlap = i[order], j[order], overlap[order]
+    hits = taken_in_turn(i, j)
+    free = np.ones(len(truth), bool)
+    free[p[i[hits]]] = free[g[j[hits]]] = False
+    return _outcome(table, extra, more, p[i[hits]], g[j[hits]], overlap[hits], np.flatnonzero(free), np.zeros(0, np.int64))
+
+
 def _whole_groups(min_iou: float, extra: list[str], more: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of ``_outcome`` of boxes sorted by group; pairs are made here, of as many groups at once as a batch has whole."""
-    none = np.zeros(0, np.int64)
+    """Rows of ``settled_groups`` of boxes sorted by group, of as many groups at once as a batch has whole."""
 
     def settled(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        truth, ids, box, sure, absent = _columns(table)
-        p, g = _in_turn(np.flatnonzero(~truth), ids, sure, absent), np.flatnonzero(truth)
-        p = p[np.argsort(group[p], kind="stable")]
-        i, j = _spread(np.searchsorted(group[g], group[p], "left"), np.searchsorted(group[g], group[p], "right"))
-        i, j, overlap = _overlapping(box, p, g, i, j, min_iou)
-        order = np.lexsort((ids[g[j]], -overlap, i))
-        i, j, overlap = i[order], j[order], overlap[order]
-        hits = np.array(first_free(i, j, set(), None), np.int64)
-        free = np.ones(len(truth), bool)
-        free[p[i[hits]]] = free[g[j[hits]]] = False
-        return pa.RecordBatch.from_arrays(_flat(_outcome(table, extra, more, p[i[hits]], g[j[hits]], overlap[hits], np.flatnonzero(free), none)), names=names)
-
-    names = [*(c.split()[0] for c in _ROW.split(", ")), *extra, *more]
+        return pa.RecordBatch.from_arrays(_flat(settled_groups(table, group, min_iou, extra, more)), names=names)
+
+    names = [*(c.split()[0] for c in ROW.split(", ")), *extra, *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -279,14 +344,14 @@ def _whole_groups(min_iou: float, extra: list[str], more: list[str]) -> Callable
                 continue
             held.append(batch)
             table = pa.Table.from_batches(held).combine_chunks()
-            group = _numbers(table)
+            group = numbers(table)
             done = int(np.searchsorted(group, group[-1], "left"))
             if done:
                 yield settled(table.slice(0, done), group[:done])
             held = table.slice(done).combine_chunks().to_batches()
         if held:
             table = pa.Table.from_batches(held).combine_chunks()
-            yield settled(table, _numbers(table))
+            yield settled(table, numbers(table))
 
     return run
 
@@ -295,16 +360,16 @@ def _flat(columns: list) -> list[pa.Array]:
     return [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
 
 
-def _numbers(table: pa.Table) -> np.ndarray:
+def numbers(table: pa.Table, keys: tuple[str, ...] = ("grp", "cls")) -> np.ndarray:
     """Numbers of the groups of sorted rows, from 0."""
     new = np.zeros(table.num_rows, bool)
-    for c in ("grp", "cls"):
+    for c in keys:
         v = table.column(c).to_numpy()
         new[1:] |= v[1:] != v[:-1]
     return np.cumsum(new)
 
 
-def _tile(min_iou: float, extra: list[str], more: list[str]) -> Callable[[pa.Table], pa.Table]:
+def tile(min_iou: float, extra: list[str], more: list[str]) -> Callable[[pa.Table], pa.Table]:
     """Greedy matching in a tile, as far as it can be settled there: rows of ``_outcome`` with the boxes that are left open, and the place of these.
 
     All that meets a box that lies whole in the tile is in the tile. A prediction that sticks out may
@@ -326,7 +391,7 @@ def _tile(min_iou: float, extra: list[str], more: list[str]) -> Callable[[pa.Tab
             if start:
                 g = g[np.array(state)[g] != _USED]
             i, j, overlap = _meeting(box, block, g, min_iou)
-            order = np.lexsort((ids[g[j]], -overlap, i))
+            order = _by_liking(i, overlap, ids[g[j]])
             liked, overlap = g[j[order]].tolist(), overlap[order]
             ends = np.cumsum(np.bincount(i, minlength=len(block))).tolist()
             a = 0
@@ -358,47 +423,70 @@ def _tile(min_iou: float, extra: list[str], more: list[str]) -> Callable[[pa.Tab
         lone = np.flatnonzero(free)
         made = _outcome(table, extra, more, hit_p, hit_g, np.array(hit_iou, np.float64), lone, still)
         at = pa.array(np.r_[np.zeros(len(hit_p) + len(lone), np.int64), still], mask=np.arange(len(hit_p) + len(lone) + len(still)) < len(hit_p) + len(lone))
-        names = [*(c.split()[0] for c in _ROW.split(", ")), *extra, *more, *_PLACE]
-        return pa.Table.from_arrays([*made, *(table.column(c).take(at) for c in _PLACE)], names=names)
+        names = [*(c.split()[0] for c in ROW.split(", ")), *extra, *more, *PLACE]
+        return pa.Table.from_arrays([*made, *(table.column(c).take(at) for c in PLACE)], names=names)
 
     return run
 
 
-def _settled_by_tiles(boxes: DataFrame, min_iou: float, extra: list[str], more: list[str], shape: StructType) -> DataFrame:
+def outline() -> list[Column]:
+    """Number, bounds and mean sizes of a group's boxes, of which its tiles are made."""
+    right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    return [
+        F.count(F.lit(1)).alias("n"), F.min(F.least("x", right)).alias("lo_x"), F.max(F.greatest("x", right)).alias("hi_x"), F.min(F.least("y", bottom)).alias("lo_y"), F.max(F.greatest("y", bottom)).alias("hi_y"),
+        F.avg(F.abs("w")).alias("mean_w"), F.avg(F.abs("h")).alias("mean_h"),
+    ]
+
+
+def tiling(sizes: DataFrame) -> DataFrame:
+    """``outline`` with ``__k``, at most half of ``was``, and the numbers of tiles ``k_x``, ``k_y``: no more than ``__k`` nor than boxes of mean size fit in.
+
+    What earlier rounds have left of a group is one tile as soon as a task may hold it.
+    """
+    k = F.when((F.col("was") < FIRST_ROUND) & (F.col("n") <= GROUP_BOXES), 1.0).otherwise(F.greatest(F.lit(1.0), F.least(F.ceil(F.sqrt(F.col("n") / TILE_BOXES)).cast("double"), F.floor(F.col("was") / 2).cast("double"))))
+    along = lambda c, s: F.greatest(F.lit(1.0), F.least("__k", F.floor(F.coalesce(F.try_divide(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.col(f"mean_{s}")), F.lit(1.0))).cast("double")))
+    return sizes.withColumn("__k", k).withColumn("k_x", along("x", "w")).withColumn("k_y", along("y", "h"))
+
+
+def spanned(boxes: DataFrame) -> DataFrame:
+    """Boxes beside their group's ``tiling`` with the tiles they touch, ``from_x`` to ``to_x`` and ``from_y`` to ``to_y``."""
+    at = lambda v, c: F.greatest(F.lit(0.0), F.least(F.col(f"k_{c}") - 1, F.coalesce(F.try_divide((v - F.col(f"lo_{c}")) * F.col(f"k_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)))).cast("int")
+    for c, end in (("x", F.col("x") + F.col("w")), ("y", F.col("y") + F.col("h"))):
+        boxes = boxes.withColumn(f"from_{c}", F.least(at(F.col(c), c), at(end, c))).withColumn(f"to_{c}", F.greatest(at(F.col(c), c), at(end, c)))
+    return boxes
+
+
+def settled_by_tiles(boxes: DataFrame, min_iou: float, extra: list[str], more: list[str], shape: StructType) -> DataFrame:
     """The rows (``shape``) of groups of very many ``boxes`` with finite coordinates, exactly as one pass over a group's pairs finds them.
 
     A round lays tiles over every group and settles what can be settled in a tile; boxes that are
     left open, about those across the tiles' borders, go on to a round of fewer tiles, the last of
     one. Only boxes are moved, pairs never leave a tile, and a row is made where it is settled, so that nothing is
-    joined afterwards. A group has no more tiles along an axis than its boxes are wide on average.
+    joined afterwards. A group has no more tiles along an axis than its boxes are wide on average. Boxes with ``t``
+    have been through a round of ``t`` tiles along an axis.
     """
-    own = [*_BOXES, "t", *extra, *more]
-    placed = StructType([*shape.fields, *spark_fields("grp bigint, cls bigint, x double, y double, w double, h double, t int")])
-    boxes = boxes.withColumn("t", F.lit(1 << 30))
-    left, settled = boxes, None
+    own = [*BOXES, "t", *extra, *more]
+    placed = StructType([*shape.fields, *spark_fields(PLACED)])
+    left, settled = boxes if "t" in boxes.columns else boxes.withColumn("t", F.lit(FIRST_ROUND)), None
     while True:
-        right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
-        sizes = left.groupBy(F.col("grp").alias("__g"), F.col("cls").alias("__c")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("t").alias("was"), F.min(F.least("x", right)).alias("lo_x"), F.max(F.greatest("x", right)).alias("hi_x"), F.min(F.least("y", bottom)).alias("lo_y"), F.max(F.greatest("y", bottom)).alias("hi_y"), F.avg(F.abs("w")).alias("mean_w"), F.avg(F.abs("h")).alias("mean_h")
-        )
-        k = F.greatest(F.lit(1.0), F.least(F.ceil(F.sqrt(F.col("n") / TILE_BOXES)).cast("double"), F.floor(F.col("was") / 2).cast("double")))
-        along = lambda c, s: F.greatest(F.lit(1.0), F.least("__k", F.floor(F.coalesce(F.try_divide(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.col(f"mean_{s}")), F.lit(1.0))).cast("double")))
-        sizes = _kept(sizes.withColumn("__k", k).withColumn("k_x", along("x", "w")).withColumn("k_y", along("y", "h")), "tiles")
+        sizes = kept(tiling(left.groupBy(F.col("grp").alias("__g"), F.col("cls").alias("__c")).agg(F.min("t").alias("was"), *outline())), "tiles")
         many = sizes.count()
         if not many:
             return settled
-        at = lambda v, c: F.greatest(F.lit(0.0), F.least(F.col(f"k_{c}") - 1, F.coalesce(F.try_divide((v - F.col(f"lo_{c}")) * F.col(f"k_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)))).cast("int")
-        cells = left.join(_small(sizes, many), (F.col("grp") == F.col("__g")) & (F.col("cls") == F.col("__c")))
-        for c, end in (("x", right), ("y", bottom)):
-            cells = cells.withColumn(f"from_{c}", F.least(at(F.col(c), c), at(end, c))).withColumn(f"to_{c}", F.greatest(at(F.col(c), c), at(end, c)))
+        cells = spanned(left.join(small(sizes, many), (F.col("grp") == F.col("__g")) & (F.col("cls") == F.col("__c"))))
         whole = (F.col("from_x") == F.col("to_x")) & (F.col("from_y") == F.col("to_y"))
         cells = cells.withColumn("t", F.col("__k").cast("int")).withColumn("whole", whole).withColumn("cx", F.explode(F.sequence("from_x", "to_x"))).withColumn("cy", F.explode(F.sequence("from_y", "to_y")))
         first = (F.col("cx") == F.col("from_x")) & (F.col("cy") == F.col("from_y"))
         tiles = cells.select("cx", "cy", *own, "whole", first.alias("first"))
-        found = _kept(tiles.groupBy("grp", "cls", "cx", "cy").applyInArrow(_tile(min_iou, extra, more), placed), "settled")
-        rows = found.filter("iou is not null").drop(*_PLACE)
+        found = kept(tiles.groupBy("grp", "cls", "cx", "cy").applyInArrow(tile(min_iou, extra, more), placed), "settled")
+        rows = found.filter("iou is not null").drop(*PLACE)
         settled = rows if settled is None else settled.unionByName(rows)
-        left = found.filter("iou is null").withColumn("is_truth", F.col("is_gt")).withColumn("id", F.when(F.col("is_gt"), F.col("groundtruth_id")).otherwise(F.col("prediction_id"))).select(*own)
+        left = left_open(found, own)
+
+
+def left_open(found: DataFrame, own: list[str]) -> DataFrame:
+    """Boxes that ``tile`` left open, as it takes them."""
+    return found.filter("iou is null").withColumn("is_truth", F.col("is_gt")).withColumn("id", F.when(F.col("is_gt"), F.col("groundtruth_id")).otherwise(F.col("prediction_id"))).select(*own)
 
 
 def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[str] = [], min_iou: float = 0.0, category_agnostic: bool = False, carried: dict[str, str] = {}) -> DataFrame:  # noqa: B006
@@ -432,18 +520,18 @@ def matched_rows(groundtruth: DataFrame, predictions: DataFrame, columns: list[s
         theirs = [(F.lit(None).cast(predictions.schema[c].dataType) if truth else F.col(f"`{c}`")).alias(n) for n, c in zip(more, carried.values(), strict=True)]
         return df.select(grp, cls, F.lit(truth).alias("is_truth"), F.col("id").cast("bigint").alias("id"), *place, confidence, *(F.col(f"`{c}`").alias(n) for n, c in zip(extra, columns, strict=True)), *theirs)
 
-    boxes = _kept(side(groundtruth, True).unionByName(side(predictions, False)), "boxes")
-    shape = StructType([*spark_fields(_ROW), *(StructField(n, boxes.schema[n].dataType) for n in (*extra, *more))])
+    boxes = kept(side(groundtruth, True).unionByName(side(predictions, False)), "boxes")
+    shape = StructType([*spark_fields(ROW), *(StructField(n, boxes.schema[n].dataType) for n in (*extra, *more))])
     odd = F.max(~(F.abs(F.col("x") + F.col("w")) + F.abs(F.col("y") + F.col("h")) < float("inf")))
     ng, np_ = F.count_if("is_truth"), F.count_if(~F.col("is_truth"))
     groups = boxes.groupBy(F.col("grp").alias("__g"), F.col("cls").alias("__c")).agg(ng.alias("ng"), np_.alias("np"), F.coalesce(odd, F.lit(False)).alias("odd"))
-    groups = _kept(groups.filter(F.col("odd") | (F.col("ng") * F.col("np") > GRID_PAIRS) | (F.col("ng") + F.col("np") > GROUP_BOXES)).select("__g", "__c", "odd"), "crowded")
+    groups = kept(groups.filter(F.col("odd") | (F.col("ng") * F.col("np") > GRID_PAIRS) | (F.col("ng") + F.col("np") > GROUP_BOXES)).select("__g", "__c", "odd"), "crowded")
     kinds = {r[0]: r[1] for r in groups.groupBy("odd").count().collect()}
-    here = lambda which, how: boxes.join(_small(which, sum(kinds.values())), (F.col("grp") == F.col("__g")) & (F.col("cls") == F.col("__c")), how)
+    here = lambda which, how: boxes.join(small(which, sum(kinds.values())), (F.col("grp") == F.col("__g")) & (F.col("cls") == F.col("__c")), how)
     ranked = (here(groups.select("__g", "__c"), "left_anti") if kinds else boxes).repartition("grp", "cls").sortWithinPartitions("grp", "cls")
     out = ranked.mapInArrow(_whole_groups(min_iou, extra, more), shape)
     if kinds.get(False):
-        out = out.unionByName(_settled_by_tiles(here(groups.filter("not odd").select("__g", "__c"), "left_semi"), min_iou, extra, more, shape))
+        out = out.unionByName(settled_by_tiles(here(groups.filter("not odd").select("__g", "__c"), "left_semi"), min_iou, extra, more, shape))
     if kinds.get(True):
         apart = here(groups.filter("odd").withColumn("group", F.xxhash64("__g", "__c")), "inner")
         named = lambda s: [F.col("id").alias(f"{s}_id"), F.col("group").alias(f"{s}_image_id"), F.lit(0).alias(f"{s}_category_id"), *(F.col(n).alias(f"{s}_{c}") for c, n in zip(BOX, "xywh", strict=True)), *extra]
@@ -468,8 +556,8 @@ def _rows_of_pairs(g: DataFrame, p: DataFrame, extra: list[str], more: list[str]
             known = known & F.col(f"{of}{k}").isNotNull()
         return known, F.xxhash64(*(F.col(f"{of}{k}") for k in keys))
 
-    pairs = _kept(pairs.select(group("")[1].alias("grp"), F.col("prediction_id").cast("bigint").alias("prediction_id"), F.col("groundtruth_id").cast("bigint").alias("groundtruth_id"), F.col("confidence").cast("double").alias("confidence"), "iou", *more), "pairs")
-    counts = _kept(pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SPLIT_PAIRS).select(F.col("grp").alias("big")), "big")
+    pairs = kept(pairs.select(group("")[1].alias("grp"), F.col("prediction_id").cast("bigint").alias("prediction_id"), F.col("groundtruth_id").cast("bigint").alias("groundtruth_id"), F.col("confidence").cast("double").alias("confidence"), "iou", *more), "pairs")
+    counts = kept(pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SPLIT_PAIRS).select(F.col("grp").alias("big")), "big")
     many = counts.count()
     null = lambda t: F.lit(None).cast(t)
     unknown = [null(p.schema[n].dataType).alias(n) for n in more]
@@ -478,7 +566,7 @@ def _rows_of_pairs(g: DataFrame, p: DataFrame, extra: list[str], more: list[str]
     known, hashed = group("g_")
     lone_g = g.select(F.when(known, hashed).otherwise(F.xxhash64(F.lit("g"), "g_id")).alias("grp"), F.lit(_TRUTH).alias("kind"), null("bigint").alias("prediction_id"), F.col("g_id").cast("bigint").alias("groundtruth_id"), null("double").alias("confidence"), null("double").alias("iou"), *extra, *unknown)
     if many:
-        big = _small(counts, many)
+        big = small(counts, many)
         node_p, node_g = F.col("prediction_id") * 2, F.col("groundtruth_id") * 2 + 1
         crowd = pairs.join(big, F.col("grp") == F.col("big"), "left_semi")
         parts = connected_components(crowd.select(node_p.alias("src"), node_g.alias("dst")))
@@ -495,7 +583,7 @@ def _rows_of_pairs(g: DataFrame, p: DataFrame, extra: list[str], more: list[str]
     is_truth = F.col("kind") == _TRUTH
     order = ["grp", is_truth, F.col("confidence").desc_nulls_last(), "prediction_id", "kind", F.col("iou").desc(), "groundtruth_id"]
     ranked = rows.repartition("grp").sortWithinPartitions(*order)
-    shape = StructType([*spark_fields(_ROW), *(StructField(n, rows.schema[n].dataType) for n in (*extra, *more))])
+    shape = StructType([*spark_fields(ROW), *(StructField(n, rows.schema[n].dataType) for n in (*extra, *more))])
     return ranked.mapInArrow(_greedy(rows.columns, more), shape)
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.boxes import BOX
+from framewright.model import label_column
 from framewright.operators import curves
+from framewright.operators.confusion import confusion_counts, named_cells
 from framewright.operators.matching import greedy_match, iou_pairs, matched_rows
-from framewright.plans.view import annotated, predicted, registrar
-from framewright.session import kept
+from framewright.plans.view import annotated, boxes_of, images_of, label_map, predicted, registrar, scored
+from framewright.session import kept, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -157,7 +159,11 @@ def average_precision_of_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_match_sql(True) + _CONF.format(by="split,"), rounded=["share"])
 def confusion_by_split(spark: SparkSession, d: str) -> DataFrame:
-    return curves.confusion_cells(_confusion(spark, d, ["split"]), ["split"])
+    """Counted where boxes are matched: they go through one shuffle together with their images."""
+    g, p = boxes_of(spark, d, "annotations", [], False), scored(boxes_of(spark, d, "predictions", ["confidence"], False))
+    names = label_map(spark, d)
+    counts = confusion_counts(g, p, images_of(spark, d), 0.3, 0.2, ["split"], within=(table(spark, d, "annotations"), table(spark, d, "predictions")))
+    return named_cells(counts, lambda c: label_column(names, c), ["split"])
 
 
 _COUNTS = f""", cnt as (select category_id, image_id, t as confidence, count(*) filter (where p.confidence >= t) as n_pred from preds p, (select unnest({CONFIDENCES}) as t) group by all),

@@ -27,11 +27,18 @@ def images_of(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", "width", "height", F.col("file_name").alias("relative_path"), split_column().alias("split"), "source", "tags_weather", "tags_time")
 
 
-def boxes_of(spark: SparkSession, d: str, name: str, extra: list[str]) -> DataFrame:
-    """Latest rows of annotations or predictions that have a class and refer to an image there is."""
+def boxes_of(spark: SparkSession, d: str, name: str, extra: list[str], of_images: bool = True) -> DataFrame:
+    """Latest rows of annotations or predictions that have a class and, with ``of_images``, refer to an image there is."""
     t = latest_rows(table(spark, d, name), "id", "ingested_at", ["id", "image_id", "category_id", *_BOXES, *extra])
+    t = t.filter("category_id is not null")
+    if not of_images:
+        return t
     known = table(spark, d, "images").select(F.col("id").alias("__i")).distinct()
-    return t.filter("category_id is not null").join(known, F.col("image_id") == F.col("__i"), "left_semi")
+    return t.join(known, F.col("image_id") == F.col("__i"), "left_semi")
+
+
+def scored(predictions: DataFrame) -> DataFrame:
+    return predictions.filter("confidence is not null and not isnan(confidence)")
 
 
 def annotated(spark: SparkSession, d: str) -> Dataset:
@@ -39,7 +46,7 @@ def annotated(spark: SparkSession, d: str) -> Dataset:
 
 
 def predicted(spark: SparkSession, d: str, model: str | None = None) -> Dataset:
-    rows = boxes_of(spark, d, "predictions", ["confidence", "model"]).filter("confidence is not null and not isnan(confidence)")
+    rows = scored(boxes_of(spark, d, "predictions", ["confidence", "model"]))
     return Dataset.build(images_of(spark, d), rows.filter(F.col("model") == model) if model else rows, label_map(spark, d), "data", "predicted")
 
 

@@ -326,6 +326,68 @@ def test_confusion_by_split_shuffles_no_pairs(spark, monkeypatch):
     assert cells and len({r["split"] for r in cells}) > 1
 
 
+def test_confusion_by_split_joins_and_writes_no_boxes(spark, monkeypatch):
+    """Boxes meet their images in the shuffle they are matched in, and counts leave it."""
+    from framewright.plans import evaluation_queries
+
+    monkeypatch.setattr(evaluation_queries, "matched_rows", lambda *_, **__: pytest.fail("boxes are joined and written before they are matched"))
+    cells = evaluation_queries.confusion_by_split(spark, "/root/testdata/sf0.001").collect()
+    assert cells and all(r["n"] > 0 for r in cells)
+
+
+@pytest.mark.parametrize(("grid_pairs", "tile_boxes", "odd"), [(50_000, 8_000, False), (100, 25, False), (0, 8_000, True)])
+def test_confusion_counts(spark, monkeypatch, grid_pairs, tile_boxes, odd):
+    """As the rows of matching counted one by one: ordinary images, crowds in tiles, odd and null coordinates, images there are not."""
+    import random
+    from collections import Counter
+
+    from framewright.operators import confusion, curves, matching
+
+    monkeypatch.setattr(matching, "GRID_PAIRS", grid_pairs)
+    monkeypatch.setattr(matching, "TILE_BOXES", tile_boxes)
+    monkeypatch.setattr(matching, "ROUND_PAIRS", 3)
+    monkeypatch.setattr(confusion, "HELD_ROWS", 5)
+    rand = random.Random(5)
+    box = lambda: (rand.randint(0, 180) / 1, rand.randint(0, 90) / 1, rand.randint(-1, 25) / 1, rand.randint(0, 25) / 1)
+    side = [[(1000 * s + i, rand.choice([0, 1, 1, 1, 2, 3, None]), *(box() if i % 29 else (None, 1.0, 1.0, 1.0)), rand.choice([None, *range(10)]) if i % 31 == 0 else rand.randint(0, 9) / 10, i % 3) for i in range(400)] for s in (1, 2)]
+    shape = "id bigint, image_id bigint, box_x_min double, box_y_min double, box_width double, box_height double, confidence double, category_id int"
+    g, p = (spark.createDataFrame([(*r[:6], None if r[6] is None else float(r[6]), r[7]) for r in rows], shape) for rows in side)
+    if odd:
+        g = g.unionByName(spark.createDataFrame([(5000, 1, float("-inf"), 1.0, float("inf"), 1.0, None, 1)], shape))
+    images = spark.createDataFrame([(0, "train"), (1, "valid"), (2, None), (9, "train")], "id bigint, split string")
+    got = Counter({tuple(r)[:3]: r["n"] for r in confusion.confusion_counts(g, p, images, 0.1, 0.3, ["split"]).collect()})
+    here = [df.join(images.withColumnRenamed("id", "i"), F.col("image_id") == F.col("i")).withColumn("category_str", F.col("category_id").cast("string")) for df in (g, p)]
+    want = curves.confused_rows(matching.matched_rows(*here, ["category_str", "split"], 0.0, True, {"predicted": "category_str"}), 0.1, 0.3, ["split"])
+    number = lambda x: None if x == "None" else int(x)
+    assert got == Counter((r[0], number(r[1]), number(r[2])) for r in want.collect())
+    assert len({k[0] for k in got}) == 3
+    if not odd:  # all groups under one sorting key
+        monkeypatch.setattr(confusion.F, "xxhash64", lambda *_: F.lit(7).cast("bigint"))
+        assert got == Counter({tuple(r)[:3]: r["n"] for r in confusion.confusion_counts(g, p, images, 0.1, 0.3, ["split"]).collect()})
+
+
+def test_boxes_meet_by_strips():
+    """As all pairs of boxes compared: with negative, zero, huge and missing sizes, ties, and each pair once; liked in lexsort's order."""
+    from framewright.operators.matching import _by_liking, _meeting, _overlapping
+
+    rng = np.random.default_rng(2)
+    for t in range(300):
+        n = int(rng.integers(0, 60))
+        box = np.stack([rng.integers(-50, 150, n), rng.integers(-5, 90, n), rng.integers(-3, 25, n), rng.integers(-3, 25, n)]) + (rng.random((4, n)) if t % 3 == 0 else 0.0)
+        box[3] *= rng.choice([0, 0.01, 1, 4] if t % 2 else [1], n)
+        box *= [1, 1e-3, 1e15, 1e306][t % 4]
+        if n and t % 5 == 0:
+            box[:, rng.integers(0, n)] = np.nan
+        order = rng.permutation(n)
+        p, g = order[: n // 2], order[n // 2 :]
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(p)), np.arange(len(g)), indexing="ij"))
+        with np.errstate(all="ignore"):
+            want, (i, j, overlap) = _overlapping(box, p, g, i, j, 0.1), _meeting(box, p, g, 0.1)
+        assert sorted(zip(*(x.tolist() for x in want))) == sorted(zip(i.tolist(), j.tolist(), overlap.tolist()))
+        overlap = np.round(overlap, 1)
+        assert (_by_liking(i, overlap, g[j]) == np.lexsort((g[j], -overlap, i))).all()
+
+
 def test_evaluator(spark, ds, tmp_path):
     ev = Evaluator(ds)
     ev.add_predictions("same", ds.annotations.withColumn("confidence", F.lit(0.9)))
